@@ -81,3 +81,12 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, count: int, seed:
     left = rows.withColumn(salt, F.pmod(F.xxhash64(seed), F.lit(SALTS)))
     right = right.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return left.join(right, left[key].eqNullSafe(right[at]) & (left[salt] == right[other]), how).drop(at, salt, other)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """The rows, written as compressed Parquet to the shared folder and read back; for wide rows, where ``cut`` would write them plain."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

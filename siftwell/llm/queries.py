@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lempel_ziv, suffixes
 from .chat import format_chats, read_loss, read_turns
 from .common import table
 from .decontaminate import decontaminate
@@ -14,6 +15,14 @@ from .simhash import near_duplicates
 from .tokens import new_folder, read_tokens, write_tokens
 
 
+def op1_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempel_ziv.parse(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op2_suffix_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), *MEASURES, "base_failed", "kept", "host_rate")
@@ -56,6 +65,8 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_relative_lempel_ziv": op1_relative_lempel_ziv,
+    "op2_suffix_sorting": op2_suffix_sorting,
     "op3_host_quality": op3_host_quality,
     "op4_source_mixing": op4_source_mixing,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,

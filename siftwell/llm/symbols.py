@@ -122,3 +122,16 @@ class Words:
             return np.zeros(0, bool)
         left = np.repeat(self.bounds[1:], self.counts) - np.arange(len(self.starts))
         return left[:n] >= size
+
+
+def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
+    """The minimum of each ``size`` neighbours: running minima from both ends of blocks, so the size costs nothing."""
+    n = len(values) - size + 1
+    if n <= 0:
+        return values[:0]
+    padded = np.full(-(-len(values) // size) * size, np.iinfo(values.dtype).max, values.dtype)
+    padded[: len(values)] = values
+    blocks = padded.reshape(-1, size)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[size - 1 : size - 1 + n])
