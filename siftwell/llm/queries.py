@@ -9,6 +9,7 @@ from . import lempel_ziv, suffixes
 from .chat import format_chats, read_loss, read_turns
 from .common import table
 from .decontaminate import decontaminate
+from .licenses import scan_licenses
 from .mixing import mix
 from .quality import MEASURES, judge
 from .simhash import near_duplicates
@@ -64,6 +65,12 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, out_dir, manifest).withColumnRenamed("id", "doc_id")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
+                        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 QUERIES = {
     "op1_relative_lempel_ziv": op1_relative_lempel_ziv,
     "op2_suffix_sorting": op2_suffix_sorting,
@@ -73,5 +80,6 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_token_shards": op9_token_shards,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {}
