@@ -37,7 +37,7 @@ def water_fill(sources: DataFrame, total: int, max_epochs: float) -> tuple[float
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        max_epochs: float = 3.0, seed: int = 17, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), size: Column | None = None) -> DataFrame:
+        max_epochs: float = 3.0, seed: int = 17, cycle: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
     """One row per document: id, source, size (words), source_size, target (of its source) and repeats (0 to max_epochs, whole).
 
     Sources share the corpus' total size by weight. ``weights`` holds (source, weight), one row each; without it the sources,
@@ -49,11 +49,62 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc
     by itself; which of two equal rows fills the last place doesn't matter. An empty table gives an empty result. Other
     columns are ignored.
     """
-    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    narrow, plan, n_sources = _plan(docs, weights, id_col, text_col, source_col, max_epochs, seed, cycle)
+    rows = join_lookup(narrow, plan, "source", n_sources, F.col("order"))
+    here = F.col("slice") == F.col("last.slice")
+    done = rows.where(~F.coalesce(here, F.lit(False))).withColumn("extra", _extra(F.col("slice"), F.col("rest"), F.col("last.slice")))
+    rows = done.unionByName(_edge(rows.where(here)))
+    return rows.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("long").alias("repeats"))
+
+
+def repeat_documents(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                     max_epochs: float = 3.0, seed: int = 17, cycle: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, with all their columns. Only the texts of each source's last slice are shuffled."""
+    narrow, plan, n_sources = _plan(docs, weights, id_col, text_col, source_col, max_epochs, seed, cycle)
+    own = {c: column_name(docs, f"_{c}") for c in ("source", "order", "slice", "whole", "rest", "last", "extra", "n", "turn")}
+    lean = plan.select(F.col("source").alias(own["source"]), F.col("whole").alias(own["whole"]), F.col("rest").alias(own["rest"]), F.col("last.slice").alias(own["last"]))
+    rows = docs.withColumn(own["source"], docs[source_col].cast("string")).withColumn(own["order"], _order(docs, id_col, text_col, seed))
+    rows = rows.withColumn(own["slice"], _slice(F.col(own["order"])))
+    rows = join_lookup(rows, lean, own["source"], n_sources, F.col(own["order"]))
+    here = F.coalesce(F.col(own["slice"]) == F.col(own["last"]), F.lit(False))
+    done = rows.where(~here).withColumn(own["extra"], _extra(F.col(own["slice"]), F.col(own["rest"]), F.col(own["last"])))
+    edge = join_lookup(narrow, plan, "source", n_sources, F.col("order")).where(F.col("slice") == F.col("last.slice"))
+    edge = _edge(edge).where("extra > 0").groupBy(F.col("order").alias(own["order"])).agg(F.count("*").alias(own["n"]))
+    turn = F.row_number().over(Window.partitionBy(own["order"]).orderBy(own["order"]))  # equal rows: as many as were taken
+    last = rows.where(here).join(edge, own["order"], "left").withColumn(own["turn"], turn)
+    last = last.withColumn(own["extra"], (F.col(own["turn"]) <= F.coalesce(F.col(own["n"]), F.lit(0))).cast("int")).drop(own["n"], own["turn"])
+    times = (F.col(own["whole"]) + F.col(own["extra"])).cast("int")
+    return done.unionByName(last).withColumn(own["n"], F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(c) for c in docs.columns])
+
+
+def _order(docs: DataFrame, id_col: str, text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), docs[id_col], docs[text_col])
+
+
+def _slice(order: Column) -> Column:
+    return F.pmod(F.shiftright(order, 40), F.lit(SLICES))
+
+
+def _extra(own: Column, rest: Column, last: Column) -> Column:
+    """Documents outside the last slice: one more time before it, or everywhere if the whole order is used."""
+    return F.when((rest > 0) & (last.isNull() | (own < last)), 1).otherwise(0)
+
+
+def _edge(rows: DataFrame) -> DataFrame:
+    """Documents of the last slice, in order: one more time until the rest is used up (to half a document)."""
+    so_far = Window.partitionBy("source").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.col("last.begin") + F.coalesce(F.sum("size").over(so_far), F.lit(0))
+    return rows.withColumn("extra", F.when(begin + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0))
+
+
+def _plan(docs: DataFrame, weights: DataFrame | None, id_col: str, text_col: str, source_col: str, max_epochs: float, seed: int,
+          cycle: tuple[float, ...]) -> tuple[DataFrame, DataFrame, int]:
+    """(id, source, size, order, slice) of each document; per source its size, target, whole repetitions, the rest and the slice
+    in which the rest ends (with the size before it); the number of sources."""
     narrow = cut(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-        (word_count(F.col(text_col)) if size is None else size).cast("long").alias("size"), order.alias("order")))
-    sources = cut(narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
+        _order(docs, id_col, text_col, seed).alias("order")).withColumn("slice", _slice(F.col("order"))))
+    sources = cut(narrow.groupBy("source").agg(F.sum("size").alias("size")))
     n_sources = sources.count()
     if weights is None:
         weights = by_rank(sources.select("source"), cycle)
@@ -66,7 +117,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
     rest = F.col("target") - F.col("whole") * F.col("source_size")
     plan = plan.withColumn("rest", F.when(rest >= 0.5, rest).otherwise(0.0))  # less than a word is rounding
-    return _fill(narrow, plan, n_sources)
+    sums = narrow.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = join_lookup(sums, plan, "source", n_sources, F.col("slice"))
+    sums = sums.withColumn("begin", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
+    last = sums.where((F.col("begin") < F.col("rest")) & (F.col("begin") + F.col("slice_size") >= F.col("rest")))
+    last = last.groupBy(F.col("source").alias("_of")).agg(F.min(F.struct("slice", "begin")).alias("last"))
+    return narrow, cut(plan.join(last, plan["source"].eqNullSafe(last["_of"]), "left").drop("_of")), n_sources
 
 
 def by_rank(sources: DataFrame, cycle: tuple[float, ...]) -> DataFrame:
@@ -81,26 +138,3 @@ def by_rank(sources: DataFrame, cycle: tuple[float, ...]) -> DataFrame:
     place = ranged.withColumn("inside", inside).join(F.broadcast(starts), "range")  # one row per partition
     turn = F.element_at(F.array(*[F.lit(float(x)) for x in cycle]), (F.pmod(F.col("inside") + F.col("start"), F.lit(len(cycle))) + 1).cast("int"))
     return place.select("source", turn.alias("weight"))
-
-
-def _fill(narrow: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
-    """Whole repetitions everywhere; in the seeded order, one more until the rest of the target is used up (to half a document)."""
-    sliced = narrow.withColumn("slice", F.pmod(F.shiftright("order", 40), F.lit(SLICES)))
-    sums = sliced.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = join_lookup(sums, plan, "source", n_sources, F.col("slice"))
-    sums = sums.withColumn("begin", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
-    last = sums.where((F.col("begin") < F.col("rest")) & (F.col("begin") + F.col("slice_size") >= F.col("rest")))
-    last = last.groupBy("source").agg(F.min(F.struct("slice", "begin")).alias("last"))
-    known = column_name(plan, "_of")
-    last = last.withColumnRenamed("source", known)
-    plan = cut(plan.join(last, plan["source"].eqNullSafe(last[known]), "left").drop(known))
-    rows = join_lookup(sliced, plan, "source", n_sources, F.col("order"))
-    here = F.col("slice") == F.col("last.slice")
-    done = rows.where(~F.coalesce(here, F.lit(False))).withColumn(
-        "extra", F.when((F.col("rest") > 0) & (F.col("last").isNull() | (F.col("slice") < F.col("last.slice"))), 1).otherwise(0))
-    so_far = Window.partitionBy("source").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where(here).withColumn("begin", F.col("last.begin") + F.coalesce(F.sum("size").over(so_far), F.lit(0)))
-    edge = edge.withColumn("extra", F.when(F.col("begin") + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)).drop("begin")
-    return done.unionByName(edge).select(
-        "id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("long").alias("repeats"))

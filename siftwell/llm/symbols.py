@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -71,7 +72,7 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text, one row at least: what is worked on at once stays small."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     ends = np.cumsum(lengths)
     begin = 0
     while begin < len(lengths):

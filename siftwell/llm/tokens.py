@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,7 +128,7 @@ def _write_shards(batches: Iterator[pa.RecordBatch], out_dir: str, tokenizer: st
     for batch in batches:
         ids.append(batch.column(0))
         keys.append(np.asarray(batch.column(1)).astype(np.int64))
-        texts = pa.compute.fill_null(batch.column(2), "")
+        texts = pc.fill_null(batch.column(2), "")
         for a, b in pieces(texts, 4 << 20):
             found = enc.encode(texts.slice(a, b - a).to_pylist())
             lengths.extend(len(x) // enc.width for x in found)
