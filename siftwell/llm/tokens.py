@@ -20,7 +20,8 @@ import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from .symbols import pieces
 MAGIC = b"SWTOK01\n"
 HEAD = len(MAGIC) + 32
 #: Parts of texts whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 MANIFEST = "shard long, file string, docs long, tokens long, first_id long, last_id long"
 
 
@@ -44,8 +45,9 @@ class Encoder:
     """The ids of whole texts by a tokenizer file, as little-endian numbers of ``width`` bytes, with an end id after each text.
 
     A byte-level tokenizer splits texts by a pattern in which a blank before a visible character always begins a new part,
-    so its ids are those of the parts between such blanks; each distinct part is encoded once. Texts that hold the name of an
-    added token, and all texts of other tokenizers, are encoded whole.
+    so its ids are those of the parts between such blanks; each distinct part is encoded once. A part of letters alone, with or
+    without a point or comma after it, goes to the tokenizer's model directly, other parts go through the whole tokenizer.
+    Texts that hold the name of an added token, and all texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -55,6 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id) < 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end_id], self.kind).tobytes()
@@ -63,37 +66,50 @@ class Encoder:
         before = spec.get("pre_tokenizer") or {}
         self.by_parts = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # parts after a blank, without it
         self.odd = re.compile(r" (?=\s|$)")
         self.cut = re.compile(r" (?=\S)")
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary writes as themselves
+        others = [b for b in range(256) if b not in printed]
+        self.written = {b: b for b in printed} | {b: 256 + k for k, b in enumerate(others)}
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def parts(self, text: str) -> list[str]:
-        found = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-        return [found[0], *[f" {x}" for x in found[1:]]]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, part: str) -> bytes:
+        """The ids of a part of letters alone, with the blank before it."""
+        spelled = f" {part}".encode().decode("latin-1").translate(self.written)
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(spelled)])
+
+    def learn(self, parts: list[str]) -> None:
+        """Adds the ids of parts after a blank to the known ones. If these get too many, those met last go: frequent ones are met first."""
+        if len(self.known) + len(parts) > REMEMBERED:
+            self.known = dict(islice(self.known.items(), REMEMBERED // 4))
+            parts = [x for x in parts if x not in self.known]
+        rest = []
+        for x in parts:
+            if x.isalpha():
+                self.known[x] = self.letters(x)
+            elif x[-1:] in self.points and x[:-1].isalpha():
+                self.known[x] = (self.known.get(x[:-1]) or self.letters(x[:-1])) + self.points[x[-1]]
+            else:
+                rest.append(x)
+        self.known.update(zip(rest, self.raw([f" {x}" for x in rest]), strict=True))
+
+    @cached_property
+    def points(self) -> dict[str, bytes]:
+        return dict(zip(",.", self.raw([",", "."]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_parts:
-            return [x + self.end for x in self.raw(texts)]
-        out, known = [], self.known
-        for text in texts:
-            if any(x in text for x in self.added):
-                out.append(self.raw([text])[0] + self.end)
-                continue
-            split = self.parts(text)
-            try:
-                ids = b"".join([known[x] for x in split])
-            except KeyError:
-                new = list({x for x in split if x not in known})
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list(set(split))
-                known.update(zip(new, self.raw(new), strict=True))
-                ids = b"".join([known[x] for x in split])
-            out.append(ids + self.end)
-        return out
+        whole = [not self.by_parts or any(x in t for x in self.added) for t in texts]
+        split = [[t] if w else self.cut.split(t) if self.odd.search(t) else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        met = {x for s in split for x in s[1:]}
+        new = [x for x in met if x not in self.known]
+        if new:
+            self.learn(new if len(self.known) + len(new) <= REMEMBERED else list(met))
+        heads = self.raw([s[0] for s in split])
+        of = self.known.__getitem__
+        return [b"".join([head, *map(of, s[1:]), self.end]) for head, s in zip(heads, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
