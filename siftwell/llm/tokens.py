@@ -18,9 +18,10 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -45,8 +46,9 @@ class Encoder:
     """The ids of whole texts by a tokenizer file, as little-endian numbers of ``width`` bytes, with an end id after each text.
 
     A byte-level tokenizer splits texts by a pattern in which a blank before a visible character always begins a new part,
-    so its ids are those of the parts between such blanks; each distinct part is encoded once. A part of letters alone, with or
-    without a point or comma after it, goes to the tokenizer's model directly, other parts go through the whole tokenizer.
+    so its ids are those of the parts between such blanks; each distinct part is encoded once. The pattern also parts letters
+    from marks after them and from a single line feed, so letters go to the tokenizer's model directly; parts of other shapes
+    go through the whole tokenizer.
     Texts that hold the name of an added token, and all texts of other tokenizers, are encoded whole.
     """
 
@@ -67,6 +69,9 @@ class Encoder:
         self.by_parts = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}  # parts after a blank, without it
+        self.runs: dict[str, bytes] = {"": b""}
+        self.code = {2: "H", 4: "I"}[self.width]
+        self.shape = re.compile(r"(\w+)([^\w\s']*)(?:\n(\w+)([^\w\s']*))?")
         self.odd = re.compile(r" (?=\s|$)")
         self.cut = re.compile(r" (?=\S)")
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary writes as themselves
@@ -77,9 +82,26 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def letters(self, part: str) -> bytes:
-        """The ids of a part of letters alone, with the blank before it."""
-        spelled = f" {part}".encode().decode("latin-1").translate(self.written)
-        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(spelled)])
+        """The ids of letters, with or without a blank before them."""
+        spelled = part.encode().decode("latin-1").translate(self.written)
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def simple(self, part: str) -> bytes | None:
+        """The ids of a part (after a blank) of letters and marks after them, once or twice with a line feed between; else None."""
+        found = self.shape.fullmatch(part)
+        if not found or not found[1].isalpha() or not (found[3] or "a").isalpha():
+            return None
+        out = self.known.get(found[1]) or self.letters(f" {found[1]}")
+        out += self.marks(found[2])
+        if found[3]:
+            out += self.marks("\n") + self.letters(found[3]) + self.marks(found[4])
+        return out
+
+    def marks(self, run: str) -> bytes:
+        if run not in self.runs:
+            self.runs = {} if len(self.runs) > 10_000 else self.runs
+            self.runs[run] = self.raw([run])[0]
+        return self.runs[run]
 
     def learn(self, parts: list[str]) -> None:
         """Adds the ids of parts after a blank to the known ones. If these get too many, those met last go: frequent ones are met first."""
@@ -88,18 +110,13 @@ class Encoder:
             parts = [x for x in parts if x not in self.known]
         rest = []
         for x in parts:
-            if x.isalpha():
-                self.known[x] = self.letters(x)
-            elif x[-1:] in self.points and x[:-1].isalpha():
-                self.known[x] = (self.known.get(x[:-1]) or self.letters(x[:-1])) + self.points[x[-1]]
-            else:
+            ids = self.simple(x)
+            if ids is None:
                 rest.append(x)
+            else:
+                self.known[x] = ids
         self.known.update(zip(rest, self.raw([f" {x}" for x in rest]), strict=True))
 
-    @cached_property
-    def points(self) -> dict[str, bytes]:
-        return dict(zip(",.", self.raw([",", "."]), strict=True))
-
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [not self.by_parts or any(x in t for x in self.added) for t in texts]
         split = [[t] if w else self.cut.split(t) if self.odd.search(t) else t.split(" ") for t, w in zip(texts, whole, strict=True)]
