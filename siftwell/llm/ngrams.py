@@ -38,7 +38,7 @@ DISCOUNT_1, DISCOUNT_2 = 0.5, 0.75
 FILE_PAIRS = 2_000_000
 #: Steps of the quantised logarithms: from -QUANTA / 2**16 * k.
 LOWEST = -16.0
-TEXT_AT_ONCE = 4 << 20
+TEXT_AT_ONCE = 2 << 20
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -103,7 +103,7 @@ class Vocabulary:
         self.words, self.tokens = int(self.starts[-1]), int(self.befores[-1])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The ids of words, -1 for unknown ones."""
+        """The ids of distinct words, -1 for unknown ones."""
         ids = np.full(len(hashes), -1, np.int64)
         for k, at in _by_file(hashes, self.firsts):
             found = EliasFano(nested(load(self.folder, self.lines[k][0]), "keys.")).find(np.minimum(hashes[at] - self.firsts[k], np.uint64(self.lines[k][4])))
@@ -154,7 +154,8 @@ class Bigrams:
             low, high = self.lines[k][3], self.lines[k][5]
             c = np.clip(context[at], low, high) - low
             pointers = EliasFano(nested(x, "pointers."))
-            begin, end = pointers.get(c).astype(np.int64), pointers.get(c + 1).astype(np.int64)
+            own, of = np.unique(c, return_inverse=True)
+            begin, end = pointers.get(own).astype(np.int64)[of], pointers.get(own + 1).astype(np.int64)[of]
             inside = (context[at] >= low) & (context[at] <= high)
             key = (c.astype(np.uint64) << np.uint64(32)) | word[at].astype(np.uint64)
             found = EliasFano(nested(x, "keys.")).find(np.minimum(key, x["last"][0]), begin, end)
@@ -227,15 +228,18 @@ def _write_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch], words: Vocabulary, parts: int) -> Iterator[pa.RecordBatch]:
-    end = words.find(np.array([END]))
     for batch in batches:
         for a, b in pieces(batch.column(0), TEXT_AT_ONCE):
             hashes, _ = tokens_of(batch.column(0).slice(a, b - a))
-            ids = words.find(hashes)
-            key, n = np.unique((np.concatenate([end, ids[:-1]]) << 32) | ids, return_counts=True)
+            own, at = np.unique(hashes, return_inverse=True)
+            ids = words.find(own)  # none is unknown; ascending, as ids follow the hashes
+            before, counts = words.before(ids), words.counts(ids)
+            context = np.concatenate([[np.searchsorted(own, END)], at[:-1]])
+            key, n = np.unique((context << 32) | at, return_counts=True)
             context, word = key >> 32, key & 0xFFFFFFFF
             # where the pair stands among all tokens, if words were independent: grows with the key, and deals pairs evenly
-            place = words.before(context) + words.counts(context) * (words.before(word) / words.tokens)
+            place = before[context] + counts[context] * (before[word] / words.tokens)
+            key = (ids[context] << 32) | ids[word]
             part = np.minimum((place * (parts / words.tokens)).astype(np.int64), parts - 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum.accumulate(part)), pa.array(key), pa.array(n)], ["part", "key", "n"])
 
@@ -282,13 +286,16 @@ def train(texts: DataFrame, text_col: str, folder: str) -> tuple[Vocabulary, Big
 def score_texts(texts: pa.Array, words: Vocabulary, pairs: Bigrams) -> tuple[np.ndarray, ...]:
     """Of each text: tokens, known tokens, add-one unigram score, model score (log10 probabilities)."""
     hashes, n = tokens_of(texts)
-    ids = words.find(hashes)
-    counts = words.counts(ids)
+    own, at = np.unique(hashes, return_inverse=True)
+    own_ids = words.find(own)
+    own_counts = np.where(own_ids >= 0, words.counts(np.maximum(own_ids, 0)), 0) if words.tokens else np.zeros(len(own), np.int64)
+    ids, counts = own_ids[at], own_counts[at]
     base = np.log10((counts + 1) / (words.tokens + words.words + 1))
     short = words.probability(counts)
     ends = np.cumsum(n)
-    context = np.concatenate([[-1], ids[:-1]])
-    context[np.concatenate([[0], ends[:-1]])] = words.find(np.array([END]))[0]
+    before = np.concatenate([[0], at[:-1]])
+    before[np.concatenate([[0], ends[:-1]])] = np.searchsorted(own, END)
+    context, context_counts = own_ids[before], own_counts[before]
     score = np.log10(short) if words.tokens else np.zeros(len(ids))
     known = np.flatnonzero(context >= 0)
     stored, types = np.zeros(len(known)), np.zeros(len(known), np.int64)
@@ -297,7 +304,7 @@ def score_texts(texts: pa.Array, words: Vocabulary, pairs: Bigrams) -> tuple[np.
     probe = np.where(both, ids[known], 0)
     stored, types, lacks = pairs.look_up(context[known], probe)
     stored = np.where(both, stored, 0)
-    back = DISCOUNT_2 * types / np.maximum(words.counts(context[known]), 1) * short[known]
+    back = DISCOUNT_2 * types / np.maximum(context_counts[known], 1) * short[known]
     score[known] = np.log10(np.where(stored == 0, back, np.where(lacks, stored + back, stored)))
     begins = ends - n
     return n, np.add.reduceat(counts > 0, begins, dtype=np.int64), np.add.reduceat(base, begins), np.add.reduceat(score, begins)
