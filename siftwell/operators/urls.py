@@ -25,7 +25,7 @@ def taken_apart(raw: Column) -> Column:
     authority = F.when(with_host, F.regexp_extract(body, r"^([^/?#\\]*)", 1))
     hostport = F.element_at(F.split(authority, "@"), -1)
     host = F.regexp_extract(hostport, r"^(\[[^\]]*\]|[^:]*)", 1)
-    port = F.regexp_extract(hostport, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
+    port = F.regexp_extract(hostport, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
     userinfo = F.when(F.contains(authority, F.lit("@")), F.regexp_extract(authority, r"^(.*)@[^@]*$", 1))
     rest = F.substring(body, F.length(authority) + F.lit(1), F.length(body))
     return F.struct(scheme.alias("scheme"), ((scheme == "") & ~double).alias("relative"), double.alias("protocol_relative"), authority.alias("authority"),

@@ -59,10 +59,10 @@ def per_kib(microseconds: Column, n_bytes: Column) -> Column:
 
 
 def scaling(rows: DataFrame, key: str) -> DataFrame:
-    """Speed-up and efficiency against the fewest workers; ``rows`` has key, workers, seconds, mib."""
+    """Speed-up and efficiency against the fewest workers, unrounded; ``rows`` has key, workers, seconds, mib."""
     first = F.first("seconds").over(Window.partitionBy(key).orderBy("workers"))
     faster = first / F.col("seconds")
-    return rows.select(key, "workers", F.round(F.col("seconds"), 4).alias("batch_seconds"), F.round(F.col("mib") / F.col("seconds"), 1).alias("mib_per_second"), F.round(faster, 3).alias("speedup"), F.round(faster / F.col("workers"), 3).alias("efficiency"))
+    return rows.select(key, "workers", F.col("seconds").alias("batch_seconds"), (F.col("mib") / F.col("seconds")).alias("mib_per_second"), faster.alias("speedup"), (faster / F.col("workers")).alias("efficiency"))
 
 
 def run_pairs(runs: DataFrame) -> DataFrame:

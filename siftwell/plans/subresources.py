@@ -6,28 +6,33 @@ doesn't fit counts nothing); it is a fold over each page's references, which the
 
 from __future__ import annotations
 
+from urllib.parse import urldefrag, urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sniff
-from ..operators.urls import taken_apart
 from ..policy import Policy
 
 KIND_OF = {"text/css": "css", "text/javascript": "js", "image/jpeg": "image", "image/png": "image", "image/gif": "image", "image/webp": "image", "image/svg+xml": "image", "image/tiff": "image"}
 
 
+def _absolute(raws: pa.Array, bases: pa.Array) -> pa.Array:
+    out = []
+    for raw, base in zip(raws.to_pylist(), bases.to_pylist(), strict=True):
+        text = (raw or "").strip()
+        try:
+            joined = urldefrag(urljoin(base or "", text)).url
+        except ValueError:
+            joined = ""
+        out.append(joined if text and not text.startswith("#") and joined.lower().startswith(("http://", "https://")) else None)
+    return pa.array(out, pa.string())
+
+
 def absolute(raw: Column, base: Column) -> Column:
     """A reference joined to an absolute base URL; null if it is empty, a fragment, or neither http nor https."""
-    r, b = taken_apart(raw), taken_apart(base)
-    origin = F.concat(b["scheme"], F.lit("://"), b["authority"])
-    path = F.regexp_extract(b["rest"], r"^([^?#]*)", 1)
-    folder = F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"^(.*/)[^/]*$", 1)).otherwise("/")
-    text = F.trim(raw)
-    joined = (F.when(r["scheme"] != "", text).when(r["protocol_relative"], F.concat(b["scheme"], F.lit(":"), text)).when(text.startswith("/"), F.concat(origin, text))
-              .when(text.startswith("?"), F.concat(origin, path, text)).otherwise(F.concat(origin, folder, F.regexp_replace(text, r"^(\./)+", ""))))
-    whole = F.regexp_replace(joined, "#.*$", "")
-    scheme = F.lower(F.regexp_extract(whole, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    return F.when((text != "") & ~text.startswith("#") & scheme.isin("http", "https"), whole)
+    return F.arrow_udf(_absolute, "string")(raw, base)
 
 
 def slots(reports: DataFrame, max_requests: int, refused: DataFrame | None = None) -> DataFrame:

@@ -169,7 +169,7 @@ ORACLES = {
     "page_links": f"SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_distinct FROM ({_HREFS}) GROUP BY 1",
     "reference_slots": f"{_SLOTS} SELECT slot >= 3 AS over, count(*) AS n, max(slot)::BIGINT AS last_slot FROM s GROUP BY 1",
     "output_names": "SELECT page_id, page_id || '-' || regexp_replace(split_part(rtrim(url, '/'), '/', -1), '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages",
-    "redirects": """WITH RECURSIVE f AS (SELECT page_id, page_id AS at, 0 AS hops FROM pages UNION ALL SELECT page_id, CASE WHEN at % 5 = 4 THEN at ELSE at - 1 END, hops + 1 FROM f WHERE at % 5 > 0 AND hops < 5)
-  SELECT CASE WHEN at % 5 = 0 THEN 'fetched' ELSE 'too_many' END AS outcome, hops, count(*) AS n FROM (SELECT page_id, arg_max(at, hops) at, max(hops) hops FROM f GROUP BY 1) GROUP BY ALL""",
+    "redirects": """WITH RECURSIVE f AS (SELECT page_id, page_id AS p, 0 AS hops FROM pages UNION ALL SELECT page_id, CASE WHEN p % 5 = 4 THEN p ELSE p - 1 END, hops + 1 FROM f WHERE p % 5 > 0 AND hops < 5)
+  SELECT CASE WHEN p % 5 = 0 THEN 'fetched' ELSE 'too_many' END AS outcome, hops, count(*) AS n FROM (SELECT page_id, arg_max(p, hops) p, max(hops) hops FROM f GROUP BY 1) GROUP BY ALL""",
     "host_suffixes": f"WITH h AS (SELECT string_split({_HOST}, '.') l FROM pages), s AS (SELECT l, unnest(range(1, len(l) + 1)) i FROM h) SELECT array_to_string(l[i:], '.') AS suffix, count(*) AS n FROM s GROUP BY 1",
 }

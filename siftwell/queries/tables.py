@@ -88,8 +88,8 @@ def cost_per_kib(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speed_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("workers"), F.col("l_quantity").alias("seconds"), (F.col("l_quantity") * 2).alias("mib"))
-    return evaluate.scaling(rows, "run").select("run", "workers", "batch_seconds", "mib_per_second", "speedup")
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("workers")).agg(F.sum("l_quantity").alias("seconds"), F.sum(F.col("l_quantity") * 2).alias("mib"))
+    return evaluate.scaling(rows, "run")
 
 
 def run_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,14 +145,14 @@ ORACLES = {
     "image_sizes": "SELECT p_partkey, ((p_partkey * 7919) % 12000 + 1) * ((p_partkey * 104729) % 12000 + 1) > 50000000 AS over_budget FROM part",
     "entity_risks": "SELECT p_partkey, CASE WHEN p_size * 10 ** (p_partkey % 8) > 10485760 THEN 'scan.xml.entity_expansion' ELSE 'scan.xml.xxe' END AS rule FROM part",
     "label_verdicts": f"{_SAMPLES} SELECT kind, verdict, count(*) AS n FROM v GROUP BY ALL",
-    "label_confusion": f"""{_SAMPLES}, r AS (SELECT 'symbols' AS rule, count_if(bad) AS expected, count_if(sym) AS fired, count_if(bad AND sym) AS true_positive, count_if(bad AND NOT sym) AS false_negative, count_if(NOT bad AND sym) AS false_positive FROM v
-  UNION ALL SELECT 'short', 0, count_if(short), 0, 0, count_if(NOT bad AND short) FROM v)
+    "label_confusion": f"""{_SAMPLES}, r AS (SELECT 'symbols' AS rule, count_if(bad)::BIGINT AS expected, count_if(sym)::BIGINT AS fired, count_if(bad AND sym)::BIGINT AS true_positive, count_if(bad AND NOT sym)::BIGINT AS false_negative, count_if(NOT bad AND sym)::BIGINT AS false_positive FROM v
+  UNION ALL SELECT 'short', 0, count_if(short)::BIGINT, 0, 0, count_if(NOT bad AND short)::BIGINT FROM v)
   SELECT *, CASE WHEN true_positive + false_positive = 0 THEN 'n/a' ELSE printf('%.4f', true_positive / (true_positive + false_positive)) END AS precision, CASE WHEN true_positive + false_negative = 0 THEN 'n/a' ELSE printf('%.4f', true_positive / (true_positive + false_negative)) END AS recall
   FROM r WHERE expected + fired > 0""",
-    "label_category_rates": f"{_SAMPLES} SELECT kind, category, count_if(verdict IN ('neutralised', 'clean', 'mislabelled')) AS numerator, count(*) AS denominator, printf('%.4f', count_if(verdict IN ('neutralised', 'clean', 'mislabelled')) / count(*)) AS rate FROM v GROUP BY GROUPING SETS ((kind, category), (kind))",
+    "label_category_rates": f"{_SAMPLES} SELECT kind, category, count_if(verdict IN ('neutralised', 'clean', 'mislabelled'))::BIGINT AS numerator, count(*) AS denominator, printf('%.4f', count_if(verdict IN ('neutralised', 'clean', 'mislabelled')) / count(*)) AS rate FROM v GROUP BY GROUPING SETS ((kind, category), (kind))",
     "latency_middle": "SELECT event_type, count(value) AS n, min(value) AS low, list_sort(list(value))[count(value) // 2 + 1] AS middle, max(value) AS high FROM events WHERE value IS NOT NULL GROUP BY 1",
     "cost_per_kib": "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 50 = 0 THEN 'n/a' ELSE printf('%.3f', l_quantity::BIGINT * 1024 / (l_partkey % 50)) END AS us_per_kib, greatest(l_quantity::BIGINT - l_partkey % 50, 0)::BIGINT AS rewrite_us FROM lineitem",
-    "speed_up": "SELECT l_orderkey AS run, l_linenumber AS workers, round(l_quantity, 4) AS batch_seconds, round(l_quantity * 2 / l_quantity, 1) AS mib_per_second, round(first_value(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) / l_quantity, 3) AS speedup FROM lineitem",
+    "speed_up": "WITH l AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) l_quantity FROM lineitem GROUP BY 1, 2) SELECT l_orderkey AS run, l_linenumber AS workers, l_quantity AS batch_seconds, l_quantity * 2 / l_quantity AS mib_per_second, first_value(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) / l_quantity AS speedup, first_value(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) / l_quantity / l_linenumber AS efficiency FROM l",
     "run_comparisons": "SELECT a.n_regionkey AS kind, a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "status_cells": "SELECT o_orderpriority, string_agg(o_orderstatus || '=' || n, ' ' ORDER BY o_orderstatus || '=' || n) AS cell FROM (SELECT o_orderpriority, o_orderstatus, count(*) n FROM orders GROUP BY 1, 2) GROUP BY 1",
     "bucket_rollup": """WITH s AS (SELECT (['sanitised', 'clean', 'refused', 'ssrf_blocked', 'fetch_error', 'budget_exceeded'])[o_orderkey % 6 + 1] AS status FROM orders)
