@@ -69,6 +69,7 @@ class Encoder:
         self.by_parts = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}  # parts after a blank, without it
+        self.firsts: dict[str, bytes] = {}  # words after a line feed
         self.runs: dict[str, bytes] = {"": b""}
         self.code = {2: "H", 4: "I"}[self.width]
         self.shape = re.compile(r"(\w+)([^\w\s']*)(?:\n(\w+)([^\w\s']*))?")
@@ -91,15 +92,21 @@ class Encoder:
         found = self.shape.fullmatch(part)
         if not found or not found[1].isalpha() or not (found[3] or "a").isalpha():
             return None
-        out = self.known.get(found[1]) or self.letters(f" {found[1]}")
+        out = self.known.get(found[1])
+        if out is None:
+            out = self.known[found[1]] = self.letters(f" {found[1]}")
         out += self.marks(found[2])
         if found[3]:
-            out += self.marks("\n") + self.letters(found[3]) + self.marks(found[4])
+            first = self.firsts.get(found[3])
+            if first is None:
+                self.firsts = {} if len(self.firsts) > REMEMBERED // 4 else self.firsts
+                first = self.firsts[found[3]] = self.letters(found[3])
+            out += self.marks("\n") + first + self.marks(found[4])
         return out
 
     def marks(self, run: str) -> bytes:
         if run not in self.runs:
-            self.runs = {} if len(self.runs) > 10_000 else self.runs
+            self.runs = {"": b""} if len(self.runs) > 10_000 else self.runs
             self.runs[run] = self.raw([run])[0]
         return self.runs[run]
 
