@@ -38,7 +38,7 @@ DISCOUNT_1, DISCOUNT_2 = 0.5, 0.75
 FILE_PAIRS = 2_000_000
 #: Steps of the quantised logarithms: from -QUANTA / 2**16 * k.
 LOWEST = -16.0
-TEXT_AT_ONCE = 2 << 20
+TEXT_AT_ONCE = 1 << 20
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
