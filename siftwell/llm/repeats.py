@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stage
+from .common import BROADCAST_ROWS, cut, stage
 from .symbols import Rolling, pieces, sliding_min
 
 POSITION_BITS = 28
@@ -194,11 +194,11 @@ def find_repeats(docs: DataFrame, w: Windows, id_col: str, text_col: str) -> Dat
     index = blocks.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed"))
     index = cut(index.where("n > 1").select("anchor", "mixed"))
     small = index.count() <= BROADCAST_ANCHORS
-    repeated = cut(blocks.join(F.broadcast(index) if small else index, "anchor"))
+    repeated = stage(blocks.join(F.broadcast(index) if small else index, "anchor"))
     kinds = repeated.where("mixed").groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "start")).alias("one"))
     alone = kinds.where("n = 1").select("anchor").distinct()
-    told = repeated.where("mixed").join(kinds, ["anchor", "content"])
-    told = told.join(alone.withColumn("needed", F.lit(True)), "anchor", "left")
+    kinds = cut(kinds.join(alone.withColumn("needed", F.lit(True)), "anchor", "left"))  # of a repeated block one row is left here
+    told = repeated.where("mixed").join(F.broadcast(kinds) if kinds.count() <= BROADCAST_ROWS else kinds, ["anchor", "content"])
     is_one = (F.col("row_key") == F.col("one.row_key")) & (F.col("start") == F.col("one.start"))
     told = told.select("row_key", "start", "end", (F.col("n") == 1).alias("open"), F.when(F.col("needed") & is_one, F.col("anchor")).alias("anchor"))
     plain = repeated.where("NOT mixed").select("row_key", "start", "end", F.lit(False).alias("open"), F.lit(None).cast("bigint").alias("anchor"))
@@ -208,11 +208,12 @@ def find_repeats(docs: DataFrame, w: Windows, id_col: str, text_col: str) -> Dat
     met = stage(met.mapInArrow(lambda b: _meet(b, w), f"id {kind}, row_key bigint, text binary, known binary, records {RECORD}, {results}"))
     records = met.select("row_key", F.explode("records").alias("r")).select("r.anchor", "row_key", "r.start", "r.open", "r.body")
     large = cut(records.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor"))
-    some_large = not large.isEmpty()
-    usual = records.join(F.broadcast(large), "anchor", "left_anti") if some_large else records  # one in GROUP records at most
+    n_large = large.count()
+    listed = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
+    usual = records.join(listed, "anchor", "left_anti") if n_large else records
     found = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _compare(b, w), "row_key bigint, start int, offsets binary")
-    if some_large:
-        found = found.unionByName(_by_hashes(records.join(F.broadcast(large), "anchor", "left_semi"), w))
+    if n_large:
+        found = found.unionByName(_by_hashes(records.join(listed, "anchor", "left_semi"), w))
     findings = found.groupBy("row_key").agg(F.collect_list(F.struct("start", "offsets")).alias("findings"))
     names = ["id", *[c for c, _ in w.columns]]
     opened = met.where(F.col("text").isNotNull()).select("id", "row_key", "text", "known").join(findings, "row_key", "left")
