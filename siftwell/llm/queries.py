@@ -26,7 +26,7 @@ def op2_suffix_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), *MEASURES, "base_failed", "kept", "host_rate")
+    return found.select(F.col("id").alias("doc_id"), *MEASURES, "base_failed", "kept")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,16 @@ ORACLES: dict[str, str] = {
   h AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r), x AS (SELECT d.doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
   k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.j) AS kept, count(*) AS n FROM x ANTI JOIN h USING (doc_id, j) GROUP BY 1)
   SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op3_host_quality": f"""WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+  l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d), dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+  p AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8), g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM p),
+  r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1), rw AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM r) GROUP BY 1),
+  m AS (SELECT doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words
+    FROM d LEFT JOIN dl USING (doc_id) LEFT JOIN rw USING (doc_id)),
+  h AS (SELECT host, count(*) AS n, count_if(n_words < 20)::DOUBLE AS few, count_if(100 * n_repeat_words > 30 * n_words)::DOUBLE AS rep, count_if(100 * n_symbols > 10 * word_chars)::DOUBLE AS sym, count_if(100 * n_dup_lines > 5 * n_words)::DOUBLE AS dup FROM m GROUP BY 1),
+  a AS (SELECT count(*) AS hosts, sum(n)::DOUBLE AS n_all, sum(n)::DOUBLE - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS free, sum(few) AS s_few, sum(few * few / n) AS q_few, sum(rep) AS s_rep, sum(rep * rep / n) AS q_rep, sum(sym) AS s_sym, sum(sym * sym / n) AS q_sym, sum(dup) AS s_dup, sum(dup * dup / n) AS q_dup FROM h),
+  b AS (SELECT *, (s_few + 0.5) / (n_all + 1) AS m_few, (s_rep + 0.5) / (n_all + 1) AS m_rep, (s_sym + 0.5) / (n_all + 1) AS m_sym, (s_dup + 0.5) / (n_all + 1) AS m_dup FROM a), c AS (SELECT *, 1 / least(greatest(CASE WHEN free > 0 THEN ((q_few - s_few * s_few / n_all) - m_few * (1 - m_few) * (hosts - 1)) / (m_few * (1 - m_few) * free) ELSE 0 END, 1e-4), 0.9) - 1 AS w_few, 1 / least(greatest(CASE WHEN free > 0 THEN ((q_rep - s_rep * s_rep / n_all) - m_rep * (1 - m_rep) * (hosts - 1)) / (m_rep * (1 - m_rep) * free) ELSE 0 END, 1e-4), 0.9) - 1 AS w_rep, 1 / least(greatest(CASE WHEN free > 0 THEN ((q_sym - s_sym * s_sym / n_all) - m_sym * (1 - m_sym) * (hosts - 1)) / (m_sym * (1 - m_sym) * free) ELSE 0 END, 1e-4), 0.9) - 1 AS w_sym, 1 / least(greatest(CASE WHEN free > 0 THEN ((q_dup - s_dup * s_dup / n_all) - m_dup * (1 - m_dup) * (hosts - 1)) / (m_dup * (1 - m_dup) * free) ELSE 0 END, 1e-4), 0.9) - 1 AS w_dup FROM b), v AS (SELECT host, (few + m_few * w_few) / (n + w_few) <= 0.5 AND (rep + m_rep * w_rep) / (n + w_rep) <= 0.5 AND (sym + m_sym * w_sym) / (n + w_sym) <= 0.5 AND (dup + m_dup * w_dup) / (n + w_dup) <= 0.5 AS host_kept FROM h, c)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND host_kept AS kept FROM m JOIN v ON m.host IS NOT DISTINCT FROM v.host""",
     "op7_chat_formatting": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', {_HOSTILE} UNION ALL SELECT -1, 1, 'assistant', {_HOSTILE}),
   e AS (SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS opens FROM t)
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
