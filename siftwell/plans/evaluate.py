@@ -69,3 +69,19 @@ def run_pairs(runs: DataFrame) -> DataFrame:
     """(kind, a, b): each pair of runs (kind, ord, name) of a kind once, the earlier first. Runs are a handful."""
     left, right = runs.select("kind", F.col("ord").alias("i"), F.col("name").alias("a")), runs.select("kind", F.col("ord").alias("j"), F.col("name").alias("b"))
     return left.join(right, "kind").where("i < j").select("kind", "a", "b")
+
+
+def judge(outcomes: DataFrame, expected: DataFrame) -> DataFrame:
+    """(name, passed, reasons) of scenario outcomes (name, http, status, fired array, output, wall_ms) against what is expected.
+
+    ``expected``: name, http array, status, rules, forbidden arrays, max_wall_ms; a null expects nothing. A scenario without an
+    outcome fails.
+    """
+    met = expected.select("name", F.col("http").alias("codes"), F.col("status").alias("state"), "rules", "forbidden", "max_wall_ms").join(outcomes, "name", "left")
+    shown = F.lower(F.coalesce("output", F.lit("")))
+    checks = F.array(
+        F.when(F.col("wall_ms").isNull(), "no outcome"), F.when(~F.array_contains("codes", F.col("http")), "http code"), F.when(F.col("state") != F.col("status"), "status"),
+        F.when(F.size(F.array_except("rules", "fired")) > 0, F.concat(F.lit("missing "), F.array_join(F.array_sort(F.array_except("rules", "fired")), " "))),
+        F.when(F.exists("forbidden", lambda m: F.contains(shown, F.lower(m))), "leaked"), F.when(F.col("wall_ms") > F.col("max_wall_ms"), "too slow"))
+    reasons = F.filter(checks, lambda c: c.isNotNull())
+    return met.select("name", (F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"))

@@ -99,3 +99,14 @@ def report_json(reports: DataFrame) -> DataFrame:
                                                                  a["action"].alias("action"), a["replacement"].alias("replacement")), {"ignoreNullFields": "false"}))
     head = F.to_json(F.struct("id", "name", "status", "bytes_in", "bytes_out", "declared_mime", "sniffed_mime"), {"ignoreNullFields": "false"})
     return reports.withColumn("_h", head).withColumn("_a", action).select("id", F.concat(F.expr("left(_h, length(_h) - 1)"), F.lit(',"actions":['), F.array_join("_a", ","), F.lit("]}")).alias("report"))
+
+
+#: HTTP codes of statuses that aren't 200.
+HTTP_CODES = {"budget_exceeded": 413, "ssrf_blocked": 403, "fetch_error": 502, "unsupported_scheme": 400, "malformed_url": 400, "io_error": 500, "internal_error": 500, "skipped_symlink": 500}
+
+
+def responses(reports: DataFrame) -> DataFrame:
+    """(id, http_code, body): what a server would answer for each report, the content in base64."""
+    codes = F.create_map(*[F.lit(x) for kv in HTTP_CODES.items() for x in kv])
+    body = F.to_json(F.struct("status", "bytes_in", "bytes_out", F.base64("output").alias("content"), F.transform("actions", lambda a: a["rule_id"]).alias("rules")))
+    return reports.select("id", F.coalesce(codes[F.col("status")], F.lit(200)).alias("http_code"), body.alias("body"))

@@ -18,7 +18,7 @@ class HtmlRules:
     action_dangerous_scheme: str = "rewrite"
     action_frame: str = "placeholder"
     action_meta_refresh: str = "remove"
-    placeholder_frame: str = '<div class="blocked-frame"></div>'
+    placeholder_frame: str = '<div class="sanitized-placeholder"></div>'
 
 
 @dataclass(frozen=True)

@@ -49,7 +49,7 @@ def test_sanitised_page(spark):
     assert rules == [("html.attr.event_handler", "remove"), ("html.script.disallowed", "remove"), ("html.attr.dangerous_scheme", "rewrite"), ("html.frame.disallowed", "placeholder"),
                      ("html.meta.refresh", "remove"), ("url.blocklist", "rewrite"), ("url.userinfo", "rewrite")]
     out = bytes(found[1].output).decode()
-    assert out == ('<!DOCTYPE html>\n<p>a</p>\n<a href="#blocked">b</a><div class="blocked-frame"></div><img src="#blocked"><a href="https://x.org/">c</a><link rel="Stylesheet" href="s.css">')
+    assert out == ('<!DOCTYPE html>\n<p>a</p>\n<a href="#blocked">b</a><div class="sanitized-placeholder"></div><img src="#blocked"><a href="https://x.org/">c</a><link rel="Stylesheet" href="s.css">')
     assert [(r.raw, r.kind) for r in found[1].references] == [("#blocked", "image"), ("s.css", "css")]
     assert found[1].actions[0].location.line == 2 and found[1].actions[1].location.line == 3
     assert [found[k].status for k in (1, 2, 3, 4, 5, 6, 7)] == ["sanitised", "clean", "clean", "sanitised", "refused", "clean", "refused"]
@@ -126,3 +126,33 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r.at_ms, r.allowed, r.hit) for r in spark.table("verdicts").orderBy("at_ms").collect()] == [(0, True, False), (500, True, True), (2000, False, False), (9000, False, True)]
+
+
+def test_rewritten_references(spark):
+    from siftwell.operators.html import rewrite_references
+
+    page = b"<link rel=stylesheet href=' x.css '><img src=y.png><source srcset='y.png 2x, z.png'><a href=y.png>"
+    rows = spark.createDataFrame([(1, page, {"x.css": "asset-0.css", "y.png": "#blocked"}), (2, page, {})], "id long, data binary, rewrites map<string,string>")
+    found = {r.id: bytes(r.output) for r in rewrite_references(rows).collect()}
+    assert found == {1: b'<link rel=stylesheet href="asset-0.css"><img src="#blocked"><source srcset="#blocked 2x, z.png"><a href=y.png>', 2: page}
+
+
+def test_responses_and_scenarios(spark):
+    import base64
+    import json
+
+    reports = spark.createDataFrame([(1, "clean", 2, 2, b"ok", []), (2, "refused", 2, 0, None, [("r",)]), (3, "budget_exceeded", 9, 0, None, [])], "id long, status string, bytes_in long, bytes_out long, output binary, actions array<struct<rule_id:string>>")
+    found = {r.id: (r.http_code, json.loads(r.body)) for r in pipeline.responses(reports).collect()}
+    assert found[1][0] == 200 and found[3][0] == 413 and base64.b64decode(found[1][1]["content"]) == b"ok" and found[2][0] == 200 and found[2][1]["rules"] == ["r"] and "content" not in found[2][1]
+    outcomes = spark.createDataFrame([("a", 200, "sanitised", ["r"], "fine", 5), ("b", 500, "clean", [], "EVIL", 50)], "name string, http int, status string, fired array<string>, output string, wall_ms long")
+    expected = spark.createDataFrame([("a", [200], "sanitised", ["r"], ["evil"], 10), ("b", [200], "sanitised", ["r", "s"], ["evil"], 10), ("c", None, None, None, None, None)], "name string, http array<int>, status string, rules array<string>, forbidden array<string>, max_wall_ms long")
+    assert {r.name: r.reasons for r in evaluate.judge(outcomes, expected).collect()} == {"a": [], "b": ["http code", "status", "missing r s", "leaked", "too slow"], "c": ["no outcome"]}
+
+
+def test_registered_functions(spark):
+    from siftwell.functions.register import register
+
+    register(spark)
+    assert spark.sql("SELECT parsed_host('MÜNCHEN.de').ascii AS a, decode_references('&#97;&colon;') AS b").first() == ("xn--mnchen-3ya.de", "a:")
+    assert [r.rule for r in spark.sql("SELECT * FROM css_findings('@import \"x\"; a{width:expression(1)}')").collect()] == ["scan.css.import", "scan.css.expression"]
+    assert spark.sql("SELECT * FROM html_tags(CAST('<p id=a>' AS BINARY))").first().attrs == {"id": "a"}
