@@ -37,7 +37,8 @@ def blocklist_rows(lines: DataFrame) -> DataFrame:
 
     Raises on a line without a name after an address, and on a name that is listed twice.
     """
-    stock = ("localhost", "localhost.localdomain", "local", "broadcasthost", "ip6-localhost", "ip6-loopback", "ip6-localnet", "ip6-mcastprefix", "ip6-allnodes", "ip6-allrouters", "ip6-allhosts", "0.0.0.0")
+    # fixed values: names that every stock hosts file maps
+    stock = ("localhost", "localhost.localdomain", "broadcasthost", "ip6-localhost", "ip6-loopback", "ip6-allnodes", "ip6-allrouters", "ip6-allhosts")
     tokens = lines.select(F.split(F.trim(F.split("value", "#")[0]), r"\s+").alias("t")).where(F.get("t", F.lit(0)) != "")
     rows = tokens.select("t", F.explode(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))).alias("name"))
     rows = rows.select(F.rtrim(F.lower("name"), F.lit(".")).alias("domain")).where(~F.col("domain").isin(*stock))

@@ -26,8 +26,8 @@ def measure(truth: DataFrame, results: DataFrame) -> DataFrame:
     lost = F.filter("preserved", lambda m: ~F.contains(shown, F.lower(m)))
     rows = both.select("kind", "name", "category", "status", F.array_contains("expected", F.col("status")).alias("as_expected"), fired.alias("fired"), F.col("rules").alias("required"), missing.alias("missing"), unexpected.alias("unexpected"), leaked.alias("leaked"), lost.alias("lost"))
     bad = F.col("kind") == "malicious"
-    verdict = (F.when(bad & (F.size("leaked") > 0), "leaked").when(bad & ~F.col("as_expected"), "missed").when(bad & (F.size("missing") > 0), "mislabelled").when(bad, "neutralised")
-               .when((F.size("unexpected") > 0) | (F.size("lost") > 0) | ~F.col("as_expected"), "false_positive").otherwise("clean"))
+    verdict = (F.when(bad & (F.size("leaked") > 0), "leaked").when(bad & ~(F.col("as_expected") & (F.size("lost") == 0)), "missed").when(bad & (F.size("missing") > 0), "mislabelled").when(bad, "detected")
+               .when((F.size("unexpected") > 0) | (F.size("lost") > 0), "false_positive").otherwise("clean"))
     return rows.withColumn("verdict", verdict)
 
 
@@ -41,7 +41,7 @@ def rule_confusion(measured: DataFrame) -> DataFrame:
     return out.withColumn("precision", rate(tp, tp + F.col("false_positive"))).withColumn("recall", rate(tp, tp + F.col("false_negative")))
 
 
-def category_rates(measured: DataFrame, good: tuple[str, ...] = ("neutralised", "clean", "mislabelled")) -> DataFrame:
+def category_rates(measured: DataFrame, good: tuple[str, ...] = ("detected", "clean", "mislabelled")) -> DataFrame:
     """(kind, category, numerator, denominator, rate) for each category, and with a null category for each kind."""
     hits = F.count_if(F.col("verdict").isin(*good))
     return measured.groupingSets([["kind", "category"], ["kind"]], "kind", "category").agg(hits.alias("numerator"), F.count("*").alias("denominator"), rate(hits, F.count("*")).alias("rate"))
@@ -85,3 +85,29 @@ def judge(outcomes: DataFrame, expected: DataFrame) -> DataFrame:
         F.when(F.exists("forbidden", lambda m: F.contains(shown, F.lower(m))), "leaked"), F.when(F.col("wall_ms") > F.col("max_wall_ms"), "too slow"))
     reasons = F.filter(checks, lambda c: c.isNotNull())
     return met.select("name", (F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"))
+
+
+def percentage(numerator: Column, denominator: Column) -> Column:
+    """A share in percent with two decimals, ``n/a`` over nothing."""
+    return F.when(denominator == 0, "n/a").otherwise(F.format_string("%.2f", 100.0 * numerator / denominator))
+
+
+def summary(measured: DataFrame) -> DataFrame:
+    """(metric, kind, numerator, denominator, rate) in long form: the rates of each kind, and of each category in it.
+
+    Malicious samples: ``detection_rate`` (neutralised, whatever rule was named), ``rule_accuracy``, ``leak_rate``,
+    ``false_negative_rate``; benign ones: ``false_positive_rate``. By category: ``detection_rate.<category>`` and
+    ``clean_rate.<category>``. One pass over the samples; the categories' counts are added up for the kinds.
+    """
+    held = F.col("verdict").isin("detected", "mislabelled", "clean")
+    counts = measured.groupBy("kind", "category").agg(
+        F.count("*").alias("total"), F.count_if(held).alias("held"), F.count_if(F.size("missing") == 0).alias("named"),
+        F.count_if(F.col("verdict") == "leaked").alias("leaked"), F.count_if(F.col("verdict") == "false_positive").alias("wrong"))
+    bad = F.col("kind") == "malicious"
+    prefix = F.when(bad, "detection_rate.").otherwise("clean_rate.")
+    by_category = counts.select(F.concat(prefix, "category").alias("metric"), "kind", F.col("held").alias("numerator"), F.col("total").alias("denominator"))
+    whole = counts.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("total", "held", "named", "leaked", "wrong")])
+    line = lambda metric, n: F.struct(F.lit(metric).alias("metric"), n.alias("numerator"))
+    lines = F.when(bad, F.array(line("detection_rate", F.col("held")), line("rule_accuracy", F.col("named")), line("leak_rate", F.col("leaked")), line("false_negative_rate", F.col("total") - F.col("held")))).otherwise(F.array(line("false_positive_rate", F.col("wrong"))))
+    by_kind = whole.select(F.explode(lines).alias("x"), "kind", "total").select("x.metric", "kind", "x.numerator", F.col("total").alias("denominator"))
+    return by_kind.unionByName(by_category).withColumn("rate", percentage(F.col("numerator"), F.col("denominator")))

@@ -166,6 +166,9 @@ ORACLES = {
     "page_run_summary": "SELECT count(*) AS inputs_total, count(*) AS inputs_ok, 0::BIGINT AS inputs_refused, 0::BIGINT AS inputs_errored, 0::BIGINT AS subresources_fetched, 0::BIGINT AS subresources_refused, 0::BIGINT AS ssrf_blocked FROM pages",
     "blocked_pages": f"WITH h AS (SELECT page_id, {_HOST} host FROM pages) SELECT page_id, host FROM h WHERE " + " OR ".join(f"host = '{d}' OR host LIKE '%.{d}'" for d in BLOCKED),
     "url_labels": f"WITH h AS (SELECT DISTINCT url, {_HOST} host FROM pages) SELECT CASE WHEN " + " OR ".join(f"host = '{d}' OR host LIKE '%.{d}'" for d in BLOCKED) + " THEN 'blocked' ELSE 'clean' END AS label, count(*) AS n FROM h GROUP BY 1",
+    "url_verdicts_hostile": """WITH u AS (SELECT DISTINCT page_id % 12 AS k, CASE WHEN page_id % 12 = 11 THEN '' ELSE regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) END AS path FROM pages)
+  SELECT (['clean', 'homograph', 'homograph', 'userinfo', 'internal', 'internal', 'internal', 'idn', 'clean', 'malformed', 'blocked', 'clean'])[k + 1] AS label, CASE WHEN k IN (4, 5) THEN 'ssrf.loopback' WHEN k = 6 THEN 'ssrf.private' END AS rule,
+    count(*) AS n, count(CASE WHEN k IN (3, 8) THEN 1 END) AS n_canonical FROM u GROUP BY 1, 2""",
     "page_links": f"SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_distinct FROM ({_HREFS}) GROUP BY 1",
     "reference_slots": f"{_SLOTS} SELECT slot >= 3 AS over, count(*) AS n, max(slot)::BIGINT AS last_slot FROM s GROUP BY 1",
     "output_names": "SELECT page_id, page_id || '-' || regexp_replace(split_part(rtrim(url, '/'), '/', -1), '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages",

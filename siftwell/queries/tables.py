@@ -78,6 +78,10 @@ def label_category_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.category_rates(labelled(spark, sf_dir))
 
 
+def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.summary(labelled(spark, sf_dir))
+
+
 def latency_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.middle(read(spark, sf_dir, "events"), "event_type", "value")
 
@@ -130,13 +134,13 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    network_rules, guard_decisions, image_sizes, entity_risks, label_verdicts, label_confusion, label_category_rates, latency_middle, cost_per_kib, speed_up,
+    network_rules, guard_decisions, image_sizes, entity_risks, label_verdicts, label_confusion, label_category_rates, label_summary, latency_middle, cost_per_kib, speed_up,
     run_comparisons, status_cells, bucket_rollup, request_budget, truth_agreement, hourly_events)}
 
 _NETWORKS = "(VALUES " + ", ".join(f"({n}, {int(lo, 16)}, {int(hi, 16)}, '{rule}')" for n, family, lo, hi, rule in netaddr.deny_rows() if family == 4) + ") net(ord, lo, hi, rule)"
 _SAMPLES = """WITH d AS (SELECT doc_id, coalesce(source, '') category, coalesce(text, '') t, quality FROM labels JOIN documents USING (doc_id)),
   m AS (SELECT *, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) * 50 > length(t) AS sym, length(t) < 200 AS short, contains(lower(t), 'akia') AS leak, quality = 0 AS bad FROM d),
-  v AS (SELECT *, CASE WHEN bad AND leak THEN 'leaked' WHEN bad AND NOT sym THEN 'mislabelled' WHEN bad THEN 'neutralised' WHEN sym OR short THEN 'false_positive' ELSE 'clean' END AS verdict, CASE WHEN bad THEN 'malicious' ELSE 'benign' END AS kind FROM m)"""
+  v AS (SELECT *, CASE WHEN bad AND leak THEN 'leaked' WHEN bad AND NOT sym THEN 'mislabelled' WHEN bad THEN 'detected' WHEN sym OR short THEN 'false_positive' ELSE 'clean' END AS verdict, CASE WHEN bad THEN 'malicious' ELSE 'benign' END AS kind FROM m)"""
 ORACLES = {
     "network_rules": f"SELECT rule, count(*) AS n FROM (SELECT event_id, arg_min(rule, ord) rule FROM events JOIN {_NETWORKS} ON (event_id::HUGEINT * {SPREAD}) % {MODULUS} BETWEEN lo AND hi GROUP BY 1) GROUP BY 1",
     "guard_decisions": f"""WITH a AS (SELECT c_custkey, ord, ((c_custkey::HUGEINT * 7 + ord) * {SPREAD}) % {MODULUS} ip FROM customer, (VALUES (0), (1)) o(ord)),
@@ -149,7 +153,13 @@ ORACLES = {
   UNION ALL SELECT 'short', 0, count_if(short)::BIGINT, 0, 0, count_if(NOT bad AND short)::BIGINT FROM v)
   SELECT *, CASE WHEN true_positive + false_positive = 0 THEN 'n/a' ELSE printf('%.4f', true_positive / (true_positive + false_positive)) END AS precision, CASE WHEN true_positive + false_negative = 0 THEN 'n/a' ELSE printf('%.4f', true_positive / (true_positive + false_negative)) END AS recall
   FROM r WHERE expected + fired > 0""",
-    "label_category_rates": f"{_SAMPLES} SELECT kind, category, count_if(verdict IN ('neutralised', 'clean', 'mislabelled'))::BIGINT AS numerator, count(*) AS denominator, printf('%.4f', count_if(verdict IN ('neutralised', 'clean', 'mislabelled')) / count(*)) AS rate FROM v GROUP BY GROUPING SETS ((kind, category), (kind))",
+    "label_category_rates": f"{_SAMPLES} SELECT kind, category, count_if(verdict IN ('detected', 'clean', 'mislabelled'))::BIGINT AS numerator, count(*) AS denominator, printf('%.4f', count_if(verdict IN ('detected', 'clean', 'mislabelled')) / count(*)) AS rate FROM v GROUP BY GROUPING SETS ((kind, category), (kind))",
+    "label_summary": f"""{_SAMPLES}, l AS (SELECT 'detection_rate' AS metric, kind, count_if(verdict IN ('detected', 'mislabelled'))::BIGINT AS numerator, count(*) AS denominator FROM v WHERE bad GROUP BY 2
+  UNION ALL SELECT 'rule_accuracy', kind, count_if(sym)::BIGINT, count(*) FROM v WHERE bad GROUP BY 2 UNION ALL SELECT 'leak_rate', kind, count_if(leak)::BIGINT, count(*) FROM v WHERE bad GROUP BY 2
+  UNION ALL SELECT 'false_negative_rate', kind, count_if(verdict NOT IN ('detected', 'mislabelled'))::BIGINT, count(*) FROM v WHERE bad GROUP BY 2
+  UNION ALL SELECT 'false_positive_rate', kind, count_if(verdict = 'false_positive')::BIGINT, count(*) FROM v WHERE NOT bad GROUP BY 2
+  UNION ALL SELECT CASE WHEN bad THEN 'detection_rate.' ELSE 'clean_rate.' END || category, kind, count_if(verdict IN ('detected', 'mislabelled', 'clean'))::BIGINT, count(*) FROM v GROUP BY 1, 2)
+  SELECT metric, kind, numerator, denominator, printf('%.2f', 100.0::DOUBLE * numerator / denominator) AS rate FROM l""",
     "latency_middle": "SELECT event_type, count(value) AS n, min(value) AS low, list_sort(list(value))[count(value) // 2 + 1] AS middle, max(value) AS high FROM events WHERE value IS NOT NULL GROUP BY 1",
     "cost_per_kib": "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 50 = 0 THEN 'n/a' ELSE printf('%.3f', l_quantity::BIGINT * 1024 / (l_partkey % 50)) END AS us_per_kib, greatest(l_quantity::BIGINT - l_partkey % 50, 0)::BIGINT AS rewrite_us FROM lineitem",
     "speed_up": "WITH l AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) l_quantity FROM lineitem GROUP BY 1, 2) SELECT l_orderkey AS run, l_linenumber AS workers, l_quantity AS batch_seconds, l_quantity * 2 / l_quantity AS mib_per_second, first_value(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) / l_quantity AS speedup, first_value(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) / l_quantity / l_linenumber AS efficiency FROM l",

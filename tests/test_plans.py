@@ -105,7 +105,7 @@ def test_evaluation(spark):
                                   "kind string, name string, category string, status array<string>, rules array<string>, allowed array<string>, forbidden_rules array<string>, forbidden array<string>, preserved array<string>")
     results = spark.createDataFrame([("malicious", "a", "refused", ["r", "r"], None), ("benign", "b", "clean", ["q"], "KEEP")], "kind string, name string, status string, fired array<string>, output string")
     measured = evaluate.measure(truth, results)
-    assert {r.name: r.verdict for r in measured.collect()} == {"a": "neutralised", "b": "false_positive"}
+    assert {r.name: r.verdict for r in measured.collect()} == {"a": "detected", "b": "false_positive"}
     assert {r.rule: (r.precision, r.recall) for r in evaluate.rule_confusion(measured).collect()} == {"r": ("1.0000", "1.0000"), "q": ("0.0000", "n/a")}
     odd = spark.createDataFrame([("k", v) for v in (4, 1, 3, 2)], "k string, v int")
     assert evaluate.middle(odd, "k", "v").first().middle == 3
