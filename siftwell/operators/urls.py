@@ -13,23 +13,23 @@ SPECIAL = ("http", "https", "ftp", "ws", "wss")
 PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
 
 
+#: What stands before a URL's authority: a special scheme with any slashes, or two slashes with or without another scheme.
+BEFORE = r"(?i)^(?:(?:https?|ftp|wss?):[/\\]*|(?:[a-z][a-z0-9+.\-]*:)?//)"
+_USER, _HOST = r"(?:[^/?#\\]*@)?", r"(?:\[[^\]]*\]|[^/?#\\:\[@]*)"
+
+
 def taken_apart(raw: Column) -> Column:
-    """A struct of a URL's parts: scheme, relative (no scheme, no host), protocol_relative, authority, userinfo, host, port, rest."""
+    """A struct of a URL's parts: scheme, relative (no scheme, no host), protocol_relative, authority, userinfo, host, port, rest.
+
+    Every part is one expression over the text, so that plans which use many parts stay small.
+    """
     text = F.trim(raw)
+    part = lambda pattern: F.regexp_extract(text, BEFORE + pattern, 1)
     scheme = F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    double = F.regexp_like(text, F.lit(r"^//"))
-    special = scheme.isin(*SPECIAL)
-    after = F.when(scheme == "", text).otherwise(F.substring(text, F.length(scheme) + F.lit(2), F.length(text)))
-    with_host = double | special | ((scheme != "") & F.regexp_like(after, F.lit("^//")))
-    body = F.when(special, F.regexp_replace(after, r"^[/\\]*", "")).otherwise(F.regexp_replace(after, "^//", ""))
-    authority = F.when(with_host, F.regexp_extract(body, r"^([^/?#\\]*)", 1))
-    hostport = F.element_at(F.split(authority, "@"), -1)
-    host = F.regexp_extract(hostport, r"^(\[[^\]]*\]|[^:]*)", 1)
-    port = F.regexp_extract(hostport, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
-    userinfo = F.when(F.contains(authority, F.lit("@")), F.regexp_extract(authority, r"^(.*)@[^@]*$", 1))
-    rest = F.substring(body, F.length(authority) + F.lit(1), F.length(body))
-    return F.struct(scheme.alias("scheme"), ((scheme == "") & ~double).alias("relative"), double.alias("protocol_relative"), authority.alias("authority"),
-                    userinfo.alias("userinfo"), host.alias("host"), port.alias("port"), rest.alias("rest"))
+    return F.struct(
+        scheme.alias("scheme"), (~F.regexp_like(text, F.lit(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:|//)"))).alias("relative"), text.startswith("//").alias("protocol_relative"),
+        F.when(F.regexp_like(text, F.lit(BEFORE)), part(r"([^/?#\\]*)")).alias("authority"), F.when(F.regexp_like(text, F.lit(BEFORE + r"[^/?#\\]*@")), part(r"([^/?#\\]*)@")).alias("userinfo"),
+        part(f"{_USER}({_HOST[3:]}").alias("host"), part(f"{_USER}{_HOST}:([^/?#\\\\@]*)(?:[/?#\\\\]|$)").alias("port"), part(r"[^/?#\\]*((?s:.*))$").alias("rest"))
 
 
 def blocklist_rows(lines: DataFrame) -> DataFrame:
@@ -75,7 +75,8 @@ def classify_urls(urls: DataFrame, blocklist: DataFrame, protected: DataFrame, n
     then ``blocked``, ``homograph``, ``internal`` (``rule`` names the network), ``userinfo`` (``canonical`` is without it), ``idn``.
     ``canonical`` is also given if the authority isn't written as it is read. Null URLs are left out.
     """
-    rows = urls.select("url").where(F.col("url").isNotNull()).distinct().withColumn("p", taken_apart(F.col("url")))
+    rows = urls.select("url").where(F.col("url").isNotNull()).distinct()
+    rows = rows.select("url", F.explode(F.array(taken_apart(F.col("url")))).alias("p"))  # a row each: the parts are worked out once, not at each use
     named = rows.select(F.col("p.host").alias("host")).where(F.col("host") != "").distinct().withColumn("h", hosts.parsed_host(F.col("host")))
     parsed = named.where(F.col("h").isNotNull()).select("host", "h.*")
     addresses = parsed.where("kind != 'domain'").select("ascii", F.when(F.col("kind") == "ipv4", 4).otherwise(6).alias("of_family"), "digits").distinct()

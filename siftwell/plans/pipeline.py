@@ -20,10 +20,10 @@ def bucket(status: Column) -> Column:
 
 def typed(inputs: DataFrame) -> DataFrame:
     """The inputs with ``declared``, ``sniffed`` and ``effective`` types. Only ZIP archives leave the JVM, to tell office files."""
-    found = sniff.sniffed(F.col("data"))
-    folder = scanners.telling_folder(F.when(F.col("_sniffed") == "application/zip", F.col("data")))
-    rows = inputs.withColumn("declared", sniff.declared(F.col("declared_header"), F.col("name"))).withColumn("_sniffed", found)
-    rows = rows.withColumn("sniffed", F.coalesce(F.when(F.col("_sniffed") == "application/zip", sniff.office_kind(folder)), F.col("_sniffed"))).drop("_sniffed")
+    both = F.struct(sniff.declared(F.col("declared_header"), F.col("name")).alias("declared"), sniff.sniffed(F.col("data")).alias("sniffed"))
+    rows = inputs.withColumn("_types", F.explode(F.array(both)))  # a row each: the types are worked out once, not at each use
+    folder = scanners.telling_folder(F.when(F.col("_types.sniffed") == "application/zip", F.col("data")))
+    rows = rows.withColumn("declared", F.col("_types.declared")).withColumn("sniffed", F.coalesce(sniff.office_kind(folder), F.col("_types.sniffed"))).drop("_types")
     return rows.withColumn("effective", sniff.effective(F.col("sniffed"), F.col("declared")))
 
 
