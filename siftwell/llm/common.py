@@ -39,15 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder of our own."""
+    """The folder all executors share, from ``spark.checkpoint.dir``, as a whole URI (a path without a scheme is in the cluster's
+    own file system); only where the setting is unset (tests, one machine) a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    import tempfile
-
-    return f"file://{tempfile.gettempdir()}/siftwell-checkpoints"
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        found = f"file://{tempfile.gettempdir()}/siftwell-checkpoints"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return f"file:///{whole[6:].lstrip('/')}" if whole.startswith("file:/") else whole
 
 
 def cut(df: DataFrame) -> DataFrame:
