@@ -195,6 +195,45 @@ def pdf_active(data: bytes) -> int | None:
     return None
 
 
+_PDF_BODY = re.compile(rb"stream\r?\n(.*?)endstream", re.S)
+#: An object stream that unpacks to more than this is emptied.
+PDF_UNPACKED = 64 << 20
+
+
+def _without_keys(data: bytes) -> bytes:
+    """Keys that start something get a name of the same length that means nothing, so that all offsets stay."""
+    return _PDF_KEY.sub(lambda m: b"/" + b"X" * (len(m[0]) - 1), data)
+
+
+def _packed_without_keys(body: bytes, packed_objects: bool) -> bytes:
+    """A stream's body in the same length: packed objects without keys (emptied, if they don't fit), other packed data as it is."""
+    reader = zlib.decompressobj()
+    try:
+        plain = reader.decompress(body, PDF_UNPACKED)
+    except zlib.error:
+        return _without_keys(body)
+    if not packed_objects:
+        return body if reader.eof and len(reader.unused_data) <= 2 else _without_keys(body)
+    whole = not reader.unconsumed_tail
+    if whole and not _PDF_KEY.search(plain):
+        return body
+    packed = zlib.compress(_without_keys(plain), 9) if whole else b""
+    if not packed or len(packed) > len(body):
+        packed = zlib.compress(b"")
+    return packed[: len(body)].ljust(len(body), b"\n")
+
+
+def rewritten_pdf(data: bytes) -> bytes:
+    """The file with the keys that start something renamed, in plain objects and in packed object streams; its length stays."""
+    out, at = [], 0
+    for m in _PDF_BODY.finditer(data):
+        head = data[at : m.start(1)]
+        objects = re.search(rb"/Type\s*/ObjStm", head[head.rfind(b"endobj") + 1 :]) is not None
+        out += [_without_keys(head), _packed_without_keys(m[1], objects)]
+        at = m.end(1)
+    return b"".join([*out, _without_keys(data[at:])])
+
+
 _CSS_ESCAPE = re.compile(r"\\([0-9a-fA-F]{1,6})\s?|\\(.)", re.S)
 _CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _CSS_RULES = (
@@ -281,6 +320,27 @@ def scan(data: Column, mime: Column, policy: Policy) -> Column:
     return found(F.when(mime.isin(*SCANNED), data), mime)
 
 
+def _rewritten_sheet(data: bytes) -> bytes:
+    """A style sheet without the rules that have findings; what a removed rule brings together is looked at again."""
+    text = data.decode("utf-8", "surrogateescape")
+    while (shorter := rewritten_css(text)) != text:
+        text = shorter
+    return text.encode("utf-8", "surrogateescape")
+
+
+REWRITERS = {"text/css": _rewritten_sheet, "image/tiff": rewritten_tiff, "application/pdf": rewritten_pdf}
+
+
+def _rewritten(blobs: pa.Array, mimes: pa.Array) -> pa.Array:
+    return pa.array([None if b is None else REWRITERS[m](b) for b, m in zip(blobs.to_pylist(), mimes.to_pylist(), strict=True)], pa.binary())
+
+
+def rewritten(data: Column, mime: Column, found: Column) -> Column:
+    """The bytes without what was ``found``, where a rewriter exists; all other rows keep theirs and never leave the JVM."""
+    here = found & F.coalesce(mime.isin(*REWRITERS), F.lit(False))
+    return F.when(here, F.arrow_udf(_rewritten, "binary")(F.when(here, data), mime)).otherwise(data)
+
+
 def _telling_folder(blobs: pa.Array) -> pa.Array:
     """The office folder of archives; see ``functions.sniff.office_kind``."""
     return pa.array([None if b is None else zip_folder(b) for b in blobs.to_pylist()], pa.string())

@@ -32,7 +32,7 @@ def process(inputs: DataFrame, policy: Policy, blocklist: DataFrame, protected:
 
     An input over the byte budget is ``budget_exceeded`` and isn't looked at. A file that could exhaust a reader, or that has
     active content the policy rejects, is ``refused`` and loses its bytes. HTML goes through the HTML rules, SVG as well (any
-    finding there is active content); all else passes unchanged. A contradiction of types is an action, not a refusal. Null
+    finding there is active content). An allowed finding in CSS, TIFF or PDF is taken out of the bytes; all else passes unchanged. A contradiction of types is an action, not a refusal. Null
     data is empty. ids must be distinct.
     """
     small = F.octet_length("data") <= policy.budgets.max_input_bytes
@@ -64,7 +64,8 @@ def process(inputs: DataFrame, policy: Policy, blocklist: DataFrame, protected:
 
     refused = F.exists("findings", lambda f: (f["category"] == "dos") | F.lit(reject))
     others = others.withColumn("found", F.transform("findings", finding)).withColumn("refused", refused)
-    others = others.withColumn("output", F.when(F.col("within") & ~F.col("refused"), F.col("data")))
+    kept = F.when(F.col("within") & ~F.col("refused"), F.col("data"))
+    others = others.withColumn("output", kept if reject else scanners.rewritten(kept, F.col("effective"), F.col("within") & ~F.col("refused") & (F.size("findings") > 0)))
     others = others.withColumn("references", F.array().cast(f"array<{REFERENCE}>")).withColumn("base", F.lit(None).cast("string")).drop("findings")
     names = ["id", "name", "data", "declared", "sniffed", "within", "mismatch", "found", "refused", "output", "references", "base"]
     both = pages.select(*names).unionByName(others.select(*names))
