@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_name, cut, join_lookup
-from .symbols import BYTE_VALUES, Rolling, Words, mix64, pieces
+from .symbols import Words, pieces
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Words in a window; a power of two.
 WINDOW = 8
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -32,7 +33,7 @@ BASE_RULES = ("few_words", "repeated_words")
 
 
 def measure_texts(texts: pa.Array) -> list[np.ndarray]:
-    """The MEASURES of some texts, one array each."""
+    """The MEASURES of some texts, one array each. Lines and windows are compared as they are, never by hash."""
     w = Words(texts)
     n_docs = len(texts)
 
@@ -41,34 +42,25 @@ def measure_texts(texts: pa.Array) -> list[np.ndarray]:
 
     chars = per_doc(w.inside & ((w.data & 0xC0) != 0x80))
     symbols = per_doc(_SYMBOL[w.data])
-    salt = mix64(np.arange(1, n_docs + 1, dtype=np.uint64))
-
-    newline = np.flatnonzero(w.data == 10)
-    begins = np.concatenate([w.offsets[:-1], newline + 1])
-    doc = np.concatenate([np.arange(n_docs), np.searchsorted(w.offsets, newline, "right") - 1])
-    order = np.lexsort((begins, doc))
-    begins, doc = begins[order], doc[order]
-    last = np.append(doc[1:] != doc[:-1], True) if len(doc) else np.zeros(0, bool)
-    ends = np.where(last, w.offsets[doc + 1], np.append(begins[1:] - 1, 0)) if len(doc) else begins
-    seen = np.concatenate([[0], np.cumsum(w.inside)])
-    full = seen[ends] > seen[begins]
-    begins, ends, doc = begins[full], ends[full], doc[full]
-    keys = mix64(Rolling(BYTE_VALUES[w.data]).of(begins, ends) ^ mix64((ends - begins).astype(np.uint64))) ^ salt[doc]
-    order = np.argsort(keys, kind="stable")
-    again = order[1:][keys[order[1:]] == keys[order[:-1]]]
-    dup_lines = np.bincount(doc[again], minlength=n_docs)
+    data, edges = w.data.tobytes(), w.offsets.tolist()
+    dup_lines = np.zeros(n_docs, np.int64)
+    for n, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        lines = [x for x in data[a:b].split(b"\n") if x.strip()]
+        dup_lines[n] = len(lines) - len(set(lines))
 
     starts = np.flatnonzero(w.window_starts(WINDOW))
     cover = np.zeros(len(w.starts) + 1, np.int64)
     if len(starts):
-        of = np.repeat(np.arange(n_docs), w.counts)
-        keys = Rolling(w.hashes()).windows(WINDOW)[starts] ^ salt[of[starts]]
-        order = np.argsort(keys)
-        same = keys[order[1:]] == keys[order[:-1]]
-        repeated = np.zeros(len(starts), bool)
-        repeated[order[1:][same]] = repeated[order[:-1][same]] = True
-        np.add.at(cover, starts[repeated], 1)
-        np.add.at(cover, starts[repeated] + WINDOW, -1)
+        names = w.codes()[0] + np.repeat(np.arange(n_docs), w.counts) * len(w.starts)
+        size = 1
+        while size < WINDOW:  # names of windows of 2, 4, 8 words: equal for equal windows of one text only
+            names = np.unique(names, return_inverse=True)[1]
+            names = names[:-size] * len(w.starts) + names[size:]
+            size *= 2
+        names = np.unique(names[starts], return_inverse=True)[1]
+        repeated = starts[np.bincount(names)[names] > 1]
+        np.add.at(cover, repeated, 1)
+        np.add.at(cover, repeated + WINDOW, -1)
     covered = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
     return [w.counts, chars, symbols, dup_lines, np.diff(covered[w.bounds])]
 
@@ -126,8 +118,11 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     A document is kept if it fails no base rule (under 20 words; over 30 % of its words in 8-word windows found twice or more)
     and its host's shrunk failure rate is at most ``max_rate`` for every rule. Words are split at ASCII white space.
 
-    Null and empty texts have no words and fail. A null host is a host of its own. Repeated rows and ids count and are judged
-    each by itself. An empty table gives an empty result. Other columns are ignored.
+    With the default a host goes once its next document more likely fails a rule than not.
+
+    Null and empty texts have no words and fail; very long texts are measured whole, in one task's memory. A null host is a
+    host of its own. Repeated rows and ids count and are judged each by itself; ties don't occur. An empty table gives an empty
+    result. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), measures(docs[text_col]).alias("m"))
     rows = cut(rows)
@@ -138,7 +133,11 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns. Texts are measured twice, and never shuffled."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns. Texts are measured twice, and never shuffled.
+
+    Null and empty texts fail and go; very long ones are measured whole. A null host is a host of its own. Repeated rows stay or go
+    together. An empty table gives an empty result. Other columns are kept, whatever their names.
+    """
     at, host = column_name(docs, "_measures"), column_name(docs, "_host")
     rows = docs.withColumn(at, measures(docs[text_col])).withColumn(host, docs[host_col].cast("string"))
     hosts = cut(host_table(rows.select(host, at), host, at))
@@ -146,3 +145,14 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "sourc
     verdicts = host_verdicts(hosts, max_rate).select(F.col("host").alias(host), *[F.col(c).alias(x) for c, x in names.items()])
     good = join_lookup(rows.where(~base_failed(at)), verdicts, host, hosts.count(), docs[text_col])
     return good.where(F.col(names["host_kept"])).drop(at, host, *names.values())
+
+
+def host_report(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
+    """One row per host: host, n (its documents), the failures of each of the RULES, host_rate (the worst shrunk rate), host_kept.
+
+    Nulls, empty tables and repeated rows are handled as in ``judge``.
+    """
+    rows = docs.select(docs[host_col].cast("string").alias("host"), measures(docs[text_col]).alias("m"))
+    hosts = cut(host_table(rows, "host", "m"))
+    verdicts = host_verdicts(hosts, max_rate)
+    return hosts.join(verdicts.withColumnRenamed("host", "of"), hosts["host"].eqNullSafe(F.col("of"))).drop("of")
