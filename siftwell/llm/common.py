@@ -14,6 +14,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000
 #: Copies of a lookup row in a salted join: a key with a third of all rows is dealt to as many tasks.
 SALTS = 64
+#: In a shuffle join by a key with known counts, keys with more rows are joined by broadcast.
+HOT_ROWS = 1_000_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -86,6 +88,19 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, count: int, seed:
     return left.join(right, left[key].eqNullSafe(right[at]) & (left[salt] == right[other]), how).drop(at, salt, other)
 
 
+def join_counted(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that a lookup table knows, with its columns. It has one row per key and in ``n`` how many rows have the key.
+
+    Up to BROADCAST_ROWS it is broadcast. Beyond that keys with over HOT_ROWS rows, of which there are few, are broadcast by
+    themselves, and only the rest is a shuffle join: no key brings more than HOT_ROWS rows into one task.
+    """
+    if lookup.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(lookup), keys)
+    hot = cut(lookup.where(F.col("n") > HOT_ROWS))  # at most rows / HOT_ROWS
+    usual = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(lookup.where(F.col("n") <= HOT_ROWS), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(usual)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """The rows, written as compressed Parquet to the shared folder and read back; for wide rows, where ``cut`` would write them plain."""
     import uuid

@@ -1,18 +1,22 @@
 """Exact repeated windows of a corpus: which symbols (words or bytes) lie in a window that also starts somewhere else.
 
-Both substring operators use this frame and differ in how they tell blocks apart (``Windows.resolve``).
-
-1. A window's anchor is the leftmost smallest hash among its short grams: equal windows have equal anchors. Consecutive windows
-   with one anchor form a block, so a text is a sequence of blocks. The anchors' counts over the corpus are the index.
-2. A block whose anchor is unique has no repeated window. If all blocks of an anchor are equal, all their windows are repeated.
-   The same holds for equal blocks among different ones. Blocks that are alone among different ones stay open.
-3. Texts meet their blocks once. A text without open blocks is finished there. Of open blocks, and of one block of each kind
-   they could share windows with, the symbols are written out, dealt by anchor, and compared.
+Both substring operators use this frame and differ in how they compare blocks (``Windows.resolve``).
+
+1. A window's anchor is the leftmost smallest hash among its short grams: equal windows have equal anchors, at the same place.
+   Consecutive windows with one anchor form a block, so a text is a sequence of blocks. The anchors' counts over the corpus
+   are the index.
+2. A block whose anchor is unique has no repeated window. Blocks that are equal as a whole (anchor and content: 128 bits) are
+   repeated as a whole. Blocks that are alone among different ones stay open.
+3. Texts meet their blocks once. A text without open blocks is finished there. Of open blocks, and of one block of each other
+   kind with the same anchor, the symbols are written out, dealt by anchor, and compared.
 4. Open texts meet the findings and are finished.
 
 Shuffled are: 8 bytes and a count for each block (one of a dozen words or 75 bytes), the repeated blocks, the texts once, and
 the open texts again. An anchor with a third of all blocks is counted before the shuffle; of its blocks only different ones
-reach step 3; if these are very many, their windows are hashed, counted and joined, which splits them over all tasks.
+reach step 3. Where more than GROUP different ones have one anchor, they are split: windows whose anchor is nearer to their
+begin than to their end share more symbols after it, the others more before it; these shared symbols deal each half anew, down
+to single windows if need be. So equal windows always meet, and no group is compared in one task that is larger than GROUP,
+but for windows that are equal throughout, which are aggregated.
 """
 
 from __future__ import annotations
@@ -22,21 +26,45 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, stage
+from .common import cut, join_counted, stage
 from .symbols import Rolling, pieces, sliding_min
 
+#: A text is cut into blocks in parts of so many symbols; two blocks may take the place of one where parts meet.
+SEGMENT = 1 << 26
 POSITION_BITS = 28
-#: The table of repeated anchors is broadcast up to so many rows (a bigint and a boolean each).
-BROADCAST_ANCHORS = 1_000_000
-#: Different blocks of one anchor that one task compares; more are split by their windows' hashes.
-GROUP = 20_000
+#: Different blocks of one anchor that one task compares; more are split by what stands around the anchor.
+GROUP = 2_000
 #: Windows that a task compares at once.
 WINDOWS_AT_ONCE = 400_000
-BLOCKS = "array<struct<start:int,end:int,open:boolean,anchor:bigint>>"
-RECORD = "array<struct<anchor:bigint,start:int,open:boolean,body:binary>>"
+KEY = "row_key bigint, row_check int"
+BLOCKS = "array<struct<start:int,end:int,at:int,open:boolean,anchor:bigint>>"
+RECORD = "array<struct<anchor:bigint,start:int,end:int,at:int,open:boolean,body:binary>>"
+FOUND = f"{KEY}, start int, offsets binary, factors array<struct<at:int,length:int,ref_key:bigint,ref_check:int,ref_at:int>>"
+PART = f"part bigint, anchor bigint, {KEY}, start int, end int, at int, low int, high int, open boolean, body binary"
+
+
+@dataclass(frozen=True)
+class Block:
+    """A block written out for comparing: where its windows start in its text, where its anchor is in its symbols, and its symbols."""
+
+    part: int
+    anchor: int
+    row_key: int
+    row_check: int
+    start: int
+    end: int
+    at: int
+    low: int
+    high: int
+    open: bool
+    body: bytes
+
+    @property
+    def windows(self) -> int:
+        return self.end - self.start
 
 
 @dataclass(frozen=True)
@@ -47,28 +75,45 @@ class Windows:
     gram: int
     #: texts -> values of all symbols, and where each text's begin (one more entry than texts).
     symbols: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
-    #: one text, block ranges (start, end of the windows' starts) -> what is written out of each block.
+    #: one text, block ranges (start, end of the windows' starts), size -> the symbols of each block, written out.
     bodies: Callable[[bytes, list[tuple[int, int]], int], list[bytes]]
-    #: bodies of blocks and which are open -> for each block the offsets of its windows that occur in another block; only those of open ones count.
-    resolve: Callable[[list[bytes], np.ndarray, int], list[np.ndarray]]
-    #: a body -> 64-bit hashes of its windows.
-    hashes: Callable[[bytes, int], np.ndarray]
+    #: symbols written out, first, last -> those from number first up to last.
+    part: Callable[[bytes, int, int], bytes]
+    #: blocks, size -> of each the offsets of its windows that another block has (only those of open blocks count), and factors
+    #: (offset, length, number of another block, offset there).
+    resolve: Callable[[list[Block], int], tuple[list[np.ndarray], list[list[tuple[int, int, int, int]]]]]
     #: one text, merged ranges of removed symbols -> the result columns.
     finish: Callable[[bytes, list[tuple[int, int]]], tuple]
     #: The result columns, as (name, Arrow type).
     columns: tuple[tuple[str, pa.DataType], ...]
 
 
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """96 bits that are equal for repeated rows only."""
+    return [F.xxhash64(id_col, text_col).alias("row_key"), F.hash(F.lit("row"), F.col(id_col), F.octet_length(F.col(text_col).cast("string"))).alias("row_check")]
+
+
 def blocks_of(values: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, start, end, anchor, content): each block's text, the range of its windows' starts (from the text's begin), its
-    anchor and a hash of all its symbols."""
+    """(text, start, end, at, anchor, content): each block's text, the range of its windows' starts (from the text's begin), the
+    place of its anchor after the first of them, the anchor and a hash of all its symbols."""
+    found = []
+    for low in range(0, max(len(values), 1), SEGMENT):
+        high = min(low + SEGMENT + size - 1, len(values))
+        inner = np.clip(bounds, low, high) - low
+        of = _blocks_of(values[low:high], inner, size, gram)
+        first = np.maximum(low - bounds[of[0]], 0)  # a text's symbols before this part
+        found.append((of[0], of[1] + first, of[2] + first, *of[3:]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _blocks_of(values: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
     n = len(values) - size + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     rolling = Rolling(values)
     grams = rolling.windows(gram)
     ranked = (grams >> np.uint64(POSITION_BITS) << np.uint64(POSITION_BITS)) | np.arange(len(grams), dtype=np.uint64)
-    at = sliding_min(ranked, size - gram + 1)[:n] & np.uint64((1 << POSITION_BITS) - 1)
+    at = (sliding_min(ranked, size - gram + 1)[:n] & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
     counts = np.diff(bounds)
     inside = (np.repeat(bounds[1:], counts) - np.arange(len(values)))[:n] >= size
     new = inside.copy()
@@ -77,18 +122,26 @@ def blocks_of(values: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> t
     after = np.append(~inside[1:] | new[1:], True)
     ends = np.flatnonzero(inside & after) + 1
     text = np.searchsorted(bounds, starts, "right") - 1
-    return text, starts - bounds[text], ends - bounds[text], grams[at[starts].astype(np.int64)], rolling.of(starts, ends + size - 1)
+    return text, starts - bounds[text], ends - bounds[text], at[starts] - starts, grams[at[starts]], rolling.of(starts, ends + size - 1)
+
+
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    """A record batch of arrays or lists by a schema of simple types."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(columns, names, strict=True)], [n for n, _ in names])
+
+
+FOUND_BLOCKS = f"{KEY}, start int, end int, at int, anchor bigint, content bigint"
 
 
 def _find_blocks(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = np.asarray(batch.column(0))
-        for a, b in pieces(batch.column(1)):
-            values, bounds = w.symbols(batch.column(1).slice(a, b - a))
-            text, start, end, anchor, content = blocks_of(values, bounds, w.size, w.gram)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[a:b][text]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],
-                ["row_key", "start", "end", "anchor", "content"])
+        keys, checks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        for a, b in pieces(batch.column(2)):
+            values, bounds = w.symbols(batch.column(2).slice(a, b - a))
+            text, start, end, at, anchor, content = blocks_of(values, bounds, w.size, w.gram)
+            yield _batch([keys[a:b][text], checks[a:b][text], start, end, at, anchor.view(np.int64), content.view(np.int64)], FOUND_BLOCKS)
 
 
 def merged(ranges: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -107,20 +160,20 @@ def _results(rows: list[tuple], w: Windows) -> list[pa.Array]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
-    """(id, row_key, text, blocks) -> the results of finished texts; of open ones the text, its removed ranges so far, and records."""
-    record = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("open", pa.bool_()), ("body", pa.binary())]))
-    names = ["id", "row_key", "text", "known", "records", *[c for c, _ in w.columns]]
+    """(id, row_key, row_check, text, blocks) -> the results of finished texts; of open ones the text, its removed ranges so far, and records."""
+    record = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("at", pa.int32()), ("open", pa.bool_()), ("body", pa.binary())]))
+    names = ["id", "row_key", "row_check", "text", "known", "records", *[c for c, _ in w.columns]]
     for batch in batches:
-        texts = batch.column(2).cast(pa.large_binary())
+        texts = batch.column(3).cast(pa.large_binary())
         done, text_out, known_out, records_out = [], [], [], []
-        for row, blocks in enumerate(batch.column(3).to_pylist()):
+        for row, blocks in enumerate(batch.column(4).to_pylist()):
             text = texts[row].as_py() or b""
             blocks = blocks or []
-            out = sorted({(b["start"], b["end"], b["open"], b["anchor"]) for b in blocks if b["anchor"] is not None})
+            out = sorted({(b["start"], b["end"], b["at"], b["open"], b["anchor"]) for b in blocks if b["anchor"] is not None})
             known = np.array([(b["start"], b["end"]) for b in blocks if not b["open"]], np.int32).reshape(-1, 2)
-            bodies = w.bodies(text, [(s, e) for s, e, _, _ in out], w.size) if out else []
-            records_out.append([{"anchor": a, "start": s, "open": o, "body": x} for (s, _, o, a), x in zip(out, bodies, strict=True)])
-            if any(o for _, _, o, _ in out):
+            bodies = w.bodies(text, [(s, e) for s, e, *_ in out], w.size) if out else []
+            records_out.append([{"anchor": a, "start": s, "end": e, "at": at, "open": o, "body": x} for (s, e, at, o, a), x in zip(out, bodies, strict=True)])
+            if any(o for *_, o, _ in out):
                 done.append((None,) * len(w.columns))
                 text_out.append(text)
                 known_out.append(known.tobytes())
@@ -128,38 +181,76 @@ def _meet(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBa
                 done.append(w.finish(text, merged(known, w.size)))
                 text_out.append(None)
                 known_out.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text_out, pa.binary()), pa.array(known_out, pa.binary()), pa.array(records_out, record), *_results(done, w)], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(text_out, pa.binary()), pa.array(known_out, pa.binary()), pa.array(records_out, record), *_results(done, w)], names)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
-    """(anchor, row_key, start, open, body) in order of their anchor -> (row_key, start, offsets) of open blocks with repeated windows."""
-    def compared(rows: list[tuple]) -> pa.RecordBatch:
-        is_open = np.array([r[3] for r in rows], bool)
-        found = w.resolve([r[4] for r in rows], is_open, w.size)
-        hits = [(r[1], r[2], x.astype(np.int32).tobytes()) for r, x, o in zip(rows, found, is_open, strict=True) if o and len(x)]
-        return pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["row_key", "start", "offsets"])
-
-    waiting: list[tuple] = []
+    """Blocks (PART) in order of their part -> FOUND of open blocks with repeated windows or factors."""
+    factor = pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("ref_key", pa.int64()), ("ref_check", pa.int32()), ("ref_at", pa.int32())]))
+
+    def compared(rows: list[Block]) -> pa.RecordBatch:
+        found, factors = w.resolve(rows, w.size)
+        hits = []
+        for r, x, own in zip(rows, found, factors, strict=True):
+            if r.open and (len(x) or own):
+                refs = [{"at": r.start + a, "length": n, "ref_key": rows[k].row_key, "ref_check": rows[k].row_check, "ref_at": rows[k].start + b} for a, n, k, b in own]
+                hits.append((r.row_key, r.row_check, r.start, x.astype(np.int32).tobytes(), refs))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), factor)
+        return pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate(kinds)], ["row_key", "row_check", "start", "offsets", "factors"])
+
+    waiting: list[Block] = []
     windows = 0
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if waiting and row[0] != waiting[-1][0] and windows >= WINDOWS_AT_ONCE:
+            block = Block(*row)
+            if waiting and block.part != waiting[-1].part and windows >= WINDOWS_AT_ONCE:
                 yield compared(waiting)
                 waiting, windows = [], 0
-            waiting.append(row)
-            windows += len(row[4])
+            waiting.append(block)
+            windows += block.windows
     if waiting:
         yield compared(waiting)
 
 
-def _hash_windows(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
+    """Blocks (PART) -> each as its windows with the anchor in the lower and in the upper half of the places it may have.
+
+    All windows of a half have some symbols around the anchor in common; their hash, with the half, is the new part.
+    """
     for batch in batches:
-        for anchor, key, start, is_open, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            hashes = w.hashes(body, w.size)
-            n = len(hashes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, anchor)), pa.array(np.full(n, key)), pa.array(np.full(n, start, np.int32)), pa.array(np.full(n, is_open)), pa.array(np.arange(n, dtype=np.int32)), pa.array(hashes.view(np.int64))],
-                ["anchor", "row_key", "start", "open", "at", "hash"])
+        rows, values = [], []
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            b = Block(*row)
+            middle = (b.low + b.high) // 2
+            for low, high in ((b.low, middle), (middle + 1, b.high)):
+                # a window's place of the anchor is b.at for the first one and falls by one with each
+                first, last = max(b.at - high, 0), min(b.at - low, b.windows - 1)
+                if first <= last and low <= high:
+                    rows.append((b.anchor, b.row_key, b.row_check, b.start + first, b.start + last + 1, b.at - first, low, high, b.open, w.part(b.body, first, last + w.size)))
+                    values.append((w.part(b.body, b.at - low, b.at - high + w.size), low))
+        texts = pa.array([v for v, _ in values], pa.large_binary())
+        of, bounds = w.symbols(texts)
+        hashes = Rolling(of).of(bounds[:-1], bounds[1:]) + np.array([low for _, low in values], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        anchors = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+        yield _batch([(hashes ^ (anchors * np.uint64(0xD6E8FEB86659FD93))).view(np.int64), *[[r[k] for r in rows] for k in range(10)]], PART)
+
+
+def compare_blocks(records: DataFrame, w: Windows) -> DataFrame:
+    """FOUND for the blocks (PART) of all parts; parts with too many blocks are split first, as long as there are any."""
+    found = None
+    while True:
+        sizes = records.groupBy("part").agg(F.count("*").alias("n"), (F.min("body") == F.max("body")).alias("same"), F.min("low").alias("low"), F.min("high").alias("high"))
+        large = cut(sizes.where(F.col("n") > GROUP).select("part", "n", "same", ((F.col("low") == F.col("high")) & F.col("same")).alias("whole")))
+        n_large = large.count()
+        usual = records.join(F.broadcast(large.select("part")), "part", "left_anti") if n_large else records  # at most rows / GROUP parts
+        dealt = usual.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _compare(b, w), FOUND)
+        found = dealt if found is None else found.unionByName(dealt)
+        if not n_large:
+            return found
+        met = records.join(F.broadcast(large), "part")
+        equal = met.where("whole AND open").select("row_key", "row_check", "start", F.lit(bytes(4)).alias("offsets"), F.lit(None).cast(FOUND.split("factors ")[1]).alias("factors"))
+        found = found.unionByName(equal)  # one window each, all the same
+        records = stage(met.where("NOT whole").select(*[c.split()[0] for c in PART.split(", ")]).mapInArrow(lambda b: _split(b, w), PART))
 
 
 def _finish(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
@@ -175,47 +266,35 @@ def _finish(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column(0), *_results(rows, w)], ["id", *[c for c, _ in w.columns]])
 
 
-def _by_hashes(records: DataFrame, w: Windows) -> DataFrame:
-    """The findings for anchors with very many different blocks: windows are hashed, counted before the shuffle, and joined."""
-    kind = "anchor bigint, row_key bigint, start int, open boolean, at int, hash bigint"
-    windows = records.mapInArrow(lambda b: _hash_windows(b, w), kind)
-    often = windows.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = windows.where("open").join(often, ["anchor", "hash"])
-    packed = hits.groupBy("row_key", "start").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    little = F.aggregate("at", F.lit(b""), lambda acc, x: F.concat(acc, F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)]))))
-    return packed.select("row_key", "start", little.alias("offsets"))
+def match_blocks(docs: DataFrame, w: Windows, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts met with their blocks (see ``_meet``), the repeated blocks, and FOUND of the open ones."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    base = docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    blocks = base.select("row_key", "row_check", "text").mapInArrow(lambda b: _find_blocks(b, w), FOUND_BLOCKS)
+    index = blocks.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed"))
+    repeated = stage(join_counted(blocks, cut(index.where("n > 1")), ["anchor"]).drop("n"))
+    place = F.struct("row_key", "row_check", "start")
+    kinds = cut(repeated.where("mixed").groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("one")))
+    told = join_counted(repeated.where("mixed"), kinds, ["anchor", "content"])
+    told = told.select("row_key", "row_check", "start", "end", "at", (F.col("n") == 1).alias("open"), F.when(F.col("one") == place, F.col("anchor")).alias("anchor"))
+    plain = repeated.where("NOT mixed").select("row_key", "row_check", "start", "end", "at", F.lit(False).alias("open"), F.lit(None).cast("bigint").alias("anchor"))
+    of_text = plain.unionByName(told).groupBy("row_key", "row_check").agg(F.collect_list(F.struct("start", "end", "at", "open", "anchor")).alias("blocks"))
+    met = base.join(of_text, ["row_key", "row_check"], "left").select("id", "row_key", "row_check", "text", F.col("blocks").cast(BLOCKS).alias("blocks"))
+    met = stage(met.mapInArrow(lambda b: _meet(b, w), f"id {kind}, {KEY}, text binary, known binary, records {RECORD}, {result_columns(w)}"))
+    records = met.select("row_key", "row_check", F.explode("records").alias("r"))
+    records = records.select(F.col("r.anchor").alias("part"), "r.anchor", "row_key", "row_check", "r.start", "r.end", "r.at", F.lit(0).alias("low"), F.lit(w.size - w.gram).alias("high"), "r.open", "r.body")
+    return met, repeated, compare_blocks(records.distinct(), w)
+
+
+def result_columns(w: Windows) -> str:
+    return ", ".join(f"{c} {'string' if t == pa.string() else 'bigint'}" for c, t in w.columns)
 
 
 def find_repeats(docs: DataFrame, w: Windows, id_col: str, text_col: str) -> DataFrame:
     """``id`` and the result columns of ``w`` for each row of ``docs``."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    blocks = base.select("row_key", "text").mapInArrow(lambda b: _find_blocks(b, w), "row_key bigint, start int, end int, anchor bigint, content bigint")
-    index = blocks.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed"))
-    index = cut(index.where("n > 1").select("anchor", "mixed"))
-    small = index.count() <= BROADCAST_ANCHORS
-    repeated = stage(blocks.join(F.broadcast(index) if small else index, "anchor"))
-    kinds = repeated.where("mixed").groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "start")).alias("one"))
-    alone = kinds.where("n = 1").select("anchor").distinct()
-    kinds = cut(kinds.join(alone.withColumn("needed", F.lit(True)), "anchor", "left"))  # of a repeated block one row is left here
-    told = repeated.where("mixed").join(F.broadcast(kinds) if kinds.count() <= BROADCAST_ROWS else kinds, ["anchor", "content"])
-    is_one = (F.col("row_key") == F.col("one.row_key")) & (F.col("start") == F.col("one.start"))
-    told = told.select("row_key", "start", "end", (F.col("n") == 1).alias("open"), F.when(F.col("needed") & is_one, F.col("anchor")).alias("anchor"))
-    plain = repeated.where("NOT mixed").select("row_key", "start", "end", F.lit(False).alias("open"), F.lit(None).cast("bigint").alias("anchor"))
-    of_text = plain.unionByName(told).groupBy("row_key").agg(F.collect_list(F.struct("start", "end", "open", "anchor")).alias("blocks"))
-    results = ", ".join(f"{c} {'string' if t == pa.string() else 'bigint'}" for c, t in w.columns)
-    met = base.join(of_text, "row_key", "left").select("id", "row_key", "text", F.col("blocks").cast(BLOCKS).alias("blocks"))
-    met = stage(met.mapInArrow(lambda b: _meet(b, w), f"id {kind}, row_key bigint, text binary, known binary, records {RECORD}, {results}"))
-    records = met.select("row_key", F.explode("records").alias("r")).select("r.anchor", "row_key", "r.start", "r.open", "r.body")
-    large = cut(records.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor"))
-    n_large = large.count()
-    listed = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
-    usual = records.join(listed, "anchor", "left_anti") if n_large else records
-    found = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _compare(b, w), "row_key bigint, start int, offsets binary")
-    if n_large:
-        found = found.unionByName(_by_hashes(records.join(listed, "anchor", "left_semi"), w))
-    findings = found.groupBy("row_key").agg(F.collect_list(F.struct("start", "offsets")).alias("findings"))
-    names = ["id", *[c for c, _ in w.columns]]
-    opened = met.where(F.col("text").isNotNull()).select("id", "row_key", "text", "known").join(findings, "row_key", "left")
-    opened = opened.select("id", "text", "known", "findings").mapInArrow(lambda b: _finish(b, w), f"id {kind}, {results}")
-    return met.where(F.col("text").isNull()).select(*names).unionByName(opened)
+    met, _, found = match_blocks(docs, w, id_col, text_col)
+    kind = met.schema["id"].dataType.simpleString()
+    findings = found.groupBy("row_key", "row_check").agg(F.collect_list(F.struct("start", "offsets")).alias("findings"))
+    opened = met.where(F.col("text").isNotNull()).select("id", "row_key", "row_check", "text", "known").join(findings, ["row_key", "row_check"], "left")
+    opened = opened.select("id", "text", "known", "findings").mapInArrow(lambda b: _finish(b, w), f"id {kind}, {result_columns(w)}")
+    return met.where(F.col("text").isNull()).select("id", *[c for c, _ in w.columns]).unionByName(opened)

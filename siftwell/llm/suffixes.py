@@ -1,7 +1,8 @@
 """Substring deduplication by sorting suffixes: multikey sorting to a shallow depth, then blind tries.
 
 Only suffixes that could share a window with another one are sorted: those in blocks whose anchor occurs with different
-surroundings (see ``repeats``). They are dealt by anchor, so equal windows meet in one task.
+surroundings, one block of each kind (see ``repeats``). They are dealt by anchor, so equal windows meet in one task; a hot
+anchor's suffixes are dealt by more bytes around it.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Windows, find_repeats
-from .symbols import BYTE_VALUES, Rolling, text_buffers
+from .repeats import Block, Windows, find_repeats
+from .symbols import BYTE_VALUES, text_buffers
 
 #: Bytes by which suffixes are sorted before what is still equal goes into blind tries.
 SHALLOW = 32
@@ -24,6 +25,10 @@ def byte_values(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return BYTE_VALUES[data], offsets
 
 
+def part_of_bytes(body: bytes, first: int, last: int) -> bytes:
+    return body[first:last]
+
+
 def block_bytes(text: bytes, ranges: list[tuple[int, int]], size: int) -> list[bytes]:
     return [text[a : b + size - 1] for a, b in ranges]
 
@@ -97,14 +102,15 @@ def blind_trie(texts: list[bytes]) -> list[list[int]]:
     return out
 
 
-def sort_suffixes(bodies: list[bytes], is_open: np.ndarray, size: int) -> list[np.ndarray]:
+def sort_suffixes(blocks: list[Block], size: int) -> tuple[list[np.ndarray], list[list]]:
     """Offsets of each open block's windows whose suffix agrees with a neighbour in the order of all suffixes for ``size`` bytes."""
-    joined = b"".join(bodies)
+    joined = b"".join(b.body for b in blocks)
     data = np.frombuffer(joined, np.uint8)
-    counts = np.array([len(b) - size + 1 for b in bodies])
-    block = np.repeat(np.arange(len(bodies)), counts)
+    is_open = np.array([b.open for b in blocks], bool)
+    counts = np.array([b.windows for b in blocks])
+    block = np.repeat(np.arange(len(blocks)), counts)
     first = np.concatenate([[0], np.cumsum(counts)])
-    begin = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
+    begin = np.concatenate([[0], np.cumsum([len(b.body) for b in blocks])])
     starts = np.arange(len(block)) - first[block] + begin[block]
     order, group = shallow_sort(data, starts, min(SHALLOW, size // 8 * 8))
     twice = np.zeros(len(block), bool)
@@ -118,11 +124,8 @@ def sort_suffixes(bodies: list[bytes], is_open: np.ndarray, size: int) -> list[n
         for equal in blind_trie([joined[a : a + size] for a in at]):
             if len(equal) > 1:
                 twice[members[equal]] = True
-    return [np.flatnonzero(twice[first[k] : first[k + 1]]) if o else np.zeros(0, np.int64) for k, o in enumerate(is_open)]
-
-
-def byte_window_hashes(body: bytes, size: int) -> np.ndarray:
-    return Rolling(BYTE_VALUES[np.frombuffer(body, np.uint8)]).windows(size)
+    found = [np.flatnonzero(twice[first[k] : first[k + 1]]) if o else np.zeros(0, np.int64) for k, o in enumerate(is_open)]
+    return found, [[] for _ in blocks]
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str]:
@@ -141,8 +144,9 @@ def dedup(docs: DataFrame, *, min_bytes: int = 200, gram: int = 48, id_col: str
     corpus, overlaps and the same text included; strings never cross texts, and all is judged on the input. Spans are maximal
     runs of removed bytes.
 
-    Null and empty texts have no bytes. Repeated rows are copies of each other, whatever their ids; texts shorter than
-    ``min_bytes`` lose nothing. An empty table gives an empty result. Other columns are ignored.
+    Null and empty texts have no bytes; very long texts are looked at in parts and finished in one task's memory. Repeated rows
+    are copies of each other, whatever their ids, and all lose what is repeated (no copy is preferred, so ties don't occur);
+    texts shorter than ``min_bytes`` lose nothing. An empty table gives an empty result. Other columns are ignored.
     """
     columns = (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))
-    return find_repeats(docs, Windows(min_bytes, min(gram, min_bytes), byte_values, block_bytes, sort_suffixes, byte_window_hashes, without_spans, columns), id_col, text_col)
+    return find_repeats(docs, Windows(min_bytes, min(gram, min_bytes), byte_values, block_bytes, part_of_bytes, sort_suffixes, without_spans, columns), id_col, text_col)

@@ -50,8 +50,29 @@ def bag(found, *names):
     return Counter(tuple(r[n] for n in names) for r in found.collect())
 
 
-def test_lempel_ziv(docs, none, rows):
-    from siftwell.llm.lempel_ziv import parse
+def two_words():
+    """Two different words of 1,024 letters a and b that have one polynomial hash modulo 2**64, whatever its odd base."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+@pytest.fixture(params=["usual", "split", "shuffled"])
+def ways(request, monkeypatch):
+    """Bounds at which the substring operators change their ways: parts of over one block are split, no table is broadcast."""
+    from siftwell.llm import common, repeats
+
+    if request.param == "split":
+        monkeypatch.setattr(repeats, "GROUP", 1)
+    if request.param == "shuffled":
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
+    return request.param
+
+
+def test_lempel_ziv(docs, none, rows, spark, ways):
+    from siftwell.llm.lempel_ziv import factors, parse
 
     places = Counter()
     split = [WORD.findall(t or "") for _, t, *_ in rows]
@@ -63,15 +84,58 @@ def test_lempel_ziv(docs, none, rows):
         expected[(i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())] += 1
     assert sum(n for (_, _, n, _) in expected) > 300
     assert bag(parse(docs), "id", "n_words", "n_removed", "kept_sha256") == expected
-    assert parse(none).collect() == []
+    if ways == "usual":
+        assert parse(none).collect() == []
+        text = {i: split[k] for k, (i, *_) in enumerate(rows)}
+        found = factors(docs).collect()
+        for f in found:
+            assert f["length"] >= 35 and text[f["id"]][f["start"] : f["start"] + f["length"]] == text[f["ref_id"]][f["ref_start"] : f["ref_start"] + f["length"]]
+            assert (f["id"], f["start"]) != (f["ref_id"], f["ref_start"]) or f["id"] == 6  # a repeated row refers to its copy
+        assert {f["id"] for f in found} == {i for (i, _, gone, _) in expected if gone}
+        one, other = two_words()
+        forged = [(n, " ".join(["x", w, *[f"w{k}" for k in range(38)]]).replace("w20", w), "s") for n, w in enumerate((one, other))]
+        assert {r["n_removed"] for r in parse(spark.createDataFrame(forged, "doc_id long, text string, source string")).collect()} == {0}
+
+
+def test_blocks_in_parts(monkeypatch):
+    """A text that is cut into blocks in several parts has the same windows in its blocks, with the same anchors."""
+    from siftwell.llm import repeats
 
+    rng = np.random.default_rng(1)
+    values, bounds = rng.integers(0, 5, 900).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.array([0, 0, 300, 310, 900])
 
-@pytest.mark.parametrize("group", [20_000, 1])
-def test_suffixes(docs, none, rows, group, monkeypatch):
-    from siftwell.llm import repeats
+    def windows():
+        found = zip(*repeats.blocks_of(values, bounds, 20, 6), strict=True)
+        return sorted((t, s, at - (s - a), anchor) for t, a, b, at, anchor, _ in found for s in range(a, b))
+
+    whole = windows()
+    assert [(t, s) for t, s, *_ in whole] == [(1, s) for s in range(281)] + [(3, s) for s in range(571)]
+    monkeypatch.setattr(repeats, "SEGMENT", 64)
+    assert windows() == whole
+
+
+def test_longest_matches():
+    from siftwell.llm.lempel_ziv import longest_matches
+
+    rng = np.random.default_rng(1)
+    words, group = rng.integers(-1, 3, (60, 9)).astype(np.int32), np.sort(rng.integers(0, 4, 60))
+    length, other = longest_matches(words, group)
+
+    def run(i, j, c):
+        k = 0
+        while c + k < 9 and words[i, c + k] == words[j, c + k] >= 0:
+            k += 1
+        return k
+
+    for i in range(60):
+        for c in range(9):
+            assert length[i, c] == max(run(i, j, c) for j in range(60) if j != i and group[i] == group[j])
+            assert not length[i, c] or run(i, other[i, c], c) == length[i, c]
+
+
+def test_suffixes(docs, none, rows, ways):
     from siftwell.llm.suffixes import dedup
 
-    monkeypatch.setattr(repeats, "GROUP", group)  # 1: every anchor with different blocks goes the way for very many
     places = Counter()
     blobs = [(t or "").encode() for _, t, *_ in rows]
     for b in blobs:
@@ -85,7 +149,7 @@ def test_suffixes(docs, none, rows, group, monkeypatch):
         spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
         expected[(i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())] += 1
     assert bag(dedup(docs), "id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
-    if group > 1:
+    if ways == "usual":
         assert dedup(none).collect() == []
 
 
