@@ -15,7 +15,7 @@ from . import common
 from .common import NOT_ALNUM, ascii_lower, column_name, cut, join_lookup, word_count, words
 
 #: The words of a head; windows of fewer words are heads themselves.
-HEAD = 3
+HEAD = 5
 
 
 def normalised(text: Column) -> Column:
@@ -74,12 +74,14 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col:
 
 
 def with_key(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    """``docs`` joined to a table of (key_id, key_text, ...), whatever columns it has; broadcast if its row count is within bounds.
+    """``docs`` joined to a table of (key_id, key_text, ...), whatever columns it has; broadcast if it has few rows and array entries.
 
     The key columns may be renamed; they come first. Beyond the bound one key's rows are repeated rows of one document.
     """
     key_id, key_text = found.columns[:2]
-    right = F.broadcast(found) if found.count() <= common.BROADCAST_ROWS else found
+    cells = [F.size(c) for c, t in found.dtypes if t.startswith("array")]
+    total = found.agg(F.sum(sum(cells, F.lit(1)))).first()[0] or 0
+    right = F.broadcast(found) if total <= common.BROADCAST_ROWS else found
     return docs.join(right, docs[id_col].eqNullSafe(found[key_id]) & (F.xxhash64(docs[text_col]) == found[key_text]), how)
 
 

@@ -7,16 +7,22 @@ import numpy as np
 U64 = np.uint64
 
 
+#: The place of the bit with a rank (second index) among the set bits of a byte (first index).
+_SELECT = np.zeros((256, 8), np.int64)
+for _byte in range(256):
+    _set = [k for k in range(8) if _byte >> k & 1]
+    _SELECT[_byte, : len(_set)] = _set
+
+
 def select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The place of the bit with a rank (from 0) among the set bits of each 64-bit word."""
-    word, rank, place = word.copy(), rank.astype(np.int64), np.zeros(len(word), np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(word & U64((1 << step) - 1)).astype(np.int64)
-        over = rank >= below
-        rank -= below * over
-        place += step * over
-        word = np.where(over, word >> U64(step), word)
-    return place
+    """The place of the bit with a rank (from 0) among the set bits of each 64-bit word (any place if there are too few)."""
+    parts = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
+    counts = np.bitwise_count(parts)
+    so_far = np.cumsum(counts, axis=1, dtype=np.uint8)
+    byte = np.minimum((so_far <= rank[:, None].astype(np.uint8)).sum(axis=1), 7)
+    row = np.arange(len(word))
+    before = so_far[row, byte] - counts[row, byte]
+    return 8 * byte + _SELECT[parts[row, byte], np.minimum(rank - before, 7)]
 
 
 class EliasFano:
@@ -64,25 +70,37 @@ class EliasFano:
 
     def _before(self, high: np.ndarray) -> np.ndarray:
         """How many values have a smaller high part."""
-        j = high - 1
+        j = np.clip(high - 1, 0, int(self.zeros[-1]) - 1)
         word = np.searchsorted(self.zeros, j, "right") - 1
-        word = np.where(j < 0, 0, word)
         at = word * 64 + select_in_word(~self.high[word], j - self.zeros[word])
-        return np.where(j < 0, 0, at - j)
+        return np.where(high < 1, 0, np.where(high > j + 1, self.n, at - j))
 
     def find(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
         """The number of each value, -1 where it is absent; looked for between numbers ``low`` and ``high`` only, if given.
 
-        The high part leads to a few neighbours, among which the low part is looked for by halving.
+        Between near bounds the low parts are compared one by one, and only then the high part. Else the high part leads to a
+        few neighbours, among which the low part is looked for by halving.
         """
         part = (values >> U64(self.width)).astype(np.int64)
-        a, b = self._before(part), self._before(part + 1)
-        if low is not None:
-            a, b = np.maximum(a, low), np.minimum(b, high)
         wanted = values & U64((1 << self.width) - 1)
         found = np.full(len(values), -1, np.int64)
+        if low is None:
+            low, high = np.zeros(len(values), np.int64), np.full(len(values), self.n, np.int64)
+        near = high - low <= 3
+        left = np.flatnonzero(near & (low < high))
+        for step in range(3):
+            left = left[low[left] + step < high[left]]
+            at = low[left] + step
+            same = self._low(at) == wanted[left]
+            of, at = left[same], at[same]
+            exact = self.get(at) == values[of] if len(at) else np.zeros(0, bool)
+            found[of[exact]] = at[exact]
+        far = np.flatnonzero(~near)
+        if not len(far):
+            return found
+        a, b = np.maximum(self._before(part[far]), low[far]), np.minimum(self._before(part[far] + 1), high[far])
+        wanted, end = wanted[far], b.copy()
         left = np.flatnonzero(a < b)
-        end = b.copy()
         while len(left):
             middle = (a[left] + b[left]) // 2
             less = self._low(middle) < wanted[left]
@@ -90,5 +108,5 @@ class EliasFano:
             left = left[a[left] < b[left]]
         sure = np.flatnonzero(a < end)
         same = self._low(a[sure]) == wanted[sure]
-        found[sure[same]] = a[sure[same]]
+        found[far[sure[same]]] = a[sure[same]]
         return found

@@ -107,7 +107,8 @@ def verified(spans: DataFrame, docs: DataFrame) -> DataFrame:
 
     The score is the share of the template's words that these cells cover.
     """
-    packed = cut(spans.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("label", "of_template", "size", "cells")).alias("spans")))
+    packed = spans.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("label", "of_template", "size", "cells")).alias("spans"))
+    packed = cut(packed.withColumn("weights", F.flatten("spans.cells")))  # for the size check
     rows = with_key(docs, packed, "id", "text", "inner").select("key_id", "key_text", normalised(F.col("text")).alias("tokens"), "spans")
 
     def check(s: Column) -> Column:

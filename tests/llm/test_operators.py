@@ -283,27 +283,56 @@ def test_links_are_exact(spark):
     assert found == {v: root[v] for v in values if v not in alone}
 
 
-def test_ngrams(docs, none, rows):
+def test_ngrams(docs, none, rows, monkeypatch):
+    from siftwell.llm import ngrams
     from siftwell.llm.ngrams import score
 
+    monkeypatch.setattr(ngrams, "FILE_TOKENS", 700)  # contexts that go over the edges of files
     end = object()
     tokens = [(i, WORD.findall(low(t)) + [end]) for i, t, *_ in rows]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    c, pairs = Counter(), Counter()
+    c, pairs, triples = Counter(), Counter(), Counter()
     for i, w in tokens:
         if not held(i):
             c.update(w)
             pairs.update(zip([end, *w[:-1]], w, strict=True))
-    types, n, v = Counter(p for p, _ in pairs), sum(c.values()), len(c)
+            triples.update(zip([end, *w[:-2]], w[:-1], w[1:]))
+    types, types_3, n, v = Counter(p for p, _ in pairs), Counter((a, b) for a, b, _ in triples), sum(c.values()), len(c)
+    totals = Counter()
+    for (a, b, _), k in triples.items():
+        totals[a, b] += k
     one = lambda w: max(c[w] - 0.5, 0) / n + 0.5 * v / n / (v + 1)
     two = lambda p, w: one(w) if not c[p] else max(pairs[p, w] - 0.75, 0) / c[p] + 0.75 * types[p] / c[p] * one(w)
-    expected = sorted((str(i), held(i), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(two(p, x)) for p, x in zip([end, *w[:-1]], w, strict=True))) for i, w in tokens)
+    three = lambda a, p, w: two(p, w) if not totals[a, p] else max(triples[a, p, w] - 0.75, 0) / totals[a, p] + 0.75 * types_3[a, p] / totals[a, p] * two(p, w)
+    log = lambda w: math.log10(two(end, w[0])) + sum(math.log10(three(*x)) for x in zip([end, *w[:-2]], w[:-1], w[1:]))
+    expected = sorted((str(i), held(i), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), log(w)) for i, w in tokens)
     found = sorted((str(r["id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in score(docs).collect())
     assert [f[:5] for f in found] == [e[:5] for e in expected]
     assert all(math.isclose(f[5], e[5], rel_tol=1e-9) and abs(f[6] - e[6]) < 2e-4 * e[2] for f, e in zip(found, expected, strict=True))
     assert score(none).collect() == []
 
 
+def test_ngrams_of_forged_words(spark):
+    from siftwell.llm.ngrams import held_out, score
+
+    one, other = two_words()
+    ids = spark.range(100)
+    ids = ids.select("id", held_out(ids["id"]).alias("h"))
+    learned, asked = ids.where("NOT h").first()["id"], ids.where("h").first()["id"]
+    same = " ".join(f"w{k}" for k in range(39))
+    found = {r["id"]: r["n_known"] for r in score(spark.createDataFrame([(learned, f"{same} {one}"), (asked, f"{same} {other}")], "doc_id long, text string")).collect()}
+    assert found == {learned: 41, asked: 40}
+
+
+def test_counts_on_their_way():
+    from siftwell.llm.ngrams import pack_counts, unpack_counts
+
+    keys = np.unique(np.random.default_rng(4).integers(0, 1 << 63, 1000).astype(np.uint64))
+    counts = np.arange(len(keys)) * 977 + 1
+    found = unpack_counts(pack_counts(keys, counts))
+    assert (found[0] == keys).all() and (found[1] == counts).all()
+
+
 def test_elias_fano():
     from siftwell.llm.elias_fano import EliasFano
 
