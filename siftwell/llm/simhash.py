@@ -7,6 +7,10 @@ is orthogonal to all of theirs, so every pair of fingerprints within the radius
 Inside a bucket, fingerprints are linked through hubs: the value itself and those that differ from it in one free bit. Two
 fingerprints of a bucket are within 2 bits if and only if they share a hub, so a group of any size costs a few rows for each
 member instead of a row for each pair, every link is exact, and a hub has 65 fingerprints at most.
+
+``drop_near_duplicates`` goes by the similarity of the texts' shingle sets instead. Sets that share four fifths differ in about
+ten of 64 bits, which would take thousands of masks to cover; so its candidates are the covering links and, beside them, equal
+bands of a min-wise signature of the same shingle hashes. Every candidate is verified by its exact similarity.
 """
 
 from __future__ import annotations
@@ -18,10 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_name, cut
+from .common import BROADCAST_ROWS, column_name, cut, join_counted
 from .components import connected
+from .repeats import KEY, row_keys
+from .symbols import mix64
 
 RADIUS = 2
+#: Bands of a min-wise signature, and the minima in each: sets that share 0.8 agree in a band with probability 0.998.
+BANDS, BAND_SIZE = 20, 6
+#: A hot text's shingles are dealt to up to so many tasks.
+DEALT = 16
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -34,44 +44,87 @@ def masks(radius: int = RADIUS) -> list[int]:
     return found
 
 
-def fingerprints_of(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """(id, row_key, text) -> (id, row_key, fingerprint); see ``fingerprints``."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The XXH64 (seed 42) of each shingle of a text, repeats included; of all words, if there are fewer; none without words."""
     from xxhash import xxh64_intdigest
 
+    parts = text.lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum([len(x) + 1 for x in parts])
+    size = min(shingle, len(parts))
+    starts = np.concatenate([[0], ends[:-1]])[: len(parts) - size + 1].tolist()
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    counts = np.zeros(64, np.int64)
+    for begin in range(0, len(hashes), 1 << 14):
+        part = hashes[begin : begin + (1 << 14)]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def _text_of(value: pa.Scalar) -> bytes:
+    return value.as_py() or b""
+
+
+def fingerprints_of(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, fingerprint); see ``fingerprints``."""
+    for batch in batches:
+        out = np.array([fingerprint(shingle_hashes(_text_of(x), shingle)) for x in batch.column(1).cast(pa.binary())], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["id", "fingerprint"])
+
+
+_SPREAD = mix64(np.arange(1, BANDS * BAND_SIZE + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A min-wise signature's bands, a number each: of every permutation of the hashes the least one."""
+    least = np.full(len(_SPREAD), np.iinfo(np.uint64).max)
+    for begin in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[begin : begin + (1 << 12), None] * _SPREAD).min(axis=0))
+    out = np.zeros(BANDS, np.uint64)
+    for k in range(BAND_SIZE):
+        out = mix64(out ^ least.reshape(BANDS, BAND_SIZE)[:, k])
+    return out
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(id, row_key, row_check, text) -> id, keys, content, content_2 (128 bits of the words), fingerprint and bands."""
+    from xxhash import xxh3_128_digest
+
     for batch in batches:
-        out = np.zeros(len(batch), np.uint64)
-        for row, text in enumerate(batch.column(2).cast(pa.binary())):
-            parts = (text.as_py() or b"").lower().split()
-            if not parts:
-                continue
-            joined = b" ".join(parts)
-            ends = np.cumsum([len(x) + 1 for x in parts])
-            size = min(shingle, len(parts))
-            starts = np.concatenate([[0], ends[:-1]])[: len(parts) - size + 1].tolist()
-            hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
-            counts = np.zeros(64, np.int64)
-            for begin in range(0, len(hashes), 1 << 14):
-                part = hashes[begin : begin + (1 << 14)]
-                counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[row] = np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], ["id", "row_key", "fingerprint"])
+        contents, prints, found = [], [], []
+        for x in batch.column(3).cast(pa.binary()):
+            text = _text_of(x)
+            hashes = shingle_hashes(text, shingle)
+            contents.append(xxh3_128_digest(b" ".join(text.lower().split())))
+            prints.append(fingerprint(hashes))
+            found.append(bands(hashes).view(np.int64) if len(hashes) else [])
+        content = np.frombuffer(b"".join(contents), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array(content[:, 0]), pa.array(content[:, 1]), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))],
+            ["id", "row_key", "row_check", "content", "content_2", "fingerprint", "bands"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(_text_of(x), shingle)).view(np.int64) for x in batch.column(1).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, row_key, fingerprint) for each row of ``docs``: the fingerprint as a signed 64-bit number, and a hash of id and text.
+    """(id, fingerprint) for each row of ``docs``, the fingerprint as a signed 64-bit number.
 
     A-Z are lower-cased; words are split at ASCII white space; a shingle is ``shingle`` words joined by a space (all words, if
     there are fewer), repeats included. A bit is 1 if it is set in over half of the shingles' XXH64 hashes (seed 42). Texts
     without words, null ones among them, have fingerprint 0.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), row_key(docs, id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: fingerprints_of(batches, shingle), f"id {kind}, row_key bigint, fingerprint bigint")
-
-
-def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """Equal for repeated rows only."""
-    return F.xxhash64(docs[id_col], docs[text_col])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(lambda batches: fingerprints_of(batches, shingle), f"id {kind}, fingerprint bigint")
 
 
 def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -98,39 +151,74 @@ def hub_values(value: Column, free: Column, flips: int) -> Column:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 3) -> DataFrame:
-    """(id, fingerprint, component): documents whose fingerprints are linked by steps of up to ``radius`` (0, 1 or 2) bits share a
+    """(id, fingerprint, component): documents whose fingerprints are linked by steps of up to ``radius`` (0 or 2) bits share a
     component, named by the smallest id in it.
 
     Copies (equal fingerprints) are merged before anything is compared, so a group of thousands of copies is one row. Texts
-    without words are linked like any others, by fingerprint 0. Null ids belong to components as well but never name one
-    unless all of a component's ids are null; repeated rows and ids keep a row each. An empty table gives an empty result.
-    Other columns are ignored.
+    without words, null ones among them, are linked like any others, by fingerprint 0; a very long text is hashed whole, in one
+    task's memory. Null ids belong to components as well but never name one unless all of a component's ids are null; repeated
+    rows and ids keep a row each (ties share the component). An empty table gives an empty result. Other columns are ignored.
     """
-    found = grouped(cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle)), radius)
-    return found.select("id", "fingerprint", "component")
-
-
-def grouped(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``fingerprints`` with their ``component``."""
     if radius not in (0, 2):
         raise ValueError("hubs are exact for radius 0 and 2")
-    values = cut(marked.groupBy("fingerprint").agg(F.min("id").alias("least_id")))
-    roots = connected(links(values, radius))  # (node, root) of linked fingerprints only
+    marked = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+    values = cut(marked.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("id").alias("least_id")))
+    roots = connected(links(values.select("fingerprint"), radius))  # (node, root) of linked fingerprints only
     named = values.join(roots, values["fingerprint"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
-    named = named.select("fingerprint", "root").join(least, "root").select(F.col("fingerprint").alias("of"), "root", "component")
-    return marked.join(named, marked["fingerprint"] == named["of"]).drop("of")
-
-
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs`` for each component: one with the smallest id (a null id comes last), of these one by its text's hash.
-
-    The rows keep all their columns. Of a row that is repeated one stays.
+    named = cut(named.select("fingerprint", "n", "root").join(least, "root").select("fingerprint", "n", "component"))
+    return join_counted(marked, named, ["fingerprint"]).select("id", "fingerprint", "component")
+
+
+def candidates(contents: DataFrame, radius: int) -> DataFrame:
+    """(node, rep): different texts (node, fingerprint, bands) that may be similar, each with the least one of what they share."""
+    exploded = contents.select("node", F.posexplode("bands").alias("band", "value"))
+    stars = exploded.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1")
+    found = join_counted(exploded, cut(stars), ["band", "value"]).select("node", "rep")
+    values = cut(contents.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("node").alias("rep")))
+    found = found.unionByName(join_counted(contents.select("node", "fingerprint"), values.where("n > 1"), ["fingerprint"]).select("node", "rep"))
+    linked = links(values.select("fingerprint"), radius)
+    ends = [values.select(F.col("fingerprint").alias(x), F.col("rep").alias(y)) for x, y in (("a", "node"), ("b", "rep"))]
+    found = found.unionByName(linked.join(ends[0], "a").join(ends[1], "b").select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")))
+    return found.where("node != rep").distinct()
+
+
+def similar(pairs: DataFrame, rows: DataFrame, contents: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs (node, rep) whose texts have shingle sets that share ``similarity`` of their union."""
+    asked = pairs.select(F.explode(F.array("node", "rep")).alias("node")).distinct()
+    asked = cut(contents.select("node", "first.row_key", "first.row_check").join(asked, "node"))
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    sets = rows.join(asked, ["row_key", "row_check"]).select("node", "text").mapInArrow(lambda b: _shingle_sets(b, shingle), "node bigint, shingles array<bigint>")
+    pairs = pairs.withColumn("dealt", F.pmod(F.xxhash64("node"), F.lit(DEALT)))
+    reps = pairs.select("rep", "dealt").distinct().join(sets.select(F.col("node").alias("rep"), F.col("shingles").alias("other")), "rep")
+    both = pairs.join(sets, "node").join(reps, ["rep", "dealt"])
+    common = F.size(F.array_intersect("shingles", "other"))
+    return both.where(common >= similarity * (F.size("shingles") + F.size("other") - common)).select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates: one with the smallest id (a null id comes last), of these one by its
+    text's hash. The rows keep all their columns, whatever their names.
+
+    Two texts are near-duplicates if they have the same words, or if their sets of ``shingle`` consecutive words (all words, if
+    there are fewer; A-Z lower-cased) share at least ``similarity`` of their union; groups are the components of such pairs.
+    Candidates are compared with the least text of what they share, not each with each: a pair that is similar by itself alone
+    can be missed where neither is similar to that text.
+
+    Texts without words, null ones among them, are copies of each other. A very long text is hashed whole, in one task's memory.
+    Of a repeated row one stays. An empty table gives an empty result.
     """
-    found = grouped(cut(fingerprints(docs, id_col=id_col, text_col=text_col)), radius)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("first"))
-    at, order = column_name(docs, "_row_key"), column_name(docs, "_order")
-    keyed = docs.withColumn(at, row_key(docs, id_col, text_col))
-    keep = first.select(F.col("first.row_key").alias(at)).distinct()
-    one = F.row_number().over(Window.partitionBy(at).orderBy(at))
-    return keyed.join(keep, at, "left_semi").withColumn(order, one).where(F.col(order) == 1).drop(at, order)
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    marked = rows.mapInArrow(lambda b: _signatures(b, shingle), f"id {kind}, {KEY}, content bigint, content_2 bigint, fingerprint bigint, bands array<bigint>")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_key", "row_check"))
+    contents = marked.groupBy("content", "content_2").agg(first.alias("first"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
+    contents = cut(contents.select(F.monotonically_increasing_id().alias("node"), "first", "fingerprint", "bands"))
+    roots = connected(similar(cut(candidates(contents, radius)), rows, contents, shingle, similarity)).select(F.col("node").alias("of"), "root")
+    named = contents.join(roots, contents["node"] == roots["of"], "left").withColumn("root", F.coalesce("root", "node"))
+    keys = {c: column_name(docs, f"_{c}") for c in ("row_key", "row_check", "order")}
+    keep = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias(keys["row_key"]), F.col("first.row_check").alias(keys["row_check"]))
+    keyed = docs.select(*[docs[c] for c in docs.columns], *[c.alias(keys[x]) for c, x in zip(row_keys(id_col, text_col), ("row_key", "row_check"), strict=True)])
+    at = [keys["row_key"], keys["row_check"]]
+    one = F.row_number().over(Window.partitionBy(*at).orderBy(at[0]))
+    return keyed.join(keep, at, "left_semi").withColumn(keys["order"], one).where(F.col(keys["order"]) == 1).select(*[F.col(c) for c in docs.columns])
