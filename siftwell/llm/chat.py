@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|sep|>", "<|im_end|>\n"
-BLOCKS = "array<struct<role:string,texts:array<string>>>"
-SPANS = "struct<at:int,spans:array<struct<start:int,length:int>>>"
+#: Lengths are added up in runs of so many, and then over the runs: work and memory stay near linear in the number of parts.
+RUN = 512
 
 
 def escape(text: Column) -> Column:
@@ -24,13 +24,23 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&lt;|"), F.lit("<|")), F.lit("&amp;"), F.lit("&"))
 
 
-def _merge(blocks: Column, turn: Column) -> Column:
-    """One step of the merging: a turn joins the last block if the role is the same."""
-    last = F.get(blocks, F.size(blocks) - 1)
-    own = F.array(F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts")))
-    longer = F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts")))
-    same = (F.size(blocks) > 0) & last["role"].eqNullSafe(turn["role"])
-    return F.when(same, F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), longer)).otherwise(F.concat(blocks, own)).cast(BLOCKS)
+def _blocks(turns: Column) -> Column:
+    """Sorted turns as blocks (role, texts): adjacent turns of one role are one slice of the array."""
+    opens = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+    ends = F.concat(F.slice(opens, F.lit(2), F.size(opens)), F.array(F.size(turns)))
+    return F.transform(F.arrays_zip(opens.alias("begin"), ends.alias("end")), lambda x: F.struct(
+        F.get(turns, x["begin"])["role"].alias("role"), F.transform(F.slice(turns, x["begin"] + 1, x["end"] - x["begin"]), lambda t: t["text"]).alias("texts")))
+
+
+def _running(lengths: Column) -> Column:
+    """The sum of the entries before each one."""
+    def sums(run: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(run, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / RUN).cast("int")), lambda k: F.slice(lengths, k * RUN + 1, F.lit(RUN)))
+    totals = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda acc, x: acc + x))
+    return F.flatten(F.zip_with(runs, sums(totals)["out"], lambda run, at: F.transform(sums(run)["out"], lambda x: x + at)))
 
 
 def _parts(block: Column, loss_role: str) -> Column:
@@ -47,17 +57,17 @@ def format_chats(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
 
     Turns are sorted by number, ties by role and text, a null number first. Null texts and null roles are empty ones; a null id
     is a conversation of its own. A repeated row is a turn each time. An empty table gives an empty result. Other columns are
-    ignored. A conversation becomes one string and must fit a row, as any formatted conversation must.
+    ignored. A conversation becomes one string and must fit a row, very long texts included, as any formatted conversation must.
     """
     role = F.replace(escape(F.coalesce(F.col(role_col), F.lit(""))), F.lit("\n"), F.lit("&#10;"))
     rows = turns.select(F.col(id_col).alias("id"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), escape(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).alias("t"))
     chats = rows.groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    chats = chats.select("id", F.aggregate("turns", F.array().cast(BLOCKS), _merge).alias("blocks"))
+    chats = chats.select("id", _blocks(F.col("turns")).alias("blocks"))
     chats = chats.select("id", F.flatten(F.transform("blocks", lambda b: _parts(b, loss_role))).alias("parts"))
-    spans = F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")).cast(SPANS), lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["part"])).alias("at"),
-        F.when(p["learned"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(p["part"]).alias("length"))))).otherwise(acc["spans"]).alias("spans")).cast(SPANS))
-    return chats.select("id", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"), spans["spans"].alias("loss_spans"))
+    chats = chats.select("id", "parts", F.transform("parts", lambda p: F.length(p["part"])).alias("lengths"))
+    chats = chats.select("id", "parts", F.zip_with("parts", F.zip_with(_running(F.col("lengths")), "lengths", lambda s, n: F.struct(s.alias("start"), n.alias("length"))), lambda p, at: F.when(p["learned"], at)).alias("spans"))
+    spans = F.filter("spans", lambda s: s.isNotNull())
+    return chats.select("id", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:

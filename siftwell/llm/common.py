@@ -101,10 +101,30 @@ def join_counted(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFra
     return rows.join(F.broadcast(hot), keys).unionByName(usual)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """The rows, written as compressed Parquet to the shared folder and read back; for wide rows, where ``cut`` would write them plain."""
+#: The folders that this driver has made in the shared one and not removed yet.
+_folders: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, until ``clean_up``."""
     import uuid
 
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    _folders.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Removes the staged tables, models and shards that this driver's operators have made; how many. Results that aren't written yet
+    are lost with them."""
+    removed = 0
+    while _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """The rows, written as compressed Parquet to the shared folder and read back; for wide rows, where ``cut`` would write them plain."""
+    path = new_folder(df.sparkSession, "stage")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import new_folder
 from .elias_fano import EliasFano
 from .symbols import Words, pieces, spelled, word_hashes
-from .tokens import _read, _write, new_folder
+from .tokens import _read, _write
 
 #: The end of a text is a token of its own; it also is the context of a text's first word.
 END = np.uint64(0x5A17E11D0E17D0C5)

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from . import lempel_ziv, ngrams, suffixes
 from .chat import format_chats, read_loss, read_turns
-from .common import table
+from .common import new_folder, table
 from .decontaminate import decontaminate
 from .licenses import scan_licenses
 from .mixing import mix
 from .quality import MEASURES, judge
 from .simhash import near_duplicates
-from .tokens import new_folder, read_tokens, write_tokens
+from .tokens import read_tokens, write_tokens
 
 
 def op1_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Token ids as raw binary shards with a minimal perfect hash index, written and read by Spark tasks.
 
-A shard holds the documents of one range of ids, in ascending order:
+A shard holds the documents of one range of ids, in ascending order, about SHARD_BYTES at most:
 
     magic "SWTOK01\\n" | id width, documents, tokens, keys (4 x u64) | token ids, raw, little-endian |
     where each document ends (documents x u64) | document ids (documents x i64) | 1 where the id isn't null (documents x u8) |
     per slot of the index: fingerprint (u32), first document (u32), number of documents with the key (u32) |
     the minimal perfect hash
 
-Ranges don't overlap, so the manifest (one line per shard) leads from an id to its shard, the index from there to the
-document's tokens: constant time for each access, whatever the corpus holds.
+The ids of shards ascend (only the documents of one repeated id can be in two shards), so the manifest (one line per shard) leads
+from an id to its shard, the index from there to the document's tokens: an opened shard gives any document in constant time
+and reads nothing but its tokens.
 """
 
 from __future__ import annotations
@@ -32,11 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mph
-from .common import cut, shared_dir
+from .common import cut
 from .symbols import pieces
 
 MAGIC = b"SWTOK01\n"
 HEAD = len(MAGIC) + 32
+SLOT = np.dtype([("fingerprint", "<u4"), ("first", "<u4"), ("count", "<u4")])
+#: A task closes a shard and begins another when its token ids are so many bytes.
+SHARD_BYTES = 128 << 20
 #: Parts of texts whose ids a worker remembers.
 REMEMBERED = 600_000
 MANIFEST = "shard long, file string, docs long, tokens long, first_id long, last_id long"
@@ -163,74 +167,103 @@ def _read(uri: str) -> pa.Buffer:
 
 
 def _write_shards(batches: Iterator[pa.RecordBatch], out_dir: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    """(id, key, text) in order -> a line of the manifest, if there are rows. One shard a task; it holds the shard's ids, not its texts."""
-    enc, ids, keys, payload, lengths = encoder(tokenizer, end_id), [], [], [], []
+    """(id, key, text) in order -> lines of the manifest. In memory are the ids of one shard, and the texts of one piece."""
+    enc, number = encoder(tokenizer, end_id), 0
+    ids, keys, payload, lengths, held = [], [], [], [], 0
+
+    def written() -> pa.RecordBatch:
+        shard = (TaskContext.get().partitionId() << 24) + number
+        return _write_shard(shard, f"{out_dir}/shard-{shard:014d}.bin", pa.concat_arrays(ids), np.concatenate(keys), payload, lengths, enc.width)
+
     for batch in batches:
-        ids.append(batch.column(0))
-        keys.append(np.asarray(batch.column(1)).astype(np.int64))
         texts = pc.fill_null(batch.column(2), "")
         for a, b in pieces(texts, 4 << 20):
             found = enc.encode(texts.slice(a, b - a).to_pylist())
+            ids.append(batch.column(0).slice(a, b - a))
+            keys.append(np.asarray(batch.column(1).slice(a, b - a)).astype(np.int64))
             lengths.extend(len(x) // enc.width for x in found)
             payload.append(b"".join(found))
-    if not lengths:
-        return
-    shard = TaskContext.get().partitionId()
-    ids = pa.concat_arrays(ids)
+            held += len(payload[-1])
+            if held >= SHARD_BYTES:
+                yield written()
+                ids, keys, payload, lengths, held, number = [], [], [], [], 0, number + 1
+    if lengths:
+        yield written()
+
+
+def _write_shard(shard: int, uri: str, ids: pa.Array, keys: np.ndarray, payload: list[bytes], lengths: list[int], width: int) -> pa.RecordBatch:
     valid = np.asarray(ids.is_valid())
     values = np.asarray(ids.fill_null(0)).astype("<i8")
-    key, first, count = np.unique(np.concatenate(keys)[valid].view(np.uint64), return_index=True, return_counts=True)
+    key, first, count = np.unique(keys[valid].view(np.uint64), return_index=True, return_counts=True)
     first = np.flatnonzero(valid)[first] if len(first) else first
     index = mph.build(key)
-    slots = np.zeros(len(key), np.dtype([("fingerprint", "<u4"), ("first", "<u4"), ("count", "<u4")]))
+    slots = np.zeros(len(key), SLOT)
     at = mph.Mph(index).slots(key)
     slots["fingerprint"][at], slots["first"][at], slots["count"][at] = mph.fingerprint(key), first, count
     ends = np.cumsum(np.array(lengths, np.int64)).astype("<u8")
-    head = MAGIC + struct.pack("<4Q", enc.width, len(lengths), int(ends[-1]), len(key))
-    file = f"shard-{shard:08d}.bin"
-    _write(f"{out_dir}/{file}", [head, *payload, ends.tobytes(), values.tobytes(), valid.astype(np.uint8).tobytes(), slots.tobytes(), index])
+    head = MAGIC + struct.pack("<4Q", width, len(lengths), int(ends[-1]), len(key))
+    _write(uri, [head, *payload, ends.tobytes(), values.tobytes(), valid.astype(np.uint8).tobytes(), slots.tobytes(), index])
     known = values[valid]
-    line = [[shard], [file], [len(lengths)], [int(ends[-1])], [int(known[0]) if len(known) else None], [int(known[-1]) if len(known) else None]]
+    line = [[shard], [uri.rsplit("/", 1)[1]], [len(lengths)], [int(ends[-1])], [int(known[0]) if len(known) else None], [int(known[-1]) if len(known) else None]]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(line, kinds, strict=True)], ["shard", "file", "docs", "tokens", "first_id", "last_id"])
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(line, kinds, strict=True)], ["shard", "file", "docs", "tokens", "first_id", "last_id"])
+
+
+def keys_of(ids: np.ndarray) -> np.ndarray:
+    """The keys of ids: ``xxhash64`` as Spark gives it."""
+    from xxhash import xxh64_intdigest
+
+    data = ids.astype("<i8").tobytes()
+    return np.fromiter((xxh64_intdigest(data[k : k + 8], 42) for k in range(0, len(data), 8)), np.uint64, len(ids))
 
 
 class Shard:
-    """A shard in memory: its documents' ids, where each document ends, its tokens, and keyed access."""
+    """An opened shard: its index in memory, its tokens read as they are asked for."""
 
-    def __init__(self, data: pa.Buffer | bytes):
-        view = memoryview(data)
-        if view[: len(MAGIC)] != MAGIC:
+    def __init__(self, uri: str):
+        from pyarrow import fs
+
+        where, path = fs.FileSystem.from_uri(uri)
+        self.file = where.open_input_file(path)
+        head = self.file.read_at(HEAD, 0)
+        if head[: len(MAGIC)] != MAGIC:
             raise ValueError("not a shard of token ids")
-        width, docs, tokens, keys = struct.unpack_from("<4Q", view, len(MAGIC))
-        self.tokens = np.frombuffer(view, f"<u{width}", tokens, HEAD)
-        at = HEAD + width * tokens
-        self.ends = np.frombuffer(view, "<u8", docs, at).astype(np.int64)
-        self.ids = np.frombuffer(view, "<i8", docs, at + 8 * docs)
-        self.valid = np.frombuffer(view, np.uint8, docs, at + 16 * docs).astype(bool)
-        at += 17 * docs
-        self.slots = np.frombuffer(view, np.dtype([("fingerprint", "<u4"), ("first", "<u4"), ("count", "<u4")]), keys, at)
-        self.index = mph.Mph(view[at + 12 * keys :])
+        self.width, docs, tokens, keys = struct.unpack_from("<4Q", head, len(MAGIC))
+        at = HEAD + self.width * tokens
+        view = memoryview(self.file.read_at(self.file.size() - at, at))
+        self.ends = np.frombuffer(view, "<u8", docs).astype(np.int64)
+        self.ids = np.frombuffer(view, "<i8", docs, 8 * docs)
+        self.valid = np.frombuffer(view, np.uint8, docs, 16 * docs).astype(bool)
+        self.slots = np.frombuffer(view, SLOT, keys, 17 * docs)
+        self.index = mph.Mph(view[17 * docs + SLOT.itemsize * keys :])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first document, number of documents) of each key, (-1, 0) for foreign ones."""
+        first, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        slot = self.index.slots(keys) if len(self.slots) else first
+        known = np.flatnonzero(slot >= 0)
+        known = known[self.slots["fingerprint"][slot[known]] == mph.fingerprint(keys[known])]
+        first[known], count[known] = self.slots["first"][slot[known]], self.slots["count"][slot[known]]
+        return first, count
+
+    def tokens(self, begin: int, end: int) -> np.ndarray:
+        return np.frombuffer(self.file.read_at(self.width * (end - begin), HEAD + self.width * begin), f"<u{self.width}")
 
     def document(self, n: int) -> np.ndarray:
-        return self.tokens[self.ends[n - 1] if n else 0 : self.ends[n]]
+        return self.tokens(int(self.ends[n - 1]) if n else 0, int(self.ends[n]))
 
-    def find(self, key: int) -> list[np.ndarray]:
-        """The tokens of the documents with a key (``xxhash64`` of the id, as Spark gives it); none if the key is foreign."""
-        keys = np.array([key], np.int64).view(np.uint64)
-        slot = int(self.index.slots(keys)[0]) if len(self.slots) else -1
-        if slot < 0 or self.slots["fingerprint"][slot] != mph.fingerprint(keys)[0]:
-            return []
-        first = int(self.slots["first"][slot])
-        return [self.document(n) for n in range(first, first + int(self.slots["count"][slot]))]
+    def documents(self, key: int) -> list[np.ndarray]:
+        """The tokens of the documents with a key; none if the key is foreign."""
+        first, count = (int(x[0]) for x in self.find(np.array([key], np.int64).view(np.uint64)))
+        return [self.document(n) for n in range(first, first + count)]
 
 
 def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts and write them as shards under ``out_dir``, a URI that all executors reach; the manifest, one row per shard.
 
     Documents are dealt by ranges of their id (null first) and sorted inside, those with one id by text, so the shards in
-    order hold all documents in order. Null and empty texts are the end id alone. A repeated id's documents stand one after the
-    other and share a key. Documents with a null id are in no index. Ids must be whole numbers. An empty table gives no
+    order hold all documents in order. Null and empty texts are the end id alone; a very long text is encoded whole and makes a
+    shard larger than SHARD_BYTES if need be. A repeated id's documents (ties) stand one after the other and share a key. Documents with a null id are in no index. Ids must be whole numbers. An empty table gives no
     shard. Other columns are ignored. A task that is run again writes the same file.
     """
     tie = F.xxhash64(text_col)
@@ -240,7 +273,11 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, *, end_id: int =
 
 
 def read_tokens(spark: SparkSession, out_dir: str, manifest: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of each document, read back from the shards; ``start`` counts the ids of all documents before it."""
+    """(id, start, n_tokens, ids_crc32) of each document, read back from the shards; ``start`` counts the ids of all documents before it.
+
+    Documents are found by their key through each shard's index, those with a null id by their place; every document must be
+    found once.
+    """
     lines = manifest.orderBy("shard").select("file", "tokens").collect()  # one for each shard
     starts = np.concatenate([[0], np.cumsum([r["tokens"] for r in lines])]).tolist()
     rows = spark.createDataFrame([(r["file"], s) for r, s in zip(lines, starts, strict=False)], "file string, start long")
@@ -248,27 +285,35 @@ def read_tokens(spark: SparkSession, out_dir: str, manifest: DataFrame) -> DataF
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                shard = Shard(_read(f"{out_dir}/{file}"))
-                begins = np.concatenate([[0], shard.ends[:-1]])
-                sums = [zlib.crc32(shard.tokens[a:b].astype("<u4").tobytes()) for a, b in zip(begins.tolist(), shard.ends.tolist(), strict=True)]
+                shard = Shard(f"{out_dir}/{file}")
+                ids = np.unique(shard.ids[shard.valid])
+                first, count = shard.find(keys_of(ids))
+                numbers = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                numbers = np.concatenate([np.flatnonzero(~shard.valid), numbers])
+                owners = np.repeat(ids, count)
+                if (first < 0).any() or (np.sort(numbers) != np.arange(len(shard.ids))).any() or (shard.ids[numbers[len(numbers) - len(owners) :]] != owners).any():
+                    raise ValueError(f"the index of {file} doesn't lead to its documents")
+                begins, ends = np.where(numbers > 0, shard.ends[numbers - 1], 0), shard.ends[numbers]
+                tokens = shard.tokens(0, int(shard.ends[-1]))
+                sums = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.ids, mask=~shard.valid), pa.array(begins + start), pa.array(shard.ends - begins), pa.array(sums, pa.int64())],
+                    [pa.array(shard.ids[numbers], mask=~shard.valid[numbers]), pa.array(begins + start), pa.array(ends - begins), pa.array(sums, pa.int64())],
                     ["id", "start", "n_tokens", "ids_crc32"])
 
     return rows.repartition(max(1, len(lines))).mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(out_dir: str, manifest: list, doc_id: int, key: int) -> list[np.ndarray]:
+@lru_cache(maxsize=64)
+def opened(uri: str) -> Shard:
+    return Shard(uri)
+
+
+def lookup(out_dir: str, manifest: list, doc_id: int) -> list[np.ndarray]:
     """The tokens of the documents with an id, by manifest (rows in order of their shard) and index."""
     ranges = [r for r in manifest if r["last_id"] is not None]
     at = bisect_left([r["last_id"] for r in ranges], doc_id)
-    found = []
+    found, key = [], int(keys_of(np.array([doc_id])).view(np.int64)[0])
     while at < len(ranges) and ranges[at]["first_id"] <= doc_id:
-        found += Shard(_read(f"{out_dir}/{ranges[at]['file']}")).find(key)
+        found += opened(f"{out_dir}/{ranges[at]['file']}").documents(key)
         at += 1
     return found
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
