@@ -14,15 +14,22 @@ for _byte in range(256):
     _SELECT[_byte, : len(_set)] = _set
 
 
+_ONES, _TOPS = U64(0x0101010101010101), U64(0x8080808080808080)
+
+
 def select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The place of the bit with a rank (from 0) among the set bits of each 64-bit word (any place if there are too few)."""
-    parts = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
-    counts = np.bitwise_count(parts)
-    so_far = np.cumsum(counts, axis=1, dtype=np.uint8)
-    byte = np.minimum((so_far <= rank[:, None].astype(np.uint8)).sum(axis=1), 7)
-    row = np.arange(len(word))
-    before = so_far[row, byte] - counts[row, byte]
-    return 8 * byte + _SELECT[parts[row, byte], np.minimum(rank - before, 7)]
+    """The place of the bit with a rank (from 0) among the set bits of each 64-bit word (any place if there are too few).
+
+    The bytes' counts are summed inside the word; the sums that don't exceed the rank are counted, which gives the byte.
+    """
+    counts = word - ((word >> U64(1)) & U64(0x5555555555555555))
+    counts = (counts & U64(0x3333333333333333)) + ((counts >> U64(2)) & U64(0x3333333333333333))
+    sums = ((counts + (counts >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _ONES
+    rank = rank.astype(U64) & U64(63)
+    byte = np.bitwise_count((((rank * _ONES) | _TOPS) - sums) & _TOPS)
+    shift = np.minimum(byte, 7).astype(U64) << U64(3)
+    before = ((sums << U64(8)) >> shift) & U64(255)
+    return shift.astype(np.int64) + _SELECT[((word >> shift) & U64(255)).astype(np.int64), np.minimum(rank - before, U64(7)).astype(np.int64)]
 
 
 class EliasFano:
@@ -68,12 +75,24 @@ class EliasFano:
         at = word * 64 + select_in_word(self.high[word], i - self.ones[word])
         return ((at - i).astype(U64) << U64(self.width)) | self._low(i)
 
-    def _before(self, high: np.ndarray) -> np.ndarray:
-        """How many values have a smaller high part."""
+    def _between(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many values have a smaller high part, and how many have a smaller one or this."""
         j = np.clip(high - 1, 0, int(self.zeros[-1]) - 1)
         word = np.searchsorted(self.zeros, j, "right") - 1
-        at = word * 64 + select_in_word(~self.high[word], j - self.zeros[word])
-        return np.where(high < 1, 0, np.where(high > j + 1, self.n, at - j))
+        bits = self.high[word]
+        place = select_in_word(~bits, j - self.zeros[word])
+        begin = np.where(high < 1, 0, np.where(high > j + 1, self.n, word * 64 + place - j))
+        # the values with this high part are the ones up to the next zero: mostly in the same word
+        after = np.where(high < 1, 0, place + 1)
+        rest = bits >> np.minimum(after, 63).astype(U64)
+        run = np.bitwise_count(rest ^ (rest + U64(1))).astype(np.int64) - 1
+        end = begin + run
+        over = np.flatnonzero((after + run >= 64) & (begin < self.n))
+        if len(over):
+            j = np.minimum(high[over], int(self.zeros[-1]) - 1)
+            word = np.searchsorted(self.zeros, j, "right") - 1
+            end[over] = np.where(high[over] > j, self.n, word * 64 + select_in_word(~self.high[word], j - self.zeros[word]) - j)
+        return begin, np.minimum(end, self.n)
 
     def find(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
         """The number of each value, -1 where it is absent; looked for between numbers ``low`` and ``high`` only, if given.
@@ -98,7 +117,8 @@ class EliasFano:
         far = np.flatnonzero(~near)
         if not len(far):
             return found
-        a, b = np.maximum(self._before(part[far]), low[far]), np.minimum(self._before(part[far] + 1), high[far])
+        a, b = self._between(part[far])
+        a, b = np.maximum(a, low[far]), np.minimum(b, high[far])
         wanted, end = wanted[far], b.copy()
         left = np.flatnonzero(a < b)
         while len(left):

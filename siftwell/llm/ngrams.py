@@ -33,9 +33,9 @@ END = np.uint64(0x5A17E11D0E17D0C5)
 #: Absolute discounts of the three levels.
 DISCOUNT = (0.5, 0.75, 0.75)
 #: Tokens whose pairs are in one file of levels two and three, about.
-FILE_TOKENS = 8_000_000
+FILE_TOKENS = 4_000_000
 #: Counts that a task holds before it combines them and hands them on.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_500_000
 #: The smallest logarithm that quantised shares can have, in 65,535 steps.
 LOWEST = -16.0
 TEXT_AT_ONCE = 2 << 20
@@ -69,7 +69,7 @@ def load(uri: str) -> dict[str, np.ndarray]:
     if uri in _held:
         _held.move_to_end(uri)
     elif uri.startswith("file:"):
-        _held[uri] = unpack(np.memmap(uri.removeprefix("file://").removeprefix("file:"), np.uint8, "r"))
+        _held[uri] = unpack(np.memmap(uri.removeprefix("file://").removeprefix("file:"), np.uint8, "r").view(np.ndarray))
         while len(_held) > 4096:
             _held.popitem(last=False)
     else:
@@ -111,7 +111,8 @@ def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def combined(parts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of equal (part, key) added up, in order."""
-    order = np.lexsort((keys, parts))
+    order = np.argsort(keys, kind="stable")
+    order = order[np.argsort(parts[order], kind="stable")]
     parts, keys = parts[order], keys[order]
     first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1]))[: len(keys)])
     return parts[first], keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
@@ -143,8 +144,10 @@ def merged_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.nd
 
     def whole() -> tuple[np.ndarray, np.ndarray]:
         keys, counts = (np.concatenate(x) for x in zip(*waiting, strict=True))
-        _, keys, counts = combined(np.zeros(len(keys), np.int8), keys, counts)
-        return keys, counts
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[first], np.add.reduceat(counts[order], first)
 
     for batch in batches:
         for own, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -157,7 +160,7 @@ def merged_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.nd
             if n >= limit:
                 waiting = [whole()]
                 n = len(waiting[0][0])
-                limit = 2 * n + AT_ONCE
+                limit = n + AT_ONCE
     if waiting:
         yield part, *whole()
 
