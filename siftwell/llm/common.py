@@ -91,12 +91,12 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, count: int, seed:
 def join_counted(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that a lookup table knows, with its columns. It has one row per key and in ``n`` how many rows have the key.
 
-    Up to BROADCAST_ROWS it is broadcast. Beyond that keys with over HOT_ROWS rows, of which there are few, are broadcast by
-    themselves, and only the rest is a shuffle join: no key brings more than HOT_ROWS rows into one task.
+    The table may grow with the corpus, so it isn't broadcast: this is a shuffle join, but for the keys with over HOT_ROWS rows.
+    These are few (rows / HOT_ROWS at most) and are broadcast by themselves, so no key brings more rows into one task.
     """
-    if lookup.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(lookup), keys)
-    hot = cut(lookup.where(F.col("n") > HOT_ROWS))  # at most rows / HOT_ROWS
+    hot = cut(lookup.where(F.col("n") > HOT_ROWS))
+    if hot.isEmpty():
+        return rows.join(lookup, keys)
     usual = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(lookup.where(F.col("n") <= HOT_ROWS), keys)
     return rows.join(F.broadcast(hot), keys).unionByName(usual)
 

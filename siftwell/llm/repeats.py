@@ -36,7 +36,7 @@ from .symbols import Rolling, pieces, sliding_min
 SEGMENT = 1 << 26
 POSITION_BITS = 28
 #: Different blocks of one anchor that one task compares; more are split by what stands around the anchor.
-GROUP = 2_000
+GROUP = 500
 #: Windows that a task compares at once.
 WINDOWS_AT_ONCE = 400_000
 KEY = "row_key bigint, row_check int"
