@@ -1,6 +1,8 @@
-"""Where a page's start tags, attributes and removable contents are: one small Arrow function from bytes to places.
+"""Where a page's start tags, attributes and removable contents are: one Arrow function from bytes to places.
 
-All rules about them are column expressions and joins, in ``operators.html``.
+It follows the states of the HTML standard's tokenizer and looks at every byte a bounded number of times, whatever the page. What
+can't be told without building the tree (text-only elements or CDATA behind a way out of SVG or MathML) makes a page unreadable;
+such pages are refused. All rules about the tags are column expressions and joins, in ``operators.html``.
 """
 
 from __future__ import annotations
@@ -11,52 +13,191 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ATTRIBUTES = "array<struct<name:string,value:string,start:int,end:int>>"
-ELEMENTS = f"array<struct<tag:string,start:int,end:int,until:int,attrs:{ATTRIBUTES}>>"
+ATTRIBUTES = "array<struct<name:string,value:string,plain:string,start:int,end:int>>"
+ELEMENTS = f"array<struct<tag:string,start:int,end:int,until:int,line:int,attrs:{ATTRIBUTES}>>"
+# Element names with a meaning of their own to the tokenizer.
 #: Elements whose content is text up to their end tag.
 _TEXT_ONLY = {b"script", b"style", b"textarea", b"title", b"xmp", b"iframe", b"noembed", b"noframes"}
 _VOID = {b"area", b"base", b"br", b"col", b"embed", b"hr", b"img", b"input", b"link", b"meta", b"source", b"track", b"wbr"}
-_TAG = re.compile(rb"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|</([A-Za-z][^\s/>]*)[^>]*>|<([A-Za-z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|=|"|')*)>""", re.S)
-_ATTRIBUTE = re.compile(rb"""[\s/]*([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+#: Elements in which the rules of XML-like content hold, and those inside them that lead back to HTML.
+_FOREIGN = {b"svg", b"math"}
+_WAY_OUT = {b"foreignobject", b"desc", b"title", b"annotation-xml", b"mi", b"mo", b"mn", b"ms", b"mtext"}
+_BREAK_OUT = {
+    b"b", b"big", b"blockquote", b"body", b"br", b"center", b"code", b"dd", b"div", b"dl", b"dt", b"em", b"embed", b"font", b"h1", b"h2", b"h3", b"h4", b"h5", b"h6", b"head", b"hr", b"i", b"img",
+    b"li", b"listing", b"menu", b"meta", b"nobr", b"ol", b"p", b"pre", b"ruby", b"s", b"small", b"span", b"strike", b"strong", b"sub", b"sup", b"table", b"tt", b"u", b"ul", b"var"}
+_NAME = re.compile(rb"[A-Za-z][^\t\n\f\r />]*")
+_BETWEEN = re.compile(rb"[\t\n\f\r /]*")
+_BLANKS = re.compile(rb"[\t\n\f\r ]*")
+_ATTRIBUTE_NAME = re.compile(rb"=?[^\t\n\f\r />=]*")
+_UNQUOTED = re.compile(rb"[^\t\n\f\r >]*")
+_COMMENT_END = re.compile(rb"--!?>")
+_SCRIPT_MARK = re.compile(rb"(<!--)|(-->)|<(/?)script(?=[\t\n\f\r />])", re.I)
+
+
+class Unreadable(ValueError):
+    """A page whose tags can't be told for sure."""
+
 
 #: Named references that are decoded, with the semicolon only.
 NAMED = {"colon": ":", "Tab": "\t", "NewLine": "\n", "sol": "/", "semi": ";", "lpar": "(", "rpar": ")", "num": "#", "period": ".", "comma": ",", "quot": '"', "apos": "'", "amp": "&"}
 _REFERENCE = re.compile(rf"&(?:#[xX]([0-9a-fA-F]+);?|#([0-9]+);?|({'|'.join(NAMED)});)")
 
 
+def _tag_end(page: bytes, at: int) -> tuple[int, bool, list[tuple[int, int, bytes, bytes]]] | None:
+    """From behind a tag's name: (its end, whether it closes itself, attributes as (start, end, name, value)); None if the page ends before."""
+    found = []
+    while True:
+        begin = at
+        at = _BETWEEN.match(page, at).end()
+        if at >= len(page):
+            return None
+        if page[at] == 0x3E:
+            return at + 1, at > begin and page[at - 1] == 0x2F, found
+        name = _ATTRIBUTE_NAME.match(page, at)
+        end = name.end()
+        at = _BLANKS.match(page, end).end()
+        value = b""
+        if page[at : at + 1] == b"=":
+            at = _BLANKS.match(page, at + 1).end()
+            quote = page[at : at + 1]
+            if quote in (b'"', b"'") and quote:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = page[at + 1 : end], end + 1
+            else:
+                value = _UNQUOTED.match(page, at)[0]
+                at += len(value)
+            end = at
+        else:
+            at = end
+        found.append((begin, end, name[0], value))
+
+
+def _script_end(page: bytes, at: int) -> int:
+    """Where the end tag of a script that begins at ``at`` begins; the page's end without one.
+
+    After ``<!--`` a script tag inside hides the next end tag, until ``-->``.
+    """
+    commented = hidden = False
+    while m := _SCRIPT_MARK.search(page, at):
+        at = m.end()
+        if m[1]:
+            commented, at = True, m.start() + 2  # the dashes count for an end as well
+            if page[m.end() : m.end() + 1] == b">" or page[m.end() : m.end() + 2] == b"->":
+                commented, at = False, m.end()
+        elif m[2]:
+            commented = hidden = False
+        elif not m[3]:
+            hidden = commented
+        elif hidden:
+            hidden = False
+        else:
+            return m.start()
+    return len(page)
+
+
 def find_elements(page: bytes) -> list[dict]:
-    """Every start tag, in order; ``until`` is where its element ends (after the end tag; the end of the page if there is none)."""
+    """Every start tag, in order; ``until`` is where its element ends (after the end tag; the end of the page if there is none).
+
+    An attribute's ``plain`` is its value with references decoded, None where that is the same. Raises Unreadable.
+    """
     found: list[dict] = []
     open_tags: dict[bytes, list[dict]] = {}
-    at = 0
-    while m := _TAG.search(page, at):
-        at = m.end()
-        if m[1]:
-            if open_tags.get(name := m[1].lower()):
+    ends: dict[bytes, int] = {}  # where an end tag of a text-only element was looked for in vain
+    foreign, unsure, quiet = 0, False, 0
+    at, line, counted = 0, 1, 0
+    while (at := page.find(b"<", at)) >= 0:
+        begin, kind = at, page[at + 1 : at + 2]
+        if kind == b"!":
+            if page.startswith(b"<!--", at):
+                if page.startswith((b">", b"->"), at + 4):
+                    at = page.index(b">", at) + 1
+                else:
+                    end = _COMMENT_END.search(page, at + 4)
+                    at = end.end() if end else len(page)
+            elif foreign and page.startswith(b"<![CDATA[", at):
+                if unsure:
+                    raise Unreadable("CDATA where it may be none")
+                end = page.find(b"]]>", at)
+                at = end + 3 if end >= 0 else len(page)
+            else:
+                end = page.find(b">", at)
+                at = end + 1 if end >= 0 else len(page)
+        elif kind == b"?" or (kind == b"/" and not page[at + 2 : at + 3].isalpha()):
+            end = page.find(b">", at)
+            at = end + 1 if end >= 0 else len(page)
+        elif kind == b"/":
+            name = _NAME.match(page, at + 2)
+            tag = _tag_end(page, name.end())
+            if tag is None:
+                break
+            at, name = tag[0], name[0].lower()
+            if open_tags.get(name):
                 open_tags[name].pop()["until"] = at
-        elif m[2]:
-            name = m[2].lower()
+            if name in _FOREIGN and foreign:
+                foreign -= 1
+                unsure = unsure and foreign > 0
+            elif foreign and name in (b"p", b"br"):
+                unsure = True
+            quiet -= name == b"noscript" and quiet > 0
+        elif name := _NAME.match(page, at + 1):
+            tag = _tag_end(page, name.end())
+            if tag is None:
+                break
+            at, closed, attributes = tag
+            line += page.count(b"\n", counted, begin)
+            counted, name = begin, name[0].lower()
             attrs, seen = [], set()
-            for a in _ATTRIBUTE.finditer(m[3]):
-                if (key := a[1].lower()) not in seen:
+            for start, end, key, value in attributes:
+                if quiet and b"</noscript" in value.lower():
+                    raise Unreadable("an end of noscript inside a value")
+                if (key := key.lower()) not in seen:
                     seen.add(key)
-                    value = a[2] or b""
-                    value = value[1:-1] if value[:1] in (b'"', b"'") and value[-1:] == value[:1] and len(value) > 1 else value
-                    attrs.append({"name": key.decode("utf-8", "replace"), "value": value.decode("utf-8", "replace"), "start": m.start(3) + a.start(), "end": m.start(3) + a.end()})
-            element = {"tag": name.decode("utf-8", "replace"), "start": m.start(), "end": at, "until": at if name in _VOID else len(page), "attrs": attrs}
+                    text = value.decode("utf-8", "replace")
+                    plain = decode_references(text) if b"&" in value else text
+                    attrs.append({"name": key.decode("utf-8", "replace"), "value": text, "plain": plain if plain != text else None, "start": start, "end": end})
+            whole = name in _VOID or (closed and (foreign > 0 or name in _FOREIGN))
+            element = {"tag": name.decode("utf-8", "replace"), "start": begin, "end": at, "until": at if whole else len(page), "line": line, "attrs": attrs}
             found.append(element)
-            if name in _TEXT_ONLY:
-                close = re.compile(rb"</" + re.escape(name) + rb"[\s/>]", re.I).search(page, at)
-                at = close.start() if close else len(page)
-            if name not in _VOID:
+            if foreign and (name in _BREAK_OUT or name in _WAY_OUT):
+                unsure = True
+            if name in _FOREIGN and not closed:
+                foreign += 1
+            quiet += name == b"noscript"
+            if name in _TEXT_ONLY and not whole:
+                if unsure:
+                    raise Unreadable("text where there may be tags")
+                if not foreign:
+                    if name == b"script":
+                        at = _script_end(page, at)
+                    elif name in ends:
+                        at = len(page)
+                    else:
+                        close = re.compile(rb"</" + name + rb"(?=[\t\n\f\r />])", re.I).search(page, at)
+                        at = close.start() if close else len(page)
+                        if not close:
+                            ends[name] = at
+            elif name == b"plaintext" and not foreign:
+                at = len(page)
+            if not whole:
                 open_tags.setdefault(name, []).append(element)
+        else:
+            at += 1
     return found
 
 
 def _elements(pages: pa.Array) -> pa.Array:
-    attr = pa.struct([("name", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    kind = pa.list_(pa.struct([("tag", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("until", pa.int32()), ("attrs", pa.list_(attr))]))
-    return pa.array([[] if p is None else find_elements(p) for p in pages.to_pylist()], kind)
+    """The start tags of each page, null for unreadable ones."""
+    attr = pa.struct([("name", pa.string()), ("value", pa.string()), ("plain", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    kind = pa.list_(pa.struct([("tag", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("until", pa.int32()), ("line", pa.int32()), ("attrs", pa.list_(attr))]))
+    rows = []
+    for page in pages:
+        try:
+            rows.append(find_elements(page.as_py() or b""))
+        except Unreadable:
+            rows.append(None)
+    return pa.array(rows, kind)
 
 
 def decode_references(text: str) -> str:
@@ -74,9 +215,8 @@ def _decoded(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else decode_references(t) for t in texts.to_pylist()], pa.string())
 
 
-def dangerous_scheme(value: Column) -> Column:
-    """Whether a value is a script or data URL once references are decoded and blanks and control characters are out."""
-    plain = F.when(F.contains(value, F.lit("&")), decoded(F.when(F.contains(value, F.lit("&")), value))).otherwise(value)
+def dangerous_scheme(plain: Column) -> Column:
+    """Whether a value, its references decoded, is a script or data URL once blanks and control characters are out."""
     bare = F.lower(F.regexp_replace(plain, r"[\s\p{Z}\p{Cc}]+", ""))
     return F.coalesce(bare.startswith("javascript:") | bare.startswith("data:"), F.lit(False))
 

@@ -1,9 +1,8 @@
 """The HTML rules as joins over pages, start tags and attributes.
 
-A page becomes its start tags (one Arrow function), these become rows, and every rule is an expression over them. URL values are
-made distinct and classified by joins. What a rule changes is an edit (place, place, text); a page's edits come together in one
-aggregation and are applied to its bytes. Pages without any finding keep their bytes and are never shuffled with them unless
-the finding side is joined.
+A page becomes its start tags (one Arrow function, whose narrow result is written once), these become rows, and every rule is an
+expression over them. URL values are made distinct and classified by joins. What a rule changes is an edit (place, place, text);
+all findings, edits and references of a page come together in one aggregation, which is joined to the pages once.
 """
 
 from __future__ import annotations
@@ -13,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..policy import Policy
+from ..sources.staging import cut
 from .urls import classify_urls, origin_allowed
 
-#: The attributes that hold URLs, in the order in which they are checked.
+#: The attributes that hold URLs, in the order in which they are checked.
 URL_ATTRIBUTES = ("href", "src", "action", "formaction", "data", "poster")
 ACTION = "struct<rule_id:string,category:string,location:struct<line:bigint,byte_offset:bigint>,original:string,action:string,replacement:string>"
 REFERENCE = "struct<raw:string,kind:string>"
@@ -27,7 +27,7 @@ def attribute(attrs: Column, name: str) -> Column:
 
 
 def start_tags(pages: DataFrame) -> DataFrame:
-    """(id, n, tag, start, end, until, attrs): the start tags of each page's ``data``, numbered in order."""
+    """(id, n, tag, start, end, until, line, attrs): the start tags of each page's ``data``, numbered in order; none of unreadable pages."""
     tags = pages.select("id", F.posexplode(markup.elements(F.col("data"))).alias("n", "e"))
     return tags.select("id", "n", "e.*")
 
@@ -49,89 +49,102 @@ def consumed(tags: DataFrame, policy: Policy) -> DataFrame:
     return tags.withColumn("covered", covered).where(F.coalesce(F.col("start") >= F.col("covered"), F.lit(True))).drop("covered")
 
 
-def attribute_rows(tags: DataFrame) -> DataFrame:
-    """(id, n, tag, start, k, name, value, a_start, a_end) of the tags that no element rule took."""
-    kept = tags.where(F.col("rule").isNull()).select("id", "n", "tag", "start", F.posexplode("attrs").alias("k", "a"))
-    return kept.select("id", "n", "tag", "start", "k", "a.name", "a.value", F.col("a.start").alias("a_start"), F.col("a.end").alias("a_end"))
+def finding_rows(tags: DataFrame) -> DataFrame:
+    """One row for each tag that an element rule took (null ``name``), and for each attribute of the others: (id, n, tag, start, end,
+    until, line, rule, act, sheet, k, name, value, plain, a_start, a_end). ``sheet`` tells links to style sheets."""
+    sheet = (F.col("tag") == "link") & F.array_contains(F.split(F.lower(attribute(F.col("attrs"), "rel")), r"\s+"), "stylesheet")
+    none = F.array(F.lit(None).cast("struct<name:string,value:string,plain:string,start:int,end:int>"))
+    rows = tags.withColumn("sheet", F.coalesce(sheet, F.lit(False))).withColumn("attrs", F.when(F.col("rule").isNotNull(), none).otherwise(F.col("attrs")))
+    rows = rows.select("id", "n", "tag", "start", "end", "until", "line", "rule", "act", "sheet", F.posexplode("attrs").alias("k", "a"))
+    named = [F.col("a.name").alias("name"), F.col("a.value").alias("value"), F.coalesce("a.plain", "a.value").alias("plain"), F.col("a.start").alias("a_start"), F.col("a.end").alias("a_end")]
+    return rows.select("id", "n", "tag", "start", "end", "until", "line", "rule", "act", "sheet", "k", *named)
 
 
 def judged_attributes(attrs: DataFrame, policy: Policy, blocklist: DataFrame, protected: DataFrame, networks: DataFrame) -> DataFrame:
-    """The attribute rows with rule_id, category, act, replacement and stage; null rule for those without finding."""
+    """The rows with rule_id, category, act, replacement, stage and order; null rule_id for those without finding."""
     rules, urls = policy.html, policy.urls
-    is_url = F.col("name").isin(*URL_ATTRIBUTES)
-    bad = is_url & markup.dangerous_scheme(F.when(is_url, F.col("value"))) & F.lit(rules.action_dangerous_scheme != "allow")
-    handler = F.lower(F.substring("name", 1, 2)) == "on"
+    is_url = F.coalesce(F.col("name").isin(*URL_ATTRIBUTES), F.lit(False))
+    bad = is_url & markup.dangerous_scheme(F.when(is_url, F.col("plain"))) & F.lit(rules.action_dangerous_scheme != "allow")
+    handler = F.coalesce(F.lower(F.substring("name", 1, 2)) == "on", F.lit(False))
     attrs = attrs.withColumn("bad", bad).withColumn("handler", handler & F.lit(rules.action_event_handler != "allow"))
     verdicts = classify_urls(attrs.where(is_url & ~F.col("bad")).select(F.col("value").alias("url")), blocklist, protected, networks)
     attrs = attrs.join(verdicts.withColumnRenamed("rule", "network"), is_url & ~F.col("bad") & (F.col("value") == F.col("url")), "left")
+    whole = F.col("rule").isNotNull()
     label, respelled = F.col("label"), F.col("canonical").isNotNull()
     cases = (
         ("blocked", "url.blocklist", "blocklist", urls.action_blocked), ("homograph", "url.homograph", "homograph", urls.action_homograph),
         ("userinfo", "url.userinfo", "host_spoof", urls.action_userinfo), ("malformed", "url.malformed", "malformed", urls.action_blocked),
         ("idn", "url.idn", "idn_url", urls.action_idn),
     )
-    rule = F.when(F.col("handler"), "html.attr.event_handler").when(F.col("bad"), "html.attr.dangerous_scheme").when(label == "internal", F.col("network")).when((label == "clean") & respelled, "url.normalised")
-    category = F.when(F.col("handler") | F.col("bad"), "xss").when(label == "internal", "ssrf").when((label == "clean") & respelled, "host_spoof")
-    act = (F.when(F.col("handler"), rules.action_event_handler).when(F.col("bad"), rules.action_dangerous_scheme).when(label == "internal", urls.action_internal)
+    rule = F.when(whole, F.col("rule")).when(F.col("handler"), "html.attr.event_handler").when(F.col("bad"), "html.attr.dangerous_scheme").when(label == "internal", F.col("network")).when((label == "clean") & respelled, "url.normalised")
+    category = F.when(whole | F.col("handler") | F.col("bad"), "xss").when(label == "internal", "ssrf").when((label == "clean") & respelled, "host_spoof")
+    act = (F.when(whole, F.col("act")).when(F.col("handler"), rules.action_event_handler).when(F.col("bad"), rules.action_dangerous_scheme).when(label == "internal", urls.action_internal)
            .when((label == "clean") & respelled, urls.action_normalised).when((label == "idn") & ~respelled, "allow"))
     for name, rule_id, of, action in cases:
         rule, category, act = rule.when(label == name, rule_id), category.when(label == name, of), act.when(label == name, action)
     attrs = attrs.withColumn("rule_id", rule).withColumn("category", category).withColumn("act", act)
     target = F.coalesce("canonical", F.lit(urls.placeholder_url))
     replaced = ~F.col("handler") & ~F.col("act").isin("allow", "remove")
-    stage = F.when(F.col("handler"), 0).when(F.col("bad"), 1).otherwise(2)
+    target = F.when(whole, F.lit(rules.placeholder_frame)).otherwise(target)
+    replaced = F.when(whole, F.col("act") == "placeholder").otherwise(replaced)
+    stage = F.when(whole, -1).when(F.col("handler"), 0).when(F.col("bad"), 1).otherwise(2)
     order = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in URL_ATTRIBUTES]), F.col("name")), F.lit(0))
     return attrs.withColumn("replacement", F.when(replaced, target)).withColumn("stage", stage).withColumn("order", F.when(F.col("handler"), F.col("k")).otherwise(order))
 
 
-def sanitize(pages: DataFrame, policy: Policy, blocklist: DataFrame, protected: DataFrame, networks: DataFrame) -> DataFrame:
-    """(id, output, actions, refused, references, base) for each page (id, data).
-
-    Actions are in document order. ``output`` is null for refused pages. Null data is an empty page; ids must be distinct.
+def page_findings(pages: DataFrame, policy: Policy, blocklist: DataFrame, protected: DataFrame, networks: DataFrame) -> DataFrame:
+    """(id, readable, found, edits, refused, refs, base): one narrow row for each page (id, data) that has any of these."""
+    parsed = cut(pages.select("id", markup.elements(F.col("data")).alias("tags")))
+    tags = consumed(parsed.select("id", F.posexplode("tags").alias("n", "e")).select("id", "n", "e.*"), policy)
+    rows = judged_attributes(finding_rows(tags), policy, blocklist, protected, networks)
+    whole = F.col("rule").isNotNull()
+    hit, value = F.col("rule_id").isNotNull(), F.replace(F.col("replacement"), F.lit('"'), F.lit("&quot;"))
+    text = (F.when(whole, F.coalesce("replacement", F.lit(""))).when(F.col("handler") | (F.col("act") == "remove"), "")
+            .otherwise(F.concat(F.lit(" "), F.col("name"), F.lit('="'), value, F.lit('"'))))
+    edit = F.struct(F.when(whole, F.col("start")).otherwise(F.col("a_start")).alias("start"), F.when(whole, F.col("until")).otherwise(F.col("a_end")).alias("end"), text.alias("text"))
+    place = F.struct("n", "stage", F.col("order").cast("int").alias("order"))
+    original = markup.fragment(F.when(~whole, F.concat("name", F.lit('="'), "value", F.lit('"'))))
+    finding = F.struct(place.alias("at"), "rule_id", "category", "start", "line", original.alias("original"), F.when(whole, F.col("end")).alias("tag_end"), F.col("act").alias("action"), "replacement")
+    base = (F.col("tag") == "base") & (F.col("name") == "href")
+    found = rows.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.when(hit, finding))).alias("found"), F.array_sort(F.collect_list(F.when(hit & (F.col("act") != "allow"), edit))).alias("edits"),
+        F.bool_or(F.coalesce(hit & (F.col("act") == "refuse"), F.lit(False))).alias("refused"), F.array_sort(F.flatten(F.collect_list(references()))).alias("refs"),
+        F.min_by(F.coalesce("replacement", "value"), F.when(base, F.col("n"))).alias("base"))
+    unreadable = parsed.where(F.col("tags").isNull()).select("id", F.lit(False).alias("readable"))
+    return found.withColumn("readable", F.lit(True)).unionByName(unreadable, allowMissingColumns=True)
+
+
+def sanitize(pages: DataFrame, policy: Policy, blocklist: DataFrame, protected: DataFrame, networks: DataFrame, is_page: Column | None = None) -> DataFrame:
+    """The rows of ``pages`` (id, data and other columns) with output, actions, refused, references and base.
+
+    Rows that ``is_page`` rules out are not looked at. Actions are in document order. ``output`` is null for refused pages, and
+    pages that can't be read for sure are refused. Null data is an empty page; ids must be distinct.
     """
-    tags = consumed(start_tags(pages), policy)
-    attrs = judged_attributes(attribute_rows(tags), policy, blocklist, protected, networks)
-    placeholder = F.lit(policy.html.placeholder_frame)
-    whole = tags.where(F.col("rule").isNotNull()).select(
-        "id", F.struct("n", F.lit(-1).alias("stage"), F.lit(0).alias("order")).alias("at"), F.col("rule").alias("rule_id"), F.lit("xss").alias("category"), "start",
-        F.lit(None).cast("string").alias("original"), F.col("end").alias("tag_end"), F.col("act").alias("action"),
-        F.when(F.col("act") == "placeholder", placeholder).alias("replacement"),
-        F.struct("start", F.col("until").alias("end"), F.when(F.col("act") == "placeholder", placeholder).otherwise("").alias("text")).alias("edit"))
-    text = F.when(F.col("handler") | (F.col("act") == "remove"), "").otherwise(F.concat(F.lit(" "), F.col("name"), F.lit('="'), F.replace(F.col("replacement"), F.lit('"'), F.lit("&quot;")), F.lit('"')))
-    single = attrs.where(F.col("rule_id").isNotNull()).select(
-        "id", F.struct("n", "stage", F.col("order").cast("int").alias("order")).alias("at"), "rule_id", "category", "start",
-        markup.fragment(F.concat("name", F.lit('="'), "value", F.lit('"'))).alias("original"), F.lit(None).cast("int").alias("tag_end"), F.col("act").alias("action"), "replacement",
-        F.when(F.col("act") != "allow", F.struct(F.col("a_start").alias("start"), F.col("a_end").alias("end"), text.alias("text"))).alias("edit"))
-    found = whole.unionByName(single).groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("at", "rule_id", "category", "start", "original", "tag_end", "action", "replacement"))).alias("found"),
-        F.array_sort(F.collect_list("edit")).alias("edits"), F.bool_or(F.col("action") == "refuse").alias("refused"))
-    refs = references(attrs).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "k", "m", "raw", "kind"))).alias("refs"), )
-    bases = attrs.where((F.col("tag") == "base") & (F.col("name") == "href")).groupBy("id").agg(F.min_by(F.coalesce("replacement", "value"), "n").alias("base"))
-    joined = pages.select("id", F.coalesce("data", F.lit(b"")).alias("data")).join(found, "id", "left").join(refs, "id", "left").join(bases, "id", "left")
+    is_page = F.lit(True) if is_page is None else is_page
+    found = page_findings(pages.where(is_page).select("id", "data"), policy, blocklist, protected, networks)
+    joined = pages.withColumn("data", F.coalesce("data", F.lit(b""))).join(found.withColumnRenamed("id", "_of"), F.col("id") == F.col("_of"), "left").drop("_of")
 
     def action(x: Column) -> Column:
-        lines = F.size(F.split(F.make_valid_utf8(F.substring(F.col("data"), F.lit(1), x["start"]).cast("string")), "\n"))
         tag = F.make_valid_utf8(F.substring(F.col("data"), x["start"] + 1, F.least(x["tag_end"] - x["start"], F.lit(200))).cast("string"))
-        place = F.struct(lines.cast("bigint").alias("line"), x["start"].cast("bigint").alias("byte_offset"))
+        place = F.struct(x["line"].cast("bigint").alias("line"), x["start"].cast("bigint").alias("byte_offset"))
         return F.struct(x["rule_id"].alias("rule_id"), x["category"].alias("category"), place.alias("location"), F.coalesce(x["original"], tag).alias("original"), x["action"].alias("action"), x["replacement"].alias("replacement"))
 
-    none = F.array().cast(f"array<{ACTION}>")
-    refused = F.coalesce("refused", F.lit(False))
-    return joined.select(
-        "id", F.when(~refused, F.when(F.col("edits").isNull(), F.col("data")).otherwise(markup.spliced(F.col("data"), F.col("edits")))).alias("output"),
-        F.coalesce(F.transform("found", action), none).alias("actions"), refused.alias("refused"),
+    refused = F.coalesce(F.col("refused") | ~F.col("readable"), ~F.col("readable"), F.lit(False))
+    changed = F.coalesce(F.size("edits") > 0, F.lit(False)) & ~refused
+    out = joined.withColumn("output", F.when(changed, markup.spliced(F.when(changed, F.col("data")), F.when(changed, F.col("edits")))).when(~refused, F.col("data")))
+    return out.select(
+        *pages.columns, "output", F.coalesce(F.transform("found", action), F.array().cast(f"array<{ACTION}>")).alias("actions"), refused.alias("refused"),
         F.coalesce(F.transform("refs", lambda r: F.struct(r["raw"].alias("raw"), r["kind"].alias("kind"))), F.array().cast(f"array<{REFERENCE}>")).alias("references"), "base")
 
 
-def references(attrs: DataFrame) -> DataFrame:
-    """(id, n, k, m, raw, kind): what a page refers to, as it reads after the rules: stylesheets, scripts, images, sources."""
+def references() -> Column:
+    """What a row of ``judged_attributes`` refers to, as it reads after the rules: stylesheets, scripts, images, sources."""
     value = F.trim(F.coalesce("replacement", "value"))
-    rels = attrs.where((F.col("tag") == "link") & (F.col("name") == "rel") & F.array_contains(F.split(F.lower("value"), r"\s+"), "stylesheet")).select("id", "n").distinct()
-    sheets = attrs.where((F.col("tag") == "link") & (F.col("name") == "href")).join(rels, ["id", "n"], "left_semi").select("id", "n", "k", F.lit(0).alias("m"), value.alias("raw"), F.lit("css").alias("kind"))
-    kinds = F.when(F.col("tag") == "script", "js").otherwise("image")
-    direct = attrs.where(F.col("tag").isin("script", "img", "source") & (F.col("name") == "src")).select("id", "n", "k", F.lit(0).alias("m"), value.alias("raw"), kinds.alias("kind"))
-    sets = attrs.where((F.col("tag") == "source") & (F.col("name") == "srcset")).select("id", "n", "k", F.posexplode(F.transform(F.split("value", ","), lambda c: F.split(F.trim(c), r"\s+")[0])).alias("m", "raw"), F.lit("image").alias("kind"))
-    return sheets.unionByName(direct).unionByName(sets).where(F.col("raw") != "")
+    ref = lambda m, raw, kind: F.struct(F.col("n"), F.col("k"), m.alias("m"), raw.alias("raw"), kind.alias("kind"))
+    single = F.when(F.col("sheet") & (F.col("name") == "href"), F.lit("css")).when(F.col("name") == "src", F.when(F.col("tag") == "script", F.lit("js")).when(F.col("tag").isin("img", "source"), F.lit("image")))
+    several = F.transform(F.split("value", ","), lambda c, m: ref(m, F.split(F.trim(c), r"\s+")[0], F.lit("image")))
+    all_of = F.when((F.col("tag") == "source") & (F.col("name") == "srcset"), several).when(single.isNotNull(), F.array(ref(F.lit(0), value, single)))
+    return F.filter(F.when(F.col("rule").isNull(), all_of), lambda r: r["raw"] != "")
 
 
 def rewrite_references(pages: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..policy import Policy, XmlBudget, ZipBudget
 
-FINDINGS = "array<struct<rule:string,category:string,offset:bigint>>"
+FINDINGS = "array<struct<rule:string,category:string,offset:bigint,line:bigint>>"
 
 
 def zip_entries(data: bytes, most: int = 10_000) -> list[tuple[bytes, int, int, int]] | None:
@@ -61,7 +63,7 @@ def zip_folder(data: bytes) -> str | None:
 
 
 _ENTITY = re.compile(rb"""<!ENTITY\s+([^\s]+)\s+(?!SYSTEM|PUBLIC)(?:"([^"]*)"|'([^']*)')""")
-_REFERENCE = re.compile(rb"&([^;]*);")
+_REFERENCE = re.compile(rb"&([^;&]*);")
 
 
 def xml_risk(data: bytes, budget: XmlBudget) -> bool:
@@ -178,31 +180,75 @@ def rewritten_tiff(data: bytes) -> bytes:
     return data if broken is None or len(data) < 8 or data[:2] not in (b"II", b"MM") else data[: broken[1]] + bytes(4) + data[broken[1] + 4 :]
 
 
-_PDF_KEY = re.compile(rb"/(JavaScript|JS|OpenAction|AA|Launch)(?![A-Za-z0-9])")
-_PDF_STREAM = re.compile(rb"/Type\s*/ObjStm.*?stream\r?\n(.*?)endstream", re.S)
+# Names in a PDF that start something.
+_PDF_ACTIVE = {b"JavaScript", b"JS", b"OpenAction", b"AA", b"Launch"}
+_PDF_NAME = re.compile(rb"/[^\x00\t\n\f\r ()<>\[\]{}/%]+")
+_PDF_ESCAPE = re.compile(rb"#([0-9A-Fa-f]{2})")
+_PDF_KEY = re.compile(rb"/(?:JavaScript|JS|OpenAction|AA|Launch)(?![A-Za-z0-9])")
+#: An object stream that unpacks to more than this counts as active content, and is emptied where content is rewritten.
+PDF_UNPACKED = 64 << 20
+
+
+def _is_active(name: bytes) -> bool:
+    """Whether a name (with its slash) starts something, however its letters are escaped."""
+    if _PDF_KEY.match(name):
+        return True
+    return b"#" in name and _PDF_ESCAPE.sub(lambda m: bytes([int(m[1], 16)]), name[1:]) in _PDF_ACTIVE
+
+
+def pdf_key(data: bytes) -> int | None:
+    if (found := _PDF_KEY.search(data)) is None and b"#" not in data:
+        return None
+    escaped = next((m.start() for m in _PDF_NAME.finditer(data) if b"#" in m[0] and _is_active(m[0])), None) if b"#" in data else None
+    return min((x for x in (found and found.start(), escaped) if x is not None), default=None)
+
+
+def _object_streams(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(place, body) of the packed object streams."""
+    done = 0
+    for m in _PDF_NAME.finditer(data):
+        if m.start() >= done and (_PDF_ESCAPE.sub(lambda x: bytes([int(x[1], 16)]), m[0]) if b"#" in m[0] else m[0]) == b"/ObjStm":
+            begin = data.find(b"stream", m.end())
+            if begin < 0:
+                return
+            done = begin
+            begin += 6
+            begin += 2 if data.startswith(b"\r\n", begin) else 1 if data.startswith((b"\n", b"\r"), begin) else 0
+            end = data.find(b"endstream", begin)
+            yield m.start(), data[begin : end if end >= 0 else len(data)]
 
 
 def pdf_active(data: bytes) -> int | None:
-    """Where a PDF has a key that starts something, in plain objects or in packed object streams (then 0)."""
-    if found := _PDF_KEY.search(data):
-        return found.start()
-    for stream in _PDF_STREAM.finditer(data):
+    """Where a PDF has a key that starts something, in plain objects or in packed object streams (then 0).
+
+    Object streams are unpacked to their end, piece by piece; one that can't be read, or that unpacks to over PDF_UNPACKED, counts.
+    """
+    if (at := pdf_key(data)) is not None:
+        return at
+    left = PDF_UNPACKED
+    for _, body in _object_streams(data):
+        reader, tail = zlib.decompressobj(), b""
         try:
-            if _PDF_KEY.search(zlib.decompressobj().decompress(stream[1], 1 << 24)):
-                return 0
+            while not reader.eof and (body or tail):
+                plain = reader.decompress(body, 1 << 20)
+                body = reader.unconsumed_tail
+                left -= len(plain)
+                if pdf_key(tail + plain) is not None or left < 0:
+                    return 0
+                if not plain and not body:
+                    break
+                tail = plain[-256:]
         except zlib.error:
-            continue
+            return 0
     return None
 
 
 _PDF_BODY = re.compile(rb"stream\r?\n(.*?)endstream", re.S)
-#: An object stream that unpacks to more than this is emptied.
-PDF_UNPACKED = 64 << 20
 
 
 def _without_keys(data: bytes) -> bytes:
     """Keys that start something get a name of the same length that means nothing, so that all offsets stay."""
-    return _PDF_KEY.sub(lambda m: b"/" + b"X" * (len(m[0]) - 1), data)
+    return _PDF_NAME.sub(lambda m: b"/" + b"X" * (len(m[0]) - 1) if _is_active(m[0]) else m[0], data)
 
 
 def _packed_without_keys(body: bytes, packed_objects: bool) -> bytes:
@@ -211,11 +257,11 @@ def _packed_without_keys(body: bytes, packed_objects: bool) -> bytes:
     try:
         plain = reader.decompress(body, PDF_UNPACKED)
     except zlib.error:
-        return _without_keys(body)
+        return zlib.compress(b"")[: len(body)].ljust(len(body), b"\n") if packed_objects else _without_keys(body)
     if not packed_objects:
         return body if reader.eof and len(reader.unused_data) <= 2 else _without_keys(body)
     whole = not reader.unconsumed_tail
-    if whole and not _PDF_KEY.search(plain):
+    if whole and pdf_key(plain) is None:
         return body
     packed = zlib.compress(_without_keys(plain), 9) if whole else b""
     if not packed or len(packed) > len(body):
@@ -228,7 +274,7 @@ def rewritten_pdf(data: bytes) -> bytes:
     out, at = [], 0
     for m in _PDF_BODY.finditer(data):
         head = data[at : m.start(1)]
-        objects = re.search(rb"/Type\s*/ObjStm", head[head.rfind(b"endobj") + 1 :]) is not None
+        objects = any(_PDF_ESCAPE.sub(lambda x: bytes([int(x[1], 16)]), n[0]) == b"/ObjStm" for n in _PDF_NAME.finditer(head, max(head.rfind(b"endobj"), 0)))
         out += [_without_keys(head), _packed_without_keys(m[1], objects)]
         at = m.end(1)
     return b"".join([*out, _without_keys(data[at:])])
@@ -236,18 +282,46 @@ def rewritten_pdf(data: bytes) -> bytes:
 
 _CSS_ESCAPE = re.compile(r"\\([0-9a-fA-F]{1,6})\s?|\\(.)", re.S)
 _CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-_CSS_RULES = (
-    ("scan.css.import", re.compile(r"@import\b", re.I)),
-    ("scan.css.expression", re.compile(r"(?<![\w-])(?:expression\s*\(|-moz-binding\b|behavior\s*:)", re.I)),
-    ("scan.css.dangerous_scheme", re.compile(r"(?:url\(\s*['\"]?|['\"])\s*(?:javascript:|data:\s*(?:text/html|application/xhtml\+xml|image/svg\+xml|text/javascript|application/javascript|application/ecmascript))", re.I)),
-    ("scan.css.exfiltration", re.compile(r"\[[^\]]*[\^$*]=[^\]]*\][^{}]*\{[^}]*url\(", re.I)),
-)
+_CSS_IMPORT = re.compile(r"@import\b", re.I)
+_CSS_EXPRESSION = re.compile(r"(?<![\w-])(?:expression\s*\(|-moz-binding\b|behavior\s*:)", re.I)
+_CSS_SCHEME = re.compile(r"javascript:|data:\s*+(?:text/html|application/xhtml\+xml|image/svg\+xml|text/javascript|application/javascript|application/ecmascript)", re.I)
+_CSS_PROBE = re.compile(r"\[[^\[\]{}]*[\^$*]=")
+_CSS_URL = re.compile(r"url\(|image-set\(|src\(", re.I)
+
+
+def _scheme_places(css: str) -> Iterator[int]:
+    """Where a string or an address begins that has an active scheme."""
+    for m in _CSS_SCHEME.finditer(css):
+        at = m.start()
+        while at and css[at - 1] in " \t\n\r\f'\"":  # the runs before two matches don't overlap
+            at -= 1
+        if "'" in css[at : m.start()] or '"' in css[at : m.start()] or css[max(at - 4, 0) : at].lower() == "url(":
+            yield at
+
+
+def _exfiltration_places(css: str) -> Iterator[int]:
+    """Where a selector that probes parts of attributes stands over a block with an address. Blocks are walked once."""
+    above: list[int] = []  # of each open block: the place of the probing selector over it, -1 without one
+    begin = 0
+    for m in re.finditer(r"[{};]", css):
+        part, at = css[begin : m.start()], begin
+        begin = m.end()
+        if m[0] == "{":
+            probe = _CSS_PROBE.search(part)
+            above.append(at + probe.start() if probe else above[-1] if above else -1)
+            continue
+        if above and above[-1] >= 0 and _CSS_URL.search(part):
+            yield above[-1]
+        if m[0] == "}" and above:
+            above.pop()
+    if above and above[-1] >= 0 and _CSS_URL.search(css, begin):
+        yield above[-1]
 
 
-def css_findings(text: str) -> list[tuple[str, int, int]]:
-    """(rule, start, end of the enclosing rule): imports, scripting values, active URLs, and rules that send out parts of attributes.
+def css_findings(text: str) -> list[tuple[str, int, tuple[int, int]]]:
+    """(rule, place, range of the enclosing rule): imports, scripting values, active URLs, and rules that send out parts of attributes.
 
-    Escapes are resolved and comments taken out before names are read, so neither hides one.
+    Escapes are resolved and comments taken out before names are read, so neither hides one. Linear but for sorting.
     """
     def unescaped(m: re.Match) -> str:
         code = int(m[1], 16) if m[1] else 0
@@ -258,13 +332,16 @@ def css_findings(text: str) -> list[tuple[str, int, int]]:
     plain = _CSS_ESCAPE.sub(lambda m: "\0" * (len(m[0]) - 1) + unescaped(m), plain)
     places = [k for k, c in enumerate(plain) if c != "\0"]
     joined = plain.replace("\0", "")
+    ends, closes = ([m.start() for m in re.finditer(x, joined)] for x in ("[;}]", "}"))
+    hits = [("scan.css.import", m.start(), m.end()) for m in _CSS_IMPORT.finditer(joined)] + [("scan.css.expression", m.start(), m.end()) for m in _CSS_EXPRESSION.finditer(joined)]
+    hits += [("scan.css.dangerous_scheme", at, at + 1) for at in _scheme_places(joined)] + [("scan.css.exfiltration", at, at + 1) for at in dict.fromkeys(_exfiltration_places(joined))]
     out = []
-    for rule, pattern in _CSS_RULES:
-        for m in pattern.finditer(joined):
-            end = re.compile(r"[;}]").search(joined, m.end())
-            start = max(joined.rfind(c, 0, m.start()) for c in "};") + 1 if rule != "scan.css.import" else m.start()
-            out.append((rule, places[m.start()], (places[start], places[end.start()] + 1 if end else len(text))))
-    return [(r, a, span) for r, a, span in sorted(out, key=lambda x: x[1])]
+    for rule, at, after in hits:
+        to = closes if rule == "scan.css.exfiltration" else ends  # of a block all goes, whatever ends inside it
+        k, before = bisect_left(to, after), bisect_left(ends, at)
+        start = at if rule == "scan.css.import" else ends[before - 1] + 1 if before else 0
+        out.append((rule, places[at], (places[start], places[to[k]] + 1 if k < len(to) else len(text))))
+    return sorted(out, key=lambda x: x[1])
 
 
 def rewritten_css(text: str) -> str:
@@ -299,7 +376,14 @@ def scan_file(data: bytes, mime: str | None, policy: Policy) -> list[tuple[str,
         at = next((p for p in map(data.find, (b"<!ENTITY", b"SYSTEM", b"PUBLIC")) if p >= 0), None)
         return [] if at is None else [("scan.xml.xxe", "active_content", at)]
     if mime == "text/css":
-        return [(rule, "active_content", at) for rule, at, _ in css_findings(data.decode("utf-8", "replace"))]
+        text = data.decode("utf-8", "replace")
+        ascii_only, out, at = text.isascii(), [], 0
+        total = 0
+        for rule, place, _ in css_findings(text):
+            total += place - at if ascii_only else len(text[at:place].encode("utf-8", "replace"))
+            at = place
+            out.append((rule, "active_content", total))
+        return out
     return []
 
 
@@ -308,13 +392,18 @@ SCANNED = ("application/xml", "application/zip", "image/png", "image/gif", "imag
 
 def scan(data: Column, mime: Column, policy: Policy) -> Column:
     """The findings of each row; rows of types that no scanner reads never leave the JVM with their bytes."""
-    kind = pa.list_(pa.struct([("rule", pa.string()), ("category", pa.string()), ("offset", pa.int64())]))
+    kind = pa.list_(pa.struct([("rule", pa.string()), ("category", pa.string()), ("offset", pa.int64()), ("line", pa.int64())]))
 
     @F.arrow_udf(FINDINGS)
     def found(blobs: pa.Array, mimes: pa.Array) -> pa.Array:
         rows = []
         for blob, m in zip(blobs.to_pylist(), mimes.to_pylist(), strict=True):
-            rows.append([dict(zip(("rule", "category", "offset"), x, strict=True)) for x in scan_file(blob, m, policy)] if blob is not None else [])
+            out, line, counted = [], 1, 0
+            for rule, category, at in scan_file(blob, m, policy) if blob is not None else []:
+                line += blob.count(b"\n", counted, at) if at >= counted else 1 - line + blob.count(b"\n", 0, at)
+                counted = at
+                out.append({"rule": rule, "category": category, "offset": at, "line": line})
+            rows.append(out)
         return pa.array(rows, kind)
 
     return found(F.when(mime.isin(*SCANNED), data), mime)

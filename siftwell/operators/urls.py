@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hosts, netaddr
+from ..sources.staging import cut
 
 SPECIAL = ("http", "https", "ftp", "ws", "wss")
 #: Default ports.
@@ -78,7 +79,7 @@ def classify_urls(urls: DataFrame, blocklist: DataFrame, protected: DataFrame, n
     rows = urls.select("url").where(F.col("url").isNotNull()).distinct()
     rows = rows.select("url", F.explode(F.array(taken_apart(F.col("url")))).alias("p"))  # a row each: the parts are worked out once, not at each use
     named = rows.select(F.col("p.host").alias("host")).where(F.col("host") != "").distinct().withColumn("h", hosts.parsed_host(F.col("host")))
-    parsed = named.where(F.col("h").isNotNull()).select("host", "h.*")
+    parsed = cut(named.where(F.col("h").isNotNull()).select("host", "h.*"))  # distinct hosts; four joins read them
     addresses = parsed.where("kind != 'domain'").select("ascii", F.when(F.col("kind") == "ipv4", 4).otherwise(6).alias("of_family"), "digits").distinct()
     internal = netaddr.classify(addresses, networks, "ascii", "of_family", "digits")
     info = (parsed.join(blocked_hosts(parsed, blocklist).withColumn("blocked", F.lit(True)), "ascii", "left")

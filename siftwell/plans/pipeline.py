@@ -45,30 +45,26 @@ def process(inputs: DataFrame, policy: Policy, blocklist: DataFrame, protected:
         sniff.mismatch_text(F.col("sniffed"), F.col("declared")).alias("original"), F.lit("rewrite").alias("action"), F.lit(None).cast("string").alias("replacement")))).otherwise(none)
     rows = rows.withColumn("mismatch", mismatch)
     is_markup = F.col("within") & F.coalesce(F.col("effective").isin("text/html", "image/svg+xml"), F.lit(False))
-    rules = html.sanitize(rows.where(is_markup).select("id", "data"), policy, blocklist, protected, networks)
-    pages = rows.where(is_markup).join(rules.withColumnRenamed("actions", "found"), "id")
-    svg = F.col("effective") == "image/svg+xml"
-    active = F.filter("found", lambda a: a["category"] == "xss")
+    both = html.sanitize(rows, policy, blocklist, protected, networks, is_markup).withColumnRenamed("actions", "found").withColumn("markup", is_markup)
+    svg = F.col("markup") & (F.col("effective") == "image/svg+xml")
     act = F.lit("refuse" if reject else "allow")
-    as_active = F.transform(active, lambda a: a.withField("action", act))
-    pages = pages.withColumn("found", F.when(svg, as_active).otherwise(F.col("found")))
-    pages = pages.withColumn("refused", F.when(svg, F.lit(reject) & (F.size("found") > 0)).otherwise(F.col("refused")))
-    pages = pages.withColumn("output", F.when(svg & (F.size("found") == 0), F.col("data")).otherwise(F.col("output")))
-    others = rows.where(~is_markup).withColumn("findings", F.when(F.col("within"), scanners.scan(F.when(F.col("within"), F.col("data")), F.col("effective"), policy)).otherwise(F.array().cast(scanners.FINDINGS)))
+    as_active = F.transform(F.filter("found", lambda a: a["category"] == "xss"), lambda a: a.withField("action", act))
+    both = both.withColumn("found", F.when(svg, as_active).otherwise(F.col("found")))
+    both = both.withColumn("refused", F.when(svg & (F.size("found") > 0), F.lit(reject)).otherwise(F.col("refused")))
+    both = both.withColumn("output", F.when(svg & (F.size("found") == 0) & ~F.col("refused"), F.col("data")).otherwise(F.col("output")))
+    scanned = F.col("within") & ~F.col("markup")
+    both = both.withColumn("findings", scanners.scan(F.when(scanned, F.col("data")), F.col("effective"), policy))
 
     def finding(f: Column) -> Column:
-        line = F.size(F.split(F.make_valid_utf8(F.substring(F.col("data"), F.lit(1), f["offset"].cast("int")).cast("string")), "\n"))
         cut = F.make_valid_utf8(F.substring(F.col("data"), f["offset"].cast("int") + 1, F.lit(200)).cast("string"))
-        return F.struct(f["rule"].alias("rule_id"), f["category"].alias("category"), place(line, f["offset"]).alias("location"), cut.alias("original"),
+        return F.struct(f["rule"].alias("rule_id"), f["category"].alias("category"), place(f["line"], f["offset"]).alias("location"), cut.alias("original"),
                         F.when(f["category"] == "dos", "refuse").otherwise(act).alias("action"), F.lit(None).cast("string").alias("replacement"))
 
-    refused = F.exists("findings", lambda f: (f["category"] == "dos") | F.lit(reject))
-    others = others.withColumn("found", F.transform("findings", finding)).withColumn("refused", refused)
-    kept = F.when(F.col("within") & ~F.col("refused"), F.col("data"))
-    others = others.withColumn("output", kept if reject else scanners.rewritten(kept, F.col("effective"), F.col("within") & ~F.col("refused") & (F.size("findings") > 0)))
-    others = others.withColumn("references", F.array().cast(f"array<{REFERENCE}>")).withColumn("base", F.lit(None).cast("string")).drop("findings")
-    names = ["id", "name", "data", "declared", "sniffed", "within", "mismatch", "found", "refused", "output", "references", "base"]
-    both = pages.select(*names).unionByName(others.select(*names))
+    both = both.withColumn("refused", F.col("refused") | F.exists("findings", lambda f: (f["category"] == "dos") | F.lit(reject)))
+    both = both.withColumn("found", F.concat("found", F.transform("findings", finding)))
+    kept = F.when(scanned & ~F.col("refused"), F.col("data"))
+    rewritten = kept if reject else scanners.rewritten(kept, F.col("effective"), scanned & ~F.col("refused") & (F.size("findings") > 0))
+    both = both.withColumn("output", F.when(F.col("markup"), F.col("output")).otherwise(rewritten)).drop("findings", "markup")
     actions = F.when(F.col("within"), F.concat("mismatch", "found")).otherwise(none)
     both = both.withColumn("actions", actions)
     status = F.when(~F.col("within"), "budget_exceeded").when(F.col("refused"), "refused").when(F.size("actions") == 0, "clean").otherwise("sanitised")

@@ -1,10 +1,11 @@
 import struct
+import time
 import zlib
 
 import pytest
 
 from siftwell.functions.hosts import parse_host
-from siftwell.functions.markup import decode_references, find_elements
+from siftwell.functions.markup import Unreadable, decode_references, find_elements
 from siftwell.functions.netaddr import deny_rows
 from siftwell.operators import scanners
 from siftwell.policy import Policy, XmlBudget, ZipBudget, parse_policy
@@ -93,6 +94,70 @@ def test_markup():
     assert decode_references("j&#97;va&#x73;cript&colon;&amp;lt; &amp=1 &#xD800;") == "javascript:&lt; &amp=1 &#xD800;"
 
 
+@pytest.mark.parametrize(("page", "tags"), [
+    (b"<!--><script>alert(1)</script>-->", ["script"]), (b"<!---><img src=x onerror=a>-->", ["img"]), (b"<!-- a --!><b>", ["b"]), (b"<!-- <b>", []), (b"<!---->\n<b>", ["b"]),
+    (b"<a href=x/><b>", ["a", "b"]), (b"<IMG/src=q>", ["img"]), (b"<p title='<b>'>", ["p"]), (b"<a b=\"><i>", []), (b"</p a='>'><b>", ["b"]), (b"</ <b>", []), (b"<?x <b>", []), (b"<3<b>", ["b"]),
+    (b"<script><!--<script></script><i>--></script><img>", ["script", "img"]), (b"<script><!--></script><img>", ["script", "img"]), (b"<textarea></textareas></textarea ><b>", ["textarea", "b"]),
+    (b"<svg><style><img src=x></style></svg><style><b></style>", ["svg", "style", "img", "style"]), (b"<svg><![CDATA[><a title=\"]]><img src=x>\">", ["svg", "img"]), (b"<plaintext><b>", ["plaintext"]),
+    (b"<svg><p><style><a>", None), (b"<svg><desc><![CDATA[<b>", None), (b"<noscript><p title='</noscript><img>'>", None),
+])
+def test_tokens(page, tags):
+    if tags is None:
+        with pytest.raises(Unreadable):
+            find_elements(page)
+    else:
+        assert [e["tag"] for e in find_elements(page)] == tags
+
+
+def test_lines_and_attributes():
+    found = find_elements(b"\n<p\n a=1 A=2 =c='d e' f>\n\n<b g=&#97;&amp;>")
+    assert [e["line"] for e in found] == [2, 5]
+    assert [(a["name"], a["value"]) for a in found[0]["attrs"]] == [("a", "1"), ("=c", "d e"), ("f", "")]
+    assert found[1]["attrs"][0]["plain"] == "a&" and found[0]["attrs"][0]["plain"] is None
+
+
+@pytest.mark.parametrize("unit", [b"<a" + b' x=""' * 100, b"<!", b"<", b"<!--", b"</a", b"<style>", b"<script><!--<script>", b"<a b='", b"<svg><![CDATA[", b"\n<p>", b" x=\"\"", b"<a ", b"<svg>", b"<title>"])
+def test_hostile_pages_take_linear_time(unit):
+    def seconds(size):
+        page, began = b"<a" + unit * (size // len(unit)), time.process_time()
+        try:
+            find_elements(page)
+        except Unreadable:
+            pass
+        return time.process_time() - began
+
+    assert seconds(1 << 19) < 2 + 6 * seconds(1 << 17)
+
+
+@pytest.mark.parametrize("unit", ["[", "@import ", "url(", " ", "'", "data: ", "{", "\\", "/*", "a[b^=c]{url(", "expression(", "a[b^=c]{url(x);", "javascript:", "}{;"])
+def test_hostile_stylesheets_take_linear_time(unit):
+    def seconds(size):
+        began = time.process_time()
+        scanners.css_findings("url(" + unit * (size // len(unit)))
+        return time.process_time() - began
+
+    assert seconds(1 << 19) < 2 + 6 * seconds(1 << 17)
+
+
+def test_hostile_documents():
+    assert scanners.pdf_active(b"%PDF << /J#61vaScript 1 >>") == 8 and scanners.pdf_active(b"%PDF /#4a#53X") is None and scanners.pdf_active(b"%PDF /#4a#53") == 5
+    packed = lambda data: b"%PDF-1.5 << /Type /Obj#53tm >> stream\n" + data + b"endstream"
+    assert scanners.pdf_active(packed(zlib.compress(b" " * (20 << 20) + b"/JS 1"))) == 0
+    assert scanners.pdf_active(packed(zlib.compress(b" " * (65 << 20)))) == 0 and scanners.pdf_active(packed(b"not packed")) == 0
+    assert scanners.pdf_active(packed(zlib.compress(b" " * (1 << 20) + b"/Kids"))) is None
+    assert b"61vaScript" not in scanners.rewritten_pdf(b"%PDF << /J#61vaScript 1 >>")
+    began = time.process_time()
+    scanners.pdf_active(b"%PDF" + b"/ObjStm stream " * 60_000)
+    scanners.xml_risk(b'<!ENTITY a "' + b"&" * 1_000_000 + b'">', XmlBudget())
+    assert time.process_time() - began < 5
+
+
+def test_nested_style_rules():
+    assert [r for r, *_ in scanners.css_findings("input[value^=a]{color:red; &:hover{background:url(//x)}} p{background:url(y)}")] == ["scan.css.exfiltration"]
+    assert scanners.css_findings("input[value=a]{background:url(//x)} a[b^=c]{color:red} p{background:url(y)}") == []
+    assert [r for r, *_ in scanners.css_findings("p{x:url( ' javascript:a')} q{y:'javascript:b'} r{z:javascript:c}")] == ["scan.css.dangerous_scheme"] * 2
+
+
 @pytest.mark.parametrize(("text", "host"), [
     ("Example.COM", ("domain", "example.com")), ("münchen.de", ("domain", "xn--mnchen-3ya.de")), ("0x7f.1", ("ipv4", "127.0.0.1")), ("2130706433", ("ipv4", "127.0.0.1")),
     ("[::1]", ("ipv6", "[::1]")), ("a b", None), ("1.2.3.999", None), ("ex%61mple.com", ("domain", "example.com")), ("ｅxample．com", ("domain", "example.com")), ("[x]", None),
