@@ -22,17 +22,34 @@ DENIED = (
 )
 
 
-def deny_rows(extra: tuple[str, ...] = ()) -> list[tuple[int, int, str, str, str]]:
-    """(ord, family, lo, hi, rule): the fixed networks, then configured ones. A bare address is a network of one; bad ones raise."""
+NETWORKS = "ord int, family int, lo string, hi string, rule string"
+
+
+def is_network(text: str) -> bool:
+    """Whether a text is a network or an address."""
+    try:
+        ipaddress.ip_network(text, strict=False)
+    except ValueError:
+        return False
+    return True
+
+
+def network_rows(rules: list[tuple[str, str]]) -> list[tuple[int, int, str, str, str]]:
+    """(ord, family, lo, hi, rule) of (network, rule), in order. A bare address is a network of one; bad ones raise."""
     rows = []
-    for n, (text, rule) in enumerate((*DENIED, *[(x, "ssrf.deny_extra") for x in extra])):
+    for n, (text, rule) in enumerate(rules):
         net = ipaddress.ip_network(text, strict=False)
         rows.append((n, net.version, f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}", rule))
     return rows
 
 
+def deny_rows(extra: tuple[str, ...] = ()) -> list[tuple[int, int, str, str, str]]:
+    """The fixed networks, then configured ones."""
+    return network_rows([*DENIED, *[(x, "ssrf.deny_extra") for x in extra]])
+
+
 def deny_table(spark: SparkSession, extra: tuple[str, ...] = ()) -> DataFrame:
-    return spark.createDataFrame(deny_rows(extra), "ord int, family int, lo string, hi string, rule string")
+    return spark.createDataFrame(deny_rows(extra), NETWORKS)
 
 
 def ipv4_hex(number: Column) -> Column:
@@ -52,9 +69,13 @@ def unwrapped(family: Column, digits: Column) -> tuple[Column, Column]:
 def classify(addresses: DataFrame, networks: DataFrame, key: str, family: str = "family", digits: str = "digits") -> DataFrame:
     """(key, rule) of the distinct ``key`` values whose address is in a network: the first in declared order.
 
-    The networks are a policy list and broadcast; addresses are streamed past them. ``key`` must determine the address.
+    Networks are spread over the first 16 bits of their addresses, so this is a hash join whatever their number; Spark broadcasts the
+    networks if they are small. ``key`` must determine the address.
     """
     own_family, own_digits = unwrapped(F.col(family), F.col(digits))
     rows = addresses.select(key, own_family.alias("_family"), own_digits.alias("_digits"))
-    hits = rows.join(F.broadcast(networks), (F.col("_family") == F.col("family")) & F.col("_digits").between(F.col("lo"), F.col("hi")))
+    first = lambda family, digits: F.conv(F.when(family == 4, F.substring(digits, 25, 4)).otherwise(F.substring(digits, 1, 4)), 16, 10).cast("int")
+    spread = networks.withColumn("_first", F.explode(F.sequence(first(F.col("family"), F.col("lo")), first(F.col("family"), F.col("hi")))))
+    rows = rows.withColumn("_head", first(F.col("_family"), F.col("_digits")))
+    hits = rows.join(spread, (F.col("_family") == F.col("family")) & (F.col("_head") == F.col("_first")) & F.col("_digits").between(F.col("lo"), F.col("hi")))
     return hits.groupBy(key).agg(F.min_by("rule", "ord").alias("rule"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import cut
+
 
 def rate(numerator: Column, denominator: Column) -> Column:
     """A share with four decimals, ``n/a`` over nothing."""
@@ -48,10 +50,45 @@ def category_rates(measured: DataFrame, good: tuple[str, ...] = ("detected", "cl
 
 
 def middle(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, low, middle, high): the upper median by rank. Ranks come from one sort by key and value."""
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1)
-    counts = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
-    return ranked.join(counts, key).where(F.col("rank") == F.floor(F.col("n") / 2)).select(key, "n", "low", F.col(value).alias("middle"), "high")
+    """(key, n, low, middle, high): the upper median by rank.
+
+    Equal values are counted first; the counts are dealt by ranges of key and value, added up inside each range, and the ranges'
+    sums lead to the one with the middle. No task sees more than a range, however few keys there are.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranged = cut(counts.repartitionByRange("_k", "_v").withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_k", "_range").agg(F.sum("_c").alias("_s"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    of_key = Window.partitionBy("_k")
+    sums = sums.withColumn("_before", F.sum("_s").over(of_key.orderBy("_range")) - F.col("_s")).withColumn("n", F.sum("_s").over(of_key))
+    sums = sums.withColumn("low", F.min("_low").over(of_key)).withColumn("high", F.max("_high").over(of_key)).withColumn("_at", F.floor(F.col("n") / 2))
+    here = sums.where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_s"))).drop("_s", "_low", "_high")
+    inside = ranged.join(here, ["_k", "_range"])
+    inside = inside.withColumn("_ends", F.col("_before") + F.sum("_c").over(Window.partitionBy("_k", "_range").orderBy("_v")))
+    return inside.where((F.col("_ends") - F.col("_c") <= F.col("_at")) & (F.col("_at") < F.col("_ends"))).select(F.col("_k").alias(key), "n", "low", F.col("_v").alias("middle"), "high")
+
+
+def agreement(truth: DataFrame, found: DataFrame, key: str, names: tuple[str, str] = ("missing", "unlabelled")) -> DataFrame:
+    """(key, what): keys of ``truth`` that aren't found, and found ones that ``truth`` doesn't know."""
+    lost = truth.join(found, key, "left_anti").select(key, F.lit(names[0]).alias("what"))
+    return lost.unionByName(found.join(truth, key, "left_anti").select(key, F.lit(names[1]).alias("what")))
+
+
+def suite_counts(judged: DataFrame, key: str = "suite") -> DataFrame:
+    """(key, total, passed, failed) of judged scenarios (``passed``)."""
+    return judged.groupBy(key).agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+
+
+def memory_growth(measured: DataFrame) -> DataFrame:
+    """(name, bytes, growth_kib, bytes_per_input_byte) of measured peaks (name, bytes, peak_rss_kib, baseline_kib)."""
+    growth = F.greatest(F.col("peak_rss_kib") - F.col("baseline_kib"), F.lit(0))
+    ratio = F.when(F.col("bytes") == 0, "n/a").otherwise(F.format_string("%.3f", growth * 1024 / F.col("bytes")))
+    return measured.select("name", "bytes", growth.cast("long").alias("growth_kib"), ratio.alias("bytes_per_input_byte"))
+
+
+def words_by_cell(cells: DataFrame, column: str) -> DataFrame:
+    """(word, n) of all space-joined cells of a column; empty and null cells have none."""
+    words = F.filter(F.split(F.coalesce(F.col(column), F.lit("")), " "), lambda w: w != "")
+    return cells.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def per_kib(microseconds: Column, n_bytes: Column) -> Column:

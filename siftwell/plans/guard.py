@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import netaddr
+from ..functions import hosts, netaddr
+from ..functions.addresses import absolute
+from ..sources.staging import cut
 
 REDIRECTS = (301, 302, 303, 307, 308)
 MOST_ADDRESSES = 16
@@ -14,13 +16,23 @@ MOST_ADDRESSES = 16
 def decide(requests: DataFrame, dns: DataFrame, networks: DataFrame, allow_hosts: tuple[str, ...] = ()) -> DataFrame:
     """(request_id, allowed, rule, addresses) of requests (request_id, host, port, endpoint) against ``dns`` (host, ord, family, digits).
 
-    A host on the allow list passes. One denied address refuses the whole answer, unless it is the parent's own ``endpoint``
+    A host on the allow list passes, and so does an address in a network on it (``10.0.0.0/8``, ``::1``). A host that is an address
+    by itself needs no answer. One denied address refuses the whole answer, unless it is the parent's own ``endpoint``
     (``digits:port``); ``rule`` is that of the first denied one. At most 16 addresses are handed on, in order. A host without an
     answer isn't allowed and has no rule.
     """
+    literal = requests.select("host").distinct().withColumn("h", hosts.parsed_host(F.col("host"))).where("h.kind IN ('ipv4', 'ipv6')")
+    literal = literal.select("host", F.lit(0).alias("ord"), F.when(F.col("h.kind") == "ipv4", 4).otherwise(6).alias("family"), "h.digits")
+    dns = dns.join(literal, "host", "left_anti").select("host", "ord", "family", "digits").unionByName(literal)
+    allowed_networks = tuple(x for x in allow_hosts if netaddr.is_network(x))
     known = dns.select("family", "digits").distinct().withColumn("address", F.concat_ws("/", F.col("family").cast("string"), "digits"))
     rules = netaddr.classify(known.withColumnRenamed("family", "of_family"), networks, "address", "of_family", "digits")
-    answers = dns.withColumn("address", F.concat_ws("/", F.col("family").cast("string"), "digits")).join(rules, "address", "left").drop("address")
+    answers = dns.withColumn("address", F.concat_ws("/", F.col("family").cast("string"), "digits")).join(rules, "address", "left")
+    if allowed_networks:
+        table = requests.sparkSession.createDataFrame(netaddr.network_rows([(x, "allowed") for x in allowed_networks]), netaddr.NETWORKS)
+        good = netaddr.classify(known.withColumnRenamed("family", "of_family"), table, "address", "of_family", "digits").select("address", F.lit(True).alias("good"))
+        answers = answers.join(good, "address", "left").withColumn("rule", F.when(F.col("good").isNull(), F.col("rule"))).drop("good")
+    answers = answers.drop("address")
     met = requests.join(answers, "host", "left")
     exempt = F.coalesce(F.col("endpoint") == F.concat("digits", F.lit(":"), F.col("port").cast("string")), F.lit(False))
     passed = F.col("host").isin(*allow_hosts) if allow_hosts else F.lit(False)
@@ -34,20 +46,24 @@ def decide(requests: DataFrame, dns: DataFrame, networks: DataFrame, allow_hosts
 def follow(requests: DataFrame, responses: DataFrame, limit: int = 5) -> DataFrame:
     """(request_id, final_url, hops, outcome) of requests (request_id, url) against ``responses`` (url, status, location).
 
-    Each hop is one join. ``outcome``: fetched (200 to 299), http_error, no_response, bad_redirect (no location) or too_many.
+    Each hop is one join, whose narrow result is written once. A location may be relative. ``outcome``: fetched (200 to 299),
+    http_error, no_response, bad_redirect (no location), bad_scheme (neither http nor https) or too_many.
     """
     live = requests.select("request_id", F.col("url").alias("final_url"), F.lit(0).alias("hops"))
     answers = responses.select(F.col("url").alias("final_url"), "status", "location")
     ended = None
-    for _ in range(limit + 1):
+    for hop in range(limit + 1):
         met = live.join(answers, "final_url", "left")
         moved = F.coalesce(F.col("status").isin(*REDIRECTS), F.lit(False))
-        target = F.trim("location")
-        bad = moved & F.coalesce(target == "", F.lit(True))
-        over = moved & (F.col("hops") >= limit)
-        outcome = F.when(F.col("status").isNull(), "no_response").when(bad, "bad_redirect").when(over, "too_many").when(F.col("status").between(200, 299), "fetched").otherwise("http_error")
-        stays = ~moved | bad | over
-        now = met.where(stays).select("request_id", "final_url", "hops", outcome.alias("outcome"))
+        empty = F.coalesce(F.trim("location") == "", F.lit(True))
+        target = absolute(F.when(moved & ~empty, F.col("location")), F.col("final_url"))
+        met = cut(met.select("request_id", "final_url", "hops", "status", moved.alias("moved"), (moved & empty).alias("bad"), target.alias("target")))
+        outcome = (F.when(F.col("status").isNull(), "no_response").when(F.col("bad"), "bad_redirect").when(F.col("moved") & (F.col("hops") >= limit), "too_many")
+                   .when(F.col("moved"), "bad_scheme").when(F.col("status").between(200, 299), "fetched").otherwise("http_error"))
+        goes_on = F.col("moved") & F.col("target").isNotNull() & (F.col("hops") < limit)
+        now = met.where(~goes_on).select("request_id", "final_url", "hops", outcome.alias("outcome"))
         ended = now if ended is None else ended.unionByName(now)
-        live = met.where(~stays).select("request_id", target.alias("final_url"), (F.col("hops") + 1).alias("hops"))
+        live = met.where(goes_on).select("request_id", F.col("target").alias("final_url"), (F.col("hops") + 1).alias("hops"))
+        if hop == limit or live.isEmpty():
+            return ended
     return ended

@@ -6,35 +6,19 @@ doesn't fit counts nothing); it is a fold over each page's references, which the
 
 from __future__ import annotations
 
-from urllib.parse import urldefrag, urljoin
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sniff
+from ..functions.addresses import absolute
+from ..operators.html import ACTION, rewrite_references
 from ..policy import Policy
+from ..sources.staging import cut
+from . import pipeline
 
 KIND_OF = {"text/css": "css", "text/javascript": "js", "image/jpeg": "image", "image/png": "image", "image/gif": "image", "image/webp": "image", "image/svg+xml": "image", "image/tiff": "image"}
 
 
-def _absolute(raws: pa.Array, bases: pa.Array) -> pa.Array:
-    out = []
-    for raw, base in zip(raws.to_pylist(), bases.to_pylist(), strict=True):
-        text = (raw or "").strip()
-        try:
-            joined = urldefrag(urljoin(base or "", text)).url
-        except ValueError:
-            joined = ""
-        out.append(joined if text and not text.startswith("#") and joined.lower().startswith(("http://", "https://")) else None)
-    return pa.array(out, pa.string())
-
-
-def absolute(raw: Column, base: Column) -> Column:
-    """A reference joined to an absolute base URL; null if it is empty, a fragment, or neither http nor https."""
-    return F.arrow_udf(_absolute, "string")(raw, base)
-
-
 def slots(reports: DataFrame, max_requests: int, refused: DataFrame | None = None) -> DataFrame:
     """(id, slot, url, raw, kind, refusal, over): each page's references, the first of each URL, numbered from 0.
 
@@ -52,40 +36,88 @@ def slots(reports: DataFrame, max_requests: int, refused: DataFrame | None = Non
     return rows.select("id", (F.row_number().over(in_order) - 1).alias("slot"), "url", "raw", "kind", "refusal", (F.col("refusal").isNull() & (before >= max_requests)).alias("over"))
 
 
-def outcomes(rows: DataFrame, responses: DataFrame, policy: Policy) -> DataFrame:
+def bodies(responses: DataFrame, policy: Policy, blocklist: DataFrame, protected: DataFrame, networks: DataFrame) -> DataFrame:
+    """(url, handled, actions, output) of responses with a body: every body goes the way of an input, with the same rules."""
+    inputs = responses.where(F.col("body").isNotNull()).select(F.col("url").alias("id"), F.col("url").alias("name"), F.col("body").alias("data"), F.col("content_type").alias("declared_header"))
+    found = pipeline.process(inputs.dropDuplicates(["id"]), policy, blocklist, protected, networks)
+    return found.select(F.col("id").alias("url"), F.col("status").alias("handled"), "actions", "output")
+
+
+def outcomes(rows: DataFrame, responses: DataFrame, policy: Policy, handled: DataFrame | None = None) -> DataFrame:
     """(id, slot, url, raw, kind, status, rule, bytes, asset): what became of each reference in ``slots``.
 
-    ``responses``: url, status, content_type, body, failure. Each page's fold carries the bytes used so far: a body over what
-    remains is ``budget_exceeded`` and uses none of it. A mismatch of types, a type outside the policy's and a refused URL are
-    ``refused``; a missing response, a failure or a status outside 200 to 299 is ``fetch_error``.
+    ``responses``: url, status, content_type, body, failure. ``handled`` is what ``bodies`` makes of them: a refused body is
+    ``refused``, one that is changed ``sanitised``; an asset's content is its output there. Each page's fold carries the bytes used
+    so far: a body over what remains is ``budget_exceeded`` and uses none of it. A mismatch of types, a type outside the policy's
+    and a refused URL are ``refused``; a missing response, a failure or a status outside 200 to 299 is ``fetch_error``. The
+    request budget bounds a page's references, and so the fold.
     """
     rules = policy.subresources
-    met = rows.join(responses.withColumnRenamed("status", "http"), "url", "left")
-    declared, sniffed = sniff.of_header(F.col("content_type")), sniff.sniffed(F.col("body"))
+    narrow = responses.select(
+        "url", F.col("status").alias("http"), "failure", sniff.of_header(F.col("content_type")).alias("declared"), sniff.sniffed(F.col("body")).alias("sniffed"),
+        F.coalesce(F.octet_length("body"), F.lit(0)).cast("bigint").alias("length"))
+    met = rows.join(narrow, "url", "left")
+    if handled is not None:
+        met = met.join(handled.select("url", "handled"), "url", "left")
+    else:
+        met = met.withColumn("handled", F.lit("clean"))
+    declared, sniffed = F.col("declared"), F.col("sniffed")
     kinds = F.create_map(*[F.lit(x) for kv in KIND_OF.items() for x in kv])
     own = F.coalesce(kinds[sniff.effective(sniffed, declared)], F.when(sniff.effective(sniffed, declared).isNull(), F.col("kind")))
     mismatch = sniff.contradicted(sniffed, declared) & F.lit(rules.sniff_rule == "reject")
     ok_type = F.coalesce(own.isin(*rules.types), F.lit(False))
     state = (F.when(F.col("refusal").isNotNull(), "refused").when(F.col("over"), "budget_exceeded").when(F.col("failure") == "ssrf", "ssrf_blocked")
-             .when(F.col("http").isNull() | F.col("failure").isNotNull() | ~F.col("http").between(200, 299), "fetch_error").when(mismatch | ~ok_type, "refused").otherwise("clean"))
-    met = met.withColumn("state", state).withColumn("length", F.coalesce(F.octet_length("body"), F.lit(0)).cast("bigint")).withColumn("ext", sniff_extension(sniffed, declared, own))
+             .when(F.col("http").isNull() | F.col("failure").isNotNull() | ~F.col("http").between(200, 299), "fetch_error").when(mismatch | ~ok_type, "refused")
+             .otherwise(F.coalesce("handled", F.lit("clean"))))
+    met = met.withColumn("state", state).withColumn("length", F.coalesce("length", F.lit(0).cast("bigint"))).withColumn("ext", sniff_extension(sniffed, declared, own))
     item = F.struct("slot", "url", "raw", "kind", "state", "length", "ext")
     pages = met.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     kept = "array<struct<slot:int,url:string,raw:string,kind:string,state:string,length:bigint,ext:string>>"
+    passed = lambda x: x.isin("clean", "sanitised")
 
     def step(acc: Column, x: Column) -> Column:
-        counted = x["state"].isin("clean", "refused") & (x["length"] > 0)
+        counted = (passed(x["state"]) | (x["state"] == "refused")) & (x["length"] > 0)
         fits = x["length"] <= F.lit(rules.max_total_bytes) - acc["used"]
         state = F.when(counted & ~fits, "budget_exceeded").otherwise(x["state"])
-        return F.struct((acc["used"] + F.when((x["state"] == "clean") & fits, x["length"]).otherwise(0)).alias("used"), F.concat(acc["out"], F.array(x.withField("state", state))).cast(kept).alias("out"))
+        return F.struct((acc["used"] + F.when(passed(x["state"]) & fits, x["length"]).otherwise(0)).alias("used"), F.concat(acc["out"], F.array(x.withField("state", state))).cast(kept).alias("out"))
 
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(kept).alias("out"))
     done = pages.select("id", F.explode(F.aggregate("items", start, step)["out"]).alias("x"))
     status = F.col("x.state")
     rule = F.when(status == "refused", "subresource.refused").when(status == "budget_exceeded", "subresource.budget_exceeded").when(status == "ssrf_blocked", "subresource.ssrf_blocked")
-    asset = F.when(status == "clean", F.concat(F.lit("asset-"), F.col("x.slot"), F.lit("."), F.col("x.ext")))
+    asset = F.when(passed(status), F.concat(F.lit("asset-"), F.col("x.slot"), F.lit("."), F.col("x.ext")))
     return done.select("id", F.col("x.slot").alias("slot"), F.col("x.url").alias("url"), F.col("x.raw").alias("raw"), F.col("x.kind").alias("kind"), status.alias("status"), rule.alias("rule"),
-                       F.when(status == "clean", F.col("x.length")).otherwise(0).alias("bytes"), asset.alias("asset"))
+                       F.when(passed(status), F.col("x.length")).otherwise(0).alias("bytes"), asset.alias("asset"))
+
+
+def sanitise_whole(inputs: DataFrame, responses: DataFrame, policy: Policy, blocklist: DataFrame, protected: DataFrame, networks: DataFrame,
+                   refused: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pages with all they refer to: (reports, assets).
+
+    ``inputs`` are those of ``pipeline.process``; the name is the page's URL. Its references are looked up in ``responses``, the bodies
+    sanitised, and the page rewritten to what was kept. A report has ``subresources`` (slot, url, status, rule, bytes) and its
+    actions go on with one for each reference that was refused; assets are (id, name, output).
+    """
+    reports = cut(pipeline.process(inputs, policy, blocklist, protected, networks))
+    asked = slots(reports.select("id", F.col("name").alias("page_url"), "base", "references"), policy.subresources.max_requests, refused)
+    handled = bodies(responses, policy, blocklist, protected, networks)
+    found = cut(outcomes(asked, responses, policy, handled))
+    changed = rewrites(found, policy) if policy.subresources.rewrite_refs else rewrites(found, policy).where(F.lit(False))
+    pages = reports.where(F.col("output").isNotNull()).select("id", F.col("output").alias("data")).join(changed, "id")
+    outputs = rewrite_references(pages).select(F.col("id").alias("_of"), F.col("output").alias("rewritten"))
+    line = F.struct("slot", "url", "status", "rule", "bytes")
+    action = F.struct(F.col("rule").alias("rule_id"), F.lit("subresource").alias("category"), F.struct(F.lit(0).cast("bigint").alias("line"), F.lit(0).cast("bigint").alias("byte_offset")).alias("location"),
+                      F.col("raw").alias("original"), F.lit(policy.subresources.action_refused).alias("action"), F.lit(policy.urls.placeholder_url).alias("replacement"))
+    per_page = found.groupBy(F.col("id").alias("_id")).agg(
+        F.array_sort(F.collect_list(line)).alias("subresources"), F.transform(F.array_sort(F.collect_list(F.when(F.col("rule").isNotNull(), F.struct("slot", action.alias("a"))))), lambda x: x["a"]).alias("more"))
+    joined = reports.join(per_page, F.col("id") == F.col("_id"), "left").join(outputs, F.col("id") == F.col("_of"), "left")
+    more = F.coalesce("more", F.array().cast(f"array<{ACTION}>")).cast(f"array<{ACTION}>")
+    output = F.coalesce("rewritten", "output")
+    status = F.when((F.col("status") == "clean") & (F.size(more) > 0), "sanitised").otherwise(F.col("status"))
+    whole = joined.select("id", "name", status.alias("status"), "bucket", "bytes_in", F.coalesce(F.octet_length(output), F.lit(0)).cast("bigint").alias("bytes_out"), "declared_mime", "sniffed_mime",
+                          F.concat("actions", more).alias("actions"), "references", "base", output.alias("output"), "subresources")
+    kept = found.where(F.col("asset").isNotNull()).select("id", F.col("asset").alias("name"), "url")
+    return whole, kept.join(handled.select("url", "output"), "url").select("id", "name", "output")
 
 
 def sniff_extension(sniffed: Column, declared: Column, kind: Column) -> Column:

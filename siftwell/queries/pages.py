@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hosts, netaddr, sniff
 from ..operators import urls
 from ..plans import guard, pipeline, subresources
-from ..policy import Policy, SubresourceRules, UrlRules
+from ..policy import Budgets, Policy, SubresourceRules, UrlRules
 from ..sources.inputs import from_pages, safe_name
+from ..sources.staging import cut
 
 BLOCKED = ("example.org", "ads.example.com", "m.ththth.example.net")
 PROTECTED = ("google.com", "apple.com", "paypal.com", "microsoft.com", "amazon.com")
 POLICY = Policy(urls=UrlRules(protected_domains=PROTECTED))
+#: Pieces of markup, the rules that they break and what is left of them.
+HOSTILE = {
+    "<!--><script>alert(1)</script>-->": ("html.script.disallowed", "<!-->-->"), "<!---><img src=x onerror=a()>-->": ("html.attr.event_handler", "<!---><img src=x>-->"),
+    "<a href=jav&#97;script:x>b</a>": ("html.attr.dangerous_scheme", '<a href="#blocked">b</a>'), "<iframe src=//x.example><b></b></iframe>": ("html.frame.disallowed", '<div class="sanitized-placeholder"></div>'),
+    "<meta http-equiv=Refresh content=0>": ("html.meta.refresh", ""), "<form action=http://127.0.0.1/>": ("ssrf.loopback", '<form action="#blocked">'), "<b title='<script>'>": ("", "<b title='<script>'>"),
+    "<video poster=data:x><a href=//ads.example.com>": ("html.attr.dangerous_scheme,url.blocklist", '<video poster="#blocked"><a href="#blocked">'), "<svg><p><style><a>": (None, None),
+}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +70,17 @@ def page_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages")
-    over = F.octet_length("html") > 1500
-    return pages.groupBy(F.when(over, "budget_exceeded").otherwise("within").alias("state")).agg(F.count("*").alias("n"), F.sum(F.octet_length("html").cast("long")).alias("bytes"))
+    rows = reports(spark, sf_dir, replace(POLICY, budgets=Budgets(max_input_bytes=1500)))
+    state = F.when(F.col("status") == "budget_exceeded", "budget_exceeded").otherwise("within")
+    return rows.groupBy(state.alias("state")).agg(F.count("*").alias("n"), F.sum("bytes_in").alias("bytes"))
+
+
+def hostile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a hostile piece put before their end: comments that end early, handlers, schemes, frames, unreadable markup."""
+    piece = F.element_at(F.array(*[F.lit(x) for x in HOSTILE]), (F.col("page_id") % len(HOSTILE) + 1).cast("int"))
+    pages = read(spark, sf_dir, "pages").withColumn("html", F.concat(F.lit("<!DOCTYPE html>"), piece, F.lit("<p>"), F.col("page_id").cast("string")))
+    rows = pipeline.process(from_pages(pages), POLICY, *lists(spark))
+    return rows.select(F.col("id").alias("page_id"), "status", F.array_join(F.transform("actions", lambda a: a["rule_id"]), ",").alias("rules"), F.col("output").cast("string").alias("output"))
 
 
 def blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,30 +113,31 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.html import attribute, start_tags
-
-    pages = read(spark, sf_dir, "pages")
-    tags = start_tags(pages.select(F.col("page_id").alias("id"), F.encode("html", "UTF-8").alias("data"))).where("tag = 'a'")
-    refs = tags.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", attribute(F.col("attrs"), "href").alias("raw")))).alias("r"))
-    rows = refs.join(pages.select(F.col("page_id").alias("id"), F.col("url").alias("page_url")), "id")
-    rows = rows.select("id", "page_url", F.lit(None).cast("string").alias("base"), F.transform("r", lambda x: F.struct(x["raw"].alias("raw"), F.lit("image").alias("kind"))).alias("references"))
-    found = subresources.slots(rows, 3)
+    found = subresources.slots(linked(spark, sf_dir), 3)
     return found.groupBy("over").agg(F.count("*").alias("n"), F.max("slot").cast("long").alias("last_slot"))
 
 
-def subresource_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' links as references to images: a table of reports as ``subresources.slots`` reads it."""
     from ..operators.html import attribute, start_tags
 
     pages = read(spark, sf_dir, "pages")
     tags = start_tags(pages.select(F.col("page_id").alias("id"), F.encode("html", "UTF-8").alias("data"))).where("tag = 'a'")
     refs = tags.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", attribute(F.col("attrs"), "href").alias("raw")))).alias("r"))
     rows = refs.join(pages.select(F.col("page_id").alias("id"), F.col("url").alias("page_url")), "id")
-    rows = rows.select("id", "page_url", F.lit(None).cast("string").alias("base"), F.transform("r", lambda x: F.struct(x["raw"].alias("raw"), F.lit("image").alias("kind"))).alias("references"))
-    asked = subresources.slots(rows, 32)
-    size = F.length("url") % 7 * 100
-    body = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode(F.repeat(F.lit("x"), (size - 8).cast("int")), "UTF-8"))
-    responses = asked.select("url").distinct().select("url", F.when(F.length("url") % 11 == 0, 404).otherwise(200).alias("status"), F.lit("image/png").alias("content_type"), F.when(size > 0, body).alias("body"), F.lit(None).cast("string").alias("failure"))
-    found = subresources.outcomes(asked, responses, Policy(subresources=SubresourceRules(max_total_bytes=900)))
+    return rows.select("id", "page_url", F.lit(None).cast("string").alias("base"), F.transform("r", lambda x: F.struct(x["raw"].alias("raw"), F.lit("image").alias("kind"))).alias("references"))
+
+
+def subresource_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of sizes that follow from their addresses, every third one a style sheet with an import; a page has 900 bytes."""
+    asked = cut(subresources.slots(linked(spark, sf_dir), 32))
+    size, sheet = F.length("url") % 7 * 100, F.length("url") % 3 == 0
+    body = F.when(sheet, F.encode(F.rpad(F.lit("@import url(x);"), size.cast("int"), " "), "UTF-8")).otherwise(
+        F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode(F.repeat(F.lit("x"), (size - 8).cast("int")), "UTF-8")))
+    kind = F.when(sheet, "text/css").otherwise("image/png")
+    responses = asked.select("url").distinct().select("url", F.when(F.length("url") % 11 == 0, 404).otherwise(200).alias("status"), kind.alias("content_type"), F.when(size > 0, body).alias("body"), F.lit(None).cast("string").alias("failure"))
+    policy = Policy(subresources=SubresourceRules(max_total_bytes=900))
+    found = subresources.outcomes(asked, responses, policy, subresources.bodies(responses, policy, *lists(spark)))
     return found.groupBy("status", "rule").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
@@ -132,11 +151,14 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of redirects: of every seven pages the first answers, the last goes in a circle, the sixth leaves http; locations are relative for even pages."""
     pages = read(spark, sf_dir, "pages").select("page_id")
-    address = lambda n: F.concat(F.lit("http://h.example/"), n.cast("string"))
-    k = F.col("page_id") % 5
-    answers = pages.select(address(F.col("page_id")).alias("url"), F.when(k == 0, 200).when(k == 4, 302).otherwise(301).alias("status"), F.when(k > 0, address(F.col("page_id") - F.when(k == 4, 0).otherwise(1))).alias("location"))
-    found = guard.follow(pages.select(F.col("page_id").alias("request_id"), address(F.col("page_id")).alias("url")), answers)
+    address = lambda n: F.concat(F.lit("http://h.example/p/"), n.cast("string"))
+    k = F.col("page_id") % 7
+    to = F.col("page_id") - F.when(k == 6, 0).otherwise(1)
+    location = F.when(k == 5, "ftp://h.example/").when(F.col("page_id") % 2 == 0, F.concat(F.lit("../p/"), to.cast("string"))).otherwise(address(to))
+    answers = pages.select(address(F.col("page_id")).alias("url"), F.when(k == 0, 200).when(k == 6, 302).otherwise(301).alias("status"), F.when(k > 0, location).alias("location"))
+    found = guard.follow(pages.select(F.col("page_id").alias("request_id"), address(F.col("page_id")).alias("url")), answers, 3)
     return found.groupBy("outcome", "hops").agg(F.count("*").alias("n"))
 
 
@@ -146,7 +168,7 @@ def host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    page_reports, page_rule_counts, page_action_places, page_type_matrix, page_run_summary, page_byte_budget, blocked_pages, url_labels, url_verdicts_hostile,
+    page_reports, page_rule_counts, page_action_places, page_type_matrix, page_run_summary, page_byte_budget, hostile_pages, blocked_pages, url_labels, url_verdicts_hostile,
     page_links, reference_slots, subresource_outcomes, output_names, report_json, redirects, host_suffixes)}
 
 _SCRIPTS = "regexp_extract_all(html, '<script[^>]*>')"
@@ -172,7 +194,19 @@ ORACLES = {
     "page_links": f"SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_distinct FROM ({_HREFS}) GROUP BY 1",
     "reference_slots": f"{_SLOTS} SELECT slot >= 3 AS over, count(*) AS n, max(slot)::BIGINT AS last_slot FROM s GROUP BY 1",
     "output_names": "SELECT page_id, page_id || '-' || regexp_replace(split_part(rtrim(url, '/'), '/', -1), '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages",
-    "redirects": """WITH RECURSIVE f AS (SELECT page_id, page_id AS p, 0 AS hops FROM pages UNION ALL SELECT page_id, CASE WHEN p % 5 = 4 THEN p ELSE p - 1 END, hops + 1 FROM f WHERE p % 5 > 0 AND hops < 5)
-  SELECT CASE WHEN p % 5 = 0 THEN 'fetched' ELSE 'too_many' END AS outcome, hops, count(*) AS n FROM (SELECT page_id, arg_max(p, hops) p, max(hops) hops FROM f GROUP BY 1) GROUP BY ALL""",
+    "redirects": """WITH RECURSIVE f AS (SELECT page_id, page_id AS p, 0 AS hops FROM pages UNION ALL SELECT page_id, CASE WHEN p % 7 = 6 THEN p ELSE p - 1 END, hops + 1 FROM f WHERE p % 7 NOT IN (0, 5) AND hops < 3)
+  SELECT CASE WHEN p % 7 = 0 THEN 'fetched' WHEN p % 7 = 5 AND hops < 3 THEN 'bad_scheme' ELSE 'too_many' END AS outcome, hops, count(*) AS n FROM (SELECT page_id, arg_max(p, hops) p, max(hops) hops FROM f GROUP BY 1) GROUP BY ALL""",
+    "hostile_pages": "WITH h AS (SELECT page_id, page_id % " + str(len(HOSTILE)) + " AS k FROM pages), v AS (SELECT * FROM (VALUES " + ", ".join(
+        f"({k}, {'NULL' if rules is None else repr(rules)}, " + ("NULL" if out is None else "'" + out.replace("'", "''") + "'") + ")" for k, (rules, out) in enumerate(HOSTILE.values())) + ''') v(k, rules, output))
+  SELECT page_id, CASE WHEN output IS NULL THEN 'refused' WHEN rules = '' THEN 'clean' ELSE 'sanitised' END AS status, coalesce(rules, '') AS rules, '<!DOCTYPE html>' || output || '<p>' || page_id AS output FROM h JOIN v USING (k)''',
+    "subresource_outcomes": f"""{_SLOTS.replace("WITH r AS", "WITH RECURSIVE r AS", 1)}, t AS (SELECT page_id, slot, length(u) % 7 * 100 AS size, CASE WHEN slot >= 32 THEN 'budget_exceeded' WHEN length(u) % 11 = 0 THEN 'fetch_error' WHEN length(u) % 3 = 0 AND length(u) % 7 > 0 THEN 'refused' ELSE 'clean' END AS st FROM s),
+  fold AS (SELECT page_id, -1::BIGINT AS slot, 0::BIGINT AS used, NULL::VARCHAR AS status, 0::BIGINT AS bytes FROM (SELECT DISTINCT page_id FROM t) UNION ALL
+    SELECT t.page_id, t.slot, used + CASE WHEN st = 'clean' AND size <= 900 - used THEN size ELSE 0 END, CASE WHEN st IN ('clean', 'refused') AND size > 900 - used THEN 'budget_exceeded' ELSE st END, CASE WHEN st = 'clean' AND size <= 900 - used THEN size ELSE 0 END
+    FROM fold JOIN t ON t.page_id = fold.page_id AND t.slot = fold.slot + 1)
+  SELECT status, CASE WHEN status IN ('refused', 'budget_exceeded') THEN 'subresource.' || status END AS rule, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM fold WHERE slot >= 0 GROUP BY 1, 2""",
+    "report_json": f"""WITH p AS (SELECT *, len({_SCRIPTS}) AS n, strlen({_OUT}) AS left_over, split_part(html, '<script', 1) AS head FROM pages)
+  SELECT page_id, CASE WHEN n > 0 THEN 'sanitised' ELSE 'clean' END AS status, length('{{"id":' || page_id || ',"name":' || to_json(url) || ',"status":"' || CASE WHEN n > 0 THEN 'sanitised' ELSE 'clean' END || '","bytes_in":' || strlen(html) || ',"bytes_out":' || left_over
+    || ',"declared_mime":"text/html","sniffed_mime":' || CASE WHEN lower(html) LIKE '<!doctype html>%' THEN '"text/html"' ELSE 'null' END || ',"actions":[' || CASE WHEN n > 0 THEN '{{"rule_id":"html.script.disallowed","category":"xss","location":{{"line":' || len(head) - len(replace(head, chr(10), '')) + 1
+    || ',"byte_offset":' || strlen(head) || '}},"original":' || to_json(regexp_extract(html, '<script[^>]*>')) || ',"action":"remove","replacement":null}}' ELSE '' END || ']}}')::BIGINT AS n_chars FROM p""",
     "host_suffixes": f"WITH h AS (SELECT string_split({_HOST}, '.') l FROM pages), s AS (SELECT l, unnest(range(1, len(l) + 1)) i FROM h) SELECT array_to_string(l[i:], '.') AS suffix, count(*) AS n FROM s GROUP BY 1",
 }

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import netaddr
 from ..operators import scanners
-from ..plans import evaluate, guard
+from ..plans import evaluate, guard, subresources
 from ..policy import Policy
 from ..streaming.streams import event_windows
 from .pages import read
@@ -117,16 +117,33 @@ def bucket_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as requests of their order: returned ones are refused before any request, the rest have a budget of three."""
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") != "R").cast("int").alias("asked"))
-    before = F.coalesce(F.sum("asked").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("l_orderkey", "l_linenumber", F.when(F.col("asked") == 0, "refused").when(before >= 3, "budget_exceeded").otherwise("requested").alias("state"))
+    """Line items as references of their order: returned ones are refused before any request, the rest have a budget of three."""
+    url = F.concat_ws("/", F.lit("http://h"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", url.alias("raw"), F.lit("image").alias("kind"), (F.col("l_returnflag") == "R").alias("returned"))
+    pages = rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "raw", "kind"))).alias("references"))
+    pages = pages.select("id", F.lit("http://h/").alias("page_url"), F.lit(None).cast("string").alias("base"), F.transform("references", lambda r: F.struct(r["raw"].alias("raw"), r["kind"].alias("kind"))).alias("references"))
+    refused = rows.where("returned").select(F.col("raw").alias("url"), F.lit("returned").alias("label")).distinct()
+    found = subresources.slots(pages, 3, refused)
+    line = F.element_at(F.split("url", "/"), -1).cast("int")
+    return found.select(F.col("id").alias("l_orderkey"), line.alias("l_linenumber"), F.when(F.col("refusal").isNotNull(), "refused").when(F.col("over"), "budget_exceeded").otherwise("requested").alias("state"))
 
 
 def truth_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    missing = labels.join(docs, "doc_id", "left_anti").select("doc_id", F.lit("missing").alias("what"))
-    return missing.unionByName(docs.join(labels, "doc_id", "left_anti").select("doc_id", F.lit("unlabelled").alias("what")))
+    return evaluate.agreement(read(spark, sf_dir, "labels"), read(spark, sf_dir, "documents"), "doc_id")
+
+
+def rule_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.words_by_cell(read(spark, sf_dir, "part"), "p_name")
+
+
+def suite_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("suite"), (F.col("o_orderstatus") == "F").alias("passed"))
+    return evaluate.suite_counts(judged)
+
+
+def memory_growths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.pmod(F.col("p_partkey"), F.lit(40)).alias("bytes"), F.col("p_size").alias("peak_rss_kib"), F.lit(20).alias("baseline_kib"))
+    return evaluate.memory_growth(rows)
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,13 +152,16 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     network_rules, guard_decisions, image_sizes, entity_risks, label_verdicts, label_confusion, label_category_rates, label_summary, latency_middle, cost_per_kib, speed_up,
-    run_comparisons, status_cells, bucket_rollup, request_budget, truth_agreement, hourly_events)}
+    run_comparisons, status_cells, bucket_rollup, request_budget, truth_agreement, rule_words, suite_results, memory_growths, hourly_events)}
 
 _NETWORKS = "(VALUES " + ", ".join(f"({n}, {int(lo, 16)}, {int(hi, 16)}, '{rule}')" for n, family, lo, hi, rule in netaddr.deny_rows() if family == 4) + ") net(ord, lo, hi, rule)"
 _SAMPLES = """WITH d AS (SELECT doc_id, coalesce(source, '') category, coalesce(text, '') t, quality FROM labels JOIN documents USING (doc_id)),
   m AS (SELECT *, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) * 50 > length(t) AS sym, length(t) < 200 AS short, contains(lower(t), 'akia') AS leak, quality = 0 AS bad FROM d),
   v AS (SELECT *, CASE WHEN bad AND leak THEN 'leaked' WHEN bad AND NOT sym THEN 'mislabelled' WHEN bad THEN 'detected' WHEN sym OR short THEN 'false_positive' ELSE 'clean' END AS verdict, CASE WHEN bad THEN 'malicious' ELSE 'benign' END AS kind FROM m)"""
 ORACLES = {
+    "rule_words": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(coalesce(p_name, ''), ' ')) AS word FROM part) WHERE word <> '' GROUP BY 1",
+    "suite_results": "SELECT o_orderpriority AS suite, count(*) AS total, count_if(o_orderstatus = 'F')::BIGINT AS passed, count_if(o_orderstatus <> 'F')::BIGINT AS failed FROM orders GROUP BY 1",
+    "memory_growths": "SELECT p_partkey AS name, p_partkey % 40 AS bytes, greatest(p_size - 20, 0)::BIGINT AS growth_kib, CASE WHEN p_partkey % 40 = 0 THEN 'n/a' ELSE printf('%.3f', greatest(p_size - 20, 0) * 1024 / (p_partkey % 40)) END AS bytes_per_input_byte FROM part",
     "network_rules": f"SELECT rule, count(*) AS n FROM (SELECT event_id, arg_min(rule, ord) rule FROM events JOIN {_NETWORKS} ON (event_id::HUGEINT * {SPREAD}) % {MODULUS} BETWEEN lo AND hi GROUP BY 1) GROUP BY 1",
     "guard_decisions": f"""WITH a AS (SELECT c_custkey, ord, ((c_custkey::HUGEINT * 7 + ord) * {SPREAD}) % {MODULUS} ip FROM customer, (VALUES (0), (1)) o(ord)),
   r AS (SELECT c_custkey, a.ord, arg_min(rule, net.ord) rule FROM a JOIN {_NETWORKS} ON ip BETWEEN lo AND hi GROUP BY ALL), f AS (SELECT c_custkey, arg_min(rule, ord) rule FROM r GROUP BY 1)
@@ -167,7 +187,8 @@ ORACLES = {
     "status_cells": "SELECT o_orderpriority, string_agg(o_orderstatus || '=' || n, ' ' ORDER BY o_orderstatus || '=' || n) AS cell FROM (SELECT o_orderpriority, o_orderstatus, count(*) n FROM orders GROUP BY 1, 2) GROUP BY 1",
     "bucket_rollup": """WITH s AS (SELECT (['sanitised', 'clean', 'refused', 'ssrf_blocked', 'fetch_error', 'budget_exceeded'])[o_orderkey % 6 + 1] AS status FROM orders)
   SELECT CASE WHEN status IN ('sanitised', 'clean') THEN 'ok' WHEN status = 'fetch_error' THEN 'errored' ELSE 'refused' END AS bucket, status, count(*) AS n FROM s GROUP BY ROLLUP (bucket, status)""",
-    "request_budget": """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'refused' WHEN coalesce(sum((l_returnflag <> 'R')::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 THEN 'budget_exceeded' ELSE 'requested' END AS state FROM lineitem""",
+    "request_budget": """WITH d AS (SELECT l_orderkey, l_linenumber, max((l_returnflag = 'R')::INT) AS returned FROM lineitem GROUP BY 1, 2)
+  SELECT l_orderkey, l_linenumber, CASE WHEN returned = 1 THEN 'refused' WHEN coalesce(sum(1 - returned) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 THEN 'budget_exceeded' ELSE 'requested' END AS state FROM d""",
     "truth_agreement": "SELECT doc_id, 'missing' AS what FROM labels ANTI JOIN documents USING (doc_id) UNION ALL SELECT doc_id, 'unlabelled' FROM documents ANTI JOIN labels USING (doc_id)",
     "hourly_events": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
 }

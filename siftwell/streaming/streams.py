@@ -24,9 +24,12 @@ def typed_stream(rows: DataFrame) -> DataFrame:
 
 
 def sanitise_batches(stream: DataFrame, process, path: str, checkpoint: str):
-    """Each micro-batch through ``process`` (a batch plan with joins), its reports appended to a folder."""
-    def write(batch: DataFrame, _: int) -> None:
-        process(batch).write.mode("append").parquet(path)
+    """Each micro-batch through ``process`` (a batch plan with joins), its reports in a folder of its own, ``batch=<number>``.
+
+    A batch that is tried again writes its folder anew, so every submission is reported once.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        process(batch).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()
 

@@ -80,6 +80,53 @@ def test_guard(spark):
     assert found == {1: (True, None), 2: (False, "ssrf.private"), 3: (True, None), 4: (False, "ssrf.loopback"), 5: (False, None)}
 
 
+def test_guard_of_addresses_and_networks(spark):
+    dns = spark.createDataFrame([("in", 0, 4, f"{0x0A000001:032x}"), ("far", 0, 4, f"{0xC0A80001:032x}")], "host string, ord int, family int, digits string")
+    requests = spark.createDataFrame([(1, "127.0.0.1", 80, None), (2, "8.8.8.8", 80, None), (3, "[::1]", 80, None), (4, "in", 80, None), (5, "far", 80, None), (6, "0x7f.1", 80, None)], "request_id long, host string, port int, endpoint string")
+    found = {r.request_id: (r.allowed, r.rule) for r in guard.decide(requests, dns, netaddr.deny_table(spark), ("10.0.0.0/8",)).collect()}
+    assert found == {1: (False, "ssrf.loopback"), 2: (True, None), 3: (False, "ssrf.loopback"), 4: (True, None), 5: (False, "ssrf.private"), 6: (False, "ssrf.loopback")}
+
+
+def test_redirects(spark):
+    answers = spark.createDataFrame([("http://h/a/b", 302, "../c?x"), ("http://h/c?x", 301, "//g/"), ("http://g/", 200, None), ("http://h/f", 302, "file:///etc"), ("http://h/e", 302, " "), ("http://h/l", 307, "l"), ("http://h/x", 500, None)], "url string, status int, location string")
+    asked = spark.createDataFrame([(n, f"http://h/{u}") for n, u in enumerate(("a/b", "f", "e", "l", "x", "none"))], "request_id long, url string")
+    found = {r.request_id: (r.outcome, r.hops, r.final_url) for r in guard.follow(asked, answers, 3).collect()}
+    assert found == {0: ("fetched", 2, "http://g/"), 1: ("bad_scheme", 0, "http://h/f"), 2: ("bad_redirect", 0, "http://h/e"), 3: ("too_many", 3, "http://h/l"), 4: ("http_error", 0, "http://h/x"), 5: ("no_response", 0, "http://h/none")}
+
+
+def test_whole_pages(spark):
+    """A page with its references: bodies are sanitised like inputs, and the page leads to what was kept."""
+    page = b'<!DOCTYPE html><link rel=stylesheet href="s.css"><img src="i.svg"><img src=/p.png><img src=bad.svg><img src="gone.png"><img src="p.png#x">'
+    png = b"\x89PNG\r\n\x1a\n"
+    rows = spark.createDataFrame([(1, "http://h/d/p.html", page, "text/html"), (2, "http://h/q.html", b"<!DOCTYPE html><p>", None)], "id long, name string, data binary, declared_header string")
+    responses = spark.createDataFrame([("http://h/d/s.css", 200, "text/css", b"p{color:red}", None), ("http://h/d/i.svg", 200, "image/svg+xml", b"<svg><path d='x'/></svg>", None), ("http://h/p.png", 200, "image/png", png, None),
+                                       ("http://h/d/bad.svg", 200, "image/svg+xml", b"<svg onload='x()'/>", None), ("http://h/d/p.png", 200, "text/css", b"@import url(x);", None)], "url string, status int, content_type string, body binary, failure string")
+    reports, assets = subresources.sanitise_whole(rows, responses, Policy(), *lists(spark))
+    found = {r.id: r for r in reports.collect()}
+    assert [(x.slot, x.status) for x in found[1].subresources] == [(0, "clean"), (1, "clean"), (2, "clean"), (3, "refused"), (4, "fetch_error"), (5, "refused")] and found[2].subresources is None
+    assert bytes(found[1].output) == (b'<!DOCTYPE html><link rel=stylesheet href="asset-0.css"><img src="asset-1.svg"><img src="asset-2.png"><img src="#blocked"><img src="gone.png"><img src="#blocked">')
+    assert [a.rule_id for a in found[1].actions] == ["subresource.refused"] * 2 and found[1].status == "sanitised" and found[2].status == "clean"
+    assert {(r.id, r.name): bytes(r.output) for r in assets.collect()} == {(1, "asset-0.css"): b"p{color:red}", (1, "asset-1.svg"): b"<svg><path d='x'/></svg>", (1, "asset-2.png"): png}
+
+
+def test_unreadable_pages_are_refused(spark):
+    rows = spark.createDataFrame([(1, "a", b"<!DOCTYPE html><svg><p><style><a>", None), (2, "b", b"<!DOCTYPE html><!--><script>x</script>-->", None)], "id long, name string, data binary, declared_header string")
+    found = {r.id: r for r in pipeline.process(rows, Policy(), *lists(spark)).collect()}
+    assert found[1].status == "refused" and found[1].output is None and bytes(found[2].output) == b"<!DOCTYPE html><!-->-->"
+
+
+def test_streamed_batches(spark, tmp_path):
+    from siftwell.streaming.streams import sanitise_batches, submissions
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    rows.write.parquet(str(tmp_path / "in"))
+    query = sanitise_batches(submissions(spark, str(tmp_path / "in"), "id long, name string"), lambda batch: batch.select("id"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    query.processAllAvailable()
+    query.stop()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.id for r in found.collect()) == [1, 2] and found.columns == ["id", "batch"]
+
+
 def test_types(spark):
     rows = spark.createDataFrame([(b"\xff\xd8\xff", "image/jpg; q=1", "a"), (b"", None, "x/.bashrc"), (b"....ftyp", None, "a.tar.GZ"), (b"xxxxxxxxWAVE", None, "m.mp3?x=.png")], "d binary, h string, n string")
     found = [(r.s, r.c) for r in rows.select(sniff.sniffed(F.col("d")).alias("s"), sniff.declared(F.col("h"), F.col("n")).alias("c")).collect()]
@@ -109,6 +156,15 @@ def test_evaluation(spark):
     assert {r.rule: (r.precision, r.recall) for r in evaluate.rule_confusion(measured).collect()} == {"r": ("1.0000", "1.0000"), "q": ("0.0000", "n/a")}
     odd = spark.createDataFrame([("k", v) for v in (4, 1, 3, 2)], "k string, v int")
     assert evaluate.middle(odd, "k", "v").first().middle == 3
+    import random
+
+    rng = random.Random(2)
+    many = [(rng.choice("ab"), rng.randrange(9)) for _ in range(500)] + [("c", None), ("d", 5)]
+    found = {r.k: (r.n, r.low, r.middle, r.high) for r in evaluate.middle(spark.createDataFrame(many, "k string, v int").repartition(7), "k", "v").collect()}
+    own = {k: sorted(v for x, v in many if x == k and v is not None) for k in "abd"}
+    assert found == {k: (len(v), v[0], v[len(v) // 2], v[-1]) for k, v in own.items()}
+    cells = spark.createDataFrame([("x y",), ("y",), ("",), (None,)], "c string")
+    assert {r.word: r.n for r in evaluate.words_by_cell(cells, "c").collect()} == {"x": 1, "y": 2}
 
 
 def test_streams(spark, tmp_path):
