@@ -86,7 +86,7 @@ def _extra(own_slice: Column, order: Column, size: Column, fill: Column) -> Colu
     """1 for a document that some step of the filling takes: it stands between the step's places and isn't larger than its limit."""
     def taken(step: Column) -> Column:
         place = F.struct(own_slice.alias("slice"), order.alias("order"))
-        return (place > step["after"]) & (place < step["before"]) & (size <= step["limit"])
+        return (size > 0) & (place > step["after"]) & (place < step["before"]) & (size <= step["limit"])
 
     return F.coalesce(F.exists(fill, taken), F.lit(False)).cast("int")
 
