@@ -9,8 +9,9 @@ fingerprints of a bucket are within 2 bits if and only if they share a hub, so a
 member instead of a row for each pair, every link is exact, and a hub has 65 fingerprints at most.
 
 ``drop_near_duplicates`` goes by the similarity of the texts' shingle sets instead. Sets that share four fifths differ in about
-ten of 64 bits, which would take thousands of masks to cover; so its candidates are the covering links and, beside them, equal
-bands of a min-wise signature of the same shingle hashes. Every candidate is verified by its exact similarity.
+ten of 64 bits, which would take thousands of masks to cover; so its candidates are equal bands of a min-wise signature of the
+same shingle hashes, and then, among one text of each group that these give, the covering links. Every candidate is verified by
+its exact similarity.
 """
 
 from __future__ import annotations
@@ -170,13 +171,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return join_counted(marked, named, ["fingerprint"]).select("id", "fingerprint", "component")
 
 
-def candidates(contents: DataFrame, radius: int) -> DataFrame:
-    """(node, rep): different texts (node, fingerprint, bands) that may be similar, each with the least one of what they share."""
+def band_candidates(contents: DataFrame) -> DataFrame:
+    """(node, rep): different texts (node, bands) that may be similar, each with the least one of those with an equal band."""
     exploded = contents.select("node", F.posexplode("bands").alias("band", "value"))
     stars = exploded.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1")
-    found = join_counted(exploded, cut(stars), ["band", "value"]).select("node", "rep")
+    return join_counted(exploded, cut(stars), ["band", "value"]).where("node != rep").select("node", "rep").distinct()
+
+
+def covering_candidates(contents: DataFrame, radius: int) -> DataFrame:
+    """(node, rep): different texts (node, fingerprint) whose fingerprints are linked, each with the least one of its fingerprint's."""
     values = cut(contents.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("node").alias("rep")))
-    found = found.unionByName(join_counted(contents.select("node", "fingerprint"), values.where("n > 1"), ["fingerprint"]).select("node", "rep"))
+    found = join_counted(contents.select("node", "fingerprint"), values.where("n > 1"), ["fingerprint"]).select("node", "rep")
     linked = links(values.select("fingerprint"), radius)
     ends = [values.select(F.col("fingerprint").alias(x), F.col("rep").alias(y)) for x, y in (("a", "node"), ("b", "rep"))]
     found = found.unionByName(linked.join(ends[0], "a").join(ends[1], "b").select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")))
@@ -214,7 +219,11 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_key", "row_check"))
     contents = marked.groupBy("content", "content_2").agg(first.alias("first"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
     contents = cut(contents.select(F.monotonically_increasing_id().alias("node"), "first", "fingerprint", "bands"))
-    roots = connected(similar(cut(candidates(contents, radius)), rows, contents, shingle, similarity)).select(F.col("node").alias("of"), "root")
+    edges = cut(similar(cut(band_candidates(contents)), rows, contents, shingle, similarity))
+    of_group = connected(edges).select(F.col("node").alias("of"), "root")
+    ones = contents.join(of_group.where("of != root"), contents["node"] == F.col("of"), "left_anti")  # of each group one goes on
+    more = similar(cut(covering_candidates(cut(ones.select("node", "fingerprint")), radius)), rows, contents, shingle, similarity)
+    roots = connected(edges.unionByName(more)).select(F.col("node").alias("of"), "root")
     named = contents.join(roots, contents["node"] == roots["of"], "left").withColumn("root", F.coalesce("root", "node"))
     keys = {c: column_name(docs, f"_{c}") for c in ("row_key", "row_check", "order")}
     keep = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias(keys["row_key"]), F.col("first.row_check").alias(keys["row_check"]))
