@@ -1 +1,5 @@
-"""Sanitising and auditing untrusted web content at scale, as Spark jobs."""
+"""siftwell: a PySpark engine that sanitises untrusted web content, and operators that prepare training data."""
+
+from .policy import Policy, load_policy, parse_policy
+
+__all__ = ["Policy", "load_policy", "parse_policy"]

@@ -43,22 +43,25 @@ def decide(requests: DataFrame, dns: DataFrame, networks: DataFrame, allow_hosts
     return out.select("request_id", allowed.alias("allowed"), F.when(F.col("denied"), F.col("first")).alias("rule"), F.when(allowed, addresses).otherwise(F.array().cast("array<string>")).alias("addresses"))
 
 
-def follow(requests: DataFrame, responses: DataFrame, limit: int = 5) -> DataFrame:
+def follow(requests: DataFrame, responses: DataFrame, limit: int = 5, blocked: DataFrame | None = None) -> DataFrame:
     """(request_id, final_url, hops, outcome) of requests (request_id, url) against ``responses`` (url, status, location).
 
     Each hop is one join, whose narrow result is written once. A location may be relative. ``outcome``: fetched (200 to 299),
-    http_error, no_response, bad_redirect (no location), bad_scheme (neither http nor https) or too_many.
+    http_error, no_response, bad_redirect (no location), bad_scheme (neither http nor https), too_many, or blocked where a hop
+    leads to one of the URLs in ``blocked`` (url).
     """
     live = requests.select("request_id", F.col("url").alias("final_url"), F.lit(0).alias("hops"))
     answers = responses.select(F.col("url").alias("final_url"), "status", "location")
+    refused = None if blocked is None else blocked.select(F.col("url").alias("final_url"), F.lit(True).alias("refused")).distinct()
     ended = None
     for hop in range(limit + 1):
         met = live.join(answers, "final_url", "left")
-        moved = F.coalesce(F.col("status").isin(*REDIRECTS), F.lit(False))
+        met = met.withColumn("refused", F.lit(None).cast("boolean")) if refused is None else met.join(refused, "final_url", "left")
+        moved = F.coalesce(F.col("status").isin(*REDIRECTS), F.lit(False)) & F.col("refused").isNull()
         empty = F.coalesce(F.trim("location") == "", F.lit(True))
         target = absolute(F.when(moved & ~empty, F.col("location")), F.col("final_url"))
-        met = cut(met.select("request_id", "final_url", "hops", "status", moved.alias("moved"), (moved & empty).alias("bad"), target.alias("target")))
-        outcome = (F.when(F.col("status").isNull(), "no_response").when(F.col("bad"), "bad_redirect").when(F.col("moved") & (F.col("hops") >= limit), "too_many")
+        met = cut(met.select("request_id", "final_url", "hops", "status", "refused", moved.alias("moved"), (moved & empty).alias("bad"), target.alias("target")))
+        outcome = (F.when(F.col("refused"), "blocked").when(F.col("status").isNull(), "no_response").when(F.col("bad"), "bad_redirect").when(F.col("moved") & (F.col("hops") >= limit), "too_many")
                    .when(F.col("moved"), "bad_scheme").when(F.col("status").between(200, 299), "fetched").otherwise("http_error"))
         goes_on = F.col("moved") & F.col("target").isNotNull() & (F.col("hops") < limit)
         now = met.where(~goes_on).select("request_id", "final_url", "hops", outcome.alias("outcome"))

@@ -94,6 +94,25 @@ def test_redirects(spark):
     assert found == {0: ("fetched", 2, "http://g/"), 1: ("bad_scheme", 0, "http://h/f"), 2: ("bad_redirect", 0, "http://h/e"), 3: ("too_many", 3, "http://h/l"), 4: ("http_error", 0, "http://h/x"), 5: ("no_response", 0, "http://h/none")}
 
 
+def test_inputs_by_url(spark):
+    from siftwell.plans.fetch import acquired, process_all
+    from siftwell.policy import FetchRules
+
+    names = {0: ("url", "http://ok/a.html"), 1: ("url", "ftp://ok/a"), 2: ("malformed_url", "http://"), 3: ("file", "/in/b.html"), 4: ("file", "/in/none.html"), 5: ("url", "http://127.0.0.1/"), 6: ("url", "http://ok/in"),
+             7: ("url", "http://ok/gone"), 8: ("url", "http://ok/coded"), 9: ("url", "http://ok/large"), 10: ("skipped_symlink", "/in/z")}
+    rows = spark.createDataFrame([(n, k, s, s.rsplit("/", 1)[-1]) for n, (k, s) in names.items()], "input_index long, kind string, source string, name string")
+    files = spark.createDataFrame([("/in/b.html", b"<!DOCTYPE html><p onclick=x>")], "source string, data binary")
+    page = b"<!DOCTYPE html><p>"
+    responses = spark.createDataFrame([("http://ok/a.html", 302, "b", None, None, None, None), ("http://ok/b", 200, None, "text/html", None, None, page), ("http://ok/in", 302, "http://far/", None, None, None, None),
+                                       ("http://far/", 200, None, "text/html", None, None, page), ("http://ok/coded", 200, None, None, "gzip", None, page), ("http://ok/large", 200, None, None, None, 10**6, page)],
+                                      "url string, status int, location string, content_type string, content_encoding string, content_length long, body binary")
+    dns = spark.createDataFrame([("ok", 0, 4, f"{0x08080808:032x}"), ("far", 0, 4, f"{0x0A000001:032x}")], "host string, ord int, family int, digits string")
+    policy = Policy(fetch=FetchRules(max_response_bytes=1000))
+    found = process_all(acquired(rows, files, responses, dns, netaddr.deny_table(spark), policy), policy, *lists(spark)).orderBy("id").collect()
+    assert [r.status for r in found] == ["clean", "unsupported_scheme", "malformed_url", "sanitised", "io_error", "ssrf_blocked", "ssrf_blocked", "fetch_error", "fetch_error", "fetch_error", "skipped_symlink"]
+    assert bytes(found[0].output) == page and found[5].output is None
+
+
 def test_whole_pages(spark):
     """A page with its references: bodies are sanitised like inputs, and the page leads to what was kept."""
     page = b'<!DOCTYPE html><link rel=stylesheet href="s.css"><img src="i.svg"><img src=/p.png><img src=bad.svg><img src="gone.png"><img src="p.png#x">'
