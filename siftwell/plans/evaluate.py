@@ -91,15 +91,38 @@ def words_by_cell(cells: DataFrame, column: str) -> DataFrame:
     return cells.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def by_size(measured: DataFrame) -> DataFrame:
+    """Measurements in order of their bytes, then names."""
+    return measured.orderBy("bytes", "name")
+
+
+def by_category(samples: DataFrame) -> DataFrame:
+    """Samples in order of category and name."""
+    return samples.orderBy("category", "name")
+
+
+def by_count(counts: DataFrame, name: str = "name", n: str = "n") -> DataFrame:
+    """Counts in ascending order, equal ones by name in descending order."""
+    return counts.orderBy(F.col(n), F.col(name).desc())
+
+
+def run_order(runs: DataFrame) -> DataFrame:
+    """Runs (kind, slug): those without fetching first, then those with, then custom ones, each by slug."""
+    return runs.orderBy(F.when(F.col("kind") == "nofetch", 0).when(F.col("kind") == "fetch", 1).otherwise(2), "slug")
+
+
 def per_kib(microseconds: Column, n_bytes: Column) -> Column:
     return F.when(n_bytes == 0, "n/a").otherwise(F.format_string("%.3f", microseconds * 1024 / n_bytes))
 
 
-def scaling(rows: DataFrame, key: str) -> DataFrame:
-    """Speed-up and efficiency against the fewest workers, unrounded; ``rows`` has key, workers, seconds, mib."""
+def scaling(rows: DataFrame, key: str, digits: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Speed-up and efficiency against the fewest workers; ``rows`` has key, workers, seconds, mib. With ``digits`` (printed tables have
+    4, 1, 3, 3) the seconds, rates, speed-ups and efficiencies are rounded."""
     first = F.first("seconds").over(Window.partitionBy(key).orderBy("workers"))
     faster = first / F.col("seconds")
-    return rows.select(key, "workers", F.col("seconds").alias("batch_seconds"), (F.col("mib") / F.col("seconds")).alias("mib_per_second"), faster.alias("speedup"), (faster / F.col("workers")).alias("efficiency"))
+    out = rows.select(key, "workers", F.col("seconds").alias("batch_seconds"), (F.col("mib") / F.col("seconds")).alias("mib_per_second"), faster.alias("speedup"), (faster / F.col("workers")).alias("efficiency"))
+    columns = ("batch_seconds", "mib_per_second", "speedup", "efficiency")
+    return out if digits is None else out.select(key, "workers", *[F.round(c, n).alias(c) for c, n in zip(columns, digits, strict=True)])
 
 
 def run_pairs(runs: DataFrame) -> DataFrame:

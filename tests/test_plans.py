@@ -186,6 +186,35 @@ def test_evaluation(spark):
     assert {r.word: r.n for r in evaluate.words_by_cell(cells, "c").collect()} == {"x": 1, "y": 2}
 
 
+def test_labelled_corpus(spark, tmp_path):
+    import pytest
+    from siftwell.sources.truth import corpus, parse_truth, read_truth
+
+    (tmp_path / "truth.toml").write_text("""[corpus]\nbenign_dir = "x"\n[[sample]]\nname = "a.html"\nset = "malicious"\ncategory = "xss"\nstatus = ["sanitised"]\nrules = ["html.script.disallowed"]\nforbidden = ["alert"]
+[[sample]]\nname = "b.html"\nset = "benign"\ncategory = "plain"\nstatus = ["clean"]\n[sample.fetch]\nallowed = []\n[[sample]]\nname = "gone.html"\nset = "benign"\ncategory = "plain"\n""")
+    for kind, name, text in (("malicious", "a.html", "<!DOCTYPE html><script>alert(1)</script>"), ("benign", "b.html", "<!DOCTYPE html><p>"), ("benign", "new.html", " ")):
+        (tmp_path / kind).mkdir(exist_ok=True)
+        (tmp_path / kind / name).write_text(text)
+    truth, files = read_truth(spark, str(tmp_path / "truth.toml")), corpus(spark, {k: str(tmp_path / k) for k in ("benign", "malicious")})
+    reports = pipeline.process(files, Policy(), *lists(spark)).withColumn("kind", F.split("id", "/")[0])
+    measured = evaluate.measure(truth, reports.select("kind", "name", "status", F.transform("actions", lambda a: a["rule_id"]).alias("fired"), F.col("output").cast("string").alias("output")))
+    assert {r.name: r.verdict for r in measured.collect()} == {"a.html": "detected", "b.html": "clean"}
+    assert {tuple(r) for r in evaluate.agreement(truth, files, "name").collect()} == {("gone.html", "missing"), ("new.html", "unlabelled")}
+    assert [r.name for r in evaluate.by_category(truth).collect()] == ["b.html", "gone.html", "a.html"]
+    for bad in ('[[sample]]\nname = "a"\nset = "odd"', '[[sample]]\nname = "a"\nset = "benign"\nx = 1', '[[sample]]\nname = "a"\nset = "benign"\n' * 2):
+        with pytest.raises(ValueError):
+            parse_truth(bad)
+
+
+def test_orders_and_rounding(spark):
+    runs = spark.createDataFrame([("custom", "a"), ("fetch", "b"), ("nofetch", "d"), ("nofetch", "c")], "kind string, slug string")
+    assert [r.slug for r in evaluate.run_order(runs).collect()] == ["c", "d", "b", "a"]
+    counts = spark.createDataFrame([("a", 2), ("b", 1), ("c", 2)], "name string, n int")
+    assert [r.name for r in evaluate.by_count(counts).collect()] == ["b", "c", "a"]
+    rows = spark.createDataFrame([("k", 1, 3.0, 10.0), ("k", 2, 1.7, 10.0)], "run string, workers int, seconds double, mib double")
+    assert [tuple(r)[2:] for r in evaluate.scaling(rows, "run", (4, 1, 3, 3)).orderBy("workers").collect()] == [(3.0, 3.3, 1.0, 1.0), (1.7, 5.9, 1.765, 0.882)]
+
+
 def test_streams(spark, tmp_path):
     from siftwell.streaming.streams import resolve_verdicts, submissions, typed_stream
 
