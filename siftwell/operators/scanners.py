@@ -387,11 +387,25 @@ def scan_file(data: bytes, mime: str | None, policy: Policy) -> list[tuple[str,
     return []
 
 
-SCANNED = ("application/xml", "application/zip", "image/png", "image/gif", "image/jpeg", "image/webp", "image/tiff", "text/javascript", "application/pdf", "text/css")
+#: Types whose files a Python scanner reads; PNG, GIF and scripts are told by expressions.
+SCANNED = ("application/xml", "application/zip", "image/jpeg", "image/webp", "image/tiff", "application/pdf", "text/css")
+
+
+def plain_findings(data: Column, mime: Column, policy: Policy) -> Column:
+    """The findings of PNG, GIF and script files."""
+    number = lambda at, n: F.conv(F.hex(F.substring(data, at + 1, n)), 16, 10).cast("bigint")
+    png = (mime == "image/png") & (F.substring(data, 13, 4) == F.lit(b"IHDR")) & (F.octet_length(data) >= 24)
+    gif = (mime == "image/gif") & (F.octet_length(data) >= 10)
+    pixels = F.when(png, number(16, 4) * number(20, 4)).when(gif, (number(6, 1) + 256 * number(7, 1)) * (number(8, 1) + 256 * number(9, 1)))
+    offset = F.when(png, 16).otherwise(6)
+    line = 1 + F.size(F.filter(F.sequence(F.lit(1), offset), lambda i: F.substring(data, i, F.lit(1)) == F.lit(b"\n")))
+    one = lambda rule, category, at, line: F.array(F.struct(F.lit(rule).alias("rule"), F.lit(category).alias("category"), at.cast("bigint").alias("offset"), line.cast("bigint").alias("line")))
+    return (F.when(pixels > policy.budgets.max_image_pixels, one("scan.image.dimensions", "dos", offset, line))
+            .when((mime == "text/javascript") & data.isNotNull(), one("scan.script.active_type", "active_content", F.lit(0), F.lit(1))).otherwise(F.array().cast(FINDINGS)))
 
 
 def scan(data: Column, mime: Column, policy: Policy) -> Column:
-    """The findings of each row; rows of types that no scanner reads never leave the JVM with their bytes."""
+    """The findings of each row; only files of the SCANNED types leave the JVM with their bytes."""
     kind = pa.list_(pa.struct([("rule", pa.string()), ("category", pa.string()), ("offset", pa.int64()), ("line", pa.int64())]))
 
     @F.arrow_udf(FINDINGS)
@@ -406,7 +420,7 @@ def scan(data: Column, mime: Column, policy: Policy) -> Column:
             rows.append(out)
         return pa.array(rows, kind)
 
-    return found(F.when(mime.isin(*SCANNED), data), mime)
+    return F.when(mime.isin(*SCANNED), found(F.when(mime.isin(*SCANNED), data), mime)).otherwise(plain_findings(data, mime, policy))
 
 
 def _rewritten_sheet(data: bytes) -> bytes:

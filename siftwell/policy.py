@@ -6,6 +6,7 @@ import dataclasses
 import tomllib
 from dataclasses import dataclass, field
 
+# The actions, and the sections, keys and defaults of the policy below.
 ACTIONS = ("remove", "placeholder", "rewrite", "refuse", "allow")
 
 
