@@ -58,15 +58,13 @@ def two_words():
     return word, word.translate({97: 98, 98: 97})
 
 
-@pytest.fixture(params=["usual", "split", "shuffled"])
+@pytest.fixture(params=["usual", "bounds"])
 def ways(request, monkeypatch):
-    """Bounds at which the substring operators change their ways: parts of over one block are split, no table is broadcast."""
+    """Bounds at which the substring operators change their ways: parts of over one block are split, keys of over two rows are hot."""
     from siftwell.llm import common, repeats
 
-    if request.param == "split":
+    if request.param == "bounds":
         monkeypatch.setattr(repeats, "GROUP", 1)
-    if request.param == "shuffled":
-        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(common, "HOT_ROWS", 2)
     return request.param
 
