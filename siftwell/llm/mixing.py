@@ -65,12 +65,13 @@ def repeat_documents(docs: DataFrame, weights: DataFrame | None = None, *, id_co
     whatever these are.
     """
     _, plan, n_sources = _plan(docs, weights, id_col, text_col, source_col, max_epochs, seed, cycle)
-    own = {c: column_name(docs, f"_{c}") for c in ("source", "order", "whole", "fill", "n")}
+    own = {c: column_name(docs, f"_{c}") for c in ("source", "order", "size", "whole", "fill", "n")}
     lean = plan.select(*[F.col(c).alias(own[c]) for c in ("source", "whole", "fill")])
     rows = docs.withColumn(own["source"], docs[source_col].cast("string")).withColumn(own["order"], _order(docs, id_col, text_col, seed))
+    rows = rows.withColumn(own["size"], word_count(docs[text_col]))  # below the join: counted once for each row
     rows = join_lookup(rows, lean, own["source"], n_sources, F.col(own["order"]))
     order = F.col(own["order"])
-    times = F.col(own["whole"]).cast("int") + _extra(_slice(order), order, word_count(docs[text_col]), F.col(own["fill"]))
+    times = F.col(own["whole"]).cast("int") + _extra(_slice(order), order, F.col(own["size"]), F.col(own["fill"]))
     return rows.withColumn(own["n"], F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(c) for c in docs.columns])
 
 
