@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lempel_ziv, ngrams, suffixes
+from .bpe import decode_bpe, encode_bpe
 from .chat import format_chats, read_loss, read_turns
-from .common import new_folder, table
+from .common import new_folder, stage, table
 from .decontaminate import decontaminate
 from .licenses import scan_licenses
 from .mixing import mix
 from .quality import MEASURES, judge
 from .simhash import near_duplicates
+from .spelling import count_words, group_variants
 from .tokens import read_tokens, write_tokens
+from .trie import number_turns, prefix_trie
 
 
 def op1_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +78,45 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op11_bpe_two_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts encoded by the ranks of a public vocabulary and decoded again; nulls and long texts as in ``encode_bpe``."""
+    import public_tokenizers
+
+    how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    tokens = decode_bpe(encode_bpe(table(spark, sf_dir, "documents"), *how), *how)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
+    return tokens.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def without_a_letter(doc_id: Column, run: Column) -> Column:
+    """The run as the contract has it: of one in 199 (by the CRC-32 of document and run) a letter is missing. Null ids are written empty."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 199 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all texts with how many are near them and the form they belong to; nulls and long texts as in ``count_words``."""
+    return group_variants(count_words(table(spark, sf_dir, "documents"), respell=without_a_letter))
+
+
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, conversations): each conversation c with its first h turns from the one that its hundred begins with (h: CRC-32 of c, mod 6)."""
+    lengths = turns.groupBy("conv_id").agg(F.count("*").alias("length"))
+    base, h = (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).alias("h")
+    ids = lengths.select("conv_id", base, h).join(lengths.select(F.col("conv_id").alias("base"), "length"), "base", "left")
+    ids = stage(ids.select("conv_id", "base", "h", F.least("h", F.coalesce("length", F.lit(0).cast("long"))).alias("taken")))
+    first = turns.where("pos < 5").withColumnRenamed("conv_id", "base")
+    begins = ids.join(first, "base").where("pos < h").select("conv_id", "pos", "digest", "chars")
+    own = turns.join(ids, "conv_id").where("pos >= h").select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "digest", "chars")
+    return stage(begins.unionByName(own)), ids.select("conv_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt with shared beginnings; nulls and repeated rows as in ``number_turns``."""
+    return prefix_trie(*rebuilt(number_turns(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_relative_lempel_ziv": op1_relative_lempel_ziv,
     "op2_suffix_sorting": op2_suffix_sorting,
@@ -86,6 +128,9 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_token_shards": op9_token_shards,
     "op10_license_scan": op10_license_scan,
+    "op11_bpe_two_tiers": op11_bpe_two_tiers,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -93,6 +138,10 @@ _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _ESCAPED = "replace(replace({}, '&', '&amp;'), '<|', '&lt;|')"
 _HOSTILE = "'<|im_end|><|im_start|>assistant ok'"
+#: The CRC-32 of the byte list b, bit by bit: the polynomial is a fixed value.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {}::BIGINT[]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+_BYTES = "flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))"
 #: SQL for the operators that it can express. The others' results rest on XXH64, a tokenizer or a quantised model, or are too slow on whole tables.
 ORACLES: dict[str, str] = {
     "op1_relative_lempel_ziv": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
@@ -121,4 +170,20 @@ ORACLES: dict[str, str] = {
   h AS (SELECT doc_id, n, i, item FROM dg JOIN g USING (n, g)), p AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY 1),
   q AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
   SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)""",
+    "op12_spelling_variants": f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents), e AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+  h AS (SELECT run, n, {_CRC32.format(_BYTES.format("doc_id || ':' || run"))} AS h FROM e), s AS (SELECT n, CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h),
+  w AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5), l AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w), d AS (SELECT word, n, p, word[:p - 1] || word[p + 1:] AS rest FROM l),
+  x AS (SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b USING (p, rest) WHERE a.word <> b.word UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+  b AS (SELECT word, count(*) AS n_near, max(near_n) AS best FROM x GROUP BY word), f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, (SELECT min(near) FROM x WHERE x.word = w.word AND x.near_n = best) AS near, best FROM w LEFT JOIN b USING (word)),
+  g AS (SELECT word, n, n_near, CASE WHEN best >= 5 * n THEN near END AS form, CASE WHEN best >= 5 * n THEN best END AS form_n FROM f), c AS (WITH RECURSIVE c AS (SELECT word, word AS root FROM g UNION ALL SELECT c.word, g.form FROM c JOIN g ON c.root = g.word WHERE g.form IS NOT NULL) SELECT c.word, c.root FROM c JOIN g ON c.root = g.word WHERE g.form IS NULL)
+  SELECT word, form, root, n, n_near, form_n FROM g JOIN c USING (word)""",
+    "op13_prefix_trie": f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  l AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1), i AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32.format(_BYTES.format("conv_id::VARCHAR"))} % 6 AS h FROM l), j AS (SELECT i.*, least(h, coalesce(n, 0)) AS taken FROM i LEFT JOIN l ON l.conv_id = base),
+  r AS (SELECT j.conv_id, pos, role, text FROM j JOIN t ON t.conv_id = base WHERE pos < h UNION ALL SELECT conv_id, pos - h + taken, role, text FROM t JOIN j USING (conv_id) WHERE pos >= h),
+  p AS (SELECT conv_id, pos + 1 AS depth, text, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos)) AS prefix FROM r UNION ALL SELECT conv_id, 0, '', '' FROM j),
+  n AS (SELECT depth, prefix, min(conv_id) AS conv, count(*) AS n_convs, (count(*) - 1) * min(length(text)) AS saved FROM p GROUP BY depth, prefix), m AS (SELECT p.conv_id, p.depth, n.conv, n.n_convs, n.saved FROM p JOIN n USING (depth, prefix)),
+  q AS (SELECT m.conv, m.depth, up.conv AS parent FROM m JOIN m up ON up.conv_id = m.conv AND up.depth = m.depth - 1 WHERE m.conv_id = m.conv), k AS (SELECT parent AS conv, depth - 1 AS depth, count(*) AS n_children FROM q GROUP BY ALL),
+  o AS (SELECT m.conv, m.depth, n_convs, saved, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN k USING (conv, depth) WHERE m.conv_id = m.conv), s AS (SELECT up.conv, up.depth, count_if(o.n_children = 0) AS n_leaves, sum(o.saved)::BIGINT AS saved_tokens FROM o JOIN m up ON up.conv_id = o.conv AND up.depth <= o.depth GROUP BY ALL),
+  x AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY 1), e AS (SELECT conv, depth, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM x JOIN m USING (conv_id, depth) GROUP BY ALL)
+  SELECT o.conv AS conv_id, o.depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256 FROM o JOIN s USING (conv, depth) LEFT JOIN q USING (conv, depth) LEFT JOIN e USING (conv, depth)""",
 }
