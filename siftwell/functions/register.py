@@ -18,7 +18,7 @@ class ZipEntries:
 
 class CssFindings:
     def eval(self, text: str) -> Iterator[tuple]:
-        from siftwell.operators.scanners import css_findings
+        from siftwell.functions.css import css_findings
 
         for rule, at, _ in css_findings(text or ""):
             yield rule, at

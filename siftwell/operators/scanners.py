@@ -8,13 +8,13 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.css import rewritten_sheet, sheet_places
 from ..policy import Policy, XmlBudget, ZipBudget
 
 FINDINGS = "array<struct<rule:string,category:string,offset:bigint,line:bigint>>"
@@ -280,79 +280,6 @@ def rewritten_pdf(data: bytes) -> bytes:
     return b"".join([*out, _without_keys(data[at:])])
 
 
-_CSS_ESCAPE = re.compile(r"\\([0-9a-fA-F]{1,6})\s?|\\(.)", re.S)
-_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-_CSS_IMPORT = re.compile(r"@import\b", re.I)
-_CSS_EXPRESSION = re.compile(r"(?<![\w-])(?:expression\s*\(|-moz-binding\b|behavior\s*:)", re.I)
-_CSS_SCHEME = re.compile(r"javascript:|data:\s*+(?:text/html|application/xhtml\+xml|image/svg\+xml|text/javascript|application/javascript|application/ecmascript)", re.I)
-_CSS_PROBE = re.compile(r"\[[^\[\]{}]*[\^$*]=")
-_CSS_URL = re.compile(r"url\(|image-set\(|src\(", re.I)
-
-
-def _scheme_places(css: str) -> Iterator[int]:
-    """Where a string or an address begins that has an active scheme."""
-    for m in _CSS_SCHEME.finditer(css):
-        at = m.start()
-        while at and css[at - 1] in " \t\n\r\f'\"":  # the runs before two matches don't overlap
-            at -= 1
-        if "'" in css[at : m.start()] or '"' in css[at : m.start()] or css[max(at - 4, 0) : at].lower() == "url(":
-            yield at
-
-
-def _exfiltration_places(css: str) -> Iterator[int]:
-    """Where a selector that probes parts of attributes stands over a block with an address. Blocks are walked once."""
-    above: list[int] = []  # of each open block: the place of the probing selector over it, -1 without one
-    begin = 0
-    for m in re.finditer(r"[{};]", css):
-        part, at = css[begin : m.start()], begin
-        begin = m.end()
-        if m[0] == "{":
-            probe = _CSS_PROBE.search(part)
-            above.append(at + probe.start() if probe else above[-1] if above else -1)
-            continue
-        if above and above[-1] >= 0 and _CSS_URL.search(part):
-            yield above[-1]
-        if m[0] == "}" and above:
-            above.pop()
-    if above and above[-1] >= 0 and _CSS_URL.search(css, begin):
-        yield above[-1]
-
-
-def css_findings(text: str) -> list[tuple[str, int, tuple[int, int]]]:
-    """(rule, place, range of the enclosing rule): imports, scripting values, active URLs, and rules that send out parts of attributes.
-
-    Escapes are resolved and comments taken out before names are read, so neither hides one. Linear but for sorting.
-    """
-    def unescaped(m: re.Match) -> str:
-        code = int(m[1], 16) if m[1] else 0
-        return (chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else "�") if m[1] else m[2]
-
-    # what an escape or comment leaves is written where it ends, so that places stay those of the text
-    plain = _CSS_COMMENT.sub(lambda m: "\0" * len(m[0]), text)
-    plain = _CSS_ESCAPE.sub(lambda m: "\0" * (len(m[0]) - 1) + unescaped(m), plain)
-    places = [k for k, c in enumerate(plain) if c != "\0"]
-    joined = plain.replace("\0", "")
-    ends, closes = ([m.start() for m in re.finditer(x, joined)] for x in ("[;}]", "}"))
-    hits = [("scan.css.import", m.start(), m.end()) for m in _CSS_IMPORT.finditer(joined)] + [("scan.css.expression", m.start(), m.end()) for m in _CSS_EXPRESSION.finditer(joined)]
-    hits += [("scan.css.dangerous_scheme", at, at + 1) for at in _scheme_places(joined)] + [("scan.css.exfiltration", at, at + 1) for at in dict.fromkeys(_exfiltration_places(joined))]
-    out = []
-    for rule, at, after in hits:
-        to = closes if rule == "scan.css.exfiltration" else ends  # of a block all goes, whatever ends inside it
-        k, before = bisect_left(to, after), bisect_left(ends, at)
-        start = at if rule == "scan.css.import" else ends[before - 1] + 1 if before else 0
-        out.append((rule, places[at], (places[start], places[to[k]] + 1 if k < len(to) else len(text))))
-    return sorted(out, key=lambda x: x[1])
-
-
-def rewritten_css(text: str) -> str:
-    """The text without the rules that have findings."""
-    out, at = [], 0
-    for a, b in sorted({span for _, _, span in css_findings(text)}):
-        out.append(text[at : max(a, at)])
-        at = max(at, b)
-    return "".join(out) + text[at:]
-
-
 def scan_file(data: bytes, mime: str | None, policy: Policy) -> list[tuple[str, str, int]]:
     """(rule, category, offset) for one file: what could exhaust a reader first, and then nothing else; else active content."""
     sub = policy.subresources
@@ -376,14 +303,7 @@ def scan_file(data: bytes, mime: str | None, policy: Policy) -> list[tuple[str,
         at = next((p for p in map(data.find, (b"<!ENTITY", b"SYSTEM", b"PUBLIC")) if p >= 0), None)
         return [] if at is None else [("scan.xml.xxe", "active_content", at)]
     if mime == "text/css":
-        text = data.decode("utf-8", "replace")
-        ascii_only, out, at = text.isascii(), [], 0
-        total = 0
-        for rule, place, _ in css_findings(text):
-            total += place - at if ascii_only else len(text[at:place].encode("utf-8", "replace"))
-            at = place
-            out.append((rule, "active_content", total))
-        return out
+        return [(rule, "active_content", at) for rule, at in sheet_places(data)]
     return []
 
 
@@ -423,15 +343,7 @@ def scan(data: Column, mime: Column, policy: Policy) -> Column:
     return F.when(mime.isin(*SCANNED), found(F.when(mime.isin(*SCANNED), data), mime)).otherwise(plain_findings(data, mime, policy))
 
 
-def _rewritten_sheet(data: bytes) -> bytes:
-    """A style sheet without the rules that have findings; what a removed rule brings together is looked at again."""
-    text = data.decode("utf-8", "surrogateescape")
-    while (shorter := rewritten_css(text)) != text:
-        text = shorter
-    return text.encode("utf-8", "surrogateescape")
-
-
-REWRITERS = {"text/css": _rewritten_sheet, "image/tiff": rewritten_tiff, "application/pdf": rewritten_pdf}
+REWRITERS = {"text/css": rewritten_sheet, "image/tiff": rewritten_tiff, "application/pdf": rewritten_pdf}
 
 
 def _rewritten(blobs: pa.Array, mimes: pa.Array) -> pa.Array:

@@ -23,6 +23,17 @@ HOSTILE = {
     "<a href=jav&#97;script:x>b</a>": ("html.attr.dangerous_scheme", '<a href="#blocked">b</a>'), "<iframe src=//x.example><b></b></iframe>": ("html.frame.disallowed", '<div class="sanitized-placeholder"></div>'),
     "<meta http-equiv=Refresh content=0>": ("html.meta.refresh", ""), "<form action=http://127.0.0.1/>": ("ssrf.loopback", '<form action="#blocked">'), "<b title='<script>'>": ("", "<b title='<script>'>"),
     "<video poster=data:x><a href=//ads.example.com>": ("html.attr.dangerous_scheme,url.blocklist", '<video poster="#blocked"><a href="#blocked">'), "<svg><p><style><a>": (None, None),
+    "<select><xmp><script>a()</script></xmp></select>": (None, None), "<frameset><style><frame src='javascript:a()'></style>": (None, None), "<noscript><style></noscript><script>a()</script></style>": (None, None),
+    "<noscript><!-- </noscript><script>a()</script> -->": (None, None), "<svg><desc><div></svg></div></desc><style><script>a()</script></style></svg>": (None, None), "<div><svg></div><![CDATA[><script>a()</script>]]></svg>": (None, None),
+    "<noscript><img src=x onerror=a()></noscript>": ("html.attr.event_handler", "<noscript><img src=x></noscript>"), "<svg><title>t</title><path onload=a() /></svg><script>a()</script>": ("html.attr.event_handler,html.script.disallowed", "<svg><title>t</title><path /></svg>"),
+    "<select><option onclick=a()>o</select><style>p{}</style>": ("html.attr.event_handler", "<select><option>o</select><style>p{}</style>"), "<svg><style><a href=javascript:a()>b</a></style></svg>": ("html.attr.dangerous_scheme", '<svg><style><a href="#blocked">b</a></style></svg>'),
+}
+#: Pieces of style sheets, the rules that they break, and what is left of them where active content is taken out (null: nothing of the whole sheet).
+HOSTILE_SHEETS = {
+    'a{content:"/*"} input[value^=a]{background:url(//e/a)} c{content:"*/"}': ("scan.css.exfiltration", 'a{content:"/*"}  c{content:"*/"}'), 'a{content:"/*"} b{width:expression(1)} c{content:"*/"}': ("scan.css.expression", 'a{content:"/*"}  c{content:"*/"}'),
+    r'@\69mport "x";': ("scan.css.import", ""), "a{width:expr/**/ession(1)}": ("scan.css.expression", None), r"@media screen{d{background:\75rl(\6a avascript:x)} e{color:red}}": ("scan.css.dangerous_scheme", "@media screen{ e{color:red}}"),
+    "@imp@import 'x';ort 'x';": ("scan.css.import", "ort 'x';"), "a{x:url(data:image/png;base64,AA)}": ("", "a{x:url(data:image/png;base64,AA)}"), 'a[href$=".pdf"]{color:red} b{background:url(x)}': ("", 'a[href$=".pdf"]{color:red} b{background:url(x)}'),
+    'a{background:url("javascript:x\n)}': ("scan.css.dangerous_scheme", ""), "a{-moz-binding:url(x#y)} b{x:expr/**/ession(1)}": ("scan.css.expression", None), "@import url(javascript:x);": ("scan.css.import,scan.css.dangerous_scheme", ""),
 }
 
 
@@ -83,6 +94,16 @@ def hostile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("page_id"), "status", F.array_join(F.transform("actions", lambda a: a["rule_id"]), ",").alias("rules"), F.col("output").cast("string").alias("output"))
 
 
+def hostile_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A style sheet for each page: a hostile piece between two rules of the page's own; refused as it is, and with its active content taken out."""
+    piece, number = F.element_at(F.array(*[F.lit(x) for x in HOSTILE_SHEETS]), (F.col("page_id") % len(HOSTILE_SHEETS) + 1).cast("int")), F.col("page_id").cast("string")
+    sheet = F.concat(F.lit("p"), number, F.lit("{color:red}\n"), piece, F.lit("\nq{margin:"), number, F.lit("px}"))
+    sheets = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("s.css").alias("name"), F.encode(sheet, "UTF-8").alias("data"), F.lit("text/css").alias("declared_header"))
+    asis = pipeline.process(sheets, POLICY, *lists(spark)).select("id", "status", F.array_join(F.transform("actions", lambda a: a["rule_id"]), ",").alias("rules"))
+    kept = pipeline.process(sheets, replace(POLICY, subresources=SubresourceRules(active_content_rule="allow")), *lists(spark)).select("id", F.col("output").cast("string").alias("kept"))
+    return asis.join(kept, "id").withColumnRenamed("id", "page_id")
+
+
 def blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").withColumn("host", urls.taken_apart(F.col("url"))["host"])
     named = pages.select(F.col("host").alias("ascii"), F.lit("domain").alias("kind")).distinct()
@@ -168,7 +189,7 @@ def host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    page_reports, page_rule_counts, page_action_places, page_type_matrix, page_run_summary, page_byte_budget, hostile_pages, blocked_pages, url_labels, url_verdicts_hostile,
+    page_reports, page_rule_counts, page_action_places, page_type_matrix, page_run_summary, page_byte_budget, hostile_pages, hostile_sheets, blocked_pages, url_labels, url_verdicts_hostile,
     page_links, reference_slots, subresource_outcomes, output_names, report_json, redirects, host_suffixes)}
 
 _SCRIPTS = "regexp_extract_all(html, '<script[^>]*>')"
@@ -177,7 +198,11 @@ _HREFS = "SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]
 _SLOTS = f"""WITH r AS ({_HREFS}), a AS (SELECT page_id, n, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href ELSE href END u FROM r WHERE href <> '' AND href NOT LIKE '#%'),
   f AS (SELECT page_id, regexp_replace(u, '#.*$', '') u, min(n) n FROM a GROUP BY 1, 2), s AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 slot FROM f)"""
 _OUT = "regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gs')"
+_TEXT = lambda x: "NULL" if x is None else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 ORACLES = {
+    "hostile_sheets": "WITH h AS (SELECT page_id, page_id % " + str(len(HOSTILE_SHEETS)) + " AS k FROM pages), v AS (SELECT * FROM (VALUES " + ", ".join(
+        f"({k}, {_TEXT(rules)}, {_TEXT(out)})" for k, (rules, out) in enumerate(HOSTILE_SHEETS.values())) + ''') v(k, rules, output))
+  SELECT page_id, CASE WHEN rules = '' THEN 'clean' ELSE 'refused' END AS status, rules, CASE WHEN output IS NULL THEN '' ELSE 'p' || page_id || '{color:red}' || chr(10) || output || chr(10) || 'q{margin:' || page_id || 'px}' END AS kept FROM h JOIN v USING (k)''',
     "page_byte_budget": "SELECT CASE WHEN strlen(html) > 1500 THEN 'budget_exceeded' ELSE 'within' END AS state, count(*) AS n, sum(strlen(html))::BIGINT AS bytes FROM pages GROUP BY 1",
     "page_reports": f"SELECT page_id, CASE WHEN len({_SCRIPTS}) > 0 THEN 'sanitised' ELSE 'clean' END AS status, 'ok' AS bucket, strlen(html)::BIGINT AS bytes_in, strlen({_OUT})::BIGINT AS bytes_out, len({_SCRIPTS})::BIGINT AS n_actions, len({_SCRIPTS})::BIGINT AS n_scripts, sha256({_OUT}) AS output_sha256 FROM pages",
     "page_rule_counts": f"SELECT 'html.script.disallowed' AS rule_id, 'xss' AS category, 'remove' AS action, sum(len({_SCRIPTS}))::BIGINT AS n FROM pages",

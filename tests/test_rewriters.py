@@ -3,7 +3,7 @@
 import struct
 import zlib
 
-from siftwell.functions import netaddr
+from siftwell.functions import css, netaddr
 from siftwell.operators import scanners, urls
 from siftwell.plans import pipeline
 from siftwell.policy import Policy, SubresourceRules
@@ -33,7 +33,7 @@ def test_allowed_findings_are_rewritten(spark):
     out = {n: bytes(r.output) for n, r in found.items()}
     assert {n: r.status for n, r in found.items()} == {n: "clean" if n in ("b.css", "c.pdf") else "sanitised" for n in inputs}
     assert all(a.action == "allow" for r in found.values() for a in r.actions if a.category == "active_content")
-    assert scanners.css_findings(out["a.css"].decode("utf-8", "replace")) == [] and b"p{color:red}\xff" in out["a.css"]
+    assert css.css_findings(out["a.css"].decode("utf-8", "replace")) == [] and b"p{color:red}\xff" in out["a.css"]
     assert scanners.tiff_break(inputs["a.tiff"]) is not None and scanners.tiff_break(out["a.tiff"]) is None
     for n in ("a.pdf", "b.pdf"):
         assert scanners.pdf_active(inputs[n]) is not None and scanners.pdf_active(out[n]) is None and len(out[n]) == len(inputs[n])

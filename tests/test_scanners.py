@@ -4,6 +4,7 @@ import zlib
 
 import pytest
 
+from siftwell.functions import css
 from siftwell.functions.hosts import parse_host
 from siftwell.functions.markup import Unreadable, decode_references, find_elements
 from siftwell.functions.netaddr import deny_rows
@@ -71,15 +72,22 @@ def test_documents():
     assert scanners.pdf_active(packed) == 0
 
 
-@pytest.mark.parametrize(("css", "rules"), [
+@pytest.mark.parametrize(("sheet", "rules"), [
     ("a{color:red}", []), ("@import url(x.css);", ["scan.css.import"]), ("a{width:expression(1)}", ["scan.css.expression"]),
     ("a{width:exp/**/ression(1)}", ["scan.css.expression"]), (r"a{width:\65xpression(1)}", ["scan.css.expression"]),
     ("a{background:url('javascript:x')}", ["scan.css.dangerous_scheme"]), ("input[value^=a]{background:url(//x)}", ["scan.css.exfiltration"]),
     ("a{background:url(data:image/png;base64,x)}", []),
+    (r"a{background:url('\6a\61 vascript:alert(1)')}", ["scan.css.dangerous_scheme"]), (r"a{x:\75 rl(javascript:x)}", ["scan.css.dangerous_scheme"]), ("a{x:url(javascript:a'b)}", ["scan.css.dangerous_scheme"]),
+    ('a{x:url("javascript:a\nb)}', ["scan.css.dangerous_scheme"]), ("a{x:url( java\tscript:a)}", ["scan.css.dangerous_scheme"]), ("a{x:url('java\tscript:a')}", ["scan.css.dangerous_scheme"]), ('a{x:"data: text/html,x"}', ["scan.css.dangerous_scheme"]),
+    ("a{-moz-binding:url(x)}", ["scan.css.expression"]), ("a{behavior:url(x)}", ["scan.css.expression"]), ("a{width:1expression}", ["scan.css.expression"]), ("@import 'javascript:x';", ["scan.css.import", "scan.css.dangerous_scheme"]),
+    ('a{content:"/*"} b{width:expression(1)} c{content:"*/"}', ["scan.css.expression"]), ('a{content:"/*"} input[value^=a]{background:url(//e)} c{content:"*/"}', ["scan.css.exfiltration"]),
+    ("@media x{input[a^=b]{color:red} p{background:url(x)}}", []), ("@media x{input[a^=b]{color:url(x)}}", ["scan.css.exfiltration"]), ("@layer a; input[a*=b]{--x:image-set('y')}", ["scan.css.exfiltration"]),
+    ("@font-face{src:url(x)} a[b$=c]{color:red}", []), ("<!-- @import 'x'; -->", ["scan.css.import"]), (r"@\69mport 'x'", ["scan.css.import"]), ("a{b:'\\\n'; c:url(", []), ("} a{b:expression(", ["scan.css.expression"]),
+    ("a{b:'x\n} c{width:expression(1)}", ["scan.css.expression"]), ("/* @import 'x'; */ a{color:red}", []), ("a{b:'@import x'}", []), ("", []), (" \n", []),
 ])
-def test_stylesheets(css, rules):
-    assert [r for r, *_ in scanners.css_findings(css)] == rules
-    assert scanners.css_findings(scanners.rewritten_css(css)) == []
+def test_stylesheets(sheet, rules):
+    assert [r for r, *_ in css.css_findings(sheet)] == rules
+    assert css.css_findings(css.rewritten_css(sheet)) == []
 
 
 def test_markup():
@@ -133,7 +141,7 @@ def test_hostile_pages_take_linear_time(unit):
 def test_hostile_stylesheets_take_linear_time(unit):
     def seconds(size):
         began = time.process_time()
-        scanners.css_findings("url(" + unit * (size // len(unit)))
+        css.css_findings("url(" + unit * (size // len(unit)))
         return time.process_time() - began
 
     assert seconds(1 << 19) < 2 + 6 * seconds(1 << 17)
@@ -152,10 +160,31 @@ def test_hostile_documents():
     assert time.process_time() - began < 5
 
 
+def test_a_sheet_is_rewritten_rule_by_rule():
+    sheet = "body{width:expression(1);height:expression(2)}\n@import 'x';p{color:red} @media a{b{x:url(javascript:y)} c{d:e}} q{"
+    assert css.rewritten_css(sheet) == "\np{color:red} @media a{ c{d:e}} q{"
+    assert css.rewritten_css("a{width:expression(1)} b{c:exp/**/ression(1)}") == "" and css.rewritten_css("a{color:red}") == "a{color:red}"
+    line, at = "body {\n  color: red;\n  width: expression(1);\n}", 30
+    assert css.css_findings(line) == [("scan.css.expression", at, (0, len(line)))]
+    assert css.sheet_places("é{} a{b:expression(1)}".encode()) == [("scan.css.expression", 9)]
+    for encoding, mark in (("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff")):
+        data = mark + "é{} a{b:expression(1)} c{}".encode(encoding)
+        assert css.sheet_places(data) == [("scan.css.expression", 18)] and css.rewritten_sheet(data) == mark + "é{}  c{}".encode(encoding) and css.rewritten_sheet(data + b"x") == css.rewritten_sheet(data)
+
+
+@pytest.mark.parametrize("unit", [*"([{}-\\'\"*@#1+;é\0e/.~", "url(", "@media{", "a{", "^=", "-->", "a:b;", "@imp@import 'x';ort 'x';", "expr/**/ession", "'javascript:' "])
+def test_large_sheets(unit):
+    sheet = unit * ((1 << 20) // len(unit))
+    began = time.process_time()
+    css.css_findings(sheet)
+    assert time.process_time() - began < 3
+    assert css.css_findings(css.rewritten_css(sheet)) == []
+
+
 def test_nested_style_rules():
-    assert [r for r, *_ in scanners.css_findings("input[value^=a]{color:red; &:hover{background:url(//x)}} p{background:url(y)}")] == ["scan.css.exfiltration"]
-    assert scanners.css_findings("input[value=a]{background:url(//x)} a[b^=c]{color:red} p{background:url(y)}") == []
-    assert [r for r, *_ in scanners.css_findings("p{x:url( ' javascript:a')} q{y:'javascript:b'} r{z:javascript:c}")] == ["scan.css.dangerous_scheme"] * 2
+    assert [r for r, *_ in css.css_findings("input[value^=a]{color:red; &:hover{background:url(//x)}} p{background:url(y)}")] == ["scan.css.exfiltration"]
+    assert css.css_findings("input[value=a]{background:url(//x)} a[b^=c]{color:red} p{background:url(y)}") == []
+    assert [r for r, *_ in css.css_findings("p{x:url( ' javascript:a')} q{y:'javascript:b'} r{z:javascript:c}")] == ["scan.css.dangerous_scheme"] * 2
 
 
 @pytest.mark.parametrize(("text", "host"), [
@@ -176,3 +205,56 @@ def test_policy():
     assert [r[1] for r in deny_rows(("10.1.2.3",))][-1] == 4
     with pytest.raises(ValueError):
         deny_rows(("nonsense",))
+
+
+REFUSED = "refused"
+
+
+@pytest.mark.parametrize(("page", "tags"), [
+    # select: text-only elements count for some browsers only
+    ("<select><xmp><script>a</script></xmp></select>", REFUSED), ("<select><title><b></title></select>", REFUSED), ("<select><style></style>", REFUSED), ("<select><plaintext><b>", REFUSED),
+    ("<select><option><b></select><style><i></style>", "select option b style"), ("<select><input><style><i></style>", "select input style"), ("<select><textarea><i></textarea></select>", "select textarea"),
+    ("<select><script><i></script></select><title><i></title>", "select script title"), ("<select><select><style><i></style>", "select select style"), ("<select><template></select></template><xmp><i></xmp>", REFUSED),
+    ("<select><svg><![CDATA[><script>]]>", REFUSED), ("<select><svg><path></svg></select><p>", "select svg path p"),
+    # frameset: all but frames is ignored after it
+    ("<frameset><style><frame></style>", REFUSED), ("<frameset><frame><noframes><b></noframes></frameset>", "frameset frame noframes"), ("<frameset><svg><![CDATA[><frame>]]>", REFUSED), ("<style><frameset></style><title>", "style title"),
+    # noscript: text where scripts run
+    ("<noscript><b><i></i></b></noscript><style><u></style>", "noscript b i style"), ("<noscript><style></noscript><script></style>", REFUSED), ("<noscript><!-- </noscript><script> -->", REFUSED),
+    ("<noscript><textarea></noscript><img></textarea>", REFUSED), ("<noscript><a title='</noscript><img>'>", REFUSED), ("<noscript><svg></noscript><![CDATA[><script>]]>", REFUSED), ("<noscript><select></noscript><p>", REFUSED),
+    ("<noscript><style></style></noscript>", "noscript style"), ("<noscript><b>", "noscript b"), ("<noscript><noscript></noscript><b>", "noscript noscript b"), ("<noscript><!--</noscript>", REFUSED),
+    # SVG and MathML
+    ("<svg><style><b></style></svg>", "svg style b"), ("<svg><title><b></title></svg><title><b></title>", REFUSED), ("<svg><title>t</title><desc/><path/></svg><script><b></script>", "svg title desc path script"),
+    ("<svg><![CDATA[<b>]]></svg><![CDATA[<b>]]>", "svg"), ("<svg><math></svg><![CDATA[><b>]]>", "svg math b"), ("<div><svg></div><![CDATA[><b>]]>", REFUSED), ("<h2><svg></h1><![CDATA[><b>]]>", REFUSED),
+    ("<table><td><svg></tr><style><a title='</style><script>'>", REFUSED), ("<svg></path><style><b></style></svg>", "svg style b"), ("<svg><p><style><b></style>", REFUSED), ("<svg></p><style><b></style>", REFUSED),
+    ("<svg><font><style><b></style></svg>", "svg font style b"), ("<svg><font size=1><style><b></style></svg>", REFUSED), ("<svg><desc><div></svg></div></desc><style><b></style>", REFUSED),
+    ("<svg><foreignObject><div><style><b></style></div></foreignObject><style><b></style></svg>", "svg foreignobject div style style b"), ("<svg><foreignObject><p>a</foreignObject></svg><style></style>", REFUSED),
+    ("<math><mi><style><b></style></mi></math>", "math mi style"), ("<math><mi><mglyph><style><b></style></mglyph></mi></math>", "math mi mglyph style b"), ("<math><style><b></style></math>", "math style b"),
+    ("<math><annotation-xml><style><b></style>", REFUSED), ("<math><svg><desc><style><b></style></desc></svg></math>", "math svg desc style b"), ("<svg/><title><b></title>", "svg title"), ("<svg><plaintext><b>", "svg plaintext b"),
+    ("<svg><title/><style><b></style></svg>", "svg title style b"), ("<svg><desc><svg><style><a></style></svg></desc></svg><style><a></style>", "svg desc svg style a style"),
+    # template and text-only elements by themselves
+    ("<template><style><b></style></template><p>", "template style p"), ("<template><svg></template><style><b></style>", REFUSED), ("<xmp><b></xmp><iframe><b></iframe><noembed><b></noembed><plaintext><b>", "xmp iframe noembed plaintext"),
+])
+def test_modes(page, tags):
+    """Cases by hand for each mode of the tree builder that changes what the tokenizer does."""
+    if tags == REFUSED:
+        with pytest.raises(Unreadable):
+            find_elements(page.encode())
+    else:
+        assert " ".join(e["tag"] for e in find_elements(page.encode())) == tags
+
+
+def test_utf16_pages_are_unreadable():
+    for encoding, mark in (("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff")):
+        with pytest.raises(Unreadable):
+            find_elements(mark + "<script>".encode(encoding))
+
+
+@pytest.mark.parametrize("unit", ["<svg>", "<svg><x></y>", "<svg><noscript></noscript>", "<noscript>", "<svg><desc><div></x>", "<select>", "<math><mi>", "<svg></h1>", "<svg><title>"])
+@pytest.mark.parametrize("before", ["", "<svg>" * 20_000])
+def test_deep_markup_takes_linear_time(unit, before):
+    began = time.process_time()
+    try:
+        find_elements((before + unit * (300_000 // len(unit))).encode())
+    except Unreadable:
+        pass
+    assert time.process_time() - began < 6
