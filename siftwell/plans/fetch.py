@@ -6,33 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.html import ACTION, REFERENCE
-from ..operators.urls import taken_apart
 from ..policy import Policy
 from ..sources.staging import cut
 from . import guard, pipeline
 
 
-def blocked_urls(urls: DataFrame, dns: DataFrame, networks: DataFrame, policy: Policy) -> DataFrame:
-    """(url, rule) of the distinct URLs (column ``url``) whose host leads to a denied address."""
-    hosts = urls.distinct().withColumn("p", taken_apart(F.col("url"))).select("url", F.col("p.host").alias("host"), F.coalesce(F.expr("try_cast(p.port AS int)"), F.lit(80)).alias("port"))
-    asked = hosts.select(F.col("url").alias("request_id"), "host", "port", F.lit(None).cast("string").alias("endpoint"))
-    return guard.decide(asked, dns, networks, policy.ssrf.allow_hosts).where(F.col("rule").isNotNull()).select(F.col("request_id").alias("url"), "rule")
-
-
-def acquired(inputs: DataFrame, files: DataFrame, responses: DataFrame, dns: DataFrame, networks: DataFrame, policy: Policy) -> DataFrame:
+def acquired(inputs: DataFrame, files: DataFrame, responses: DataFrame, dns: DataFrame, networks: DataFrame, policy: Policy, origin: str = "server") -> DataFrame:
     """(id, name, data, declared_header, failure) of gathered inputs (input_index, kind, source, name), one row each.
 
     ``files``: source, data. ``responses``: url, status, location, content_type, content_encoding, content_length, body. ``failure``
     is null for what can be processed, else the status to report: malformed_url, skipped_symlink, unsupported_scheme (neither http nor
-    https), ssrf_blocked (the URL or a hop leads to a denied address; not if ``guard_input_urls`` is "never"), fetch_error (no good
+    https), ssrf_blocked (the URL or a hop leads to a denied address; where ``guard_input_urls`` covers the ``origin``, "server" or "cli"), fetch_error (no good
     response, a coded body, or one over ``max_response_bytes``, as declared or as it is), io_error (no such file).
     """
     scheme = F.lower(F.regexp_extract("source", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     asked = inputs.where((F.col("kind") == "url") & scheme.isin("http", "https")).select(F.col("input_index").alias("request_id"), F.col("source").alias("url"))
-    blocked = None
-    if policy.ssrf.guard_input_urls != "never":
-        blocked = cut(blocked_urls(asked.select("url").unionByName(responses.select("url")), dns, networks, policy))
-    ends = guard.follow(asked, responses, policy.fetch.redirect_limit, blocked).select("request_id", "final_url", "outcome")
+    ways = guard.fetched(asked.select("url", F.lit(None).cast("string").alias("endpoint")), responses, dns, networks, policy, origin)
+    ends = asked.join(ways.select("url", "final_url", "outcome"), "url").select("request_id", "final_url", "outcome")
     answers = responses.select(F.col("url").alias("final_url"), "content_type", "content_encoding", "content_length", "body")
     most = policy.fetch.max_response_bytes
     met = ends.join(answers, "final_url", "left")

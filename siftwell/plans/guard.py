@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hosts, netaddr
 from ..functions.addresses import absolute
+from ..operators.urls import taken_apart
+from ..policy import Policy
 from ..sources.staging import cut
 
 REDIRECTS = (301, 302, 303, 307, 308)
@@ -43,6 +45,34 @@ def decide(requests: DataFrame, dns: DataFrame, networks: DataFrame, allow_hosts
     return out.select("request_id", allowed.alias("allowed"), F.when(F.col("denied"), F.col("first")).alias("rule"), F.when(allowed, addresses).otherwise(F.array().cast("array<string>")).alias("addresses"))
 
 
+def guarded(origin: str, policy: Policy) -> bool:
+    """Whether the guard looks at requests of an origin: ``subresource`` always, ``server`` and ``cli`` inputs by ``guard_input_urls``."""
+    scope = policy.ssrf.guard_input_urls
+    return origin == "subresource" or scope == "always" or (origin == "server" and scope == "server")
+
+
+def vet(requests: DataFrame, dns: DataFrame | None, networks: DataFrame, policy: Policy) -> DataFrame:
+    """(url, endpoint, rule, reached) of the distinct requests (url, endpoint): the rule that denies it, else the ``digits:port`` it reaches.
+
+    Hosts are parsed and resolved once each. ``dns``: host (as it reads in ASCII), ord, family, digits; without it only addresses that
+    stand in URLs are known, and other hosts pass. A host without an answer has the rule ``unresolved``.
+    """
+    distinct = requests.select("url", "endpoint").distinct().withColumn("p", taken_apart(F.col("url")))
+    port = F.coalesce(F.expr("try_cast(p.port AS int)"), F.when(F.col("p.scheme") == "https", 443).otherwise(80))
+    rows = cut(distinct.select("url", "endpoint", F.col("p.host").alias("written"), port.alias("port")))
+    named = rows.select("written").distinct().withColumn("h", hosts.parsed_host(F.col("written")))
+    named = named.select("written", F.when(F.col("h.kind") == "domain", F.col("h.ascii")).otherwise(F.col("written")).alias("host"), (F.col("h.kind") == "domain").alias("is_name"))
+    rows = rows.join(named, "written", "left").withColumn("request_id", F.concat_ws("\n", "url", F.coalesce("endpoint", F.lit(""))))
+    known = dns if dns is not None else requests.sparkSession.createDataFrame([], "host string, ord int, family int, digits string")
+    asked = rows.select("request_id", "host", "port", (F.col("endpoint") if policy.ssrf.same_origin_exemption else F.lit(None).cast("string")).alias("endpoint"))
+    found = decide(asked, known, networks, policy.ssrf.allow_hosts).withColumnRenamed("rule", "denied")
+    rows = rows.join(found, "request_id", "left")
+    silent = ~F.coalesce("allowed", F.lit(False)) & (F.lit(True) if dns is not None else ~F.coalesce("is_name", F.lit(True)))
+    rule = F.when(F.col("denied").isNotNull(), F.col("denied")).when(silent, "unresolved")
+    reached = F.when(rule.isNull() & (F.size("addresses") > 0), F.concat(F.get("addresses", F.lit(0)), F.lit(":"), F.col("port").cast("string")))
+    return rows.select("url", "endpoint", rule.alias("rule"), reached.alias("reached"))
+
+
 def follow(requests: DataFrame, responses: DataFrame, limit: int = 5, blocked: DataFrame | None = None) -> DataFrame:
     """(request_id, final_url, hops, outcome) of requests (request_id, url) against ``responses`` (url, status, location).
 
@@ -50,10 +80,15 @@ def follow(requests: DataFrame, responses: DataFrame, limit: int = 5, blocked: D
     http_error, no_response, bad_redirect (no location), bad_scheme (neither http nor https), too_many, or blocked where a hop
     leads to one of the URLs in ``blocked`` (url).
     """
+    return trails(requests, responses, limit, blocked)[0]
+
+
+def trails(requests: DataFrame, responses: DataFrame, limit: int = 5, blocked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ``follow`` gives, and (request_id, hop, url) of every URL on the way, the first one included."""
     live = requests.select("request_id", F.col("url").alias("final_url"), F.lit(0).alias("hops"))
     answers = responses.select(F.col("url").alias("final_url"), "status", "location")
     refused = None if blocked is None else blocked.select(F.col("url").alias("final_url"), F.lit(True).alias("refused")).distinct()
-    ended = None
+    ended = passed = None
     for hop in range(limit + 1):
         met = live.join(answers, "final_url", "left")
         met = met.withColumn("refused", F.lit(None).cast("boolean")) if refused is None else met.join(refused, "final_url", "left")
@@ -64,9 +99,33 @@ def follow(requests: DataFrame, responses: DataFrame, limit: int = 5, blocked: D
         outcome = (F.when(F.col("refused"), "blocked").when(F.col("status").isNull(), "no_response").when(F.col("bad"), "bad_redirect").when(F.col("moved") & (F.col("hops") >= limit), "too_many")
                    .when(F.col("moved"), "bad_scheme").when(F.col("status").between(200, 299), "fetched").otherwise("http_error"))
         goes_on = F.col("moved") & F.col("target").isNotNull() & (F.col("hops") < limit)
-        now = met.where(~goes_on).select("request_id", "final_url", "hops", outcome.alias("outcome"))
-        ended = now if ended is None else ended.unionByName(now)
+        now, seen = met.where(~goes_on).select("request_id", "final_url", "hops", outcome.alias("outcome")), met.select("request_id", F.col("hops").alias("hop"), F.col("final_url").alias("url"))
+        ended, passed = (now, seen) if ended is None else (ended.unionByName(now), passed.unionByName(seen))
         live = met.where(goes_on).select("request_id", F.col("target").alias("final_url"), (F.col("hops") + 1).alias("hops"))
         if hop == limit or live.isEmpty():
-            return ended
-    return ended
+            break
+    return ended, passed
+
+
+def fetched(requests: DataFrame, responses: DataFrame, dns: DataFrame | None, networks: DataFrame, policy: Policy, origin: str) -> DataFrame:
+    """(url, endpoint, final_url, hops, outcome, rule, reached) of the distinct requests (url, endpoint), every hop guarded.
+
+    The URLs on all ways are vetted once each; the first denied one on a way is where it ends: ``blocked`` with its ``rule``, or
+    ``unresolved``. Of several responses (url, status, location) for a URL the least counts. ``endpoint`` is the parent's own, which stays allowed; ``reached`` is where the answer came from.
+    """
+    asked = requests.select("url", "endpoint").distinct().withColumn("request_id", F.concat_ws("\n", "url", F.coalesce("endpoint", F.lit(""))))
+    asked = cut(asked)
+    answers = responses.groupBy("url").agg(F.min(F.struct("status", "location")).alias("r")).select("url", "r.*")
+    ended, passed = trails(asked, answers, policy.fetch.redirect_limit)
+    ways = passed.withColumnRenamed("url", "at_url").join(asked.select("request_id", "endpoint"), "request_id")
+    verdicts = vet(ways.select(F.col("at_url").alias("url"), "endpoint"), dns, networks, policy)
+    same = (F.col("w.at_url") == F.col("v.url")) & F.col("w.endpoint").eqNullSafe(F.col("v.endpoint"))
+    met = ways.alias("w").join(verdicts.alias("v"), same, "left").select("w.request_id", "w.hop", "w.at_url", "v.rule", "v.reached")
+    stops = F.col("rule").isNotNull() & (F.lit(guarded(origin, policy)) | (F.col("rule") == "unresolved"))
+    first = met.groupBy("request_id").agg(F.min(F.when(stops, F.struct("hop", "at_url", "rule"))).alias("stop"), F.max_by("reached", "hop").alias("reached"))
+    stopped = F.col("stop").isNotNull()
+    rows = asked.join(ended, "request_id").join(first, "request_id")
+    return rows.select(
+        "url", "endpoint", F.when(stopped, F.col("stop.at_url")).otherwise(F.col("final_url")).alias("final_url"), F.when(stopped, F.col("stop.hop")).otherwise(F.col("hops")).alias("hops"),
+        F.when(F.col("stop.rule") == "unresolved", "unresolved").when(stopped, "blocked").otherwise(F.col("outcome")).alias("outcome"), F.when(F.col("stop.rule") != "unresolved", F.col("stop.rule")).alias("rule"),
+        F.when(~stopped, F.col("reached")).alias("reached"))

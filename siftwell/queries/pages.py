@@ -162,6 +162,34 @@ def subresource_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("status", "rule").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
+def guarded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with references to its own host, to internal ones, over a redirect to one, to a sheet that is refused, with credentials, to a
+    host without an answer, and to an image that the rest of the byte budget decides. Hosts of pages are internal for two in five."""
+    k, png = F.col("page_id") % 5, F.unhex(F.lit("89504E470D0A1A0A"))
+    host = F.concat(F.lit("http://own"), k.cast("string"), F.lit(".example"))
+    own = F.when(k == 4, F.concat(host, F.lit(":81/p/a.png"))).otherwise("a.png")
+    number = F.col("page_id").cast("string")
+    tags = F.concat(F.lit("<!DOCTYPE html><img src='"), own, F.lit("'><img src=http://in.example/b.png><img src=http://far.example/hop/"), number, F.lit(".png><link rel=stylesheet href=http://far.example/s"), k.cast("string"),
+                    F.lit("><img src=http://u:p@far.example/c.png><img src=http://gone.example/d.png><img src=http://far.example/e.png>"))
+    pages = read(spark, sf_dir, "pages")
+    inputs = pages.select(F.col("page_id").alias("id"), F.concat(host, F.lit("/p/"), number, F.lit(".html")).alias("name"), F.encode(F.concat(tags, "html"), "UTF-8").alias("data"), F.lit("text/html").alias("declared_header"))
+    image = lambda size: F.concat(png, F.encode(F.repeat(F.lit("x"), size - 8), "UTF-8"))
+    none = F.lit(None).cast("string")
+    hops = pages.select(F.concat(F.lit("http://far.example/hop/"), number, F.lit(".png")).alias("url"), F.lit(302).alias("status"), F.lit("//in.example/x").alias("location"), none.alias("content_type"), F.lit(None).cast("binary").alias("body"))
+    mine = pages.select(F.concat(host, F.when(k == 4, ":81").otherwise(""), F.lit("/p/a.png")).alias("url"), F.when(k == 1, 404).otherwise(200).alias("status"), none.alias("location"), F.lit("image/png").alias("content_type"), image(40).alias("body")).distinct()
+    sheets = pages.select(F.concat(F.lit("http://far.example/s"), k.cast("string")).alias("url"), F.lit(200).alias("status"), none.alias("location"), none.alias("content_type"), F.encode(F.lit("@import url(x);"), "UTF-8").alias("body")).distinct()
+    others = spark.createDataFrame([("http://in.example/b.png",), ("http://in.example/x",), ("http://far.example/c.png",), ("http://gone.example/d.png",), ("http://far.example/e.png",)], "url string")
+    others = others.select("url", F.lit(200).alias("status"), none.alias("location"), F.lit("image/png").alias("content_type"), image(10).alias("body"))
+    responses = hops.unionByName(mine).unionByName(sheets).unionByName(others)
+    names = pages.select(F.concat(F.lit("own"), k.cast("string"), F.lit(".example")).alias("host"), F.lpad(F.when(k > 2, F.concat(F.lit("0a00000"), k.cast("string"))).otherwise("08080808"), 32, "0").alias("digits")).distinct()
+    names = names.unionByName(spark.createDataFrame([("in.example", "c0a80001"), ("far.example", "08080404")], "host string, digits string").withColumn("digits", F.lpad("digits", 32, "0")))
+    dns = names.select("host", F.lit(0).alias("ord"), F.lit(4).alias("family"), "digits")
+    policy = replace(POLICY, urls=replace(POLICY.urls, action_userinfo="allow"), subresources=SubresourceRules(max_total_bytes=60))
+    reports, _ = subresources.sanitise_whole(inputs, responses, policy, *lists(spark), dns=dns)
+    rows = reports.select(F.col("id").alias("page_id"), F.explode("subresources").alias("s"))
+    return rows.select("page_id", F.col("s.slot").cast("long").alias("slot"), F.col("s.status").alias("status"), F.col("s.rule").alias("rule"), F.col("s.bytes").alias("bytes")).where("slot < 7")
+
+
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", safe_name(F.col("page_id"), F.col("url")).alias("name"))
 
@@ -190,7 +218,7 @@ def host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     page_reports, page_rule_counts, page_action_places, page_type_matrix, page_run_summary, page_byte_budget, hostile_pages, hostile_sheets, blocked_pages, url_labels, url_verdicts_hostile,
-    page_links, reference_slots, subresource_outcomes, output_names, report_json, redirects, host_suffixes)}
+    page_links, reference_slots, subresource_outcomes, guarded_references, output_names, report_json, redirects, host_suffixes)}
 
 _SCRIPTS = "regexp_extract_all(html, '<script[^>]*>')"
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
@@ -229,6 +257,9 @@ ORACLES = {
     SELECT t.page_id, t.slot, used + CASE WHEN st = 'clean' AND size <= 900 - used THEN size ELSE 0 END, CASE WHEN st IN ('clean', 'refused') AND size > 900 - used THEN 'budget_exceeded' ELSE st END, CASE WHEN st = 'clean' AND size <= 900 - used THEN size ELSE 0 END
     FROM fold JOIN t ON t.page_id = fold.page_id AND t.slot = fold.slot + 1)
   SELECT status, CASE WHEN status IN ('refused', 'budget_exceeded') THEN 'subresource.' || status END AS rule, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM fold WHERE slot >= 0 GROUP BY 1, 2""",
+    "guarded_references": """WITH s AS (SELECT page_id, page_id % 5 AS k, unnest(range(7)) AS slot FROM pages), t AS (SELECT *, CASE WHEN slot = 0 THEN CASE k WHEN 1 THEN 'fetch_error' WHEN 4 THEN 'ssrf_blocked' ELSE 'clean' END
+    WHEN slot IN (1, 2) THEN 'ssrf_blocked' WHEN slot IN (3, 4) THEN 'refused' WHEN slot = 5 THEN 'fetch_error' WHEN k IN (1, 4) THEN 'clean' ELSE 'budget_exceeded' END AS status FROM s)
+  SELECT page_id, slot, status, CASE WHEN status NOT IN ('clean', 'fetch_error') THEN 'subresource.' || status END AS rule, (CASE WHEN status = 'clean' THEN CASE slot WHEN 0 THEN 40 ELSE 10 END ELSE 0 END)::BIGINT AS bytes FROM t""",
     "report_json": f"""WITH p AS (SELECT *, len({_SCRIPTS}) AS n, strlen({_OUT}) AS left_over, split_part(html, '<script', 1) AS head FROM pages)
   SELECT page_id, CASE WHEN n > 0 THEN 'sanitised' ELSE 'clean' END AS status, length('{{"id":' || page_id || ',"name":' || to_json(url) || ',"status":"' || CASE WHEN n > 0 THEN 'sanitised' ELSE 'clean' END || '","bytes_in":' || strlen(html) || ',"bytes_out":' || left_over
     || ',"declared_mime":"text/html","sniffed_mime":' || CASE WHEN lower(html) LIKE '<!doctype html>%' THEN '"text/html"' ELSE 'null' END || ',"actions":[' || CASE WHEN n > 0 THEN '{{"rule_id":"html.script.disallowed","category":"xss","location":{{"line":' || len(head) - len(replace(head, chr(10), '')) + 1

@@ -260,3 +260,87 @@ def test_registered_functions(spark):
     assert spark.sql("SELECT parsed_host('MÜNCHEN.de').ascii AS a, decode_references('&#97;&colon;') AS b").first() == ("xn--mnchen-3ya.de", "a:")
     assert [r.rule for r in spark.sql("SELECT * FROM css_findings('@import \"x\"; a{width:expression(1)}')").collect()] == ["scan.css.import", "scan.css.expression"]
     assert spark.sql("SELECT * FROM html_tags(CAST('<p id=a>' AS BINARY))").first().attrs == {"id": "a"}
+
+
+def folded(rows, total, most, count_refused):
+    """The byte budget by hand: (state, length) of one page's references in order."""
+    used, out = 0, []
+    for state, length in rows:
+        if count_refused and state != "budget_exceeded" and used >= total:
+            state = "budget_exceeded"
+        elif state in ("clean", "sanitised", "refused") and length:
+            if length > min(total - used, most):
+                state = "budget_exceeded"
+            elif count_refused or state != "refused":
+                used += length
+        out.append(state)
+    return out
+
+
+def test_byte_budget_is_one_pass():
+    import random
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["clean", "sanitised", "refused", "fetch_error", "budget_exceeded", "ssrf_blocked"]), rng.choice([0, 1, 3, 50, 400])) for _ in range(100_000)]
+    for total, most, count_refused in ((20_000_000, 1 << 62, False), (5_000, 300, True), (0, 10, True), (900, 400, False)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(["p"] * 10_000), pa.array(range(k, k + 10_000), pa.int32()), pa.array([s for s, _ in rows[k : k + 10_000]]), pa.array([n for _, n in rows[k : k + 10_000]], pa.int64())],
+                                              ["id", "slot", "state", "length"]) for k in range(0, 100_000, 10_000)]
+        began = time.process_time()
+        found = [s for b in subresources._spend(iter(batches), total, most, count_refused) for s in b.column(2).to_pylist()]
+        assert time.process_time() - began < 2 and found == folded(rows, total, most, count_refused)
+
+
+def test_a_page_with_many_references(spark):
+    """One page holds most references; each page has a budget of its own."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(30_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(7).alias("id"), F.col("id").cast("int").alias("slot"), F.concat(F.lit("http://h/"), (F.col("id") % 50).cast("string")).alias("url"),
+                                      F.lit("x").alias("raw"), F.lit("image").alias("kind"), F.lit(None).cast("string").alias("refusal"), F.lit(False).alias("over"))
+    png = b"\x89PNG\r\n\x1a\n"
+    responses = spark.createDataFrame([(f"http://h/{k}", 200, "image/png", png + b"x" * k, None) for k in range(50)], "url string, status int, content_type string, body binary, failure string")
+    found = subresources.outcomes(rows, responses, Policy(subresources=SubresourceRules(max_total_bytes=20_000)))
+    by_hand = {}
+    for k in range(30_000):
+        by_hand.setdefault(k % 7 if k % 10 == 0 else 7, []).append(("clean", 8 + k % 50))
+    for page, refs in by_hand.items():
+        assert [r.status for r in found.where(F.col("id") == page).orderBy("slot").select("status").collect()] == folded(refs, 20_000, 1 << 62, False)
+
+
+def test_guard_by_origin_and_scope(spark):
+    from siftwell.policy import SsrfRules
+
+    assert [guard.guarded(o, Policy(ssrf=SsrfRules(guard_input_urls=s))) for s in ("always", "server", "never") for o in ("subresource", "server", "cli")] == [True] * 5 + [False] + [True, False, False]
+    dns = spark.createDataFrame([("pub.x", 0, 4, f"{0x08080808:032x}"), ("own.x", 0, 4, f"{0x0A000001:032x}"), ("own.x", 1, 4, f"{0x08080808:032x}"), ("in.x", 0, 4, f"{0x7F000001:032x}")], "host string, ord int, family int, digits string")
+    own = f"{0x0A000001:032x}:80"
+    asked = spark.createDataFrame([("http://PUB.x/a", None), ("http://own.x/", own), ("http://own.x:81/", own), ("http://own.x/", None), ("https://in.x/", None), ("http://none.x/", None), ("http://[::1]/", None), ("http://10.0.0.1/", own), ("http://pub.x/a", own)], "url string, endpoint string")
+    found = {(r.url, r.endpoint): (r.rule, r.reached) for r in guard.vet(asked, dns, netaddr.deny_table(spark), Policy()).collect()}
+    assert found == {("http://PUB.x/a", None): (None, f"{0x08080808:032x}:80"), ("http://own.x/", own): (None, own), ("http://own.x:81/", own): ("ssrf.private", None), ("http://own.x/", None): ("ssrf.private", None),
+                     ("https://in.x/", None): ("ssrf.loopback", None), ("http://none.x/", None): ("unresolved", None), ("http://[::1]/", None): ("ssrf.loopback", None), ("http://10.0.0.1/", own): (None, own), ("http://pub.x/a", own): (None, f"{0x08080808:032x}:80")}
+    strict = {r.rule for r in guard.vet(asked.where("endpoint IS NOT NULL AND url LIKE '%own.x/'"), dns, netaddr.deny_table(spark), Policy(ssrf=SsrfRules(same_origin_exemption=False))).collect()}
+    assert strict == {"ssrf.private"}
+    literal = {r.url: r.rule for r in guard.vet(asked.where("endpoint IS NULL"), None, netaddr.deny_table(spark), Policy()).collect()}
+    assert literal["http://[::1]/"] == "ssrf.loopback" and literal["http://none.x/"] is None
+    answers = spark.createDataFrame([("http://pub.x/1", 302, "/2"), ("http://pub.x/2", 302, "http://in.x/3"), ("http://in.x/3", 302, "http://pub.x/4"), ("http://pub.x/4", 200, None)], "url string, status int, location string")
+    for origin, scope, expected in (("subresource", "never", ("blocked", "ssrf.loopback", 2)), ("server", "server", ("blocked", "ssrf.loopback", 2)), ("cli", "server", ("fetched", None, 3)), ("server", "never", ("fetched", None, 3))):
+        way = guard.fetched(spark.createDataFrame([("http://pub.x/1", None)], "url string, endpoint string"), answers, dns, netaddr.deny_table(spark), Policy(ssrf=SsrfRules(guard_input_urls=scope)), origin).first()
+        assert (way.outcome, way.rule, way.hops) == expected
+
+
+def test_only_asked_bodies_are_read(spark):
+    """Bodies that nobody asked for, or behind a denied address, are neither sanitised nor kept; a body without a type is taken for what
+    the reference claims; of two responses for a URL one counts."""
+    from siftwell.policy import UrlRules
+
+    page = b'<!DOCTYPE html><link rel=stylesheet href="s"><link rel=stylesheet href="http://u:p@h/t"><img src="http://127.0.0.1/x.png"><img src="twice"><script src="j"></script>'
+    png = b"\x89PNG\r\n\x1a\n"
+    rows = spark.createDataFrame([(1, "http://h/d/p.html", page, "text/html")], "id long, name string, data binary, declared_header string")
+    responses = spark.createDataFrame([("http://h/d/s", 200, None, b"@import 'x';"), ("http://127.0.0.1/x.png", 200, "image/png", png), ("http://h/d/twice", 200, "image/png", png + b"1"), ("http://h/d/twice", 404, "image/png", png),
+                                       ("http://h/else", 200, "text/css", b"@import 'x';")], "url string, status int, content_type string, body binary")
+    policy = Policy(urls=UrlRules(action_userinfo="allow", action_internal="allow"))
+    reports, assets = subresources.sanitise_whole(rows, responses, policy, *lists(spark), folders=True)
+    found = reports.first()
+    assert [(x.slot, x.status) for x in found.subresources] == [(0, "refused"), (1, "refused"), (2, "ssrf_blocked"), (3, "clean")]
+    assert {r.name: bytes(r.output) for r in assets.collect()} == {"1-p.assets/asset-3.png": png + b"1"} and b'src="1-p.assets/asset-3.png"' in bytes(found.output)
