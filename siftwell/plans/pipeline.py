@@ -91,19 +91,31 @@ def exit_code(reports: DataFrame) -> DataFrame:
 
 
 def report_json(reports: DataFrame) -> DataFrame:
-    """(id, report): each report row as JSON; absent optional values are left out, nulls inside actions are kept as null."""
+    """(id, report): each report row as JSON; absent optional values are left out, nulls inside actions are kept as null.
+
+    Rows of ``subresources.sanitise_whole`` have their sub-resources in it.
+    """
     action = F.transform("actions", lambda a: F.to_json(F.struct(a["rule_id"].alias("rule_id"), a["category"].alias("category"), a["location"].alias("location"), a["original"].alias("original"),
                                                                  a["action"].alias("action"), a["replacement"].alias("replacement")), {"ignoreNullFields": "false"}))
     head = F.to_json(F.struct("id", "name", "status", "bytes_in", "bytes_out", "declared_mime", "sniffed_mime"), {"ignoreNullFields": "false"})
-    return reports.withColumn("_h", head).withColumn("_a", action).select("id", F.concat(F.expr("left(_h, length(_h) - 1)"), F.lit(',"actions":['), F.array_join("_a", ","), F.lit("]}")).alias("report"))
+    more = F.lit("")
+    if "subresources" in reports.columns:
+        more = F.coalesce(F.concat(F.lit(',"subresources":'), F.to_json("subresources", {"ignoreNullFields": "false"})), F.lit(""))
+    return reports.withColumn("_h", head).withColumn("_a", action).select("id", F.concat(F.expr("left(_h, length(_h) - 1)"), F.lit(',"actions":['), F.array_join("_a", ","), F.lit("]"), more, F.lit("}")).alias("report"))
 
 
 #: HTTP codes of statuses that aren't 200.
 HTTP_CODES = {"budget_exceeded": 413, "ssrf_blocked": 403, "fetch_error": 502, "unsupported_scheme": 400, "malformed_url": 400, "io_error": 500, "internal_error": 500, "skipped_symlink": 500}
 
 
-def responses(reports: DataFrame) -> DataFrame:
-    """(id, http_code, body): what a server would answer for each report, the content in base64."""
+def responses(reports: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """(id, http_code, body): what a server would answer for each report: contents in base64, those of ``assets`` (id, name, output) by path,
+    and the status as ``error`` where the code isn't 200."""
     codes = F.create_map(*[F.lit(x) for kv in HTTP_CODES.items() for x in kv])
-    body = F.to_json(F.struct("status", "bytes_in", "bytes_out", F.base64("output").alias("content"), F.transform("actions", lambda a: a["rule_id"]).alias("rules")))
-    return reports.select("id", F.coalesce(codes[F.col("status")], F.lit(200)).alias("http_code"), body.alias("body"))
+    code = F.coalesce(codes[F.col("status")], F.lit(200))
+    if assets is not None:
+        own = assets.select(F.col("id").alias("_of"), F.struct(F.col("name").alias("path"), F.base64("output").alias("content")).alias("a")).groupBy("_of").agg(F.array_sort(F.collect_list("a")).alias("assets"))
+        reports = reports.join(own, F.col("id") == F.col("_of"), "left")
+    more = [F.col("assets")] if assets is not None else []
+    body = F.to_json(F.struct("status", "bytes_in", "bytes_out", F.base64("output").alias("content"), F.transform("actions", lambda a: a["rule_id"]).alias("rules"), *more, F.when(code != 200, F.col("status")).alias("error")))
+    return reports.select("id", code.alias("http_code"), body.alias("body"))

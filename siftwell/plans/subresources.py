@@ -195,8 +195,7 @@ def sanitise_whole(inputs: DataFrame, responses: DataFrame, policy: Policy, bloc
     handled = cut(bodies(answers, policy, blocklist, protected, networks, types))
     found = cut(outcomes(asked, answers, policy, handled, ways, count_refused=True))
     if folders:
-        stem = F.regexp_replace(safe_name(F.col("id"), F.col("name")), r"(.)\.[^.]*$", "$1")
-        found = found.join(reports.select("id", F.concat(stem, F.lit(".assets/")).alias("folder")), "id").withColumn("asset", F.concat("folder", "asset")).drop("folder")
+        found = found.join(reports.select("id", F.concat(safe_name(F.col("id"), F.col("name")), F.lit(".assets/")).alias("folder")), "id").withColumn("asset", F.concat("folder", "asset")).drop("folder")
     changed = rewrites(found, policy) if policy.subresources.rewrite_refs else rewrites(found, policy).where(F.lit(False))
     pages = reports.where(F.col("output").isNotNull()).select("id", F.col("output").alias("data")).join(changed, "id")
     outputs = rewrite_references(pages).select(F.col("id").alias("_of"), F.col("output").alias("rewritten"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import SizedFiles
+
 INPUTS = "input_index long, kind string, source string, name string"
 
 
@@ -52,9 +55,26 @@ def _walk(folder: str, root: str, extensions: tuple[str, ...], seen: set[str]) -
 
 
 def read_files(spark: SparkSession, paths: list[str], max_bytes: int) -> DataFrame:
-    """(source, name, length, data): files by Spark's binary reader; those over the budget keep their length and no bytes."""
+    """(source, name, length, data): files by Spark's binary reader; those over the budget keep their length and no bytes.
+
+    The reader decides filters on the length before it opens a file, so each file is either read or listed.
+    """
     files = spark.read.format("binaryFile").load(paths)
-    return files.select(F.col("path").alias("source"), F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("data"))
+    named = files.select(F.col("path").alias("source"), F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("content").alias("data"))
+    return named.where(F.col("length") <= max_bytes).unionByName(named.drop("data").where(F.col("length") > max_bytes).withColumn("data", F.lit(None).cast("binary")))
+
+
+def read_sized(spark: SparkSession, paths: list[str], max_bytes: int, extensions: tuple[str, ...] = ("html", "htm"), pushdown: bool = False) -> DataFrame:
+    """Files and folders by the source ``sized_files`` (see ``files.SizedFiles``), in order of ``position``."""
+    spark.dataSource.register(SizedFiles)
+    read = spark.read.format("sized_files").option("paths", json.dumps(paths)).option("maxBytes", max_bytes).option("extensions", ",".join(extensions))
+    return read.option("pushdown", str(pushdown).lower()).load()
+
+
+def sized_inputs(files: DataFrame) -> DataFrame:
+    """``read_sized`` rows as rows of ``fetch.process_all``: id, name, data, declared_header, and the status of those that can't be processed."""
+    failure = F.when(F.col("kind") != "file", F.col("kind")).when(F.col("data").isNull(), "budget_exceeded")
+    return files.select(F.col("position").alias("id"), "name", "data", F.lit(None).cast("string").alias("declared_header"), failure.alias("failure"))
 
 
 def from_pages(pages: DataFrame) -> DataFrame:

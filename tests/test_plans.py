@@ -343,4 +343,4 @@ def test_only_asked_bodies_are_read(spark):
     reports, assets = subresources.sanitise_whole(rows, responses, policy, *lists(spark), folders=True)
     found = reports.first()
     assert [(x.slot, x.status) for x in found.subresources] == [(0, "refused"), (1, "refused"), (2, "ssrf_blocked"), (3, "clean")]
-    assert {r.name: bytes(r.output) for r in assets.collect()} == {"1-p.assets/asset-3.png": png + b"1"} and b'src="1-p.assets/asset-3.png"' in bytes(found.output)
+    assert {r.name: bytes(r.output) for r in assets.collect()} == {"1-p.html.assets/asset-3.png": png + b"1"} and b'src="1-p.html.assets/asset-3.png"' in bytes(found.output)
