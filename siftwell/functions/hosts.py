@@ -1,4 +1,4 @@
-"""Host names: the one step of URL parsing that needs Python (IDNA and numbers in hosts), and look-alike skeletons as expressions."""
+"""Host names: the one step of URL parsing that needs Python (IDNA and numbers in hosts)."""
 
 from __future__ import annotations
 
@@ -15,20 +15,6 @@ HOST = "kind string, ascii string, unicode string, digits string"
 _FORBIDDEN = re.compile(r"[\x00-\x20#/:<>?@\[\\\]^`{|}%\x7f]")
 _NUMBER = re.compile(r"(0x[0-9a-f]*|\d+)")
 
-#: Letters and pairs of letters that look like others, after lower-casing (left: as written, right: prototype).
-LOOK_ALIKES = {"а": "a", "с": "c", "е": "e", "ё": "ë", "һ": "h", "і": "i", "ї": "ï", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "х": "x", "у": "y",
-               "α": "a", "ο": "o", "ρ": "p", "ν": "v", "υ": "u", "ι": "i", "κ": "k", "ɡ": "g", "ı": "i", "1": "l", "0": "o", "|": "l"}
-LOOK_ALIKE_PAIRS = {"rn": "m", "vv": "w"}
-
-
-def skeleton(host: Column) -> Column:
-    """What a host name looks like: equal for names that a reader can confuse."""
-    out = F.translate(F.lower(host), "".join(LOOK_ALIKES), "".join(LOOK_ALIKES.values()))
-    for pair, one in LOOK_ALIKE_PAIRS.items():
-        out = F.replace(out, F.lit(pair), F.lit(one))
-    return out
-
-
 def suffixes(host: Column) -> Column:
     """The name itself and each parent domain, the longest first; a root point is dropped."""
     labels = F.split(F.rtrim(host, F.lit(".")), r"\.")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hosts, netaddr
+from ..functions import confusables, hosts, netaddr
 from ..sources.staging import cut
 
 SPECIAL = ("http", "https", "ftp", "ws", "wss")
@@ -59,12 +59,14 @@ def blocked_hosts(parsed: DataFrame, blocklist: DataFrame) -> DataFrame:
 def lookalike_hosts(parsed: DataFrame, protected: DataFrame) -> DataFrame:
     """The distinct ``ascii`` hosts that look like a protected ``domain`` (or are below one that does) without being it.
 
-    The longest suffix that looks like a protected name decides.
+    The longest suffix that looks like a protected name decides. ``protected`` is that of ``protected_table``.
     """
     names = parsed.where("kind = 'domain'").select("ascii", F.lower("unicode").alias("shown")).distinct()
-    names = names.select("ascii", F.posexplode(hosts.suffixes(F.col("shown"))).alias("at", "suffix")).withColumn("skeleton", hosts.skeleton(F.col("suffix")))
-    known = protected.select(F.lower("domain").alias("domain"), "ord").withColumn("skeleton", hosts.skeleton(F.col("domain")))
-    known = known.groupBy("skeleton").agg(F.max_by("domain", "ord").alias("domain"))  # of two with one skeleton the last counts
+    pairs = protected.select(F.explode("confusables").alias("character", "prototype"))
+    shapes = confusables.skeletons(names, pairs, "shown").withColumnRenamed("name", "shown")
+    parts = confusables.skeleton_parts(F.col("shown"), F.col("skeleton"), hosts.suffixes)
+    names = names.join(shapes, "shown").select("ascii", F.posexplode(parts).alias("at", "p")).select("ascii", "at", "p.*")
+    known = protected.groupBy("skeleton").agg(F.max_by("domain", "ord").alias("domain"))  # of two with one skeleton the last counts
     first = names.join(known, "skeleton").groupBy("ascii").agg(F.min_by(F.col("suffix") != F.col("domain"), "at").alias("differs"))
     return first.where("differs").select("ascii")
 
@@ -112,5 +114,18 @@ def origin_allowed(target: Column, allowed: Column) -> Column:
     return F.coalesce((p["scheme"] != "") & (F.array_contains(allowed, origin) | F.array_contains(allowed, F.lower(p["host"]))), F.lit(False))
 
 
-def protected_table(spark: SparkSession, domains: list[str]) -> DataFrame:
-    return spark.createDataFrame([(n, d) for n, d in enumerate(domains) if d], "ord int, domain string")
+def protected_table(spark: SparkSession, domains: list[str], confusables_path: str = "") -> DataFrame:
+    """(ord, domain, skeleton, confusables): the protected names as a reader sees them, and what they look like; the first row has the relation
+    of characters by which names are compared (see ``functions.confusables``), with those of the file that the policy names.
+
+    Names are parsed as hosts (punycode is decoded, letters are lower-cased); empty ones are left out, those that are none raise.
+    """
+    rows, pairs = [], confusables.relation(spark, confusables_path)
+    for n, name in enumerate(domains):
+        if name:
+            host = hosts.parse_host(name)
+            if host is None:
+                raise ValueError(f"{name} is not a host")
+            shown = host[2].lower().rstrip(".")
+            rows.append((n, shown, confusables.skeleton(shown, pairs), None if rows else pairs))
+    return spark.createDataFrame(rows, "ord int, domain string, skeleton string, confusables map<string,string>")

@@ -26,6 +26,7 @@ class HtmlRules:
 class UrlRules:
     blocklists: tuple[str, ...] = ()
     protected_domains: tuple[str, ...] = ()
+    confusables: str = ""
     action_blocked: str = "rewrite"
     action_homograph: str = "rewrite"
     action_userinfo: str = "rewrite"

@@ -125,6 +125,23 @@ def url_verdicts_hostile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("label", "rule").agg(F.count("*").alias("n"), F.count("canonical").alias("n_canonical"))
 
 
+#: Ways to write a protected name, and what each is: one that looks like it, the name itself, or another one.
+LOOKALIKES = {
+    "pаypal.com": "homograph", "раураl.com": "homograph", "xn--pypal-4ve.com": "homograph", "ｐaypa1.com": "homograph", "𝐩𝐚𝐲𝐩𝐚𝟏.com": "homograph", "rnicrosoft.com": "homograph", "microsоft.com": "homograph", "gооgle.com": "homograph",
+    "goog1e.com": "homograph", "аpple.com": "homograph", "αpple.com": "homograph", "arnazon.com": "homograph", "αmazоn.com": "homograph", "pаypаl.com.evil.net": "idn", "ｐaypal.com": "clean", "paypaⅼ.com": "clean", "𝒑𝒂𝒚𝒑𝒂𝒍.com": "clean",
+    "paypal.com.evil.net": "clean", "paypals.com": "clean",
+}
+
+
+def lookalike_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' addresses at hosts below names that look like protected ones: mixed scripts, full width, mathematical letters, punycode."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]*(.*)$", 1).alias("path"))
+    name = F.element_at(F.array(*[F.lit(x) for x in LOOKALIKES]), (F.col("page_id") % len(LOOKALIKES) + 1).cast("int"))
+    rows = cut(pages.select("page_id", F.concat(F.lit("http://w"), (F.col("page_id") % 100).cast("string"), F.lit("."), name, F.col("path")).alias("url")))
+    found = urls.classify_urls(rows, *lists(spark))
+    return rows.join(found, "url").select("page_id", "label")
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.html import attribute, start_tags
 
@@ -217,7 +234,7 @@ def host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    page_reports, page_rule_counts, page_action_places, page_type_matrix, page_run_summary, page_byte_budget, hostile_pages, hostile_sheets, blocked_pages, url_labels, url_verdicts_hostile,
+    page_reports, page_rule_counts, page_action_places, page_type_matrix, page_run_summary, page_byte_budget, hostile_pages, hostile_sheets, blocked_pages, url_labels, url_verdicts_hostile, lookalike_hosts,
     page_links, reference_slots, subresource_outcomes, guarded_references, output_names, report_json, redirects, host_suffixes)}
 
 _SCRIPTS = "regexp_extract_all(html, '<script[^>]*>')"
@@ -244,6 +261,7 @@ ORACLES = {
     "url_verdicts_hostile": """WITH u AS (SELECT DISTINCT page_id % 12 AS k, CASE WHEN page_id % 12 = 11 THEN '' ELSE regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) END AS path FROM pages)
   SELECT (['clean', 'homograph', 'homograph', 'userinfo', 'internal', 'internal', 'internal', 'idn', 'clean', 'malformed', 'blocked', 'clean'])[k + 1] AS label, CASE WHEN k IN (4, 5) THEN 'ssrf.loopback' WHEN k = 6 THEN 'ssrf.private' END AS rule,
     count(*) AS n, count(CASE WHEN k IN (3, 8) THEN 1 END) AS n_canonical FROM u GROUP BY 1, 2""",
+    "lookalike_hosts": "SELECT page_id, ([" + ", ".join(f"'{x}'" for x in LOOKALIKES.values()) + f"])[page_id % {len(LOOKALIKES)} + 1] AS label FROM pages",
     "page_links": f"SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_distinct FROM ({_HREFS}) GROUP BY 1",
     "reference_slots": f"{_SLOTS} SELECT slot >= 3 AS over, count(*) AS n, max(slot)::BIGINT AS last_slot FROM s GROUP BY 1",
     "output_names": "SELECT page_id, page_id || '-' || regexp_replace(split_part(rtrim(url, '/'), '/', -1), '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages",
