@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow import in_pieces
+
 ATTRIBUTES = "array<struct<name:string,value:string,plain:string,start:int,end:int>>"
 ELEMENTS = f"array<struct<tag:string,start:int,end:int,until:int,line:int,attrs:{ATTRIBUTES}>>"
 # Element names with a meaning of their own to the tokenizer.
@@ -310,13 +312,17 @@ def _elements(pages: pa.Array) -> pa.Array:
     """The start tags of each page, null for unreadable ones."""
     attr = pa.struct([("name", pa.string()), ("value", pa.string()), ("plain", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     kind = pa.list_(pa.struct([("tag", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("until", pa.int32()), ("line", pa.int32()), ("attrs", pa.list_(attr))]))
-    rows = []
-    for page in pages:
-        try:
-            rows.append(find_elements(page.as_py() or b""))
-        except Unreadable:
-            rows.append(None)
-    return pa.array(rows, kind)
+
+    def found(some: list[bytes | None]) -> list:
+        rows = []
+        for page in some:
+            try:
+                rows.append(find_elements(page or b""))
+            except Unreadable:
+                rows.append(None)
+        return rows
+
+    return in_pieces(kind, found, pages)
 
 
 def decode_references(text: str) -> str:
@@ -340,17 +346,21 @@ def dangerous_scheme(plain: Column) -> Column:
     return F.coalesce(bare.startswith("javascript:") | bare.startswith("data:"), F.lit(False))
 
 
-def _spliced(pages: pa.Array, edits: pa.Array) -> pa.Array:
-    """Pages with edits (start, end, text) applied, in order; an edit inside an earlier one is dropped."""
+def _splice(pages: list[bytes | None], edits: list) -> list[bytes | None]:
     rows = []
-    for page, changes in zip(pages.to_pylist(), edits.to_pylist(), strict=True):
+    for page, changes in zip(pages, edits, strict=True):
         out, at = [], 0
         for e in changes or []:
             if e["start"] >= at:
                 out += [page[at : e["start"]], e["text"].encode()]
                 at = e["end"]
         rows.append(None if page is None else b"".join(out) + page[at:])
-    return pa.array(rows, pa.binary())
+    return rows
+
+
+def _spliced(pages: pa.Array, edits: pa.Array) -> pa.Array:
+    """Pages with edits (start, end, text) applied, in order; an edit inside an earlier one is dropped."""
+    return in_pieces(pa.binary(), _splice, pages, edits)
 
 
 def fragment(text: Column, most: int = 200) -> Column:

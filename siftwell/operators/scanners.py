@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrow import in_pieces
 from ..functions.css import rewritten_sheet, sheet_places
 from ..policy import Policy, XmlBudget, ZipBudget
 
 FINDINGS = "array<struct<rule:string,category:string,offset:bigint,line:bigint>>"
 
 
-def zip_entries(data: bytes, most: int = 10_000) -> list[tuple[bytes, int, int, int]] | None:
+def zip_entries(data: bytes, most: int = 65_535) -> list[tuple[bytes, int, int, int]] | None:
     """(name, offset of the name, packed size, size) of an archive's entries by its central directory; None if that is broken."""
     end = data.rfind(b"PK\5\6", max(0, len(data) - 22 - 65535))
     try:
@@ -328,17 +329,20 @@ def scan(data: Column, mime: Column, policy: Policy) -> Column:
     """The findings of each row; only files of the SCANNED types leave the JVM with their bytes."""
     kind = pa.list_(pa.struct([("rule", pa.string()), ("category", pa.string()), ("offset", pa.int64()), ("line", pa.int64())]))
 
-    @F.arrow_udf(FINDINGS)
-    def found(blobs: pa.Array, mimes: pa.Array) -> pa.Array:
+    def scanned(blobs: list[bytes | None], mimes: list[str | None]) -> list:
         rows = []
-        for blob, m in zip(blobs.to_pylist(), mimes.to_pylist(), strict=True):
+        for blob, m in zip(blobs, mimes, strict=True):
             out, line, counted = [], 1, 0
             for rule, category, at in scan_file(blob, m, policy) if blob is not None else []:
                 line += blob.count(b"\n", counted, at) if at >= counted else 1 - line + blob.count(b"\n", 0, at)
                 counted = at
                 out.append({"rule": rule, "category": category, "offset": at, "line": line})
             rows.append(out)
-        return pa.array(rows, kind)
+        return rows
+
+    @F.arrow_udf(FINDINGS)
+    def found(blobs: pa.Array, mimes: pa.Array) -> pa.Array:
+        return in_pieces(kind, scanned, blobs, mimes)
 
     return F.when(mime.isin(*SCANNED), found(F.when(mime.isin(*SCANNED), data), mime)).otherwise(plain_findings(data, mime, policy))
 
@@ -347,7 +351,7 @@ REWRITERS = {"text/css": rewritten_sheet, "image/tiff": rewritten_tiff, "applica
 
 
 def _rewritten(blobs: pa.Array, mimes: pa.Array) -> pa.Array:
-    return pa.array([None if b is None else REWRITERS[m](b) for b, m in zip(blobs.to_pylist(), mimes.to_pylist(), strict=True)], pa.binary())
+    return in_pieces(pa.binary(), lambda bs, ms: [None if b is None else REWRITERS[m](b) for b, m in zip(bs, ms, strict=True)], blobs, mimes)
 
 
 def rewritten(data: Column, mime: Column, found: Column) -> Column:
@@ -358,7 +362,7 @@ def rewritten(data: Column, mime: Column, found: Column) -> Column:
 
 def _telling_folder(blobs: pa.Array) -> pa.Array:
     """The office folder of archives; see ``functions.sniff.office_kind``."""
-    return pa.array([None if b is None else zip_folder(b) for b in blobs.to_pylist()], pa.string())
+    return in_pieces(pa.string(), lambda some: [None if b is None else zip_folder(b) for b in some], blobs)
 
 
 def telling_folder(blobs: Column) -> Column:
