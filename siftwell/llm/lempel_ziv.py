@@ -10,6 +10,7 @@ factors meet, the windows across the boundary are checked one by one for a refer
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_counted
-from .repeats import Block, Windows, find_repeats, match_blocks, row_keys
+from .repeats import Block, Windows, as_often, find_repeats, match_blocks
 from .symbols import Words
 
 COLUMNS = (("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()))
 
 
-def word_values(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_values(texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
     w = Words(texts)
-    return w.hashes(), w.bounds
+    return w.hashes(seed), w.bounds
+
+
+def count_words(text: bytes) -> int:
+    return len(text.split())
 
 
 def block_words(text: bytes, ranges: list[tuple[int, int]], size: int) -> list[bytes]:
@@ -101,7 +106,7 @@ def without_factors(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int
 
 
 def windows(min_words: int, gram: int) -> Windows:
-    return Windows(min_words, min(gram, min_words), word_values, block_words, part_of_words, parse_blocks, without_factors, COLUMNS)
+    return Windows(min_words, min(gram, min_words), word_values, count_words, block_words, part_of_words, parse_blocks, without_factors, COLUMNS)
 
 
 def parse(docs: DataFrame, *, min_words: int = 35, gram: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,16 +127,18 @@ def factors(docs: DataFrame, *, min_words: int = 35, gram: int = 8, id_col: str
     """(id, start, length, ref_id, ref_start): the factors of ``min_words`` or more of each document, places in words from 0.
 
     A factor lies within one block, so a longer repeated passage is several factors that overlap or follow each other; which of
-    several equal references is given isn't specified. Repeated rows have a factor's rows each. Nulls, long texts and empty
+    several equal references is given isn't specified. Repeated rows have a factor's rows each, and one that is the whole text of a copy. Nulls, long texts and empty
     tables as in ``parse``.
     """
-    w = windows(min_words, gram)
-    _, repeated, found = match_blocks(docs, w, id_col, text_col)
+    w, seed = windows(min_words, gram), secrets.randbits(62) + 1
+    met, repeated, found = match_blocks(docs, w, id_col, text_col, seed)
     place = F.struct("row_key", "row_check", "start", "at")
-    kinds = repeated.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("other")).where("n > 1")
-    whole = join_counted(repeated, kinds, ["anchor", "content"]).withColumn("ref", F.when(F.col("one") == place, F.col("other")).otherwise(F.col("one")))
+    kinds = repeated.groupBy("anchor", "content", "content_2").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("other")).where("n > 1")
+    whole = join_counted(repeated, kinds, ["anchor", "content", "content_2"]).withColumn("ref", F.when(F.col("one") == place, F.col("other")).otherwise(F.col("one")))
     whole = whole.select("row_key", "row_check", "start", (F.col("end") - F.col("start") + min_words - 1).alias("length"), F.col("ref.row_key").alias("ref_key"), F.col("ref.row_check").alias("ref_check"), F.col("ref.start").alias("ref_start"))
     parts = found.select("row_key", "row_check", F.explode("factors").alias("f")).select("row_key", "row_check", F.col("f.at").alias("start"), "f.length", "f.ref_key", "f.ref_check", F.col("f.ref_at").alias("ref_start"))
-    ids = docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col))
-    refs = ids.distinct().select(F.col("id").alias("ref_id"), F.col("row_key").alias("ref_key"), F.col("row_check").alias("ref_check"))
-    return whole.unionByName(parts).join(refs, ["ref_key", "ref_check"]).join(ids, ["row_key", "row_check"]).select("id", "start", "length", "ref_id", "ref_start")
+    copies = met.where((F.col("repeats") > 1) & (F.col("n_words") >= min_words)).select("row_key", "row_check", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("length"), F.col("row_key").alias("ref_key"), F.col("row_check").alias("ref_check"), F.lit(0).alias("ref_start"))
+    ids = met.select("id", "row_key", "row_check", "repeats")
+    refs = ids.select(F.col("id").alias("ref_id"), F.col("row_key").alias("ref_key"), F.col("row_check").alias("ref_check"))
+    whole = whole.unionByName(parts).unionByName(copies)
+    return as_often(whole.join(refs, ["ref_key", "ref_check"]).join(ids, ["row_key", "row_check"]).select("id", "start", "length", "ref_id", "ref_start", "repeats"))

@@ -193,7 +193,8 @@ def similar(pairs: DataFrame, rows: DataFrame, contents: DataFrame, shingle: int
     asked = pairs.select(F.explode(F.array("node", "rep")).alias("node")).distinct()
     asked = cut(contents.select("node", "first.row_key", "first.row_check").join(asked, "node"))
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    sets = rows.join(asked, ["row_key", "row_check"]).select("node", "text").mapInArrow(lambda b: _shingle_sets(b, shingle), "node bigint, shingles array<bigint>")
+    texts = rows.join(asked, ["row_key", "row_check"]).select("node", "text").dropDuplicates(["node"])  # of repeated rows one
+    sets = texts.mapInArrow(lambda b: _shingle_sets(b, shingle), "node bigint, shingles array<bigint>")
     pairs = pairs.withColumn("dealt", F.pmod(F.xxhash64("node"), F.lit(DEALT)))
     reps = pairs.select("rep", "dealt").distinct().join(sets.select(F.col("node").alias("rep"), F.col("shingles").alias("other")), "rep")
     both = pairs.join(sets, "node").join(reps, ["rep", "dealt"])

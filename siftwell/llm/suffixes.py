@@ -20,7 +20,7 @@ from .symbols import BYTE_VALUES, text_buffers
 SHALLOW = 32
 
 
-def byte_values(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def byte_values(texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_buffers(texts)
     return BYTE_VALUES[data], offsets
 
@@ -149,4 +149,4 @@ def dedup(docs: DataFrame, *, min_bytes: int = 200, gram: int = 48, id_col: str
     texts shorter than ``min_bytes`` lose nothing. An empty table gives an empty result. Other columns are ignored.
     """
     columns = (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))
-    return find_repeats(docs, Windows(min_bytes, min(gram, min_bytes), byte_values, block_bytes, part_of_bytes, sort_suffixes, without_spans, columns), id_col, text_col)
+    return find_repeats(docs, Windows(min_bytes, min(gram, min_bytes), byte_values, len, block_bytes, part_of_bytes, sort_suffixes, without_spans, columns), id_col, text_col)

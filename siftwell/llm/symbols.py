@@ -1,9 +1,9 @@
 """Texts as flat numpy arrays: words and bytes of many documents at once, and rolling 64-bit hashes of their windows.
 
-Everything works on the buffers of an Arrow string array. A word's value is its XXH3 hash of 64 bits. Rolling hashes are
-polynomials modulo 2**64 over random symbol values, for windows of a few hundred symbols only: they deal windows out and name
-blocks, and what they bring together is compared (longer runs of two symbols can be built to have one polynomial hash). All
-are the same in every process and on every machine.
+Everything works on the buffers of an Arrow string array. A word's value is its XXH3 hash of 64 bits, by a seed. Rolling hashes are
+polynomials modulo 2**64 over symbol values: they only deal windows out, since texts can be built that share them; what they bring
+together is compared, or told apart by a hash of 128 bits under a seed that the job has drawn. All are the same in every process and
+on every machine.
 """
 
 from __future__ import annotations
@@ -98,10 +98,10 @@ def spelled(dictionary: pa.Array) -> list[bytes]:
     return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def word_hashes(spellings: list[bytes]) -> np.ndarray:
+def word_hashes(spellings: list[bytes], seed: int = 0) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    return np.fromiter(map(xxh3_64_intdigest, spellings), np.uint64, len(spellings))
+    return np.fromiter((xxh3_64_intdigest(x, seed) for x in spellings) if seed else map(xxh3_64_intdigest, spellings), np.uint64, len(spellings))
 
 
 class Words:
@@ -135,10 +135,10 @@ class Words:
         found = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), letters]).dictionary_encode()
         return np.asarray(found.indices).astype(np.int64), found.dictionary
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word; each spelling is hashed once."""
         codes, spellings = self.codes()
-        return word_hashes(spelled(spellings))[codes]
+        return word_hashes(spelled(spellings), seed)[codes]
 
     def window_starts(self, size: int) -> np.ndarray:
         """For each word but the last ``size`` - 1 of all: whether a window of ``size`` words of one document starts at it."""
