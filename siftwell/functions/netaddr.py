@@ -52,11 +52,6 @@ def deny_table(spark: SparkSession, extra: tuple[str, ...] = ()) -> DataFrame:
     return spark.createDataFrame(deny_rows(extra), NETWORKS)
 
 
-def nothing(spark: SparkSession) -> DataFrame:
-    """No networks: the guard then only resolves."""
-    return spark.createDataFrame([], NETWORKS)
-
-
 def ipv4_hex(number: Column) -> Column:
     """An IPv4 address given as a number, as 32 hexadecimal digits."""
     return F.lpad(F.lower(F.hex(number)), 32, "0")

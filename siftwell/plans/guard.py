@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hosts, netaddr
@@ -51,26 +51,55 @@ def guarded(origin: str, policy: Policy) -> bool:
     return origin == "subresource" or scope == "always" or (origin == "server" and scope == "server")
 
 
+def resolve(urls: DataFrame, dns: DataFrame | None, networks: DataFrame, policy: Policy) -> DataFrame:
+    """(url, port, answers, is_name) of the distinct URLs (column ``url``): ``answers`` are (ord, digits, rule) in order, ``rule`` that of the first
+    network that denies the address, null where the policy allows it or its host.
+
+    Hosts are parsed and looked up once each. ``dns``: host (as it reads in ASCII), ord, family, digits. A host that is an address by itself
+    needs no answer; of others ``is_name`` is true, and ``answers`` is null without one.
+    """
+    rows = urls.select("url").distinct().withColumn("p", taken_apart(F.col("url")))
+    port = F.coalesce(F.expr("try_cast(p.port AS int)"), F.when(F.col("p.scheme") == "https", 443).otherwise(80))
+    rows = cut(rows.select("url", F.col("p.host").alias("written"), port.alias("port")))
+    named = cut(rows.select("written").distinct().withColumn("h", hosts.parsed_host(F.col("written"))).select("written", "h.*"))
+    answers = named.where("kind IN ('ipv4', 'ipv6')").select("written", F.lit(0).alias("ord"), F.when(F.col("kind") == "ipv4", 4).otherwise(6).alias("of_family"), "digits")
+    if dns is not None:
+        found = named.where("kind = 'domain'").select("written", F.col("ascii").alias("host")).join(dns.select("host", "ord", F.col("family").alias("of_family"), "digits"), "host")
+        answers = answers.unionByName(found.drop("host"))
+    answers = cut(answers.withColumn("address", F.concat_ws("/", F.col("of_family").cast("string"), "digits")))
+    known = answers.select("address", "of_family", "digits").distinct()
+    met = answers.join(netaddr.classify(known, networks, "address", "of_family", "digits"), "address", "left")
+    allowed = [x for x in policy.ssrf.allow_hosts if netaddr.is_network(x)]
+    if allowed:
+        table = urls.sparkSession.createDataFrame(netaddr.network_rows([(x, "allowed") for x in allowed]), netaddr.NETWORKS)
+        good = netaddr.classify(known, table, "address", "of_family", "digits").select("address", F.lit(True).alias("good"))
+        met = met.join(good, "address", "left").withColumn("rule", F.when(F.col("good").isNull(), F.col("rule")))
+    passed = F.col("written").isin(*policy.ssrf.allow_hosts) if policy.ssrf.allow_hosts else F.lit(False)
+    told = met.groupBy("written").agg(F.array_sort(F.collect_list(F.struct("ord", "digits", F.when(~passed, F.col("rule")).alias("rule")))).alias("answers"))
+    kinds = named.select("written", (F.col("kind") == "domain").alias("is_name"))
+    return cut(rows.join(kinds, "written", "left").join(told, "written", "left").select("url", "port", "answers", F.coalesce("is_name", F.lit(True)).alias("is_name")))
+
+
+def reached(port: Column, answers: Column) -> Column:
+    """The ``digits:port`` of the first answer."""
+    return F.concat(F.get(answers, F.lit(0))["digits"], F.lit(":"), port.cast("string"))
+
+
+def denial(port: Column, answers: Column, is_name: Column, endpoint: Column, has_dns: bool, policy: Policy) -> Column:
+    """The rule of the first denied answer that isn't the parent's own ``endpoint``; ``unresolved`` for a host without an answer; else null."""
+    own = lambda x: F.coalesce(F.concat(x["digits"], F.lit(":"), port.cast("string")) == endpoint, F.lit(False)) if policy.ssrf.same_origin_exemption else F.lit(False)
+    bad = F.get(F.filter(answers, lambda x: x["rule"].isNotNull() & ~own(x)), F.lit(0))["rule"]
+    return F.when(answers.isNull(), F.when(F.lit(has_dns) | ~is_name, "unresolved")).otherwise(bad)
+
+
 def vet(requests: DataFrame, dns: DataFrame | None, networks: DataFrame, policy: Policy) -> DataFrame:
     """(url, endpoint, rule, reached) of the distinct requests (url, endpoint): the rule that denies it, else the ``digits:port`` it reaches.
 
-    Hosts are parsed and resolved once each. ``dns``: host (as it reads in ASCII), ord, family, digits; without it only addresses that
-    stand in URLs are known, and other hosts pass. A host without an answer has the rule ``unresolved``.
+    Without ``dns`` only addresses that stand in URLs are known, and other hosts pass. A host without an answer has the rule ``unresolved``.
     """
-    distinct = requests.select("url", "endpoint").distinct().withColumn("p", taken_apart(F.col("url")))
-    port = F.coalesce(F.expr("try_cast(p.port AS int)"), F.when(F.col("p.scheme") == "https", 443).otherwise(80))
-    rows = cut(distinct.select("url", "endpoint", F.col("p.host").alias("written"), port.alias("port")))
-    named = rows.select("written").distinct().withColumn("h", hosts.parsed_host(F.col("written")))
-    named = named.select("written", F.when(F.col("h.kind") == "domain", F.col("h.ascii")).otherwise(F.col("written")).alias("host"), (F.col("h.kind") == "domain").alias("is_name"))
-    rows = rows.join(named, "written", "left").withColumn("request_id", F.concat_ws("\n", "url", F.coalesce("endpoint", F.lit(""))))
-    known = dns if dns is not None else requests.sparkSession.createDataFrame([], "host string, ord int, family int, digits string")
-    asked = rows.select("request_id", "host", "port", (F.col("endpoint") if policy.ssrf.same_origin_exemption else F.lit(None).cast("string")).alias("endpoint"))
-    found = decide(asked, known, networks, policy.ssrf.allow_hosts).withColumnRenamed("rule", "denied")
-    rows = rows.join(found, "request_id", "left")
-    silent = ~F.coalesce("allowed", F.lit(False)) & (F.lit(True) if dns is not None else ~F.coalesce("is_name", F.lit(True)))
-    rule = F.when(F.col("denied").isNotNull(), F.col("denied")).when(silent, "unresolved")
-    reached = F.when(rule.isNull() & (F.size("addresses") > 0), F.concat(F.get("addresses", F.lit(0)), F.lit(":"), F.col("port").cast("string")))
-    return rows.select("url", "endpoint", rule.alias("rule"), reached.alias("reached"))
+    rows = requests.select("url", "endpoint").distinct().join(resolve(requests, dns, networks, policy), "url")
+    rule = denial(F.col("port"), F.col("answers"), F.col("is_name"), F.col("endpoint"), dns is not None, policy)
+    return rows.select("url", "endpoint", rule.alias("rule"), F.when(rule.isNull(), reached(F.col("port"), F.col("answers"))).alias("reached"))
 
 
 def follow(requests: DataFrame, responses: DataFrame, limit: int = 5, blocked: DataFrame | None = None) -> DataFrame:
@@ -107,25 +136,38 @@ def trails(requests: DataFrame, responses: DataFrame, limit: int = 5, blocked: D
     return ended, passed
 
 
-def fetched(requests: DataFrame, responses: DataFrame, dns: DataFrame | None, networks: DataFrame, policy: Policy, origin: str) -> DataFrame:
-    """(url, endpoint, final_url, hops, outcome, rule, reached) of the distinct requests (url, endpoint), every hop guarded.
+def ways(urls: DataFrame, responses: DataFrame, policy: Policy) -> DataFrame:
+    """(url, hops, final_url, outcome) of the distinct URLs: the URLs on the way in order, and where it ends by ``follow``.
 
-    The URLs on all ways are vetted once each; the first denied one on a way is where it ends: ``blocked`` with its ``rule``, or
-    ``unresolved``. Of several responses (url, status, location) for a URL the least counts. ``endpoint`` is the parent's own, which stays allowed; ``reached`` is where the answer came from.
+    Of several responses (url, status, location) for a URL the least counts.
     """
-    asked = requests.select("url", "endpoint").distinct().withColumn("request_id", F.concat_ws("\n", "url", F.coalesce("endpoint", F.lit(""))))
-    asked = cut(asked)
-    answers = responses.groupBy("url").agg(F.min(F.struct("status", "location")).alias("r")).select("url", "r.*")
+    asked = urls.select(F.col("url").alias("request_id"), "url").distinct()
+    answers = cut(responses.groupBy("url").agg(F.min(F.struct("status", "location")).alias("r")).select("url", "r.*"))
     ended, passed = trails(asked, answers, policy.fetch.redirect_limit)
-    ways = passed.withColumnRenamed("url", "at_url").join(asked.select("request_id", "endpoint"), "request_id")
-    verdicts = vet(ways.select(F.col("at_url").alias("url"), "endpoint"), dns, networks, policy)
-    same = (F.col("w.at_url") == F.col("v.url")) & F.col("w.endpoint").eqNullSafe(F.col("v.endpoint"))
-    met = ways.alias("w").join(verdicts.alias("v"), same, "left").select("w.request_id", "w.hop", "w.at_url", "v.rule", "v.reached")
-    stops = F.col("rule").isNotNull() & (F.lit(guarded(origin, policy)) | (F.col("rule") == "unresolved"))
-    first = met.groupBy("request_id").agg(F.min(F.when(stops, F.struct("hop", "at_url", "rule"))).alias("stop"), F.max_by("reached", "hop").alias("reached"))
-    stopped = F.col("stop").isNotNull()
-    rows = asked.join(ended, "request_id").join(first, "request_id")
+    hops = passed.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("hop", "url"))).alias("hops"))
+    return cut(hops.join(ended.select("request_id", "final_url", "outcome"), "request_id").select(F.col("request_id").alias("url"), F.transform("hops", lambda h: h["url"]).alias("hops"), "final_url", "outcome"))
+
+
+def judge(requests: DataFrame, known: DataFrame, resolved: DataFrame, has_dns: bool, policy: Policy, origin: str) -> DataFrame:
+    """(url, endpoint, final_url, hops, outcome, rule) of the distinct requests (url, endpoint) along their ``ways``.
+
+    The first denied URL on a way is where it ends: ``blocked`` with its ``rule``, or ``unresolved``. ``resolved`` knows all URLs on all ways.
+    ``endpoint`` is the parent's own address and port, which stay allowed.
+    """
+    steps = known.select("url", F.posexplode("hops").alias("hop", "at_url")).join(resolved.withColumnRenamed("url", "at_url"), "at_url")
+    steps = steps.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("hop", "at_url", "port", "answers", "is_name"))).alias("steps"))
+    rows = requests.select("url", "endpoint").distinct().join(known.select("url", "final_url", "outcome", (F.size("hops") - 1).alias("last")), "url").join(steps, "url")
+    denied = F.transform("steps", lambda x: F.struct(x["hop"].alias("hop"), x["at_url"].alias("at_url"), denial(x["port"], x["answers"], x["is_name"], F.col("endpoint"), has_dns, policy).alias("rule")))
+    counts = lambda x: x["rule"].isNotNull() & (F.lit(guarded(origin, policy)) | (x["rule"] == "unresolved"))
+    rows = rows.withColumn("stop", F.get(F.filter(denied, counts), F.lit(0)))
+    stopped, nowhere = F.col("stop").isNotNull(), F.col("stop.rule") == "unresolved"
     return rows.select(
-        "url", "endpoint", F.when(stopped, F.col("stop.at_url")).otherwise(F.col("final_url")).alias("final_url"), F.when(stopped, F.col("stop.hop")).otherwise(F.col("hops")).alias("hops"),
-        F.when(F.col("stop.rule") == "unresolved", "unresolved").when(stopped, "blocked").otherwise(F.col("outcome")).alias("outcome"), F.when(F.col("stop.rule") != "unresolved", F.col("stop.rule")).alias("rule"),
-        F.when(~stopped, F.col("reached")).alias("reached"))
+        "url", "endpoint", F.when(stopped, F.col("stop.at_url")).otherwise(F.col("final_url")).alias("final_url"), F.when(stopped, F.col("stop.hop")).otherwise(F.col("last")).alias("hops"),
+        F.when(nowhere, "unresolved").when(stopped, "blocked").otherwise(F.col("outcome")).alias("outcome"), F.when(~nowhere, F.col("stop.rule")).alias("rule"))
+
+
+def fetched(requests: DataFrame, responses: DataFrame, dns: DataFrame | None, networks: DataFrame, policy: Policy, origin: str) -> DataFrame:
+    """What ``judge`` gives for requests (url, endpoint): every URL on every way is resolved and classified once."""
+    known = ways(requests, responses, policy)
+    resolved = resolve(known.select(F.explode("hops").alias("url")), dns, networks, policy)
+    return judge(requests, known, resolved, dns is not None, policy, origin)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import netaddr, sniff
+from ..functions import sniff
 from ..functions.addresses import absolute
 from ..operators.html import ACTION, rewrite_references
 from ..operators.urls import classify_urls
@@ -185,12 +185,17 @@ def sanitise_whole(inputs: DataFrame, responses: DataFrame, policy: Policy, bloc
     labels = classify_urls(found.select("url"), blocklist, protected, networks).where(F.col("label").isin(*UNASKED)).select("url", "label")
     if refused is not None:
         labels = labels.unionByName(refused.select("url", "label")).groupBy("url").agg(F.min("label").alias("label"))
-    own = vetted_pages(asking, dns, networks, policy)
-    asked = cut(numbered(found, policy.subresources.max_requests, labels).join(own, "id", "left"))
+    labels = cut(labels)
+    asked = cut(numbered(found, policy.subresources.max_requests, labels))
     responses = with_columns(responses)
-    ways = cut(guard.fetched(asked.where("refusal IS NULL AND NOT over").select("url", "endpoint"), responses.select("url", "status", "location"), dns, networks, policy, "subresource"))
+    known = guard.ways(asked.where("refusal IS NULL AND NOT over"), responses.select("url", "status", "location"), policy)
+    pages = asking.select("id", F.col("name").alias("url")).where(F.lower("url").rlike("^https?://"))
+    resolved_urls = guard.resolve(known.select(F.explode("hops").alias("url")).unionByName(pages.select("url")), dns, networks, policy)
+    own = pages.join(resolved_urls, "url").select("id", guard.reached(F.col("port"), F.col("answers")).alias("endpoint"))
+    asked = cut(asked.join(own, "id", "left"))
+    ways = cut(guard.judge(asked.where("refusal IS NULL AND NOT over"), known, resolved_urls, dns is not None, policy, "subresource"))
     reached = asked.join(ways.where("outcome = 'fetched'").withColumnRenamed("endpoint", "of"), "url").where(F.col("endpoint").eqNullSafe(F.col("of"))).select(F.col("final_url").alias("url"), "kind").distinct()
-    answers = one_each(responses.join(reached.select("url").distinct(), "url", "left_semi"))
+    answers = cut(one_each(responses.join(reached.select("url").distinct(), "url", "left_semi")))
     types = answers.select("url", "content_type").join(reached, "url").select("url", claim(F.col("content_type"), F.col("url"), F.col("kind")).alias("claimed"))
     handled = cut(bodies(answers, policy, blocklist, protected, networks, types))
     found = cut(outcomes(asked, answers, policy, handled, ways, count_refused=True))
@@ -214,14 +219,6 @@ def sanitise_whole(inputs: DataFrame, responses: DataFrame, policy: Policy, bloc
     return whole, kept.join(handled.select("url", "claimed", "output"), ["url", "claimed"]).select("id", F.col("asset_name").alias("name"), "output")
 
 
-def vetted_pages(pages: DataFrame, dns: DataFrame | None, networks: DataFrame, policy: Policy) -> DataFrame:
-    """(id, endpoint) of pages (id, name) whose name is a URL: where they came from, for the exemption of a page's own endpoint."""
-    urls = pages.select("id", F.col("name").alias("page")).where(F.lower("page").rlike("^https?://"))
-    names = urls.select(F.col("page").alias("url"), F.lit(None).cast("string").alias("endpoint"))
-    found = guard.vet(names, dns, netaddr.nothing(pages.sparkSession), policy).select(F.col("url").alias("page"), F.col("reached").alias("endpoint"))
-    return urls.join(found, "page").select("id", "endpoint")
-
-
 def sniff_extension(sniffed: Column, declared: Column, kind: Column) -> Column:
     by_type = F.create_map(*[F.lit(x) for kv in sniff.EXTENSION_OF.items() for x in kv])
     return F.coalesce(by_type[sniff.effective(sniffed, declared)], F.when(kind == "css", "css").when(kind == "js", "js").otherwise("bin"))
