@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import sniff
@@ -86,6 +86,25 @@ def run_summary(reports: DataFrame, subreports: DataFrame | None = None) -> Data
     return top.join(F.broadcast(sub)).select("inputs_total", "inputs_ok", "inputs_refused", "inputs_errored", "subresources_fetched", "subresources_refused", (F.col("top_blocked") + F.col("sub_blocked")).alias("ssrf_blocked"))  # one row each
 
 
+def observed(reports: DataFrame) -> tuple[DataFrame, Observation]:
+    """The reports, and an observation whose ``get`` is the run's summary once they have been written: no second pass over them."""
+    seen = Observation("run")
+    state, blocked = F.col("bucket"), F.count_if(F.col("status") == "ssrf_blocked")
+    sub = lambda wanted: F.coalesce(F.sum(F.when(F.col("subresources").isNotNull(), F.size(F.filter("subresources", wanted)))), F.lit(0)).cast("bigint") if "subresources" in reports.columns else F.lit(0).cast("bigint")
+    rows = reports.observe(
+        seen, F.count("*").alias("inputs_total"), F.count_if(state == "ok").alias("inputs_ok"), F.count_if(state == "refused").alias("inputs_refused"), F.count_if(state == "errored").alias("inputs_errored"),
+        sub(lambda s: bucket(s["status"]) == "ok").alias("subresources_fetched"), sub(lambda s: bucket(s["status"]) == "refused").alias("subresources_refused"), (blocked + sub(lambda s: s["status"] == "ssrf_blocked")).alias("ssrf_blocked"))
+    return rows, seen
+
+
+def write_reports(reports: DataFrame, path: str) -> tuple[dict[str, int], int]:
+    """Writes the reports as Parquet in one query; the run's summary as observed on the way, and its exit code: 1 if an input was refused."""
+    rows, seen = observed(reports)
+    rows.write.mode("overwrite").parquet(path)
+    summary = {k: v or 0 for k, v in seen.get.items()}
+    return summary, int(summary["inputs_refused"] > 0)
+
+
 def exit_code(reports: DataFrame) -> DataFrame:
     return reports.agg(F.coalesce(F.max((F.col("bucket") == "refused").cast("int")), F.lit(0)).alias("exit_code"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import sniff
+from ..plans import pipeline
 
 
 def submissions(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -23,13 +24,18 @@ def typed_stream(rows: DataFrame) -> DataFrame:
     return rows.select("id", declared.alias("declared"), sniffed.alias("sniffed"), sniff.effective(sniffed, declared).alias("effective"))
 
 
-def sanitise_batches(stream: DataFrame, process, path: str, checkpoint: str):
+def sanitise_batches(stream: DataFrame, process, path: str, checkpoint: str, on_summary=None):
     """Each micro-batch through ``process`` (a batch plan with joins), its reports in a folder of its own, ``batch=<number>``.
 
-    A batch that is tried again writes its folder anew, so every submission is reported once.
+    A batch that is tried again writes its folder anew, so every submission is reported once. ``on_summary`` (a function of the
+    number and the summary), if given, gets what was observed while the batch was written.
     """
     def write(batch: DataFrame, number: int) -> None:
-        process(batch).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+        where = f"{path.rstrip('/')}/batch={number}"
+        if on_summary is None:
+            process(batch).write.mode("overwrite").parquet(where)
+        else:
+            on_summary(number, pipeline.write_reports(process(batch), where)[0])
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()
 
