@@ -256,13 +256,14 @@ def compare_blocks(records: DataFrame, w: Windows, seed: int) -> DataFrame:
     while True:
         large = cut(records.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
         n_large = large.count()
-        usual = join_lookup(records, large.select("part", F.lit(True).alias("large")), "part", n_large, F.col("row_key")).where("large IS NULL").drop("large") if n_large else records
+        marked = join_lookup(records, large.select("part", F.lit(True).alias("large")), "part", n_large, F.col("row_key")) if n_large else records.withColumn("large", F.lit(None).cast("boolean"))
+        usual = marked.where("large IS NULL").drop("large")
         dealt = usual.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _compare(b, w), FOUND)
         found = dealt if found is None else found.unionByName(dealt)
         if not n_large:
             return found
-        met = stage(join_counted(records, large, ["part"]))
-        single = met.where("low = high").drop("n")  # one window each
+        met = stage(marked.where("large").drop("large"))
+        single = met.where("low = high")  # one window each
         bodies = cut(single.groupBy("part", "body").agg(F.count("*").alias("n")).where("n > 1"))
         equal = join_counted(single.where("open"), bodies, ["part", "body"])
         found = found.unionByName(equal.select("row_key", "row_check", "start", F.lit(bytes(4)).alias("offsets"), F.lit(None).cast(FOUND.split("factors ")[1]).alias("factors")))
