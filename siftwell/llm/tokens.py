@@ -128,6 +128,11 @@ class Encoder:
                 self.known[x] = ids
         self.known.update(zip(rest, self.raw([f" {x}" for x in rest]), strict=True))
 
+    def forget(self) -> None:
+        """What a worker holds between tasks: the parts met first, which are frequent."""
+        if len(self.known) > REMEMBERED // 4:
+            self.known = dict(islice(self.known.items(), REMEMBERED // 4))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [not self.by_parts or any(x in t for x in self.added) for t in texts]
         split = [[t] if w else self.cut.split(t) if self.odd.search(t) else t.split(" ") for t, w in zip(texts, whole, strict=True)]
@@ -189,6 +194,7 @@ def _write_shards(batches: Iterator[pa.RecordBatch], out_dir: str, tokenizer: st
                 ids, keys, payload, lengths, held, number = [], [], [], [], 0, number + 1
     if lengths:
         yield written()
+    enc.forget()
 
 
 def _write_shard(shard: int, uri: str, ids: pa.Array, keys: np.ndarray, payload: list[bytes], lengths: list[int], width: int) -> pa.RecordBatch:
