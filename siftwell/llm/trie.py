@@ -219,10 +219,11 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None) -> Dat
     # classes: the smallest member, the depth of the node they are, the class they were split from, members, their turn's characters, turns after it
     schema = "class long, depth long, parent long, n long, chars long, rest long"
     classes = rows.sparkSession.createDataFrame([(root[0], 0, None, root[1], 0, root[2])] if root[1] else [], schema)
-    members = lengths.withColumn("class", F.lit(root[0]).cast("long"))
+    first = zip(("class", "depth", "parent", "n", "chars", "rest"), (root[0], 0, None, root[1], 0, root[2]), strict=True)
+    members = lengths.select("conv_id", "length", *[F.lit(x).cast("long").alias(c) for c, x in first])
     alone, shared, ends, rounds = [], [], [], []
     while True:
-        members = stage(join_counted(members, classes, ["class"]))
+        members = stage(members)
         alone.append(_chains(members.where("n = 1")))
         flat = classes.where("n > 1 AND rest = 0").selectExpr("class AS conv_id", "depth", "parent AS parent_conv_id", "n AS n_convs", "0L AS n_children", "1L AS n_leaves", "(n - 1) * chars AS saved_tokens")
         several = members.where("n > 1")
@@ -256,7 +257,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None) -> Dat
         split = parting.groupBy("class", "digest").agg(
             F.min("conv_id").alias("child"), F.count("*").alias("n"), F.min("chars").alias("chars"), F.sum(F.col("length") - F.col("bottom") - 1).alias("rest"), (F.min("bottom") + 1).alias("depth"))
         split = stage(split)
-        members = join_counted(parting.select("conv_id", "length", "class", "digest"), split.select("class", "digest", "child", "n"), ["class", "digest"]).selectExpr("conv_id", "length", "child AS class")
+        members = join_counted(parting.select("conv_id", "length", "class", "digest"), split, ["class", "digest"]).selectExpr("conv_id", "length", "child AS class", "depth", "class AS parent", "n", "chars", "rest")
         classes = split.selectExpr("child AS class", "depth", "class AS parent", "n", "chars", "rest")
         rows = rows.select("conv_id", "pos", "digest", "chars")
     shared += _fold_back(rounds)
