@@ -162,6 +162,7 @@ def write_packs(outputs: DataFrame, path: str, assets: DataFrame | None = None)
     if assets is not None:
         rows = rows.unionByName(assets.select("name", "output"))
     rows = rows.where(F.col("name").isNotNull() & F.col("output").isNotNull())
+    rows.sparkSession.dataSource.register(Packs)
     rows.repartitionByRange("name").sortWithinPartitions("name").write.format("packs").mode("overwrite").save(path)
 
 
