@@ -20,7 +20,7 @@ from ..operators.html import ACTION, rewrite_references
 from ..operators.urls import classify_urls
 from ..policy import Policy
 from ..sources.inputs import safe_name
-from ..sources.staging import cut
+from ..sources.staging import cut, stage
 from . import guard, pipeline
 
 KIND_OF = {"text/css": "css", "text/javascript": "js", "image/jpeg": "image", "image/png": "image", "image/gif": "image", "image/webp": "image", "image/svg+xml": "image", "image/tiff": "image"}
@@ -179,7 +179,7 @@ def sanitise_whole(inputs: DataFrame, responses: DataFrame, policy: Policy, bloc
     actions go on with one for each reference that was refused; assets are (id, name, output), with ``folders`` named in a folder of
     the page's (``<id>-<name>.assets/asset-<slot>``). Pages that are refused ask for nothing.
     """
-    reports = cut(pipeline.process(inputs, policy, blocklist, protected, networks))
+    reports = stage(pipeline.process(inputs, policy, blocklist, protected, networks))
     asking = reports.where(F.col("output").isNotNull())
     found = cut(resolved(asking.select("id", F.col("name").alias("page_url"), "base", "references")))
     labels = classify_urls(found.select("url"), blocklist, protected, networks).where(F.col("label").isin(*UNASKED)).select("url", "label")
@@ -195,9 +195,9 @@ def sanitise_whole(inputs: DataFrame, responses: DataFrame, policy: Policy, bloc
     asked = cut(asked.join(own, "id", "left"))
     ways = cut(guard.judge(asked.where("refusal IS NULL AND NOT over"), known, resolved_urls, dns is not None, policy, "subresource"))
     reached = asked.join(ways.where("outcome = 'fetched'").withColumnRenamed("endpoint", "of"), "url").where(F.col("endpoint").eqNullSafe(F.col("of"))).select(F.col("final_url").alias("url"), "kind").distinct()
-    answers = cut(one_each(responses.join(reached.select("url").distinct(), "url", "left_semi")))
+    answers = stage(one_each(responses.join(reached.select("url").distinct(), "url", "left_semi")))
     types = answers.select("url", "content_type").join(reached, "url").select("url", claim(F.col("content_type"), F.col("url"), F.col("kind")).alias("claimed"))
-    handled = cut(bodies(answers, policy, blocklist, protected, networks, types))
+    handled = stage(bodies(answers, policy, blocklist, protected, networks, types))
     found = cut(outcomes(asked, answers, policy, handled, ways, count_refused=True))
     if folders:
         found = found.join(reports.select("id", F.concat(safe_name(F.col("id"), F.col("name")), F.lit(".assets/")).alias("folder")), "id").withColumn("asset", F.concat("folder", "asset")).drop("folder")

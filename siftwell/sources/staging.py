@@ -23,3 +23,15 @@ def cut(rows: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(rows.sparkSession))
     return rows.checkpoint(eager=True)
+
+
+def stage(rows: DataFrame) -> DataFrame:
+    """The rows, written as compressed Parquet to the shared folder and read back; for wide rows, which ``cut`` would write plain.
+
+    The folder stays, since results are read from it later.
+    """
+    import uuid
+
+    path = f"{shared_dir(rows.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
