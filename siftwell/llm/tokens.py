@@ -130,8 +130,8 @@ class Encoder:
 
     def forget(self) -> None:
         """What a worker holds between tasks: the parts met first, which are frequent."""
-        if len(self.known) > REMEMBERED // 4:
-            self.known = dict(islice(self.known.items(), REMEMBERED // 4))
+        if len(self.known) > REMEMBERED // 2:
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [not self.by_parts or any(x in t for x in self.added) for t in texts]
