@@ -9,9 +9,9 @@ fingerprints of a bucket are within 2 bits if and only if they share a hub, so a
 member instead of a row for each pair, every link is exact, and a hub has 65 fingerprints at most.
 
 ``drop_near_duplicates`` goes by the similarity of the texts' shingle sets instead. Sets that share four fifths differ in about
-ten of 64 bits, which would take thousands of masks to cover; so its candidates are equal bands of a min-wise signature of the
-same shingle hashes, and then, among one text of each group that these give, the covering links. Every candidate is verified by
-its exact similarity.
+ten of 64 bits, which would take thousands of masks to cover; so its candidates are the texts that share a shingle of their
+prefixes: of a set in one order for all texts, rare shingles first, so many that two sets without a common one there can't be
+similar enough. No pair is lost. Every candidate is verified by its exact similarity.
 """
 
 from __future__ import annotations
@@ -23,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column_name, cut, join_counted
+from .common import BROADCAST_ROWS, column_name, cut, join_counted, stage
 from .components import connected
 from .repeats import KEY, row_keys
-from .symbols import mix64
 
 RADIUS = 2
-#: Bands of a min-wise signature, and the minima in each: sets that share 0.8 agree in a band with probability 0.998.
-BANDS, BAND_SIZE = 20, 6
+#: One text in so many tells which shingles are frequent, and so many of these are known; any choice gives the same groups.
+SAMPLED, FREQUENT = 64, 1 << 17
+#: Texts that share a shingle are compared each with each once that takes at most so many pairs for each text and shingle.
+PAIRS_A_ROW = 16
+#: Numbers in a set's sketch: each of its 64 bits tells whether an odd number of the set's hashes falls on it.
+SKETCH = 16
 #: A hot text's shingles are dealt to up to so many tasks.
 DEALT = 16
 
@@ -78,36 +81,37 @@ def fingerprints_of(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["id", "fingerprint"])
 
 
-_SPREAD = mix64(np.arange(1, BANDS * BAND_SIZE + 1, dtype=np.uint64)) | np.uint64(1)
+def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The prefix of a set of hashes: rare ones first, by ``frequent`` (ascending hashes and their counts), equal ones by the hash.
 
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A min-wise signature's bands, a number each: of every permutation of the hashes the least one."""
-    least = np.full(len(_SPREAD), np.iinfo(np.uint64).max)
-    for begin in range(0, len(hashes), 1 << 12):
-        least = np.minimum(least, (hashes[begin : begin + (1 << 12), None] * _SPREAD).min(axis=0))
-    out = np.zeros(BANDS, np.uint64)
-    for k in range(BAND_SIZE):
-        out = mix64(out ^ least.reshape(BANDS, BAND_SIZE)[:, k])
-    return out
+    A set shares at least ``similarity`` of its own size with any that is similar enough, so one of these is among what they share.
+    """
+    known, counts = frequent
+    n = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        n = np.where(known[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, n))][: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """(id, row_key, row_check, text) -> id, keys, content, content_2 (128 bits of the words), fingerprint and bands."""
+def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(id, row_key, row_check, text) -> id, keys, content, content_2 (128 bits of the words), size of the set, prefix and sketch."""
     from xxhash import xxh3_128_digest
 
     for batch in batches:
-        contents, prints, found = [], [], []
+        contents, sizes, found, sketches = [], [], [], []
         for x in batch.column(3).cast(pa.binary()):
             text = _text_of(x)
             hashes = shingle_hashes(text, shingle)
             contents.append(xxh3_128_digest(b" ".join(text.lower().split())))
-            prints.append(fingerprint(hashes))
-            found.append(bands(hashes).view(np.int64) if len(hashes) else [])
+            own = np.unique(hashes)
+            sketches.append(np.packbits((np.bincount((own % np.uint64(64 * SKETCH)).view(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64))
+            sizes.append(len(own))
+            found.append(prefix(own, frequent, similarity).view(np.int64) if len(own) else [])
         content = np.frombuffer(b"".join(contents), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array(content[:, 0]), pa.array(content[:, 1]), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))],
-            ["id", "row_key", "row_check", "content", "content_2", "fingerprint", "bands"])
+            [*batch.columns[:3], pa.array(content[:, 0]), pa.array(content[:, 1]), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+            ["id", "row_key", "row_check", "content", "content_2", "size", "prefix", "sketch"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -116,6 +120,24 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
+def _compared(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(node, rep, text), each rep's own text before those compared with it -> (a, b) of those that are similar."""
+    of, other = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        found = []
+        for node, rep, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+            if node == rep and of == rep:
+                continue
+            own = np.unique(shingle_hashes(_text_of(x), shingle))
+            if node == rep:
+                of, other = rep, own
+                continue
+            common = len(np.intersect1d(own, other, assume_unique=True))
+            if common >= similarity * (len(own) + len(other) - common):
+                found.append((node, rep))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fingerprint) for each row of ``docs``, the fingerprint as a signed 64-bit number.
 
@@ -171,21 +193,67 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return join_counted(marked, named, ["fingerprint"]).select("id", "fingerprint", "component")
 
 
-def band_candidates(contents: DataFrame) -> DataFrame:
-    """(node, rep): different texts (node, bands) that may be similar, each with the least one of those with an equal band."""
-    exploded = contents.select("node", F.posexplode("bands").alias("band", "value"))
-    stars = exploded.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1")
-    return join_counted(exploded, cut(stars), ["band", "value"]).where("node != rep").select("node", "rep").distinct()
+def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that several different texts of a sample have, ascending, and in how many; the FREQUENT most frequent ones."""
+    texts = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select(F.xxhash64("text").alias("node"), "text").dropDuplicates(["node"])
+    found = texts.mapInArrow(lambda b: _shingle_sets(b, shingle), "node bigint, shingles array<bigint>").select(F.explode("shingles").alias("value"))
+    top = found.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n")).limit(FREQUENT).toArrow()
+    value, n = np.asarray(top["value"], np.int64).view(np.uint64), np.asarray(top["n"], np.int64)
+    order = np.argsort(value)
+    return value[order], n[order]
+
 
+def prefix_rows(contents: DataFrame) -> DataFrame:
+    """(value, node, pos, size): the prefixes' hashes that several texts (node, size, prefix) share, with their place."""
+    rows = contents.select("node", "size", F.posexplode("prefix").alias("pos", "value"))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("value"))).where("n > 1")
+    return stage(rows.select("value", "node", "pos", "size"))
 
-def covering_candidates(contents: DataFrame, radius: int) -> DataFrame:
-    """(node, rep): different texts (node, fingerprint) whose fingerprints are linked, each with the least one of its fingerprint's."""
-    values = cut(contents.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("node").alias("rep")))
-    found = join_counted(contents.select("node", "fingerprint"), values.where("n > 1"), ["fingerprint"]).select("node", "rep")
-    linked = links(values.select("fingerprint"), radius)
-    ends = [values.select(F.col("fingerprint").alias(x), F.col("rep").alias(y)) for x, y in (("a", "node"), ("b", "rep"))]
-    found = found.unionByName(linked.join(ends[0], "a").join(ends[1], "b").select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")))
-    return found.where("node != rep").distinct()
+
+def may_be_similar(pairs: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (node, rep) without those whose sketches differ in more bits than similar sets in hashes; no similar pair goes."""
+    own = contents.select("node", "size", "sketch")
+    other = contents.select(F.col("node").alias("rep"), F.col("size").alias("rep_size"), F.col("sketch").alias("rep_sketch"))
+    apart = F.aggregate(F.zip_with("sketch", "rep_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("size") + F.col("rep_size")) + F.lit(1e-6)
+    return pairs.join(own, "node").join(other, "rep").where(near).select("node", "rep")
+
+
+def prefix_links(contents: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links until all texts (node, first, size, prefix, sketch) that are similar enough are joined by links.
+
+    Texts that share a hash of their prefixes are compared unless links join them already. While that would be too many pairs,
+    all texts of a hash are compared with a few, which then leave it: with one at first, in each round with four times as many.
+    """
+    left, few = prefix_rows(contents), 1
+    edges = left.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
+    while True:
+        roots = connected(edges).select(F.col("node").alias("of"), "root")
+        left = left.select("value", "node", "pos", "size").join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
+        of_value = Window.partitionBy("value")
+        open_ = (F.min("root").over(of_value) != F.max("root").over(of_value))
+        left = stage(left.withColumn("open", open_).withColumn("n", F.count("*").over(of_value)).where("open").drop("open"))
+        count, total = left.agg(F.count("*"), F.sum("n")).first()  # the sum of the squares of the values' counts
+        if not count:
+            return edges
+        last = total // 2 <= PAIRS_A_ROW * count
+        other = left if last else cut(left.withColumn("at", F.row_number().over(of_value.orderBy(F.xxhash64("root", "node")))).where(F.col("at") <= few))
+        other = other.select("value", F.col("node").alias("rep"), F.col("pos").alias("rep_pos"), F.col("size").alias("rep_size"), F.col("root").alias("rep_root"), "n")
+        met = join_counted(left.drop("n"), other, ["value"])
+        rest = F.least(F.col("size") - F.col("pos"), F.col("rep_size") - F.col("rep_pos"))  # at most so many are common, if this is the first
+        enough = rest >= F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("rep_size")) - F.lit(1e-6))
+        pairs = met.where((F.col("root") != F.col("rep_root")) & enough).select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct()
+        pairs = cut(may_be_similar(pairs, contents, similarity))
+        firsts = pairs.groupBy("node").agg(F.min("rep").alias("rep"))  # what these link needs no more comparison
+        edges = cut(edges.unionByName(similar(cut(firsts), rows, contents, shingle, similarity)))
+        roots = connected(edges)
+        ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("node", "rep")]
+        apart = pairs.join(firsts, ["node", "rep"], "left_anti").join(ends[0], "node", "left").join(ends[1], "rep", "left")
+        apart = cut(apart.where(F.coalesce("node_root", "node") != F.coalesce("rep_root", "rep")).select("node", "rep"))
+        edges = cut(edges.unionByName(similar(apart, rows, contents, shingle, similarity)))
+        if last:
+            return edges
+        left, few = left.join(other.select("value", F.col("rep").alias("node")), ["value", "node"], "left_anti"), 4 * few
 
 
 def similar(pairs: DataFrame, rows: DataFrame, contents: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -194,37 +262,31 @@ def similar(pairs: DataFrame, rows: DataFrame, contents: DataFrame, shingle: int
     asked = cut(contents.select("node", "first.row_key", "first.row_check").join(asked, "node"))
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     texts = rows.join(asked, ["row_key", "row_check"]).select("node", "text").dropDuplicates(["node"])  # of repeated rows one
-    sets = texts.mapInArrow(lambda b: _shingle_sets(b, shingle), "node bigint, shingles array<bigint>")
     pairs = pairs.withColumn("dealt", F.pmod(F.xxhash64("node"), F.lit(DEALT)))
-    reps = pairs.select("rep", "dealt").distinct().join(sets.select(F.col("node").alias("rep"), F.col("shingles").alias("other")), "rep")
-    both = pairs.join(sets, "node").join(reps, ["rep", "dealt"])
-    common = F.size(F.array_intersect("shingles", "other"))
-    return both.where(common >= similarity * (F.size("shingles") + F.size("other") - common)).select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
+    asked_by = pairs.select("node", "rep", "dealt").unionByName(pairs.select(F.col("rep").alias("node"), "rep", "dealt").distinct())
+    groups = texts.join(asked_by, "node").repartition("rep", "dealt").sortWithinPartitions("rep", "dealt", F.col("node") != F.col("rep"))
+    return groups.select("node", "rep", "text").mapInArrow(lambda b: _compared(b, shingle, similarity), "a bigint, b bigint").distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: one with the smallest id (a null id comes last), of these one by its
     text's hash. The rows keep all their columns, whatever their names.
 
     Two texts are near-duplicates if they have the same words, or if their sets of ``shingle`` consecutive words (all words, if
     there are fewer; A-Z lower-cased) share at least ``similarity`` of their union; groups are the components of such pairs.
-    Candidates are compared with the least text of what they share, not each with each: a pair that is similar by itself alone
-    can be missed where neither is similar to that text.
+    No such pair is missed, whatever else its texts share; sets are told by 64-bit hashes.
 
     Texts without words, null ones among them, are copies of each other. A very long text is hashed whole, in one task's memory.
     Of a repeated row one stays. An empty table gives an empty result.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    marked = rows.mapInArrow(lambda b: _signatures(b, shingle), f"id {kind}, {KEY}, content bigint, content_2 bigint, fingerprint bigint, bands array<bigint>")
+    frequent = frequent_shingles(rows, shingle)
+    marked = rows.mapInArrow(lambda b: _signatures(b, shingle, frequent, similarity), f"id {kind}, {KEY}, content bigint, content_2 bigint, size int, prefix array<bigint>, sketch array<bigint>")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_key", "row_check"))
-    contents = marked.groupBy("content", "content_2").agg(first.alias("first"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
-    contents = cut(contents.select(F.monotonically_increasing_id().alias("node"), "first", "fingerprint", "bands"))
-    edges = cut(similar(cut(band_candidates(contents)), rows, contents, shingle, similarity))
-    of_group = connected(edges).select(F.col("node").alias("of"), "root")
-    ones = contents.join(of_group.where("of != root"), contents["node"] == F.col("of"), "left_anti")  # of each group one goes on
-    more = similar(cut(covering_candidates(cut(ones.select("node", "fingerprint")), radius)), rows, contents, shingle, similarity)
-    roots = connected(edges.unionByName(more)).select(F.col("node").alias("of"), "root")
+    contents = marked.groupBy("content", "content_2").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", "sketch")])
+    contents = stage(contents.select(F.monotonically_increasing_id().alias("node"), "first", "size", "prefix", "sketch"))
+    roots = connected(prefix_links(contents, rows, shingle, similarity)).select(F.col("node").alias("of"), "root")
     named = contents.join(roots, contents["node"] == roots["of"], "left").withColumn("root", F.coalesce("root", "node"))
     keys = {c: column_name(docs, f"_{c}") for c in ("row_key", "row_check", "order")}
     keep = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias(keys["row_key"]), F.col("first.row_check").alias(keys["row_check"]))

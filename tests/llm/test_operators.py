@@ -681,3 +681,43 @@ def test_pipeline(spark, docs, rows, tmp_path):
     found = sorted(final.collect(), key=lambda r: r["start"])
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found) == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids)
     assert [r["start"] for r in found] == [sum(r["n_tokens"] for r in found[:k]) for k in range(len(found))] and [r["doc_id"] for r in found] == sorted((i for i, _ in ids), key=lambda i: (i is not None, i))
+
+
+def test_no_similar_pair_is_left_out(spark):
+    """Texts that share their rare words with one that is similar to none of them, and chains; the groups are those of all pairs."""
+    import random
+
+    from siftwell.llm import simhash
+
+    draw = random.Random(7)
+    words = [f"w{n}" for n in range(60)]
+    rows = []
+    for group in range(15):
+        text = [f"g{group}x{n}" for n in range(60)]
+        for _ in range(6):
+            at = draw.randrange(60)
+            text = [*text[:at], draw.choice(words), *text[at + 1 :]] if draw.random() < 0.7 else [*text[at:], *text[:at]]
+            cut = draw.randrange(0, 8)
+            rows.append((len(rows), " ".join(text[cut:])))
+    rows += [(len(rows) + n, " ".join(draw.choices(words, k=20)) + " " + " ".join(f"g{n}x{i}" for i in range(10))) for n in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for d, t in rows}
+    least = {d: d for d in sets}
+
+    def root(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    for a in sets:
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((root(a), root(b)))
+                least[y] = x
+    expected = [d for d in sorted(sets) if root(d) == d]
+    assert 15 < len(expected) < len(rows)
+    for many in (16, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(simhash, "PAIRS_A_ROW", many)
+            assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()) == expected
