@@ -76,13 +76,19 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col:
 def with_key(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
     """``docs`` joined to a table of (key_id, key_text, ...), whatever columns it has; broadcast if it has few rows and array entries.
 
-    The key columns may be renamed; they come first. Beyond the bound one key's rows are repeated rows of one document.
+    The key columns may be renamed; they come first. Beyond the bound one key's rows are repeated rows of one document. For an inner
+    join the keys alone are then broadcast while their rows are few, so that only the documents they name are shuffled.
     """
     key_id, key_text = found.columns[:2]
+    if how == "left_anti":
+        found = found.select(key_id, key_text)
     cells = [F.size(c) for c, t in found.dtypes if t.startswith("array")]
-    total = found.agg(F.sum(sum(cells, F.lit(1)))).first()[0] or 0
-    right = F.broadcast(found) if total <= common.BROADCAST_ROWS else found
-    return docs.join(right, docs[id_col].eqNullSafe(found[key_id]) & (F.xxhash64(docs[text_col]) == found[key_text]), how)
+    total, count = found.agg(F.sum(sum(cells, F.lit(1))), F.count("*")).first()
+    same = lambda of: docs[id_col].eqNullSafe(of[key_id]) & (F.xxhash64(docs[text_col]) == of[key_text])
+    if how == "inner" and count <= common.BROADCAST_ROWS < (total or 0):
+        docs = docs.join(F.broadcast(found.select(key_id, key_text)), same(found), "left_semi")
+    right = F.broadcast(found) if (total or 0) <= common.BROADCAST_ROWS else found
+    return docs.join(right, same(found), how)
 
 
 def hit_positions(hits: Column) -> Column:
@@ -117,7 +123,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col:
         joined = with_key(docs, renamed, id_col, text_col, "left")
         return joined.select(*[F.when(hits.isNull(), docs[c]).otherwise(text).alias(c) if c == text_col else docs[c] for c in docs.columns])
     counts = found.select("key_id", "key_text", F.size(hit_positions(F.col("hits"))).cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = with_key(rows, counts, "id", "text", "left")
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text"), word_count(ascii_lower(text), NOT_ALNUM).alias("n_words"))
+    joined = with_key(rows, counts.withColumn("key_text", F.xxhash64("key_text")), "id", "text", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select("id", word_count(ascii_lower(F.col("text")), NOT_ALNUM).alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"))
+    return joined.select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"))

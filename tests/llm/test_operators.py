@@ -489,6 +489,30 @@ def test_chat(spark):
     assert format_chats(rows.limit(0)).collect() == []
 
 
+def test_only_named_documents_are_shuffled(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from siftwell.llm import common
+    from siftwell.llm.decontaminate import decontaminate, with_key
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)  # one key with more entries than that
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(20)], "id long, text string")
+    found = docs.where("id = 7").select(F.col("id").alias("key_id"), F.xxhash64("text").alias("key_text"), F.sequence(F.lit(1), F.lit(5)).alias("likely"))
+    joined = with_key(docs, found, "id", "text", "inner")
+    assert [(r.id, len(r.likely)) for r in joined.collect()] == [(7, 5)]
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftSemi, BuildRight" in plan  # before anything is dealt out by a key
+    plan = with_key(docs, found, "id", "text", "left_anti")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    item = "a b c d e f g h i j"
+    rows = spark.createDataFrame([(1, item), (2, "x"), (2, item + " k"), (None, item), (3, None)], "doc_id long, text string")
+    report = decontaminate(rows, spark.createDataFrame([("q", item)], "item_id string, text string"))
+    assert sorted(((r.id or 0), r.n_words, r.n_hit, r.n_items) for r in report.collect()) == [(0, 10, 10, 1), (1, 10, 10, 1), (2, 1, 0, 0), (2, 11, 10, 1), (3, 0, 0, 0)]
+    top = report._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "n_words" in top and "split(" not in top  # words are counted before the join, so it deals out no texts
+
+
 @pytest.mark.parametrize("rows_at_most", [200_000, 0])
 def test_decontamination(docs, none, rows, spark, rows_at_most, monkeypatch):
     from siftwell.llm import common
