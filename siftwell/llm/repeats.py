@@ -15,8 +15,9 @@ Shuffled are: 8 bytes and a count for each block (one of a dozen words or 75 byt
 the open texts again. An anchor with a third of all blocks is counted before the shuffle; of its blocks only different ones
 reach step 3. Where more than GROUP different ones have one anchor, they are split: windows whose anchor is nearer to their
 begin than to their end share more symbols after it, the others more before it; these shared symbols deal each half anew, down
-to single windows if need be. So equal windows always meet, and no group is compared in one task that is larger than GROUP:
-single windows are aggregated by their symbols. Equal rows (id and text) take part once; all their windows are repeated.
+to single windows if need be. Halves that are equal as a whole are settled there by an aggregate, and one of them goes on, so
+near copies soon are few rows. So equal windows always meet, and no group is compared in one task that is larger than GROUP.
+Equal rows (id and text) take part once; all their windows are repeated.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ BLOCKS = "array<struct<start:int,end:int,at:int,open:boolean,anchor:bigint>>"
 RECORD = "array<struct<anchor:bigint,start:int,end:int,at:int,open:boolean,body:binary>>"
 FOUND = f"{KEY}, start int, offsets binary, factors array<struct<at:int,length:int,ref_key:bigint,ref_check:int,ref_at:int>>"
 PART = f"part bigint, anchor bigint, {KEY}, start int, end int, at int, low int, high int, open boolean, body binary"
+PART_COLUMNS = [c.split()[0] for c in PART.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -250,6 +252,34 @@ def _split(batches: Iterator[pa.RecordBatch], w: Windows, seed: int) -> Iterator
         yield _batch([(hashes ^ (anchors * np.uint64(0xD6E8FEB86659FD93))).view(np.int64), *[[r[k] for r in rows] for k in range(10)]], PART)
 
 
+def _all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_key, row_check, start, windows, factors) -> FOUND, with all the windows."""
+    for batch in batches:
+        offsets = [np.arange(n, dtype=np.int32).tobytes() for n in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(offsets, pa.binary()), batch.column(4)], ["row_key", "row_check", "start", "offsets", "factors"])
+
+
+def settle(records: DataFrame, w: Windows) -> tuple[DataFrame, DataFrame]:
+    """One of each of the blocks (PART) of a part that are equal as a whole, and FOUND of those: all their windows are repeated.
+
+    The one that stays is compared with the others of its part, so it is open only if it has no equal. Equal are the symbols
+    themselves and the anchor's place.
+    """
+    keys, place = ["part", "at", "body"], F.struct("row_key", "row_check", "start")
+    one = F.struct("row_key", "row_check", "start", "end", "anchor", "low", "high", "open")
+    kinds = stage(records.groupBy(*keys).agg(F.count("*").alias("n"), F.min(one).alias("one"), F.max(place).alias("other")))
+    kept = kinds.select(*keys, "one.*", "n").withColumn("open", F.col("open") & (F.col("n") == 1)).select(*PART_COLUMNS)
+    equal = join_counted(records.where("open"), kinds.where("n > 1").select(*keys, "n", place_of("one").alias("one"), "other"), keys)
+    ref = F.when(F.col("one") == place, F.col("other")).otherwise(F.col("one"))
+    factor = F.struct(F.col("start").alias("at"), (F.col("end") - F.col("start") + w.size - 1).alias("length"), ref["row_key"].alias("ref_key"), ref["row_check"].alias("ref_check"), ref["start"].alias("ref_at"))
+    hits = equal.select("row_key", "row_check", "start", (F.col("end") - F.col("start")).alias("windows"), F.array(factor).alias("factors"))
+    return kept, hits.mapInArrow(_all_windows, FOUND)
+
+
+def place_of(block: str) -> Column:
+    return F.struct(*[F.col(f"{block}.{c}").alias(c) for c in ("row_key", "row_check", "start")])
+
+
 def compare_blocks(records: DataFrame, w: Windows, seed: int) -> DataFrame:
     """FOUND for the blocks (PART) of all parts; parts with too many blocks are split first, down to single windows."""
     found, places = None, w.size - w.gram + 1
@@ -263,14 +293,12 @@ def compare_blocks(records: DataFrame, w: Windows, seed: int) -> DataFrame:
         if not n_large:
             return found
         met = stage(marked.where("large").drop("large"))
-        single = met.where("low = high")  # one window each
-        bodies = cut(single.groupBy("part", "body").agg(F.count("*").alias("n")).where("n > 1"))
-        equal = join_counted(single.where("open"), bodies, ["part", "body"])
-        found = found.unionByName(equal.select("row_key", "row_check", "start", F.lit(bytes(4)).alias("offsets"), F.lit(None).cast(FOUND.split("factors ")[1]).alias("factors")))
         if places == 1:
-            return found
+            return found.unionByName(settle(met, w)[1])
         places = -(-places // 2)
-        records = stage(met.where("low < high").select(*[c.split()[0] for c in PART.split(", ")]).mapInArrow(lambda b: _split(b, w, seed), PART))
+        split = met.where("low < high").select(*PART_COLUMNS).mapInArrow(lambda b: _split(b, w, seed), PART)
+        records, equal = settle(stage(split), w)
+        found = found.unionByName(equal)
 
 
 def _finish(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:

@@ -118,3 +118,26 @@ def test_repeated_rows_are_linear(spark):
     assert cut == {0: (len(texts[0]), 1), 1: (len(texts[1]), 1), 3: (len(part) + 2, 1), 4: (0, 0), 5: (0, 0)}
     assert sorted(r["doc_id"] for r in drop_near_duplicates(docs).select("doc_id").collect()) == [0, 1, 3, 4, 5]
     assert time.time() - began < 120
+
+
+def test_near_copies_split_into_few_rows(spark, monkeypatch):
+    """Halves of near copies' blocks that are equal as a whole go on as one row, and all lose what they share."""
+    from siftwell.llm import repeats
+    from siftwell.llm.suffixes import dedup
+
+    made, split = spark.sparkContext.accumulator(0), repeats._split
+
+    def counted(batches, w, seed):
+        for batch in split(batches, w, seed):
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(repeats, "GROUP", 5)
+    monkeypatch.setattr(repeats, "_split", counted)
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefghij") for _ in range(500))
+    rows = [(k, text[: (at := 170 + 2 * k)] + "#" + text[at + 1 :]) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = Counter((r["id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in dedup(docs).collect())
+    assert found == without_repeats(rows, lambda t: list(t.encode()), bytes, 200)
+    assert made.value < 2500
