@@ -17,6 +17,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/siftwell-checkpoints"
 
 
+#: Bytes of the rows that a Python worker gets at once.
+BATCH_BYTES = 4 << 20
+_MOST = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands BATCH_BYTES of rows at once to Python, unless it has been told how many.
+
+    A worker holds two batches, what it makes of them and what its allocator keeps; with Spark's own bound (64 MB, 10,000 rows) that
+    grows with the input until tasks have full batches, and a stage with several Python functions has a worker for each and core.
+    """
+    if _MOST not in spark.conf.getAll:
+        spark.conf.set(_MOST, str(BATCH_BYTES))
+
+
 def cut(rows: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read back; a lost executor loses nothing of them."""
     context = rows.sparkSession.sparkContext
