@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +105,39 @@ def join_counted(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFra
     return rows.join(F.broadcast(hot), keys).unionByName(usual)
 
 
+#: Bytes of the rows that a Python worker gets at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands BATCH_BYTES of rows at once to Python, unless it has been told how many: both the worker and the
+    executor's JVM hold whole batches beside their heaps."""
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if most not in spark.conf.getAll:
+        spark.conf.set(most, str(BATCH_BYTES))
+
+
+#: What this Python worker keeps between tasks: for each thing, how to let go of it.
+_kept: set[Callable[[], object]] = set()
+
+
+def keep(release: Callable[[], object]) -> None:
+    """Tells that this worker keeps something for later tasks of its kind, which ``release`` frees."""
+    _kept.add(release)
+
+
+def let_go() -> None:
+    """Frees what other operators keep in this worker; called where a task of another kind begins.
+
+    Spark hands a worker from one stage to the next, so what one stage keeps would stand beside all that the next ones take.
+    """
+    if _kept:
+        while _kept:
+            _kept.pop()()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 #: The folders that this driver has made in the shared one and not removed yet.
 _folders: list[str] = []
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column_name, cut, join_counted, stage
+from .common import BROADCAST_ROWS, column_name, cut, join_counted, let_go, small_batches, stage
 from .components import connected
 from .repeats import KEY, row_keys
 
@@ -98,6 +98,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, frequent: tuple
     """(id, row_key, row_check, text) -> id, keys, content, content_2 (128 bits of the words), size of the set, prefix and sketch."""
     from xxhash import xxh3_128_digest
 
+    let_go()
     for batch in batches:
         contents, sizes, found, sketches = [], [], [], []
         for x in batch.column(3).cast(pa.binary()):
@@ -115,6 +116,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, frequent: tuple
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         sets = [np.unique(shingle_hashes(_text_of(x), shingle)).view(np.int64) for x in batch.column(1).cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
@@ -122,6 +124,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 def _compared(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """(node, rep, text), each rep's own text before those compared with it -> (a, b) of those that are similar."""
+    let_go()
     of, other = None, np.zeros(0, np.uint64)
     for batch in batches:
         found = []
@@ -277,8 +280,9 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     No such pair is missed, whatever else its texts share; sets are told by 64-bit hashes.
 
     Texts without words, null ones among them, are copies of each other. A very long text is hashed whole, in one task's memory.
-    Of a repeated row one stays. An empty table gives an empty result.
+    Of a repeated row one stays. An empty table gives an empty result. Sets the session's bound of batches for Python (``small_batches``).
     """
+    small_batches(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), F.col(text_col).cast("string").alias("text"))
     frequent = frequent_shingles(rows, shingle)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mph
-from .common import cut
+from .common import cut, keep
 from .symbols import pieces
 
 MAGIC = b"SWTOK01\n"
@@ -172,7 +172,7 @@ def _read(uri: str) -> pa.Buffer:
 
 
 def _write_shards(batches: Iterator[pa.RecordBatch], out_dir: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    """(id, key, text) in order -> lines of the manifest. In memory are the ids of one shard, and the texts of one piece."""
+    """(id, key, text) in order -> lines of the manifest. In memory are the ids of one shard, the texts of one piece, and the parts known."""
     enc, number = encoder(tokenizer, end_id), 0
     ids, keys, payload, lengths, held = [], [], [], [], 0
 
@@ -195,6 +195,7 @@ def _write_shards(batches: Iterator[pa.RecordBatch], out_dir: str, tokenizer: st
     if lengths:
         yield written()
     enc.forget()
+    keep(encoder.cache_clear)
 
 
 def _write_shard(shard: int, uri: str, ids: pa.Array, keys: np.ndarray, payload: list[bytes], lengths: list[int], width: int) -> pa.RecordBatch:
