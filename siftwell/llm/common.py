@@ -6,7 +6,7 @@ import gc
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words: runs of ASCII white space (so words are ``[^\x20\x09-\x0D]+``).
@@ -20,6 +20,8 @@ BROADCAST_ROWS = 200_000
 SALTS = 64
 #: In a shuffle join by a key with known counts, keys with more rows are joined by broadcast.
 HOT_ROWS = 1_000_000
+#: A table of links or pointers with up to so many rows is kept in one partition.
+FEW_ROWS = 1 << 16
 
 
 def ascii_lower(text: Column) -> Column:
@@ -68,6 +70,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_few(df: DataFrame, *also: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``cut``, with the number of rows (``n``) and the aggregates ``also``, which are observed while the rows are written.
+
+    Up to FEW_ROWS rows are one partition from then on: the driver keeps a record of every task and every query, so rounds over a
+    few rows mustn't take hundreds of tasks each, nor queries that only ask whether there is a row.
+    """
+    seen = Observation()
+    rows = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *also))
+    return (rows.coalesce(1) if seen.get["n"] <= FEW_ROWS else rows), seen.get
+
+
 def column_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores appended until no column of ``df`` has that name (in any case)."""
     taken = {c.lower() for c in df.columns}
@@ -98,8 +111,8 @@ def join_counted(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFra
     The table may grow with the corpus, so it isn't broadcast: this is a shuffle join, but for the keys with over HOT_ROWS rows.
     These are few (rows / HOT_ROWS at most) and are broadcast by themselves, so no key brings more rows into one task.
     """
-    hot = cut(lookup.where(F.col("n") > HOT_ROWS))
-    if hot.isEmpty():
+    hot, seen = cut_few(lookup.where(F.col("n") > HOT_ROWS))
+    if not seen["n"]:
         return rows.join(lookup, keys)
     usual = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(lookup.where(F.col("n") <= HOT_ROWS), keys)
     return rows.join(F.broadcast(hot), keys).unionByName(usual)

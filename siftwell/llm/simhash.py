@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column_name, cut, join_counted, let_go, small_batches, stage
+from .common import BROADCAST_ROWS, FEW_ROWS, column_name, cut, cut_few, join_counted, let_go, small_batches, stage
 from .components import connected
 from .repeats import KEY, row_keys
 
@@ -223,22 +223,29 @@ def may_be_similar(pairs: DataFrame, contents: DataFrame, similarity: float) ->
 
 
 def prefix_links(contents: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): links until all texts (node, first, size, prefix, sketch) that are similar enough are joined by links.
+    """(node, root): the smallest node of its component for each text (node, first, size, prefix, sketch) that is joined to others,
+    where all texts that are similar enough are joined.
 
     Texts that share a hash of their prefixes are compared unless links join them already. While that would be too many pairs,
     all texts of a hash are compared with a few, which then leave it: with one at first, in each round with four times as many.
     """
     left, few = prefix_rows(contents), 1
-    edges = left.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
+    roots = left.select("node", F.col("node").alias("root")).where(F.lit(False))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar(pairs, rows, contents, shingle, similarity))
+        found, seen = cut_few(connected(links))
+        return F.broadcast(found) if seen["n"] <= FEW_ROWS else found
+
     while True:
-        roots = connected(edges).select(F.col("node").alias("of"), "root")
-        left = left.select("value", "node", "pos", "size").join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
+        of = roots.select(F.col("node").alias("of"), "root")
+        left = left.select("value", "node", "pos", "size").join(of, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
         of_value = Window.partitionBy("value")
         open_ = (F.min("root").over(of_value) != F.max("root").over(of_value))
         left = stage(left.withColumn("open", open_).withColumn("n", F.count("*").over(of_value)).where("open").drop("open"))
         count, total = left.agg(F.count("*"), F.sum("n")).first()  # the sum of the squares of the values' counts
         if not count:
-            return edges
+            return roots
         last = total // 2 <= PAIRS_A_ROW * count
         other = left if last else cut(left.withColumn("at", F.row_number().over(of_value.orderBy(F.xxhash64("root", "node")))).where(F.col("at") <= few))
         other = other.select("value", F.col("node").alias("rep"), F.col("pos").alias("rep_pos"), F.col("size").alias("rep_size"), F.col("root").alias("rep_root"), "n")
@@ -246,24 +253,24 @@ def prefix_links(contents: DataFrame, rows: DataFrame, shingle: int, similarity:
         rest = F.least(F.col("size") - F.col("pos"), F.col("rep_size") - F.col("rep_pos"))  # at most so many are common, if this is the first
         enough = rest >= F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("rep_size")) - F.lit(1e-6))
         pairs = met.where((F.col("root") != F.col("rep_root")) & enough).select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct()
-        pairs = cut(may_be_similar(pairs, contents, similarity))
-        firsts = pairs.groupBy("node").agg(F.min("rep").alias("rep"))  # what these link needs no more comparison
-        edges = cut(edges.unionByName(similar(cut(firsts), rows, contents, shingle, similarity)))
-        roots = connected(edges)
-        ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("node", "rep")]
-        apart = pairs.join(firsts, ["node", "rep"], "left_anti").join(ends[0], "node", "left").join(ends[1], "rep", "left")
-        apart = cut(apart.where(F.coalesce("node_root", "node") != F.coalesce("rep_root", "rep")).select("node", "rep"))
-        edges = cut(edges.unionByName(similar(apart, rows, contents, shingle, similarity)))
+        pairs, found = cut_few(may_be_similar(pairs, contents, similarity))
+        if found["n"]:
+            firsts, _ = cut_few(pairs.groupBy("node").agg(F.min("rep").alias("rep")))  # what these link needs no more comparison
+            roots = linked(firsts)
+            ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("node", "rep")]
+            apart = pairs.join(firsts, ["node", "rep"], "left_anti").join(ends[0], "node", "left").join(ends[1], "rep", "left")
+            apart, found = cut_few(apart.where(F.coalesce("node_root", "node") != F.coalesce("rep_root", "rep")).select("node", "rep"))
+            roots = linked(apart) if found["n"] else roots
         if last:
-            return edges
+            return roots
         left, few = left.join(other.select("value", F.col("rep").alias("node")), ["value", "node"], "left_anti"), 4 * few
 
 
 def similar(pairs: DataFrame, rows: DataFrame, contents: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): the pairs (node, rep) whose texts have shingle sets that share ``similarity`` of their union."""
     asked = pairs.select(F.explode(F.array("node", "rep")).alias("node")).distinct()
-    asked = cut(contents.select("node", "first.row_key", "first.row_check").join(asked, "node"))
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    asked, seen = cut_few(contents.select("node", "first.row_key", "first.row_check").join(asked, "node"))
+    asked = F.broadcast(asked) if seen["n"] <= BROADCAST_ROWS else asked
     texts = rows.join(asked, ["row_key", "row_check"]).select("node", "text").dropDuplicates(["node"])  # of repeated rows one
     pairs = pairs.withColumn("dealt", F.pmod(F.xxhash64("node"), F.lit(DEALT)))
     asked_by = pairs.select("node", "rep", "dealt").unionByName(pairs.select(F.col("rep").alias("node"), "rep", "dealt").distinct())
@@ -290,7 +297,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_key", "row_check"))
     contents = marked.groupBy("content", "content_2").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", "sketch")])
     contents = stage(contents.select(F.monotonically_increasing_id().alias("node"), "first", "size", "prefix", "sketch"))
-    roots = connected(prefix_links(contents, rows, shingle, similarity)).select(F.col("node").alias("of"), "root")
+    roots = prefix_links(contents, rows, shingle, similarity).select(F.col("node").alias("of"), "root")
     named = contents.join(roots, contents["node"] == roots["of"], "left").withColumn("root", F.coalesce("root", "node"))
     keys = {c: column_name(docs, f"_{c}") for c in ("row_key", "row_check", "order")}
     keep = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias(keys["row_key"]), F.col("first.row_check").alias(keys["row_check"]))

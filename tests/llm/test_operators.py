@@ -402,6 +402,28 @@ def test_links_are_exact(spark):
     assert found == {v: root[v] for v in values if v not in alone}
 
 
+@pytest.mark.parametrize("few", [1 << 16, 20, 0])
+def test_components_take_few_queries(spark, monkeypatch, few):
+    """Chains, stars, loops and repeated edges: the smallest nodes, however few edges one task may join; and not a query for each step of a
+    chain where it may join all, since the driver keeps a record of each."""
+    from siftwell.llm import common
+    from siftwell.llm.components import connected
+
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    rng = random.Random(5)
+    chain = rng.sample(range(1000, 1100), 60)
+    edges = [*zip(chain, chain[1:], strict=False), *((7, n) for n in range(8, 40)), *((n, n) for n in range(500, 510)), (7, 8), (-3, 50), (50, -3)]
+    expected = {n: min(chain) for n in chain} | {n: 7 for n in range(7, 40)} | {-3: -3, 50: -3}
+    group = f"components-{few}"
+    spark.sparkContext.setJobGroup(group, group)
+    found = connected(spark.createDataFrame(edges, "a long, b long")).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    assert {r["node"]: r["root"] for r in found} == expected and len(found) == len(expected)
+    assert few <= 20 or jobs <= 4
+    assert connected(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+
+
 def test_ngrams(docs, none, rows, monkeypatch):
     from siftwell.llm import ngrams
     from siftwell.llm.ngrams import score
