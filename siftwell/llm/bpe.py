@@ -4,7 +4,8 @@ A text is cut into pre-tokens by a pattern. Those that stand in the vocabulary a
 of all its entries, many at once; the entry in the slot is compared, so foreign ones are told. The others are merged: a heap
 holds the ranks of neighbouring parts, linked lists lead from a part to its neighbours, and the pair of least rank (of
 equal ones the leftmost) becomes one part until no pair has a rank. A pre-token of n bytes takes n log n steps, so a text
-without blanks is no exception. Each worker remembers the ids of the pre-tokens that it has met.
+without blanks is no exception; in a short one the least rank is looked for in a list. Each worker remembers the ids of the
+pre-tokens that it has met. Decoding takes the entries of many texts' ids at once.
 """
 
 from __future__ import annotations
@@ -28,6 +29,12 @@ from .symbols import pieces, word_hashes
 
 #: Pre-tokens whose ids a worker remembers; longer ones than this many characters are encoded anew each time.
 REMEMBERED, LONGEST = 600_000, 64
+#: Pre-tokens of up to so many bytes are merged in a list; their pairs' ranks are few enough to look at all of them each time.
+SHORT = 48
+#: What stands for no rank.
+NONE = 1 << 62
+#: Ids that are decoded at once, about.
+IDS_AT_ONCE = 1 << 20
 
 
 class Bpe:
@@ -39,7 +46,8 @@ class Bpe:
         if any(bytes([b]) not in self.ranks for b in range(256)) or len(set(self.ranks.values())) != len(self.ranks):
             raise ValueError("each byte needs a rank, and each entry one of its own")
         self.split = regex.compile(pattern).findall
-        self.entries = {rank: entry for entry, rank in self.ranks.items()}
+        by_rank = sorted(self.ranks.items(), key=lambda x: x[1])
+        self.ids, self.entries = np.array([r for _, r in by_rank], np.int64), pa.array([e for e, _ in by_rank], pa.large_binary())
         entries = list(self.ranks)
         keys = word_hashes(entries)
         self.index = mph.Mph(mph.build(keys))
@@ -51,6 +59,8 @@ class Bpe:
     def merge(self, part: bytes) -> list[int]:
         """The ids of a pre-token that isn't an entry."""
         n, rank = len(part), self.ranks.get
+        if n <= SHORT:
+            return self.merge_short(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part begins at each place that is alive
         heap = [(r, k) for k in range(n - 1) if (r := rank(part[k : k + 2])) is not None]
         heapify(heap)
@@ -74,6 +84,19 @@ class Bpe:
             k = after[k]
         return ids
 
+    def merge_short(self, part: bytes) -> list[int]:
+        rank = self.ranks.get
+        parts, ranks = [part[k : k + 1] for k in range(len(part))], [rank(part[k : k + 2], NONE) for k in range(len(part) - 1)]
+        while ranks and (r := min(ranks)) != NONE:
+            k = ranks.index(r)
+            del ranks[k]
+            parts[k] += parts.pop(k + 1)
+            if k < len(ranks):
+                ranks[k] = rank(parts[k] + parts[k + 1], NONE)
+            if k:
+                ranks[k - 1] = rank(parts[k - 1] + parts[k], NONE)
+        return [self.ranks[x] for x in parts]
+
     def resolve(self, parts: list[str]) -> list[bytes]:
         """The ids of pre-tokens, as 32-bit numbers: whole entries by the index, the rest merged."""
         spelled = [x.encode() for x in parts]
@@ -96,10 +119,21 @@ class Bpe:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        try:
-            return b"".join(map(self.entries.__getitem__, ids))
-        except KeyError as e:
-            raise ValueError(f"no entry has the id {e.args[0]}") from None
+        return self.decode_lists(pa.array([ids], pa.list_(pa.int64())))[0].as_py()
+
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids; of a null list none."""
+        values, lengths = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0)
+        if values.null_count:
+            raise ValueError("no entry has the id None")
+        ids = np.asarray(values)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1) if self.ids[-1] >= len(self.ids) else np.clip(ids, 0, len(self.ids) - 1)
+        if len(wrong := np.flatnonzero(self.ids[at] != ids)):
+            raise ValueError(f"no entry has the id {ids[wrong[0]]}")
+        _, offsets, data = self.entries.take(pa.array(at)).buffers()
+        begins = np.concatenate([[0], np.cumsum(np.asarray(lengths), dtype=np.int64)])
+        edges = np.frombuffer(offsets, np.int64)[begins] if len(ids) else np.zeros(len(begins), np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(edges), data]).cast(pa.binary())
 
 
 @lru_cache(maxsize=2)
@@ -121,10 +155,14 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
 def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     """(..., ids) -> the same with their bytes."""
     for batch in batches:
-        for row in range(0, batch.num_rows, 256):
-            some = batch.slice(row, 256)
-            decoded = [bpe(path, pattern).decode(x or ()) for x in some.column(some.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(decoded, pa.binary())], [*some.schema.names, "decoded"])
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0)), dtype=np.int64)
+        row = 0
+        while row < batch.num_rows:
+            end = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + IDS_AT_ONCE, "right")))
+            some = batch.slice(row, end - row)
+            decoded = bpe(path, pattern).decode_lists(some.column(some.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*some.columns, decoded], [*some.schema.names, "decoded"])
+            row = end
 
 
 def encode_bpe(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

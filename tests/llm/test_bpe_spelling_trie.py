@@ -68,6 +68,35 @@ def test_bpe_merges_and_forgets(public, monkeypatch):
         assert all(len(x) <= 4 for x in own.known)
 
 
+def test_bpe_at_once(monkeypatch):
+    """Short pre-tokens merge in a list as they do with the heap, and many texts' ids are decoded together, not one by one."""
+    import time
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from siftwell.llm import bpe
+
+    own = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(11)
+    parts = ["".join(rng.choice("aeinrst zé漢0") for _ in range(rng.randrange(1, 40))).encode() for _ in range(3000)] + [b"a" * n for n in range(1, 60)]
+    found = [own.merge(x) for x in parts]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert found == [own.merge(x) for x in parts]
+    assert own.decode_lists(pa.array([found[0], None, [], found[1]], pa.list_(pa.int32())).slice(1)).to_pylist() == [b"", b"", parts[1]]
+    for wrong in ([1 << 30], [-1], [None]):
+        with pytest.raises(ValueError, match="no entry has the id"):
+            own.decode_lists(pa.array([wrong], pa.list_(pa.int32())))
+    lists = pa.array([np.arange(50_000) % 50_000] * 40, pa.list_(pa.int32()))
+    entries = dict(zip(own.ids.tolist(), own.entries.to_pylist(), strict=True))
+    began = time.process_time()
+    plain = [b"".join(map(entries.__getitem__, x)) for x in lists.to_pylist()]
+    middle = time.process_time()
+    assert own.decode_lists(lists).to_pylist() == plain and time.process_time() - middle < (middle - began) / 2
+
+
+
 def words_by_hand(rows, respell):
     counts = Counter()
     for i, text in rows:
