@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
+#: Numbers that are encoded at once.
+AT_ONCE = 1 << 18
 
 
 #: The place of the bit with a rank (second index) among the set bits of a byte (first index).
@@ -40,18 +42,19 @@ class EliasFano:
         """``values``: sorted uint64 below ``universe``."""
         n = len(values)
         width = max(0, (universe // max(n, 1)).bit_length() - 1)
-        index = np.arange(n, dtype=U64)
         low = np.zeros(n * width // 64 + 2, U64)
-        if width:
-            part, at = values & U64((1 << width) - 1), index * U64(width)
-            word, shift = (at >> U64(6)).astype(np.int64), at & U64(63)
-            np.bitwise_or.at(low, word, part << shift)
-            over = shift.astype(np.int64) + width > 64
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (U64(64) - shift[over]))
-        at = (values >> U64(width)) + index
         size = n + (universe >> width) + 1
         high = np.zeros(size // 64 + 1, U64)
-        np.bitwise_or.at(high, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+        for a in range(0, n, AT_ONCE):
+            some, index = values[a : a + AT_ONCE], np.arange(a, min(a + AT_ONCE, n), dtype=U64)
+            if width:
+                part, at = some & U64((1 << width) - 1), index * U64(width)
+                word, shift = (at >> U64(6)).astype(np.int64), at & U64(63)
+                np.bitwise_or.at(low, word, part << shift)
+                over = shift.astype(np.int64) + width > 64
+                np.bitwise_or.at(low, word[over] + 1, part[over] >> (U64(64) - shift[over]))
+            at = (some >> U64(width)) + index
+            np.bitwise_or.at(high, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
         zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
         return {"low": low, "high": high, "ones": ones, "zeros": zeros, "shape": np.array([n, width], np.int64)}

@@ -8,7 +8,8 @@ the one before ended), searched between the pointers of the context. Stored are
 for pairs the weight of the shorter context; all orders are interpolated by absolute discounting.
 
 Counts are combined in every task before they are shuffled, as packed arrays. Files are written to a folder that all executors
-share; where it is a mounted file system tasks map them in place, otherwise a worker holds a bounded number of them in memory.
+share; where it is a mounted file system tasks map them in place, otherwise they read them. Either way a worker has a bounded size
+of them at a time, since mapped pages count as a process's memory too.
 Nothing of the model goes through the driver but a line for each file.
 """
 
@@ -16,14 +17,14 @@ from __future__ import annotations
 
 import json
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import keep, let_go, new_folder, small_batches
 from .elias_fano import EliasFano
 from .symbols import Words, pieces, spelled, word_hashes
 from .tokens import _read, _write
@@ -38,9 +39,10 @@ FILE_TOKENS = 4_000_000
 AT_ONCE = 1_500_000
 #: The smallest logarithm that quantised shares can have, in 65,535 steps.
 LOWEST = -16.0
-TEXT_AT_ONCE = 2 << 20
-#: Bytes of model files that a worker holds where it can't map them.
-HELD_BYTES = 256 << 20
+#: Bytes of text that are looked up at once: a file is visited once for all of them.
+TEXT_AT_ONCE = 8 << 20
+#: Bytes of model files that a worker maps or holds at a time.
+HELD_BYTES = 128 << 20
 PACKED = "part bigint, counts binary"
 
 
@@ -61,22 +63,32 @@ def unpack(data: np.ndarray) -> dict[str, np.ndarray]:
     return {k: data[size + at : size + at + n * np.dtype(t).itemsize].view(t) for k, (t, n, at) in lines.items()}
 
 
-_held: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
+class Held:
+    """Files' arrays by URI: mapped if their folder is mounted, else in memory. Those used last stay, up to HELD_BYTES of whole files."""
 
+    def __init__(self):
+        self.files: OrderedDict[str, tuple[dict[str, np.ndarray], int]] = OrderedDict()
+        self.bytes = 0
 
-def load(uri: str) -> dict[str, np.ndarray]:
-    """A file's arrays: mapped if its folder is mounted, else in memory, where those used last stay up to HELD_BYTES."""
-    if uri in _held:
-        _held.move_to_end(uri)
-    elif uri.startswith("file:"):
-        _held[uri] = unpack(np.memmap(uri.removeprefix("file://").removeprefix("file:"), np.uint8, "r").view(np.ndarray))
-        while len(_held) > 4096:
-            _held.popitem(last=False)
-    else:
-        _held[uri] = unpack(np.frombuffer(_read(uri), np.uint8))
-        while len(_held) > 1 and sum(x.nbytes for arrays in _held.values() for x in arrays.values()) > HELD_BYTES:
-            _held.popitem(last=False)
-    return _held[uri]
+    def __getitem__(self, uri: str) -> dict[str, np.ndarray]:
+        if uri in self.files:
+            self.files.move_to_end(uri)
+        else:
+            mapped = uri.startswith("file:")
+            data = np.memmap(uri.removeprefix("file://").removeprefix("file:"), np.uint8, "r").view(np.ndarray) if mapped else np.frombuffer(_read(uri), np.uint8)
+            self.files[uri] = unpack(data), len(data)
+            self.bytes += len(data)
+            while len(self.files) > 1 and self.bytes > HELD_BYTES:
+                self.bytes -= self.files.popitem(last=False)[1][1]
+            keep(self.clear)
+        return self.files[uri][0]
+
+    def clear(self) -> None:
+        self.files.clear()
+        self.bytes = 0
+
+
+_held = Held()
 
 
 def nested(arrays: dict[str, np.ndarray], prefix: str) -> EliasFano:
@@ -123,7 +135,10 @@ def hand_on(counted: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Ite
     waiting, n = [], 0
 
     def packed() -> pa.RecordBatch:
-        part, key, count = combined(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+        entries = [np.concatenate([x[k] for x in waiting]) for k in range(3)]
+        waiting.clear()
+        part, key, count = combined(*entries)
+        del entries
         edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
         blobs = [pack_counts(key[a:b], count[a:b]) for a, b in zip(edges, [*edges[1:], len(part)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(part[edges]), pa.array(blobs, pa.binary())], ["part", "counts"])
@@ -133,36 +148,39 @@ def hand_on(counted: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Ite
         n += len(entry[0])
         if n >= AT_ONCE:
             yield packed()
-            waiting, n = [], 0
+            n = 0
     if waiting:
         yield packed()
 
 
-def merged_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """PACKED in order of part -> each part's keys and counts. In memory are one part's distinct keys and AT_ONCE more."""
+def merged_parts(batches: Iterator[pa.RecordBatch], made: Callable[[int, np.ndarray, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PACKED in order of part -> what is made of each part's keys and counts. In memory are one part's distinct keys and AT_ONCE more:
+    ``made`` is called here, so that nothing of a part stands beside the next one."""
     part, waiting, n, limit = None, [], 0, AT_ONCE
 
     def whole() -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        keys, counts = (np.concatenate([x[k] for x in waiting]) for k in (0, 1))
+        waiting.clear()
         order = np.argsort(keys, kind="stable")
-        keys = keys[order]
+        keys, counts = keys[order], counts[order]
+        del order
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[first], np.add.reduceat(counts[order], first)
+        return keys[first], np.add.reduceat(counts, first)
 
     for batch in batches:
         for own, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if part is not None and own != part:
-                yield part, *whole()
-                waiting, n, limit = [], 0, AT_ONCE
+                yield made(part, *whole())
+                n, limit = 0, AT_ONCE
             part = own
             waiting.append(unpack_counts(blob.as_py()))
             n += len(waiting[-1][0])
             if n >= limit:
-                waiting = [whole()]
+                waiting.append(whole())
                 n = len(waiting[0][0])
                 limit = n + AT_ONCE
     if waiting:
-        yield part, *whole()
+        yield made(part, *whole())
 
 
 # --- the levels
@@ -172,8 +190,9 @@ def monotone(children: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Ascending children of each context as one ascending sequence: every context goes on after the last child of the one before."""
     last = children[np.maximum(begins[1:] - 1, 0)]
     used = np.where(begins[1:] > begins[:-1], last.astype(np.uint64) + np.uint64(1), np.uint64(0))
-    offsets = np.concatenate([[np.uint64(0)], np.cumsum(used, dtype=np.uint64)[:-1]])
-    return children.astype(np.uint64) + np.repeat(offsets, np.diff(begins))
+    values = np.repeat(np.concatenate([[np.uint64(0)], np.cumsum(used, dtype=np.uint64)[:-1]]), np.diff(begins))
+    values += children.view(np.uint64)
+    return values
 
 
 def encode_level(children: np.ndarray, begins: np.ndarray) -> dict[str, np.ndarray]:
@@ -201,6 +220,14 @@ def encode(p: np.ndarray) -> np.ndarray:
     return np.clip(np.round(np.log10(p) / LOWEST * 65535), 0, 65535).astype(np.uint16)
 
 
+def encode_shares(counts: np.ndarray, discount: float, totals: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Of each count, less the discount, its share of a total (``of``: which), encoded some at once."""
+    codes, some = np.zeros(len(counts), np.uint16), 1 << 18
+    for k in (slice(a, a + some) for a in range(0, len(counts), some)):
+        codes[k] = encode((counts[k] - discount) / totals[of[k]])
+    return codes
+
+
 def decode(code: np.ndarray) -> np.ndarray:
     return 10 ** (code * (LOWEST / 65535))
 
@@ -216,31 +243,27 @@ class Vocabulary:
         self.words, self.tokens = int(self.starts[-1]), int(self.befores[-1])
 
     def _file(self, k: int) -> dict[str, np.ndarray]:
-        return load(f"{self.folder}/{self.lines[k][0]}")
+        return _held[f"{self.folder}/{self.lines[k][0]}"]
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The ids of distinct words, -1 for unknown ones."""
-        ids = np.full(len(hashes), -1, np.int64)
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words the ids (-1 for unknown ones), how often they occur, and how many tokens words with smaller ids have (both
+        0 for unknown ones). Each file is visited once."""
+        ids, counts, before = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         for k, at in _by_file(np.searchsorted(self.firsts, hashes, "right") - 1):
-            own, most = hashes[at] - self.firsts[k], np.uint64(self.lines[k][4])
-            found = nested(self._file(k), "keys.").find(np.minimum(own, most))
-            ids[at] = np.where((found >= 0) & (own <= most), found + self.starts[k], -1)
-        return ids
+            arrays, own, most = self._file(k), hashes[at] - self.firsts[k], np.uint64(self.lines[k][4])
+            found = nested(arrays, "keys.").find(np.minimum(own, most))
+            known = (found >= 0) & (own <= most)
+            at, found = at[known], found[known]
+            ids[at], counts[at], before[at] = found + self.starts[k], arrays["counts"][found], arrays["before"][found] + self.befores[k]
+        return ids, counts, before
 
-    def _of(self, ids: np.ndarray, name: str) -> np.ndarray:
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """How often words occur; 0 for id -1."""
         out = np.zeros(len(ids), np.int64)
         for k, at in _by_file(np.searchsorted(self.starts[:-1], ids, "right") - 1):
-            out[at] = self._file(k)[name][ids[at] - self.starts[k]]
+            out[at] = self._file(k)["counts"][ids[at] - self.starts[k]]
         return out
 
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        """How often words occur; 0 for id -1."""
-        return self._of(ids, "counts")
-
-    def before(self, ids: np.ndarray) -> np.ndarray:
-        """How many tokens words with smaller ids have."""
-        return self._of(ids, "before") + self.befores[np.searchsorted(self.starts[:-1], ids, "right") - 1]
-
     def probability(self, counts: np.ndarray) -> np.ndarray:
         """The discounted share of a word, plus what the discounts free, dealt evenly to all words and the unknown one."""
         free = DISCOUNT[0] * self.words / max(self.tokens, 1)
@@ -270,7 +293,7 @@ class Pairs:
         n = len(word)
         out = {"file": np.full(n, -1), "node": np.full(n, -1), "share": np.zeros(n), "types": np.zeros(n, np.int64), "relative": np.full(n, -1)}
         for k, at in _by_file(np.searchsorted(self.firsts, (context << 32) | word, "right") - 1):
-            arrays = load(f"{self.folder}/pairs-{self.names[k]:010d}.bin")
+            arrays = _held[f"{self.folder}/pairs-{self.names[k]:010d}.bin"]
             low, high = self.lines[k][1], self.lines[k][4]
             inside = np.flatnonzero(context[at] <= high)
             own = at[inside]
@@ -299,7 +322,7 @@ class Model:
         for k, at in _by_file(np.where(found["node"][first] >= 0, found["file"][first], -1)):
             if self.pairs.names[k] not in self.triples:
                 continue
-            arrays = load(f"{self.pairs.folder}/triples-{self.pairs.names[k]:010d}.bin")
+            arrays = _held[f"{self.pairs.folder}/triples-{self.pairs.names[k]:010d}.bin"]
             node, relative = found["node"][first[at]], found["relative"][second[at]]
             begin, end, number = children_of(arrays, node, np.maximum(relative, 0))
             number = np.where(relative >= 0, number, -1)
@@ -328,6 +351,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    let_go()
+
     def counted():
         for texts in _texts(batches):
             own, at, _, _ = tokens_of(texts)
@@ -338,14 +363,16 @@ def _count_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
 
 
 def _write_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    for part, hashes, n in merged_parts(batches):
+    def made(part: int, hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         own = hashes - hashes[0]
         arrays = {f"keys.{k}": v for k, v in EliasFano.encode(own, int(own[-1]) + 1).items()}
         arrays |= {"counts": n.astype(np.uint32) if n.max() < 1 << 32 else n, "before": np.cumsum(n) - n}
         file = f"words-{part:010d}.bin"
         _write(f"{folder}/{file}", [pack(arrays)])
         line = [file, str(hashes[0]), len(n), int(n.sum()), str(own[-1])]
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in line], ["file", "first", "words", "tokens", "span"])
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in line], ["file", "first", "words", "tokens", "span"])
+
+    return merged_parts(batches, made)
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch], words: Vocabulary, parts: int) -> Iterator[pa.RecordBatch]:
@@ -354,8 +381,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], words: Vocabulary, parts: in
             own, at, end, n = tokens_of(texts)
             if not len(n):
                 continue
-            ids = words.find(own)  # none is unknown (but END, if there is no text); ascending, as ids follow the hashes
-            before, counts = words.before(ids), words.counts(ids)
+            ids, counts, before = words.find(own)  # none is unknown (but END, if there is no text); ascending, as ids follow the hashes
             pair, n = np.unique(pairs_of(at, end), return_counts=True)
             context, word = pair >> 32, pair & 0xFFFFFFFF
             # where the pair stands among all tokens, if words were independent: grows with the key, and deals pairs evenly
@@ -367,16 +393,18 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], words: Vocabulary, parts: in
 
 
 def _write_pairs(batches: Iterator[pa.RecordBatch], folder: str, words: Vocabulary) -> Iterator[pa.RecordBatch]:
-    for part, key, n in merged_parts(batches):
+    def made(part: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         context, word = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         low, high = int(context[0]), int(context[-1])
-        types = np.bincount(context - low, minlength=high - low + 1)
-        own, of = np.unique(context, return_inverse=True)
-        share = (n - DISCOUNT[1]) / words.counts(own)[of]
-        arrays = encode_level(word, np.concatenate([[0], np.cumsum(types)])) | {"codes": encode(share)}
+        context -= low
+        types = np.bincount(context)
+        arrays = encode_level(word, np.concatenate([[0], np.cumsum(types)]))
+        arrays["codes"] = encode_shares(n, DISCOUNT[1], words.counts(np.arange(low, high + 1)), context)
         _write(f"{folder}/pairs-{part:010d}.bin", [pack(arrays)])
         line = [part, low, int(word[0]), len(key), high, int(types[0]), int(types[-1])]
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in line], ["part", "low", "word", "pairs", "high", "low_types", "high_types"])
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in line], ["part", "low", "word", "pairs", "high", "low_types", "high_types"])
+
+    return merged_parts(batches, made)
 
 
 def look_up(at: np.ndarray, end: int, ids: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
@@ -408,7 +436,7 @@ def _count_triples(batches: Iterator[pa.RecordBatch], words: Vocabulary, pairs:
             own, at, end, n = tokens_of(texts)
             if not len(n):
                 continue
-            of, _, found = look_up(at, end, words.find(own), pairs)
+            of, _, found = look_up(at, end, words.find(own)[0], pairs)
             later = triples_of(of, np.cumsum(n) - n)
             both, counts = np.unique((of[later - 1] << 32) | of[later], return_counts=True)
             first, second = both >> 32, both & 0xFFFFFFFF
@@ -418,15 +446,17 @@ def _count_triples(batches: Iterator[pa.RecordBatch], words: Vocabulary, pairs:
 
 
 def _write_triples(batches: Iterator[pa.RecordBatch], folder: str, lines: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for part, key, n in merged_parts(batches):
+    def made(part: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         node, child = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         nodes = lines[part][3]
         types, total = np.bincount(node, minlength=nodes), np.bincount(node, n, minlength=nodes)
-        back = DISCOUNT[2] * types / np.maximum(total, 1)
         arrays = encode_level(child, np.concatenate([[0], np.cumsum(types)]))
-        arrays |= {"codes": encode((n - DISCOUNT[2]) / total[node]), "back": encode(np.where(types > 0, back, 1))}
+        back = np.where(types > 0, DISCOUNT[2] * types / np.maximum(total, 1), 1)
+        arrays |= {"codes": encode_shares(n, DISCOUNT[2], total, node), "back": encode(back)}
         _write(f"{folder}/triples-{lines[part][0]:010d}.bin", [pack(arrays)])
-        yield pa.RecordBatch.from_arrays([pa.array([lines[part][0]])], ["part"])
+        return pa.RecordBatch.from_arrays([pa.array([lines[part][0]])], ["part"])
+
+    return merged_parts(batches, made)
 
 
 def train(texts: DataFrame, text_col: str, folder: str) -> Model:
@@ -454,8 +484,7 @@ def score_texts(texts: pa.Array, model: Model) -> tuple[np.ndarray, ...]:
     """Of each text: tokens, known tokens, add-one unigram score, model score (log10 probabilities)."""
     words = model.words
     own, at, end, n = tokens_of(texts)
-    ids = words.find(own)
-    counts = np.where(ids >= 0, words.counts(np.maximum(ids, 0)), 0) if words.tokens else np.zeros(len(own), np.int64)
+    ids, counts, _ = words.find(own)
     base = np.log10((counts + 1) / (words.tokens + words.words + 1))[at]
     begins = np.cumsum(n) - n
     if words.tokens:
@@ -490,9 +519,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     Null and empty texts are their end token alone; a very long text is scored at once, in one task's memory. Repeated rows are
     learned from each time (ties don't occur). Documents with a null id count as learned from. Without any document to learn
     from both scores are 0 (nothing is known, and there is one possible token). An empty table gives an empty result. Other
-    columns are ignored. Words are told apart by 64-bit hashes. The model's files stay in the shared folder (``clean_up``).
+    columns are ignored. Words are told apart by 64-bit hashes. The model's files stay in the shared folder (``clean_up``). Sets the
+    session's bound of batches for Python (``small_batches``).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     held = held_out(docs[id_col]) if held is None else held
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     model = train(docs.where(~held), text_col, new_folder(spark, "ngrams"))

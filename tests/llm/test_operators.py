@@ -1,14 +1,17 @@
 """Each operator against a plain brute-force version, on a small table with nulls, empty and long texts, copies, repeated rows and
 columns with clashing names; and on empty tables."""
 
+import glob
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -465,6 +468,66 @@ def test_ngrams_of_forged_words(spark):
     assert found == {learned: 41, asked: 40}
 
 
+@pytest.mark.parametrize("level", ["words", "pairs", "triples"])
+def test_writers_of_a_model_hold_one_part(level, monkeypatch):
+    """What a task of each level holds at most follows one part's entries, not two parts' or all copies of its arrays."""
+    import tracemalloc
+
+    from siftwell.llm import ngrams
+
+    n, parts, rng = 1_000_000, 3, np.random.default_rng(8)
+    monkeypatch.setattr(ngrams, "AT_ONCE", n // 2)
+    monkeypatch.setattr(ngrams, "_write", lambda uri, chunks: None)
+    monkeypatch.setattr(ngrams.Vocabulary, "counts", lambda self, ids: np.full(len(ids), 9))
+    key = np.arange(n, dtype=np.uint64) * np.uint64(97) if level == "words" else ((np.arange(n) // 2) << 32 | np.sort(rng.integers(0, 1 << 20, n))).astype(np.uint64)
+    blobs = [ngrams.pack_counts(key[a::4], np.ones(n // 4, np.int64)) for a in range(4)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([p]), pa.array([b], pa.binary())], ["part", "counts"]) for p in range(parts) for b in blobs]
+    words = ngrams.Vocabulary("", [])
+    write = {"words": lambda b: ngrams._write_words(b, ""), "pairs": lambda b: ngrams._write_pairs(b, "", words),
+             "triples": lambda b: ngrams._write_triples(b, "", [(p, 0, 0, n // 2) for p in range(parts)])}[level]
+    tracemalloc.start()
+    try:
+        assert len(list(write(iter(batches)))) == parts
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 88 * n, most / n
+
+
+def test_a_worker_maps_few_model_files(spark, docs, monkeypatch):
+    """Mapped files count as a process's memory: those of a model that is larger than the bound don't stay, and texts score the same."""
+    from siftwell.llm import ngrams
+    from siftwell.llm.common import let_go, new_folder
+
+    monkeypatch.setattr(ngrams, "FILE_TOKENS", 700)
+    folder = new_folder(spark, "ngrams")
+    model = ngrams.train(docs, "text", folder)
+    files = {p: os.path.getsize(p) for p in glob.glob(f"{folder.removeprefix('file://')}/*.bin")}
+    texts = pa.array([r["text"] for r in docs.select("text").collect()], pa.string())
+    expected = ngrams.score_texts(texts, model)
+    let_go()
+    monkeypatch.setattr(ngrams, "HELD_BYTES", bound := sum(files.values()) // 5)
+    for found, own in zip(ngrams.score_texts(texts, model), expected, strict=True):
+        assert (found == own).all()
+    with open("/proc/self/maps") as f:
+        mapped = {x.split(maxsplit=5)[5].strip() for x in f if folder.removeprefix("file://") in x}
+    assert 0 < sum(files[p] for p in mapped) <= bound + max(files.values())
+
+
+def test_ngrams_get_texts_in_small_batches(spark, docs):
+    from siftwell.llm.common import BATCH_BYTES
+    from siftwell.llm.ngrams import score
+
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.getAll.get(most)
+    spark.conf.unset(most)
+    try:
+        score(docs)
+        assert spark.conf.get(most) == str(BATCH_BYTES)
+    finally:
+        spark.conf.set(most, before) if before else spark.conf.unset(most)
+
+
 def test_counts_on_their_way():
     from siftwell.llm.ngrams import pack_counts, unpack_counts
 
