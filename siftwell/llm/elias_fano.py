@@ -84,13 +84,14 @@ class EliasFano:
         word = np.searchsorted(self.zeros, j, "right") - 1
         bits = self.high[word]
         place = select_in_word(~bits, j - self.zeros[word])
-        begin = np.where(high < 1, 0, np.where(high > j + 1, self.n, word * 64 + place - j))
+        first = high < 1  # its values are all those before zero number 0, which may be any number of words on
+        begin = np.where(first, 0, np.where(high > j + 1, self.n, word * 64 + place - j))
         # the values with this high part are the ones up to the next zero: mostly in the same word
-        after = np.where(high < 1, 0, place + 1)
+        after = place + 1
         rest = bits >> np.minimum(after, 63).astype(U64)
         run = np.bitwise_count(rest ^ (rest + U64(1))).astype(np.int64) - 1
-        end = begin + run
-        over = np.flatnonzero((after + run >= 64) & (begin < self.n))
+        end = np.where(first, word * 64 + place, begin + run)
+        over = np.flatnonzero(~first & (after + run >= 64) & (begin < self.n))
         if len(over):
             j = np.minimum(high[over], int(self.zeros[-1]) - 1)
             word = np.searchsorted(self.zeros, j, "right") - 1

@@ -551,6 +551,18 @@ def test_elias_fano():
         assert (e.find(probes) == expected).all()
 
 
+@pytest.mark.parametrize("many", [1, 63, 64, 65, 128, 700])
+def test_elias_fano_with_many_values_of_one_high_part(many):
+    """As where a file begins with a context that has many successors: all are found, whichever words their bits fill."""
+    from siftwell.llm.elias_fano import EliasFano
+
+    for place in (0, 1, 77):
+        crowd = (place << 30) + np.arange(many) * 3
+        values = np.unique(np.concatenate([crowd, np.arange(3000) * (1 << 31) + (100 << 30)])).astype(np.uint64)
+        e = EliasFano(EliasFano.encode(values, 1 << 45))
+        assert (e.find(values) == np.arange(len(values))).all() and (e.find(crowd.astype(np.uint64) + np.uint64(1)) == -1).all()
+
+
 def test_chat(spark):
     from siftwell.llm.chat import format_chats, read_loss, read_turns
 
